@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dnsflow.functions.binding import let
+
 
 def byte_at(binary: Column, pos: int) -> Column:
     """Unsigned value of the byte at 1-based `pos`."""
@@ -35,13 +37,8 @@ def _dotted(ip: Column, start: int = 1) -> Column:
     return F.concat_ws(".", *[byte_at(ip, start + i).cast("string") for i in range(4)])
 
 
-def _colon(ip: Column) -> Column:
-    """Eight groups without leading zeros, the first longest run of zero groups as `::`."""
-    h = F.lower(F.hex(ip))
-    groups = [
-        F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)
-    ]
-    text = F.concat_ws(":", *groups)
+def _shortened(text: Column) -> Column:
+    """The first longest run of two or more zero groups becomes `::`."""
     out = text
     for n in range(2, 9):  # the longest run is tested last, so it wins
         run = f"^(.*?)(^|:)0(:0){{{n - 1}}}(:|$)(.*)$"
@@ -49,6 +46,14 @@ def _colon(ip: Column) -> Column:
     return out
 
 
+def _colon(ip: Column) -> Column:
+    h = F.lower(F.hex(ip))
+    groups = [
+        F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)
+    ]
+    return let(F.concat_ws(":", *groups), _shortened)
+
+
 def ip_text(ip: Column) -> Column:
     """Usual text form: dotted IPv4, compressed IPv6 (mapped IPv4 keeps its dotted tail)."""
     head = F.hex(F.substring(ip, 1, 12))
@@ -61,39 +66,51 @@ def ip_text(ip: Column) -> Column:
     return F.when(F.octet_length(ip) == 4, _dotted(ip)).when(F.octet_length(ip) == 16, v6)
 
 
-V4_PATTERN = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+V4_PATTERN = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
 def _v4_hex(text: Column) -> Column:
-    octets = [F.regexp_extract(text, V4_PATTERN, i + 1).cast("int") for i in range(4)]
-    valid = text.rlike(V4_PATTERN)
-    for octet in octets:
-        valid = valid & (octet <= 255)
-    return F.when(valid, F.concat(*[hex_fixed(o, 2) for o in octets]))
+    def coded(octets: Column) -> Column:
+        digits = F.array_join(F.transform(octets, lambda o: hex_fixed(o, 2)), "")
+        return F.when(F.forall(octets, lambda o: o <= 255), digits)
+
+    octets = F.transform(F.split(text, "[.]"), lambda o: o.cast("int"))
+    return F.when(text.rlike(V4_PATTERN), let(octets, coded))
 
 
 def _v6_hex(text: Column) -> Column:
-    halves = F.split(F.lower(text), "::")
-    left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda g: g != "")
-    right = F.filter(
-        F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != ""
-    )
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    short = F.size(halves) == 2
-    valid = (
-        text.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$")
-        & F.forall(groups, lambda g: F.length(g) <= 4)
-        & (F.size(groups) == 8)
-        & F.when(short, missing >= 1).otherwise((missing == 0) & (F.size(halves) == 1))
-        & ~text.rlike("(^:[^:])|([^:]:$)")
+    def filled(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    def coded(sides: Column) -> Column:
+        missing = F.lit(8) - F.size(sides["left"]) - F.size(sides["right"])
+        groups = F.concat(
+            sides["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), sides["right"]
+        )
+        fits = F.when(sides["short"], missing >= 1).otherwise(missing == 0)
+        short_groups = F.forall(groups, lambda g: F.length(g) <= 4)
+        digits = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(fits & short_groups, digits)
+
+    lower = F.lower(text)
+    sides = F.struct(
+        filled(F.substring_index(lower, "::", 1)).alias("left"),
+        F.when(lower.contains("::"), filled(F.substring_index(lower, "::", -1)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("right"),
+        lower.contains("::").alias("short"),
     )
-    return F.when(valid, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    shape = text.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ~text.rlike("(^:[^:])|([^:]:$)|(::.*::)|(:::)")
+    return F.when(shape, let(sides, coded))
+
+
+def _address_hex(text: Column) -> Column:
+    return F.when(text.contains(":"), _v6_hex(text)).otherwise(_v4_hex(text))
 
 
 def ip_binary(text: Column) -> Column:
     """BINARY of an address text; null when malformed."""
-    return F.unhex(F.coalesce(_v4_hex(text), _v6_hex(text)))
+    return F.unhex(_address_hex(text))
 
 
 def parse_cidr(text: Column) -> Column:
@@ -101,37 +118,38 @@ def parse_cidr(text: Column) -> Column:
 
     Without a length the prefix is the single host; host bits of the base are cleared.
     """
-    parts = F.split(text, "/")
-    address = F.get(parts, F.lit(0))
-    digits = F.coalesce(_v4_hex(address), _v6_hex(address))
-    total = F.length(digits) * 4
-    length = F.get(parts, F.lit(1))
-    bits = F.when(F.size(parts) == 1, total).when(
-        (F.size(parts) == 2) & length.rlike(r"^\d{1,3}$"), length.cast("int")
-    )
-    ok = bits.isNotNull() & (bits <= total)
-    whole = F.floor(bits / 4).cast("int")
-    rest = bits % 4
-    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    keep = F.when(rest == 0, 0).when(rest == 1, 8).when(rest == 2, 12).otherwise(14)
-    low = digit.bitwiseAND(keep)
-    high = digit.bitwiseAND(keep).bitwiseOR(F.lit(15) - keep)
-    tail = (total / 4).cast("int") - whole - F.when(rest == 0, 0).otherwise(1)
-
-    def bound(edge: Column, fill: str) -> Column:
-        middle = F.when(rest == 0, F.lit("")).otherwise(F.lower(F.hex(edge.cast("bigint"))))
-        return F.unhex(
-            F.concat(
-                F.substring(digits, F.lit(1), whole), middle, F.repeat(F.lit(fill), tail)
-            )
+    def edges(p: Column) -> Column:
+        whole, rest = (p["bits"] / 4).cast("int"), p["bits"] % 4
+        kept = F.substring(p["digits"], F.lit(1), whole)
+        keep = F.lit(15) - F.call_function("shiftright", F.lit(15), rest)
+        digit = F.conv(F.substring(p["digits"], whole + 1, F.lit(1)), 16, 10).cast("int")
+        ok = p["bits"] <= p["total"]
+
+        def bound(fill: str, edge: Column) -> Column:
+            middle = F.when(rest == 0, F.lit("")).otherwise(F.lower(F.hex(edge.cast("bigint"))))
+            size = (p["total"] / 4).cast("int")
+            return F.when(ok, F.unhex(F.rpad(F.concat(kept, middle), size, fill)))
+
+        low = digit.bitwiseAND(keep)
+        return F.struct(
+            F.when(ok, F.when(p["total"] == 32, 4).otherwise(6)).alias("family"),
+            F.when(ok, p["bits"]).alias("bits"),
+            bound("0", low).alias("base"),
+            bound("f", low.bitwiseOR(F.lit(15) - keep)).alias("last"),
         )
 
-    return F.struct(
-        F.when(ok, F.when(total == 32, 4).otherwise(6)).alias("family"),
-        F.when(ok, bits).alias("bits"),
-        F.when(ok, bound(low, "0")).alias("base"),
-        F.when(ok, bound(high, "f")).alias("last"),
+    def sized(p: Column) -> Column:
+        total = F.length(p["digits"]) * 4
+        length = F.when(p["length"].rlike(r"^\d{1,3}$"), p["length"].cast("int"))
+        bits = F.when(p["length"].isNull(), total).otherwise(length)
+        fields = F.struct(p["digits"].alias("digits"), total.alias("total"), bits.alias("bits"))
+        return let(fields, edges)
+
+    parts = F.split(text, "/", 2)
+    given = F.struct(
+        _address_hex(F.get(parts, F.lit(0))).alias("digits"), F.get(parts, F.lit(1)).alias("length")
     )
+    return let(given, sized)
 
 
 def cidr_literals(prefixes) -> list[tuple[bytes, bytes]]:

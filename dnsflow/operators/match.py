@@ -252,3 +252,34 @@ def unmatched(
         rest = hot.join(ids, "msg_id", "left_anti")
         out = out.unionByName(rest.select(*FLOW_KEY, *columns))
     return out
+
+
+def waiting_times(
+    messages: DataFrame, timeout_ms: int = 1000, skew: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """(arrived, left) in µs of every message that had to wait; `left` is null without a partner."""
+    timeout_us = timeout_ms * 1000
+    narrow = _ordinary(messages).select(*FLOW_KEY, "msg_id", "ts", "is_response")
+    cold, hot = split_hot(narrow, FLOW_KEY, F.unix_micros("ts"), timeout_us, skew)
+    never = F.lit(None).cast("bigint")
+
+    def paired(hit: Column) -> Column:
+        q, r = F.get("q", hit["i"])["t"], F.get("r", hit["j"])["t"]
+        return F.struct(F.least(q, r).alias("arrived"), F.greatest(q, r).alias("left"))
+
+    alone = F.transform(
+        _lonely(), lambda m: F.struct(F.unix_micros(m["ts"]).alias("arrived"), never.alias("left"))
+    )
+    out = _walked(_grouped(cold, FLOW_KEY), timeout_us).select(
+        F.inline(F.concat(F.transform("walk.hits", paired), alone))
+    )
+    if hot is not None:
+        met = _settled(hot, FLOW_KEY, timeout_us).select(F.inline(F.transform("walk.hits", paired)))
+        lonely = unmatched(hot.drop("chunk", "chunk_us").withColumns({
+            "client_ip": F.col("addr_lo"), "server_ip": F.col("addr_hi"),
+            "client_port": F.col("port_lo"), "server_port": F.col("port_hi"),
+        }), timeout_ms, skew=skew)
+        out = out.unionByName(met).unionByName(
+            lonely.select(F.unix_micros("ts").alias("arrived"), never.alias("left"))
+        )
+    return out

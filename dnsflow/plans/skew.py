@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnsflow.plans.shared import shared_folder
+
 HISTOGRAM_BUCKETS = 1 << 18
 ROWS_PER_GROUP = 1_000_000
 
@@ -78,19 +80,9 @@ def split_hot(
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's checkpoint folder; without one (local tests) fall back to /tmp."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="dnsflow-checkpoint-")
-    context.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def short_events(events: DataFrame) -> DataFrame:
     """`events` with short names and the time in microseconds, whatever the session zone is."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("e"),
         F.col("user_id").alias("u"),
         F.col("event_type").alias("et"),
@@ -40,7 +40,7 @@ def _row(cond: Column, response: bool, n: int, time: Column) -> Column:
     )
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_rows(events: DataFrame) -> DataFrame:
     """One row (e, u, et, t0, r, n, t) per message of an event."""
     e, t0 = F.col("e"), F.col("t0")
     transfer = e % 97 == 0
@@ -54,7 +54,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n in range(4):
         late = F.when((e % 5 == 0) & F.lit(n == 3), 1_500_000).otherwise(0)
         rows.append(_row(transfer, True, n, t0 + 100_000 * (n + 1) + late))
-    return events(spark, sf_dir).select(
+    return short_events(events).select(
         "e", "u", "et", "t0", F.inline(F.array_compact(F.array(*rows)))
     )
 
@@ -70,6 +70,11 @@ def _v6(head: str, tail: Column) -> Column:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    """Messages of a static or streaming `events` table."""
     e, u, r, n, et = (F.col(c) for c in ("e", "u", "r", "n", "et"))
     v6 = u % 5 == 0
     tcp = u % 4 == 1
@@ -111,7 +116,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         r & (e % 9 == 0),
         F.unhex(F.concat(F.lit("000300036E73"), F.hex(F.encode((e % 3).cast("string"), "UTF-8")))),
     )
-    out = event_rows(spark, sf_dir).select(
+    out = event_rows(events).select(
         "*", qname.alias("qname")
     ).select(
         (e * 10 + F.when(r, 5).otherwise(0) + n).alias("msg_id"),
@@ -175,7 +180,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4 ranges of ten /8 networks per nation, some missing, and one IPv6 range per region."""
-    n = F.col("n_nationkey")
+    n = F.col("n_nationkey").cast("bigint")
     v4 = (
         table(spark, sf_dir, "nation")
         .filter((n % 7 != 3) & (n <= 24))
