@@ -110,7 +110,7 @@ def _address_hex(text: Column) -> Column:
 
 def ip_binary(text: Column) -> Column:
     """BINARY of an address text; null when malformed."""
-    return F.unhex(_address_hex(text))
+    return F.unhex(let(text, _address_hex))
 
 
 def parse_cidr(text: Column) -> Column:
@@ -147,7 +147,8 @@ def parse_cidr(text: Column) -> Column:
 
     parts = F.split(text, "/", 2)
     given = F.struct(
-        _address_hex(F.get(parts, F.lit(0))).alias("digits"), F.get(parts, F.lit(1)).alias("length")
+        let(F.get(parts, F.lit(0)), _address_hex).alias("digits"),
+        F.get(parts, F.lit(1)).alias("length"),
     )
     return let(given, sized)
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnsflow.functions.binding import let
+
 # Distinct addresses up to this number are scrambled once each and joined back by broadcast.
 MAX_BROADCAST_ADDRESSES = 1_000_000
 
@@ -62,18 +64,26 @@ def scramble(ip: Column, key: bytes) -> Column:
     pad = _aes(F.lit(bytearray(seed)), secret)
     pad_hi, pad_lo = _signed(F.substring(pad, 1, 8)), _signed(F.substring(pad, 9, 8))
 
-    v4 = _signed(F.concat(ip, F.unhex(F.lit("00000000"))))
-    v4_block = lambda pos: F.unhex(F.concat(_hex16(_mixed(v4, pad_hi, pos)), _hex16(pad_lo)))
-    v4_out = F.unhex(F.substring(_hex16(_scrambled(v4, 0, 31, v4_block, secret)), 1, 8))
-
-    hi, lo = _signed(F.substring(ip, 1, 8)), _signed(F.substring(ip, 9, 8))
-    hi_block = lambda pos: F.unhex(F.concat(_hex16(_mixed(hi, pad_hi, pos)), _hex16(pad_lo)))
-    lo_block = lambda pos: F.unhex(F.concat(_hex16(hi), _hex16(_mixed(lo, pad_lo, pos - 64))))
-    v6_out = F.unhex(F.concat(
-        _hex16(_scrambled(hi, 0, 63, hi_block, secret)),
-        _hex16(_scrambled(lo, 64, 127, lo_block, secret)),
-    ))
-    return F.when(F.octet_length(ip) == 4, v4_out).when(F.octet_length(ip) == 16, v6_out)
+    def v4(address: Column) -> Column:
+        block = lambda pos: F.unhex(F.concat(_hex16(_mixed(address, pad_hi, pos)), _hex16(pad_lo)))
+        return F.unhex(F.substring(_hex16(_scrambled(address, 0, 31, block, secret)), 1, 8))
+
+    def v6(a: Column) -> Column:
+        hi, lo = a["hi"], a["lo"]
+        upper = lambda pos: F.unhex(F.concat(_hex16(_mixed(hi, pad_hi, pos)), _hex16(pad_lo)))
+        lower = lambda pos: F.unhex(F.concat(_hex16(hi), _hex16(_mixed(lo, pad_lo, pos - 64))))
+        return F.unhex(F.concat(
+            _hex16(_scrambled(hi, 0, 63, upper, secret)),
+            _hex16(_scrambled(lo, 64, 127, lower, secret)),
+        ))
+
+    short = _signed(F.concat(ip, F.unhex(F.lit("00000000"))))
+    halves = F.struct(
+        _signed(F.substring(ip, 1, 8)).alias("hi"), _signed(F.substring(ip, 9, 8)).alias("lo")
+    )
+    return F.when(F.octet_length(ip) == 4, let(short, v4)).when(
+        F.octet_length(ip) == 16, let(halves, v6)
+    )
 
 
 def anonymize_ip(

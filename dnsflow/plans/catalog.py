@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from dnsflow import schema
 from dnsflow.functions import addresses, codes, names
+from dnsflow.functions.binding import stage
 from dnsflow.operators import (
-    anonymize, enrich, filters, match, normalize, project, stats, transfer,
+    anonymize, decode, enrich, filters, match, normalize, project, stats, transfer,
 )
-from dnsflow.plans import views
+from dnsflow.plans import views, wireviews
 from dnsflow.plans.shared import shared_folder
 from dnsflow.plans.skew import cut_lineage
 from dnsflow.sources import tables
@@ -186,7 +187,8 @@ def cidr_long_list(messages):
 @on_messages
 def parse_cidr(messages):
     text = F.concat(addresses.ip_text(F.col("client_ip")), F.lit("/"), F.col("msg_id") % 40)
-    parsed = messages.select("msg_id", addresses.parse_cidr(text).alias("p")).filter("p.family = 4")
+    parsed = stage(messages.select("msg_id", text.alias("text")), {"p": addresses.parse_cidr(F.col("text"))})
+    parsed = parsed.filter("p.family = 4")
     return parsed.select(
         "msg_id", "p.bits", addresses.ip_text(F.col("p.base")).alias("base"),
         addresses.ip_text(F.col("p.last")).alias("last"),
@@ -612,3 +614,41 @@ def stats_json_round_trip(messages):
     return back.groupBy("ip", "metric").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")
     )
+
+
+# --- decoding -------------------------------------------------------------------------
+
+
+def _decoded_view(decoded: DataFrame, *more: str) -> DataFrame:
+    return decoded.select(
+        "packet_no", "error", *more, addresses.ip_text(F.col("client_ip")).alias("client"),
+        "client_port", addresses.ip_text(F.col("server_ip")).alias("server"), "is_response",
+        "id", "rcode", "ancount", "arcount", "dns_len", "edns_udp", "edns_do", "last_soa",
+        "qname", "qtype", F.hex("opt_rdata").alias("opt"),
+        F.size("answer_rrs").alias("answers"), F.col("answer_rrs")[0]["name"].alias("rr_name"),
+        F.col("answer_rrs")[0]["rdata"].alias("rr_data"),
+    )
+
+
+@on_messages
+def decode_packets(messages):
+    decoded = decode.decode_packets(wireviews.udp_packets(messages), with_rrs=True)
+    return _decoded_view(decoded, "len", "ttl", "udp_sum")
+
+
+@on_messages
+def dnstap_decode(messages):
+    decoded = decode.decode_dnstap(wireviews.tap_frames(messages), with_rrs=True)
+    rows = _decoded_view(decoded, "prot", "tcp_rtt_us", "user_id", "policy_action", "policy_rule", "ts")
+    return rows.withColumn("time_us", us()).drop("ts")
+
+
+@on_messages
+def invalid_split(messages):
+    valid, invalid = decode.split_invalid(decode.decode_packets(wireviews.udp_packets(messages)))
+    kept = tables.kept_packets(invalid, only_invalid=True)
+    return (
+        valid.groupBy(F.lit("valid").alias("reason")).agg(F.count("*").alias("n"), F.sum("len").cast("bigint").alias("bytes"))
+        .unionByName(kept.groupBy(F.col("error").alias("reason")).agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes")))
+    )

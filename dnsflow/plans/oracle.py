@@ -187,6 +187,38 @@ blocks AS (SELECT *, slot || '-' || (query_id % parts) || '-' ||
     ((row_number() OVER (PARTITION BY slot, query_id % parts ORDER BY query_id) - 1) // 50) AS block_id
   FROM slots JOIN parts USING (slot))"""
 
+# The message as it goes over the wire, by the same formulas as the derived bytes.
+WIRE = MESSAGES + """,
+bytes AS (SELECT *, msg_id AS k,
+    CASE WHEN r THEN e % 4 + 1 ELSE 0 END AS answers, r AND e % 97 = 0 AND n = 3 AS soa,
+    CASE WHEN NOT r AND e % 6 = 0 THEN '00050003080D0F' WHEN r AND e % 9 = 0 THEN
+      '000300036E73' || CASE e % 3 WHEN 0 THEN '30' WHEN 1 THEN '31' ELSE '32' END END AS opt,
+    CASE WHEN NOT r AND e % 2 = 0 THEN 1232 ELSE 0 END AS udp FROM msg),
+wired AS (SELECT *, opt IS NOT NULL OR udp > 0 AS has_opt,
+    12 + CASE WHEN qname = '' THEN 1 ELSE length(qname) + 2 END + 4 + 16 * answers
+      + CASE WHEN soa THEN 36 ELSE 0 END
+      + CASE WHEN opt IS NOT NULL OR udp > 0 THEN 11 + coalesce(length(opt) // 2, 0) ELSE 0 END AS size
+  FROM bytes)"""
+DECODED = """client_ip AS client, client_port, server_ip AS server, r AS is_response, id,
+  rcode, (answers + CASE WHEN soa THEN 1 ELSE 0 END + CASE WHEN k % 41 = 0 THEN 60000 ELSE 0 END)::INTEGER AS ancount,
+  CASE WHEN has_opt THEN 1 ELSE 0 END AS arcount, size::INTEGER AS dns_len"""
+BODY = """udp AS edns_udp, edns_do, soa AS last_soa, qname, qtype, opt,
+  CASE WHEN r THEN (answers + CASE WHEN soa THEN 1 ELSE 0 END)::INTEGER END AS answers,
+  CASE WHEN r THEN qname END AS rr_name, CASE WHEN r THEN '192.0.2.1' END AS rr_data"""
+NO_BODY = """NULL AS edns_udp, NULL AS edns_do, NULL AS last_soa, NULL AS qname, NULL AS qtype, NULL AS opt,
+  NULL AS answers, NULL AS rr_name, NULL AS rr_data"""
+# Frame errors of derived packets; only UDP traffic is framed.
+PACKETS = WIRE + """,
+framed AS (SELECT *, CASE
+    WHEN k % 31 = 0 THEN 'drop: not IP'
+    WHEN k % 29 = 0 AND ipv = 6 THEN 'error: IP header cut off'
+    WHEN k % 37 = 0 THEN 'drop: not TCP or UDP'
+    WHEN k % 29 = 0 THEN 'error: packet shorter than its IP header claims'
+    WHEN server_port <> 53 THEN 'drop: port'
+    WHEN k % 41 = 0 AND (answers > 0 OR has_opt) THEN 'error: records cut off' END AS error,
+    14 + CASE WHEN ipv = 6 THEN 40 ELSE 20 END + 8 + size AS full_len
+  FROM wired WHERE prot = 17)"""
+
 ORACLE: dict[str, str] = {
     "txn_flagship": f"WITH RECURSIVE {TXN} SELECT * EXCLUDE (e) FROM txn",
     "txn_by_domain": f"""WITH RECURSIVE {TXN} SELECT domainname, rcode, count(*) AS n,
@@ -385,4 +417,31 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT server_ip, unnest([{_each("'queries-per-second-{c}'")}]), unnest([{_each("{c}")}]::DOUBLE[])
           FROM servers WHERE tick // 24 IN (SELECT tick FROM report))
       SELECT ip, metric, count(*) AS n, round(sum(value), 6) AS total FROM long GROUP BY 1, 2""",
+    "decode_packets": f"""WITH {PACKETS}
+      SELECT k AS packet_no, error, full_len::INTEGER AS len, (64 - e % 3)::INTEGER AS ttl,
+        ((e * 17) % 65536)::INTEGER AS udp_sum, {DECODED}, {BODY} FROM framed WHERE error IS NULL
+      UNION ALL SELECT k, error, full_len::INTEGER, (64 - e % 3)::INTEGER, ((e * 17) % 65536)::INTEGER,
+        {DECODED}, {NO_BODY} FROM framed WHERE error = 'error: records cut off'
+      UNION ALL SELECT k, error, 50, (64 - e % 3)::INTEGER,
+        CASE WHEN ipv = 4 THEN ((e * 17) % 65536)::INTEGER END,
+        NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {NO_BODY} FROM framed
+        WHERE error LIKE 'error: %IP header%'""",
+    "dnstap_decode": f"""WITH {WIRE},
+      taps AS (SELECT *, CASE WHEN k % 43 = 0 THEN 'error: message type missing'
+        WHEN k % 47 = 0 THEN 'error: protocol or port missing'
+        WHEN server_port <> 53 THEN 'drop: port'
+        WHEN k % 41 = 0 AND (answers > 0 OR has_opt) THEN 'error: records cut off' END AS error FROM wired),
+      shared AS (SELECT *, 'u-' || u AS user_id, policy::INTEGER AS policy_action,
+        CASE WHEN policy <> 0 THEN 'rule' || (e % 5) END AS policy_rule, t AS time_us FROM taps)
+      SELECT k AS packet_no, error, {DECODED}, {BODY}, prot, rtt_us AS tcp_rtt_us, user_id, policy_action,
+        policy_rule, time_us FROM shared WHERE error IS NULL
+      UNION ALL SELECT k, error, {DECODED}, {NO_BODY}, prot, rtt_us, user_id, policy_action, policy_rule, time_us
+        FROM shared WHERE error = 'error: records cut off'
+      UNION ALL SELECT k, error, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {NO_BODY}, prot, rtt_us, user_id,
+        policy_action, policy_rule, time_us
+        FROM shared WHERE error LIKE '%missing'""",
+    "invalid_split": f"""WITH {PACKETS}
+      SELECT coalesce(error, 'valid') AS reason, count(*) AS n, sum(CASE WHEN error IS NULL THEN full_len
+        WHEN k % 29 = 0 THEN 36 ELSE full_len - 14 END)::BIGINT AS bytes
+      FROM framed WHERE error IS NULL OR error LIKE 'error%' GROUP BY 1""",
 }
