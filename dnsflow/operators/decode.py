@@ -138,6 +138,7 @@ def decode_dns(df: DataFrame, with_rrs: bool = False) -> DataFrame:
     Needs body, src/dst addresses and ports, len; adds the message columns, the
     direction and `error`.
     """
+    df = df.withColumn("body", F.when(F.col("error").isNull(), F.col("body")))
     body = F.col("body")
     size = F.octet_length(body)
     third, fourth = byte_at(body, 3), byte_at(body, 4)
@@ -167,7 +168,8 @@ def decode_dns(df: DataFrame, with_rrs: bool = False) -> DataFrame:
             F.call_function("shiftleft", F.coalesce("ext_rcode", F.lit(0)), F.lit(4))
         ),
         **{
-            f"{side}_{what}": F.when(response == on, F.col(f"dst_{what}")).otherwise(F.col(f"src_{what}"))
+            f"{side}_{what}": F.when(response == on, F.col(f"dst_{what}"))
+            .when(response.isNotNull(), F.col(f"src_{what}"))
             for side, on in (("client", True), ("server", False))
             for what in ("ip", "port")
         },
@@ -209,14 +211,11 @@ def decode_packets(
     Filters on transport, ports and address lists run on the native header columns first.
     """
     headers = decode_headers(packets)
-    failed = headers.filter(F.col("error").startswith("error:"))
-    wanted = filters.cidr_filter(
-        headers.filter(F.col("error").isNull() & (F.col("prot") == UDP)),
-        allow, deny, columns=("src_ip", "dst_ip"),
-    )
-    wanted = filters.dns_port_filter(wanted, ports, columns=("src_port", "dst_port"))
-    decoded = decode_dns(wanted, with_rrs)
-    return decoded.unionByName(failed, allowMissingColumns=True)
+    known = headers.filter(F.col("error").isNull() | F.col("error").startswith("error:"))
+    allowed = filters.cidr_filter(known, allow, deny, columns=("src_ip", "dst_ip"))
+    on_port = F.col("src_port").isin(sorted(ports)) | F.col("dst_port").isin(sorted(ports))
+    wanted = allowed.filter(F.col("error").isNotNull() | ((F.col("prot") == UDP) & on_port))
+    return decode_dns(wanted, with_rrs)
 
 
 def tcp_segments(packets: DataFrame, ports=(DNS_PORT,), allow=(), deny=()) -> DataFrame:
@@ -321,9 +320,7 @@ def decode_dnstap(
         codes.policy_action_code(F.col("policy"), F.col("action")).alias("policy_action"),
         F.col("rule").alias("policy_rule"),
     )
-    failed = named.filter(F.col("error").startswith("error:"))
-    wanted = filters.cidr_filter(
-        named.filter(F.col("error").isNull()), allow, deny, columns=("src_ip", "dst_ip")
-    )
-    wanted = filters.dns_port_filter(wanted, ports, columns=("src_port", "dst_port"))
-    return decode_dns(wanted, with_rrs).unionByName(failed, allowMissingColumns=True)
+    known = named.filter(F.col("error").isNull() | F.col("error").startswith("error:"))
+    allowed = filters.cidr_filter(known, allow, deny, columns=("src_ip", "dst_ip"))
+    on_port = F.col("src_port").isin(sorted(ports)) | F.col("dst_port").isin(sorted(ports))
+    return decode_dns(allowed.filter(F.col("error").isNotNull() | on_port), with_rrs)

@@ -11,12 +11,14 @@ from dnsflow import schema
 from dnsflow.functions import addresses, codes, names
 from dnsflow.functions.binding import stage
 from dnsflow.operators import (
-    anonymize, decode, enrich, filters, match, normalize, project, stats, transfer,
+    anonymize, decode, enrich, filters, match, normalize, project, stats, tcp, transfer,
 )
 from dnsflow.plans import views, wireviews
 from dnsflow.plans.shared import shared_folder
 from dnsflow.plans.skew import cut_lineage
 from dnsflow.sources import tables
+from dnsflow.streaming import flows, matching
+from dnsflow.streaming import tcp as tcp_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,3 +654,106 @@ def invalid_split(messages):
         .unionByName(kept.groupBy(F.col("error").alias("reason")).agg(
             F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes")))
     )
+
+
+# --- TCP ------------------------------------------------------------------------------
+
+
+@on_messages
+def tcp_sessions(messages):
+    return tcp.tcp_connections(wireviews.segments(messages))
+
+
+def _stateful(messages: DataFrame) -> DataFrame:
+    return tcp.with_state(tcp.with_sessions(wireviews.segments(messages)))
+
+
+@on_messages
+def tcp_reorder(messages):
+    pieces = tcp.ordered_bytes(_stateful(messages))
+    return pieces.select(
+        "conn", "side", "pos", F.octet_length("data").alias("size"), "us", "released_us", "whole"
+    )
+
+
+@on_messages
+def tcp_handshake_rtt(messages):
+    return tcp.handshakes(_stateful(messages))
+
+
+@on_messages
+def tcp_duplicates(messages):
+    return tcp.repeated_segments(_stateful(messages)).select("conn", "side", "copies")
+
+
+@on_messages
+def tcp_overflow(messages):
+    found = tcp.reassemble(wireviews.segments(messages), buffer_limit=0)
+    return found.groupBy("side").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
+
+
+@on_messages
+def tcp_framing(messages):
+    decoded = tcp.decode_tcp(wireviews.segments(messages), with_rrs=True)
+    rows = _decoded_view(decoded, "conn", "len", "ttl", "tcp_rtt_us", "us")
+    return rows.drop("packet_no")
+
+
+# --- streams --------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a file stream."""
+    table = views.table(spark, sf_dir, "events")
+    return spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over everything there is and reads back what it wrote."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
+    writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_match(spark, sf_dir):
+    messages = views.messages_of(event_stream(spark, sf_dir))
+    return _pair_view(drained(matching.stream_match_transactions(messages)))
+
+
+@query
+def stream_stats(spark, sf_dir):
+    messages = views.messages_of(event_stream(spark, sf_dir))
+    folder = shared_folder(spark, "ticks")
+    # Update mode with one folder per batch; a later batch replaces a tick it touched again.
+    target = flows.deliver(flows.folder_target(folder))
+    stream = flows.stream_stats(messages, unit_s=HOUR)
+    writer = stream.writeStream.outputMode("update").trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", f"{folder}-checkpoint")
+    writer.foreachBatch(target).start().awaitTermination()
+    rows = spark.read.schema("batch bigint, " + stream.schema.simpleString()[7:-1].replace(":", " ")).parquet(folder)
+    values = [c for c in stream.columns if c != "tick"]
+    latest = rows.groupBy("tick").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return latest.select("tick", "v.*")
+
+
+@query
+def stream_tcp(spark, sf_dir):
+    segments = wireviews.segments(views.messages_of(event_stream(spark, sf_dir)))
+    rows = drained(tcp_stream.stream_tcp_reassembly(segments))
+    return rows.select("conn", "side", "pos", "us", "len", "tcp_rtt_us", F.octet_length("body").alias("size"))
+
+
+@query
+def landing_dir(spark, sf_dir):
+    folder = shared_folder(spark, "landing")
+    rows = project.to_transactions(dns_pairs(views.messages(spark, sf_dir)))
+    tables.write_transactions(rows, f"{folder}/files", mode="overwrite")
+    landed = drained(flows.stream_landing_dir(spark, f"{folder}/files", "parquet", schema.TRANSACTIONS))
+    return landed.filter(F.col("file_name").endswith(".parquet")).groupBy("domainname", "rcode").agg(
+        F.count("*").alias("n"), F.sum("res_len").alias("bytes"),
+        F.count_if(F.col("tcp_hs_rtt").isNotNull()).alias("n_rtt"),
+    )

@@ -188,6 +188,7 @@ def segments(messages: DataFrame) -> DataFrame:
     rows = stage(rows.filter(F.col("n") == 0), {
         "framed": F.unhex(F.concat(u16(F.length("dns") / 2), F.col("dns"))),
         "side": F.col("is_response").cast("int"),
+        "l4": F.struct("client_ip", "server_ip", "client_port", "server_port", "ttl", "ipv", "prot"),
     })
     size = F.octet_length("framed")
     isn = F.when(e % 5 == 0, (1 << 32) - 20).otherwise(e * 1000 % 100_000)
@@ -208,9 +209,9 @@ def segments(messages: DataFrame) -> DataFrame:
         F.when(e % 7 == 0, piece(F.lit(2), F.lit(0), cut, F.lit(5))),
     ))
     data = rows.select(
-        "msg_id", "e", "t", "side", "ipv", F.explode(pieces).alias("p")
+        "msg_id", "e", "t", "side", "l4", F.explode(pieces).alias("p")
     ).select(
-        "e", "side", (F.col("t") + F.col("p.w")).alias("t"),
+        "e", "l4", "side", (F.col("t") + F.col("p.w")).alias("t"),
         (F.col("msg_id") * 10 + F.col("p.o")).alias("seg_no"), F.col("p.seq").alias("seq"),
         F.col("p.data").alias("data"), F.lit(False).alias("syn"), F.lit(True).alias("ack_flag"),
         F.lit(0).cast("bigint").alias("ack"),
@@ -234,8 +235,14 @@ def segments(messages: DataFrame) -> DataFrame:
         control(1, 1, F.lit(1000), server, plus(base), True, True),
         control(2, 0, F.lit(2000) + e % 5000, plus(base), plus(server), False, True),
     )
-    opening = queries.select("e", F.inline(shake))
+    opening = queries.select("e", "l4", F.inline(shake))
+    back = F.col("side") == 1
+    ends = [
+        F.when(back == flip, F.col(f"l4.server_{what}")).otherwise(F.col(f"l4.client_{what}")).alias(f"{end}_{what}")
+        for end, flip in (("src", True), ("dst", False)) for what in ("ip", "port")
+    ]
     return data.unionByName(opening).select(
+        *ends, "l4.ttl", "l4.ipv", "l4.prot",
         F.concat(F.lit("c"), e).alias("conn"), "side", F.timestamp_micros("t").alias("ts"),
         "seg_no", "seq", "ack", "syn", "ack_flag", F.lit(False).alias("fin"),
         F.lit(False).alias("rst"), "data", (F.octet_length("data") + 54).alias("packet_len"),
