@@ -17,6 +17,8 @@ from dnsflow.streaming.state import use_rocksdb
 
 WAITING = "t bigint, m bigint, is_response boolean, payload string"
 OUT = "query string, response string"
+# Keeps the microseconds of timestamps inside JSON.
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class _Pending(StatefulProcessor):
@@ -74,14 +76,17 @@ def stream_match_transactions(
     kept = dict.fromkeys(["id", "prot", "ipv", "qtype", *[c for c in fields.values() if c in messages.columns]])
     keyed = with_flow_key(fresh).select(
         *keys, "ts", F.unix_micros("ts").alias("t"), F.col("msg_id").alias("m"), "is_response",
-        F.to_json(F.struct(*kept)).alias("payload"),
+        F.to_json(F.struct(*kept), JSON_TIME).alias("payload"),
     )
     found = keyed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Pending(timeout_ms * 1000), outputStructType=OUT,
         outputMode="Append", timeMode="EventTime",
     )
     schema = messages.select(*kept).schema
-    both = found.select(F.from_json("query", schema).alias("q"), F.from_json("response", schema).alias("r"))
+    both = found.select(
+        F.from_json("query", schema, JSON_TIME).alias("q"),
+        F.from_json("response", schema, JSON_TIME).alias("r"),
+    )
     picked = [F.col(f"q.{c}").alias(c) for c in ("id", "prot", "ipv", "qtype")]
     for side, mapping in (("q", FROM_QUERY), ("r", FROM_RESPONSE)):
         picked += [F.col(f"{side}.{src}").alias(dst) for dst, src in mapping.items() if src in kept]

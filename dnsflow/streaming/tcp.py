@@ -114,7 +114,8 @@ class _Reassembly(StatefulProcessor):
         self.connection.update(tuple(
             v if v is None or isinstance(v, bool) else int(v) for v in state.saved()
         ))
-        self.waiting.put([(s, int(p), int(t), int(n), d) for s, p, t, n, d in state.rows()])
+        pieces = [(s, int(p), int(t), int(n), d) for s, p, t, n, d in state.rows()]
+        self.waiting.put(pieces) if pieces else self.waiting.clear()
         self.handle.registerTimer(int(last) // 1000 + self.timeout_ms)
         yield pd.DataFrame(
             [(key[0], *m) for m in out],
