@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsflow.functions.binding import let
+from dnsflow.plans.skew import cut_lineage
 
 # Distinct addresses up to this number are scrambled once each and joined back by broadcast.
 MAX_BROADCAST_ADDRESSES = 1_000_000
@@ -61,16 +62,19 @@ def scramble(ip: Column, key: bytes) -> Column:
     if len(key) != 32:
         raise ValueError("the key must have 32 bytes")
     secret, seed = key[:16], key[16:]
-    pad = _aes(F.lit(bytearray(seed)), secret)
-    pad_hi, pad_lo = _signed(F.substring(pad, 1, 8)), _signed(F.substring(pad, 9, 8))
+    # The pad is one constant block; computing it here keeps the cipher out of every row.
+    pad = SparkSession.active().range(1).select(_aes(F.lit(bytearray(seed)), secret)).first()[0]
+    high, low = (int.from_bytes(pad[i : i + 8], "big", signed=True) for i in (0, 8))
+    pad_hi, pad_lo = F.lit(high).cast("bigint"), F.lit(low).cast("bigint")
+    pad_tail = F.lit(bytes(pad[8:]).hex())
 
     def v4(address: Column) -> Column:
-        block = lambda pos: F.unhex(F.concat(_hex16(_mixed(address, pad_hi, pos)), _hex16(pad_lo)))
+        block = lambda pos: F.unhex(F.concat(_hex16(_mixed(address, pad_hi, pos)), pad_tail))
         return F.unhex(F.substring(_hex16(_scrambled(address, 0, 31, block, secret)), 1, 8))
 
     def v6(a: Column) -> Column:
         hi, lo = a["hi"], a["lo"]
-        upper = lambda pos: F.unhex(F.concat(_hex16(_mixed(hi, pad_hi, pos)), _hex16(pad_lo)))
+        upper = lambda pos: F.unhex(F.concat(_hex16(_mixed(hi, pad_hi, pos)), pad_tail))
         lower = lambda pos: F.unhex(F.concat(_hex16(hi), _hex16(_mixed(lo, pad_lo, pos - 64))))
         return F.unhex(F.concat(
             _hex16(_scrambled(hi, 0, 63, upper, secret)),
@@ -101,8 +105,13 @@ def anonymize_ip(
     addresses = df.select(column).distinct()
     if addresses.limit(max_broadcast + 1).count() > max_broadcast:
         return df.withColumn(column, scramble(F.col(column), key))
-    table = addresses.select(
+    # The cipher is heavy and the rows are few bytes: keep all cores busy although so little
+    # data would otherwise be merged into one partition.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    table = addresses.repartition(cores, column).select(
         F.col(column).alias("__plain"), scramble(F.col(column), key).alias("__scrambled")
     )
+    # Kept, because the result may be read more than once and the table is small.
+    table = cut_lineage(table)
     joined = df.join(F.broadcast(table), F.col(column).eqNullSafe(F.col("__plain")), "left")
     return joined.withColumn(column, F.col("__scrambled")).select(*df.columns)

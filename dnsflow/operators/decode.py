@@ -120,7 +120,7 @@ def decode_headers(packets: DataFrame) -> DataFrame:
         )),
         "src_port": F.when(ok, uint(F.substring(l4, 1, 2))).cast("int"),
         "dst_port": F.when(ok, uint(F.substring(l4, 3, 2))).cast("int"),
-        "udp_sum": F.when(udp, uint(F.substring(l4, 7, 2))).otherwise(0).cast("int"),
+        "udp_sum": F.when(ok & udp, uint(F.substring(l4, 7, 2))).when(ok, 0).cast("int"),
         "seq": F.when(~udp, uint(F.substring(l4, 5, 4))),
         "ack": F.when(~udp, uint(F.substring(l4, 9, 4))),
         **{

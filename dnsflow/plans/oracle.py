@@ -436,8 +436,7 @@ ORACLE: dict[str, str] = {
         ((e * 17) % 65536)::INTEGER AS udp_sum, {DECODED}, {BODY} FROM framed WHERE error IS NULL
       UNION ALL SELECT k, error, full_len::INTEGER, (64 - e % 3)::INTEGER, ((e * 17) % 65536)::INTEGER,
         {DECODED}, {NO_BODY} FROM framed WHERE error = 'error: records cut off'
-      UNION ALL SELECT k, error, 50, (64 - e % 3)::INTEGER,
-        CASE WHEN ipv = 4 THEN ((e * 17) % 65536)::INTEGER END,
+      UNION ALL SELECT k, error, 50, (64 - e % 3)::INTEGER, NULL,
         NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {NO_BODY} FROM framed
         WHERE error LIKE 'error: %IP header%'""",
     "dnstap_decode": f"""WITH {WIRE},

@@ -6,10 +6,9 @@ formulas: narrow, row-local expressions without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsflow.functions.addresses import hex_fixed
 from dnsflow.functions.names import name_to_wire
 from dnsflow.schema import RR_LIST, column_names, MESSAGES
 
@@ -22,184 +21,135 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def short_events(events: DataFrame) -> DataFrame:
     """`events` with short names and the time in microseconds, whatever the session zone is."""
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    return events.select(
-        F.col("event_id").alias("e"),
-        F.col("user_id").alias("u"),
-        F.col("event_type").alias("et"),
-        micros.alias("t0"),
+    return events.selectExpr(
+        "event_id AS e", "user_id AS u", "event_type AS et",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS t0",
     )
 
 
-def _row(cond: Column, response: bool, n: int, time: Column) -> Column:
-    return F.when(
-        cond,
-        F.struct(
-            F.lit(response).alias("r"), F.lit(n).alias("n"), time.cast("bigint").alias("t")
-        ),
-    )
+# Condition, response flag, number and time of the messages an event may cause.
+EVENT_ROWS = [
+    ("true", "false", 0, "t0"),
+    ("e % 13 = 0 AND e % 97 <> 0", "false", 1, "t0 + 200000"),
+    ("e % 10 <> 3 AND e % 97 <> 0", "true", 0, "IF(e % 17 = 0, t0 - 300, t0 + e * 7919 % 1200000 + 1)"),
+    ("e % 26 = 0 AND e % 97 <> 0", "true", 1, "t0 + e * 7919 % 1200000 + 150001"),
+    *[("e % 97 = 0", "true", n, f"t0 + {100_000 * (n + 1)}") for n in range(3)],
+    ("e % 97 = 0", "true", 3, "t0 + 400000 + IF(e % 5 = 0, 1500000, 0)"),
+]
 
 
 def event_rows(events: DataFrame) -> DataFrame:
     """One row (e, u, et, t0, r, n, t) per message of an event."""
-    e, t0 = F.col("e"), F.col("t0")
-    transfer = e % 97 == 0
-    answer = F.when(e % 17 == 0, t0 - 300).otherwise(t0 + (e * 7919) % 1_200_000 + 1)
-    rows = [
-        _row(F.lit(True), False, 0, t0),
-        _row((e % 13 == 0) & ~transfer, False, 1, t0 + 200_000),
-        _row((e % 10 != 3) & ~transfer, True, 0, answer),
-        _row((e % 26 == 0) & ~transfer, True, 1, t0 + (e * 7919) % 1_200_000 + 150_001),
-    ]
-    for n in range(4):
-        late = F.when((e % 5 == 0) & F.lit(n == 3), 1_500_000).otherwise(0)
-        rows.append(_row(transfer, True, n, t0 + 100_000 * (n + 1) + late))
-    return short_events(events).select(
-        "e", "u", "et", "t0", F.inline(F.array_compact(F.array(*rows)))
+    rows = ", ".join(
+        f"IF({cond}, named_struct('r', {r}, 'n', {n}, 't', CAST({t} AS BIGINT)), NULL)"
+        for cond, r, n, t in EVENT_ROWS
+    )
+    return short_events(events).selectExpr(
+        "e", "u", "et", "t0", f"inline(filter(array({rows}), x -> x IS NOT NULL))"
     )
 
 
-def _v4(*octets: Column) -> Column:
-    return F.unhex(F.concat(*[hex_fixed(o, 2) for o in octets]))
+def _v4(*octets: str) -> str:
+    return "unhex(concat(" + ", ".join(f"lpad(hex({o}), 2, '0')" for o in octets) + "))"
 
 
-def _v6(head: str, tail: Column) -> Column:
+def _v6(head: str, tail: str) -> str:
     """Eight groups: the hex text `head`, zeros, then the decimal digits of `tail` as last group."""
-    zeros = "0" * (28 - len(head))
-    return F.unhex(F.concat(F.lit(head + zeros), F.lpad(tail.cast("string"), 4, "0")))
+    return f"unhex(concat('{head + '0' * (28 - len(head))}', lpad({tail}, 4, '0')))"
+
+
+MESSAGE_COLUMNS = {
+    "msg_id": "e * 10 + IF(r, 5, 0) + n",
+    "ts": "timestamp_micros(t)",
+    "is_response": "r",
+    "client_ip": f"IF(u % 5 = 0, {_v6('20010db8', '1000 + u % 9000')}, "
+    f"{_v4('u % 7 * 31 + 1', 'u % 256', 'u * 7 % 256', 'e % 250 + 1')})",
+    "client_port": "CAST(e % 60000 + 1024 AS INT)",
+    "server_ip": f"IF(u % 5 = 0, {_v6('20010db8ffff', 'e % 3 + 1')}, {_v4('192', '0', '2', 'e % 3 + 1')})",
+    "server_port": "CASE WHEN e % 41 = 0 THEN 5353 WHEN u % 4 = 1 AND e % 4 = 0 THEN 853 "
+    "WHEN u % 4 = 1 AND e % 4 = 1 THEN 443 ELSE 53 END",
+    "id": "CAST(e * 31 % 65536 AS INT)",
+    "prot": "IF(u % 4 = 1, 6, 17)",
+    "ipv": "IF(u % 5 = 0, 6, 4)",
+    "len": "CAST(IF(r, 100 + e % 400 + n, 60 + e % 40) AS INT)",
+    "dns_len": "CAST(IF(r, 100 + e % 400 + n, 60 + e % 40) - 42 AS INT)",
+    "ttl": "CAST(64 - e % 3 AS INT)",
+    "udp_sum": "CAST(IF(u % 4 = 1, 0, e * 17 % 65536) AS INT)",
+    "opcode": "0",
+    "aa": "r AND e % 7 = 0",
+    "tc": "r AND e % 19 = 0",
+    "rd": "e % 3 <> 0",
+    "ra": "r",
+    "z": "false",
+    "ad": "e % 23 = 0",
+    "cd": "e % 29 = 0",
+    "rcode": "IF(r AND et = 'error', 3, 0)",
+    "qdcount": "1",
+    "ancount": "CAST(IF(r, e % 4 + 1, 0) AS INT)",
+    "nscount": "CAST(IF(r, e % 2, 0) AS INT)",
+    "arcount": "CAST(IF(r, e % 3, e % 2) AS INT)",
+    "qname": "qname",
+    "qtype": "CASE WHEN e % 97 = 0 THEN 252 WHEN e % 5 = 0 THEN 1 WHEN e % 5 = 1 THEN 28 "
+    "WHEN e % 5 = 2 THEN 15 WHEN e % 5 = 3 THEN 2 ELSE 6 END",
+    "qclass": "1",
+    "edns_udp": "IF(NOT r AND e % 2 = 0, 1232, 0)",
+    "edns_version": "0",
+    "edns_do": "NOT r AND e % 4 = 0",
+    "opt_rdata": "CASE WHEN NOT r AND e % 6 = 0 THEN X'00050003080D0F' "
+    "WHEN r AND e % 9 = 0 THEN unhex(concat('000300036E73', hex(CAST(e % 3 AS STRING)))) END",
+    "tcp_rtt_us": "IF(r AND u % 4 = 1, 100 + e % 5000, -1)",
+    "last_soa": "r AND e % 97 = 0 AND n = 3",
+    "user_id": "concat('u-', u)",
+    "policy_action": "CAST(CASE WHEN r AND e % 31 < 3 THEN 128 + e % 31 WHEN r AND e % 31 = 3 THEN 255 ELSE 0 END AS INT)",
+    "policy_rule": "IF(r AND e % 31 < 4, concat('rule', e % 5), NULL)",
+    "answer_rrs": "IF(r, transform(sequence(1, CAST(e % 4 + 1 AS INT)), i -> named_struct('name', qname, "
+    "'type', 1, 'class', 1, 'ttl', CAST(300 + i AS BIGINT), 'rdata', concat('192.0.2.', i))), NULL)",
+}
+QNAME = """CASE WHEN e % 59 = 0 THEN '' WHEN e % 53 = 0 THEN 'LocalHost'
+  ELSE concat(et, '.Zone', e % 11, '.Example.', element_at(array('com', 'CZ', 'org'), CAST(u % 3 AS INT) + 1)) END"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(table(spark, sf_dir, "events"))
+    return messages_of(spread(table(spark, sf_dir, "events")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores, such as one small file, on all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def messages_of(events: DataFrame) -> DataFrame:
     """Messages of a static or streaming `events` table."""
-    e, u, r, n, et = (F.col(c) for c in ("e", "u", "r", "n", "et"))
-    v6 = u % 5 == 0
-    tcp = u % 4 == 1
-    tld = F.when(u % 3 == 0, "com").when(u % 3 == 1, "CZ").otherwise("org")
-    qname = (
-        F.when(e % 59 == 0, "")
-        .when(e % 53 == 0, "LocalHost")
-        .otherwise(F.concat(et, F.lit(".Zone"), e % 11, F.lit(".Example."), tld))
-    )
-    transfer = e % 97 == 0
-    qtype = (
-        F.when(transfer, 252)
-        .when(e % 5 == 0, 1)
-        .when(e % 5 == 1, 28)
-        .when(e % 5 == 2, 15)
-        .when(e % 5 == 3, 2)
-        .otherwise(6)
-    )
-    length = F.when(r, F.lit(100) + e % 400 + n).otherwise(F.lit(60) + e % 40)
-    edns = e % 2 == 0
-    ancount = F.when(r, e % 4 + 1).otherwise(0)
-    answers = F.when(
-        r,
-        F.transform(
-            F.sequence(F.lit(1), (e % 4 + 1).cast("int")),
-            lambda i: F.struct(
-                F.col("qname").alias("name"),
-                F.lit(1).alias("type"),
-                F.lit(1).alias("class"),
-                (F.lit(300) + i).cast("bigint").alias("ttl"),
-                F.concat(F.lit("192.0.2."), i).alias("rdata"),
-            ),
-        ),
-    )
+    named = event_rows(events).selectExpr("*", f"{QNAME} AS qname")
+    out = named.selectExpr(*[f"{sql} AS {name}" for name, sql in MESSAGE_COLUMNS.items()])
     none = F.lit(None).cast(RR_LIST)
-    option = F.when(
-        ~r & (e % 6 == 0), F.unhex(F.lit("00050003080D0F"))
-    ).when(
-        r & (e % 9 == 0),
-        F.unhex(F.concat(F.lit("000300036E73"), F.hex(F.encode((e % 3).cast("string"), "UTF-8")))),
-    )
-    out = event_rows(events).select(
-        "*", qname.alias("qname")
-    ).select(
-        (e * 10 + F.when(r, 5).otherwise(0) + n).alias("msg_id"),
-        F.timestamp_micros("t").alias("ts"),
-        r.alias("is_response"),
-        F.when(v6, _v6("20010db8", F.lit(1000) + u % 9000))
-        .otherwise(_v4((u % 7) * 31 + 1, u % 256, (u * 7) % 256, e % 250 + 1))
-        .alias("client_ip"),
-        (e % 60_000 + 1024).cast("int").alias("client_port"),
-        F.when(v6, _v6("20010db8ffff", e % 3 + 1))
-        .otherwise(_v4(F.lit(192), F.lit(0), F.lit(2), e % 3 + 1))
-        .alias("server_ip"),
-        F.when(e % 41 == 0, 5353)
-        .when(tcp & (e % 4 == 0), 853)
-        .when(tcp & (e % 4 == 1), 443)
-        .otherwise(53)
-        .alias("server_port"),
-        ((e * 31) % 65536).cast("int").alias("id"),
-        F.when(tcp, 6).otherwise(17).alias("prot"),
-        F.when(v6, 6).otherwise(4).alias("ipv"),
-        length.cast("int").alias("len"),
-        (length - 42).cast("int").alias("dns_len"),
-        (F.lit(64) - e % 3).cast("int").alias("ttl"),
-        F.when(tcp, 0).otherwise((e * 17) % 65536).cast("int").alias("udp_sum"),
-        F.lit(0).alias("opcode"),
-        (r & (e % 7 == 0)).alias("aa"),
-        (r & (e % 19 == 0)).alias("tc"),
-        (e % 3 != 0).alias("rd"),
-        r.alias("ra"),
-        F.lit(False).alias("z"),
-        (e % 23 == 0).alias("ad"),
-        (e % 29 == 0).alias("cd"),
-        F.when(r & (et == "error"), 3).otherwise(0).alias("rcode"),
-        F.lit(1).alias("qdcount"),
-        ancount.cast("int").alias("ancount"),
-        F.when(r, e % 2).otherwise(0).cast("int").alias("nscount"),
-        F.when(r, e % 3).otherwise(e % 2).cast("int").alias("arcount"),
-        "qname",
-        name_to_wire(F.col("qname")).alias("qname_wire"),
-        qtype.alias("qtype"),
-        F.lit(1).alias("qclass"),
-        F.when(~r & edns, 1232).otherwise(0).alias("edns_udp"),
-        F.lit(0).alias("edns_version"),
-        (~r & (e % 4 == 0)).alias("edns_do"),
-        option.alias("opt_rdata"),
-        F.when(r & tcp, F.lit(100) + e % 5000).otherwise(-1).cast("bigint").alias("tcp_rtt_us"),
-        (r & transfer & (n == 3)).alias("last_soa"),
-        F.concat(F.lit("u-"), u).alias("user_id"),
-        F.when(r & (e % 31 < 3), F.lit(128) + e % 31)
-        .when(r & (e % 31 == 3), 255)
-        .otherwise(0)
-        .cast("int")
-        .alias("policy_action"),
-        F.when(r & (e % 31 < 4), F.concat(F.lit("rule"), e % 5)).alias("policy_rule"),
-        answers.alias("answer_rrs"),
-        none.alias("authority_rrs"),
-        none.alias("additional_rrs"),
-    )
-    return out.select(*column_names(MESSAGES))
+    return out.withColumns({
+        "qname_wire": name_to_wire(F.col("qname")), "authority_rrs": none, "additional_rrs": none,
+    }).select(*column_names(MESSAGES))
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4 ranges of ten /8 networks per nation, some missing, and one IPv6 range per region."""
-    n = F.col("n_nationkey").cast("bigint")
+    number = lambda sql: f"unhex(lpad(hex({sql}), 8, '0'))"
     v4 = (
         table(spark, sf_dir, "nation")
-        .filter((n % 7 != 3) & (n <= 24))
-        .select(
-            F.unhex(hex_fixed(n * 10 * (1 << 24), 8)).alias("start_ip"),
-            F.unhex(hex_fixed((n * 10 + 10) * (1 << 24) - 1, 8)).alias("end_ip"),
-            F.concat(F.char(n + 65), F.lit("X")).alias("country"),
-            (n + 64500).cast("string").alias("asn"),
+        .selectExpr("CAST(n_nationkey AS BIGINT) AS n")
+        .filter("n % 7 <> 3 AND n <= 24")
+        .selectExpr(
+            f"{number('n * 10 * 16777216')} AS start_ip",
+            f"{number('(n * 10 + 10) * 16777216 - 1')} AS end_ip",
+            "concat(char(n + 65), 'X') AS country", "CAST(n + 64500 AS STRING) AS asn",
         )
     )
-    k = F.col("r_regionkey")
     v6 = (
         table(spark, sf_dir, "region")
-        .filter(k % 2 == 0)
-        .select(
-            _v6("20010db8", k * 300 + 1000).alias("start_ip"),
-            _v6("20010db8", k * 300 + 1299).alias("end_ip"),
-            F.concat(F.lit("R"), k).alias("country"),
-            (k + 65000).cast("string").alias("asn"),
+        .selectExpr("r_regionkey AS k")
+        .filter("k % 2 = 0")
+        .selectExpr(
+            f"{_v6('20010db8', 'k * 300 + 1000')} AS start_ip",
+            f"{_v6('20010db8', 'k * 300 + 1299')} AS end_ip",
+            "concat('R', k) AS country", "CAST(k + 65000 AS STRING) AS asn",
         )
     )
     return v4.union(v6)

@@ -10,6 +10,7 @@ def make_session(cores: int = 8, partitions: int = 8):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "10g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
