@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import substring
+from dnsflow.llm import bpe, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
 }
 
 ORACLE = {
     "op1_substring_dedup": """
         WITH d AS (
-            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), h AS (
-            SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), i -> {'i': i, 'k': array_to_string(w[i:i + 12], ' ')}), recursive := true)
+            SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'k': array_to_string(w[i:i + 12], ' ')}), recursive := true)
             FROM d
         ), f AS (
             SELECT k, min(doc_id) AS least FROM h GROUP BY k
@@ -23,7 +24,7 @@ ORACLE = {
             SELECT doc_id, list(p) AS ps, count(*) AS n FROM c GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
-            sha256(array_to_string(list_filter(w, (x, i) -> NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
+            sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)
     """,
 }
