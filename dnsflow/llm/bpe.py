@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import itertools
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -44,7 +46,12 @@ class PrefixCodec:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        self.sizes = list(map(len, self.tokens))
+        self.finder = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.finder.add_word(token.decode("latin-1"), rank)  # one character per byte
+        self.finder.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """Merges neighbours of lowest rank until none can be merged."""
@@ -58,28 +65,36 @@ class PrefixCodec:
 
     def follows(self, left: int, token: int) -> bool:
         """Whether a valid encoding may hold `token` after `left` (-1: at its start)."""
-        known = self._follows.get((left, token))
+        key = (left << 20) | token
+        known = self._follows.get(key)
         if known is None:
             if len(self._follows) > REMEMBERED * 4:
                 self._follows.clear()
             whole = (self.tokens[left] if left >= 0 else b"") + self.tokens[token]
-            known = self._follows[left, token] = self.merged(whole) == ([left, token] if left >= 0 else [token])
+            known = self._follows[key] = self.merged(whole) == ([left, token] if left >= 0 else [token])
         return known
 
-    def _last(self, data: bytes, last: list[int], end: int) -> int:
-        """The token that the encoding of data[:end] ends in; last holds those of all shorter prefixes."""
-        get, follows = self.ranks.get, self.follows
-        for start in range(max(0, end - self.longest), end):
-            token = get(data[start:end])
-            if token is not None and follows(last[start], token):
-                return token
-        raise ValueError("the ranks lack a single byte")
-
     def prefixes(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """The last token of every prefix; a given list covers the first prefixes and is continued in place."""
         last = [-1] if last is None else last
-        for end in range(len(last), len(data) + 1):
-            last.append(self._last(data, last, end))
+        return self._continued(data, last, len(data))
+
+    def _continued(self, data: bytes, last: list[int], stop: int) -> list[int]:
+        """Adds the last tokens of the prefixes up to `stop` bytes."""
+        known, sizes, first = self._follows.get, self.sizes, len(last)
+        low = max(0, first - self.longest)
+        # every token in the bytes, by its end, the longest first
+        for end, token in self.finder.iter(data[low:stop].decode("latin-1")):
+            end += low + 1
+            if end < len(last):
+                continue
+            start = end - sizes[token]
+            if start < low:
+                continue
+            left = last[start]
+            fits = known((left << 20) | token)
+            if fits or fits is None and self.follows(left, token):
+                last.append(token)
         return last
 
     def edited(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -87,7 +102,7 @@ class PrefixCodec:
         changed = data[:start] + new + data[stop:]
         shift, out, same = len(changed) - len(data), last[: start + 1], 0
         for end in range(start + 1, len(changed) + 1):
-            out.append(self._last(changed, out, end))
+            self._continued(changed, out, end)
             old = end - shift
             same = same + 1 if old > stop and out[end] == last[old] and end > start + len(new) else 0
             if same >= self.longest:
@@ -112,16 +127,20 @@ class PrefixCodec:
 
 
 class _Remembered(dict):
-    """Piece to its ids as little-endian 32-bit integers; forgets all when full."""
+    """Piece to its ids as little-endian 32-bit integers. When full, only what is used again is kept."""
 
     def __init__(self, codec: PrefixCodec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.codec.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.codec.encode_piece(piece.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
