@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, substring
+from dnsflow.llm import bpe, language, quality, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_quality_pu": quality.op4_quality_pu,
+    "op9_language_id": language.op9_language_id,
 }
 
 ORACLE = {
