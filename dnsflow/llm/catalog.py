@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, language, quality, substring
+from dnsflow.llm import bpe, language, quality, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_pu": quality.op4_quality_pu,
+    "op5_simhash_covering": simhash.op5_simhash_covering,
     "op9_language_id": language.op9_language_id,
 }
 

@@ -27,3 +27,44 @@ def repeats(rows, window=13):
                     gone[s:s + window] = [True] * window
         out.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
     return sorted(out, key=repr)
+
+
+def roots(nodes, pairs):
+    """Smallest node reachable, by node."""
+    parent = {n: n for n in nodes}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+def simhash(text):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def simhash_groups(rows, radius=3):
+    prints = {i: simhash(t) for i, t in rows}
+    ids = sorted(prints)
+    by: dict = {}
+    for i in ids:
+        by.setdefault(prints[i], []).append(i)
+    distinct = sorted(by)
+    pairs = [(g[0], x) for g in by.values() for x in g[1:]]
+    pairs += [(by[a][0], by[b][0]) for n, a in enumerate(distinct) for b in distinct[n + 1:] if (a ^ b).bit_count() <= radius]
+    found = roots(ids, pairs)
+    return sorted((i, f"{prints[i]:016x}", found[i]) for i in ids)
