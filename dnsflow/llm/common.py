@@ -65,6 +65,18 @@ def sorted_block(rows: pa.Table) -> tuple[list, list[bytes]]:
     return [p[0] for p in pairs], [p[1] for p in pairs]
 
 
+def place(doc_id: str) -> Column:
+    """A number in [0, 1) that a hash of the id gives."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
+def smallest(ids: DataFrame, n: int) -> DataFrame:
+    """At most n rows of (doc_id): those with the smallest hashes. A cut by hash keeps the sort small at any size."""
+    rows = ids.count()
+    cut = min(1.0, 2 * n / max(1, rows) + 4 * (n / max(1, rows) / max(1, rows)) ** 0.5)
+    return ids.filter(place("doc_id") <= cut).orderBy(place("doc_id"), "doc_id").limit(n)
+
+
 # -- word hashes ---------------------------------------------------------------------------------
 
 _BLANK = np.zeros(256, dtype=bool)

@@ -101,9 +101,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return Filters([], [])
     # about twice the sample of every language passes a cut by hash, however large the language is
     cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * sample / r["count"]))])
-    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("place")
     ranked = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = rows.select("doc_id", "lang", place).filter(F.col("place") <= F.element_at(cut, F.col("lang")))
+    chosen = rows.select("doc_id", "lang", common.place("doc_id").alias("place")).filter(F.col("place") <= F.element_at(cut, F.col("lang")))
     chosen = chosen.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 

@@ -141,11 +141,10 @@ def _features_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_ROWS) -> Model:
     """Fits a model on at most `sample` trusted positives (labels.quality 1) and `sample` unlabelled rows."""
-    smallest = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
     trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = smallest(ids.join(trusted, "doc_id", "left_semi")).withColumn("kind", F.lit(1)).unionByName(
-        smallest(ids).withColumn("kind", F.lit(0))
+    chosen = common.smallest(ids.join(trusted, "doc_id", "left_semi"), sample).withColumn("kind", F.lit(1)).unionByName(
+        common.smallest(ids, sample).withColumn("kind", F.lit(0))
     )
     # at most twice the sample, so it may be broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(

@@ -68,3 +68,31 @@ def simhash_groups(rows, radius=3):
     pairs += [(by[a][0], by[b][0]) for n, a in enumerate(distinct) for b in distinct[n + 1:] if (a ^ b).bit_count() <= radius]
     found = roots(ids, pairs)
     return sorted((i, f"{prints[i]:016x}", found[i]) for i in ids)
+
+
+def unigram(rows, parts=7, held=2):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) by plain counting."""
+    import math
+    import zlib
+    from collections import Counter
+
+    fold = {i: zlib.crc32(str(i).encode()) % parts if i is not None else -1 for i, _ in rows}
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    c = Counter(w for i, ws in tokens if fold[i] not in (held, -1) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [
+        (i, fold[i] == held, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        for i, ws in tokens
+    ]
+
+
+def forward(start, move, emit, classes):
+    """log likelihood of one sequence; emit is indexed by class, then state."""
+    import numpy as np
+
+    a, total = start * emit[classes[0]], 0.0
+    for c in classes[1:]:
+        s = a.sum()
+        total += np.log(s)
+        a = (a / s) @ move * emit[c]
+    return total + np.log(a.sum())
