@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, hmm, language, quality, simhash, substring
+from dnsflow.llm import bpe, embeddings, hmm, language, quality, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_pu": quality.op4_quality_pu,
     "op5_simhash_covering": simhash.op5_simhash_covering,
+    "op7_embedding_pstable": embeddings.op7_embedding_pstable,
     "op8_hmm_score": hmm.op8_hmm_score,
     "op9_language_id": language.op9_language_id,
 }
