@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, embeddings, hmm, language, quality, simhash, substring
+from dnsflow.llm import bpe, embeddings, hmm, language, quality, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_warc": warc.op2_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_pu": quality.op4_quality_pu,
     "op5_simhash_covering": simhash.op5_simhash_covering,
@@ -32,4 +33,14 @@ ORACLE = {
             sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)
     """,
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), q AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < last THEN last END AS refers_to
+        FROM q
+    """,
 }

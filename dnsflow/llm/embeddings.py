@@ -22,7 +22,7 @@ LEAST_COSINE = 0.98
 #: miss all tables with 0.001; unrelated vectors share a key with 0.00001.
 TABLES, NUMBERS, STEP, SEED = 24, 10, 1.2, 7
 #: Rows on a side of a block.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 256
 
 
 def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
