@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, embeddings, hmm, language, quality, simhash, substring, warc
+from dnsflow.llm import bpe, decontaminate, embeddings, hmm, language, quality, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_pu": quality.op4_quality_pu,
     "op5_simhash_covering": simhash.op5_simhash_covering,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_embedding_pstable": embeddings.op7_embedding_pstable,
     "op8_hmm_score": hmm.op8_hmm_score,
     "op9_language_id": language.op9_language_id,
@@ -43,4 +44,31 @@ ORACLE = {
             CASE WHEN page_id < last THEN last END AS refers_to
         FROM q
     """,
+    "op6_decontamination": """
+        WITH b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS k, least(len(w), 10) AS n
+            FROM b WHERE len(w) > 0
+        ), d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT n FROM bw
+        ), h AS (
+            SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'i': i, 'k': array_to_string(w[i:i + n - 1], ' ')}), recursive := true)
+            FROM d, s
+        ), f AS (
+            SELECT doc_id, i, h.n, item_id FROM h JOIN bw ON h.k = bw.k AND h.n = bw.n
+        ), c AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM f) GROUP BY doc_id
+        ), l AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM f) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
 }
