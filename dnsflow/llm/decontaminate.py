@@ -41,25 +41,44 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     return common.written(rows.select("window", "width", "item").distinct(), "windows")
 
 
-def _all_windows(part: Column, widths: list[int]) -> Column:
-    """(at, window) of every window that begins within the first RUN words of a part."""
+def _anchors(windows: DataFrame) -> DataFrame:
+    """(block, width): every run of half a window's words, rounded up, in every window."""
+    w = F.split("window", " ")
+    size = F.floor((F.col("width") + 1) / 2).cast("int")
+    found = F.transform(F.sequence(F.lit(1), F.col("width") - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return windows.select("width", F.explode(found).alias("block")).distinct()
 
-    def of(width: int) -> Column:
-        last = F.least(F.lit(RUN), F.size(part) - width + 1)
-        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(part, i, F.lit(width)), " ").alias("window")))
-        return F.when(last >= 1, found).otherwise(F.array().cast("array<struct<at:int,window:string>>"))
 
-    return F.concat(*[of(w) for w in widths])
+def _blocks(part: Column, width: int) -> Column:
+    """Non-overlapping blocks of a part, each with the words that windows around it may hold."""
+    size = (width + 1) // 2
+    last = F.floor(F.size(part) / size).cast("int") - 1
+
+    def of(k: Column) -> Column:
+        at = k * size
+        low = F.greatest(F.lit(0), at - (width - size))
+        return F.struct(
+            low.alias("low"), F.lit(width).alias("width"), F.array_join(F.slice(part, at + 1, F.lit(size)), " ").alias("block"),
+            F.array_join(F.slice(part, low + 1, at - low + width), " ").alias("around"),
+        )
+
+    none = F.array().cast("array<struct<low:int,width:int,block:string,around:string>>")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), of)).otherwise(none)
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key columns, first, width and window of every occurrence of a benchmark window; first counts from 0."""
+    """key columns, first, width and window of every occurrence of a benchmark window; first counts from 0.
+
+    Any window holds a whole block of half its words, so blocks that no benchmark window contains
+    rule out the windows around them. Occurrences may be listed twice.
+    """
     known = windows.select("window", "width").distinct()
     widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most WINDOW numbers
     if not widths:
         return docs.select(*key, F.lit(0).alias("first"), F.lit(0).alias("width"), F.lit("").alias("window")).filter("false")
+    anchors = _anchors(known)
     if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+        known, anchors = F.broadcast(known), F.broadcast(anchors)
     reach = RUN + max(widths) - 1
     parts = docs.select(*key, words(F.col(text)).alias("w")).filter(F.size("w") >= min(widths))
     parts = parts.select(
@@ -71,9 +90,14 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str = "text"
             )
         ).alias("p"),
     )
-    found = parts.select(*key, F.col("p.from").alias("from"), F.explode(_all_windows(F.col("p.part"), widths)).alias("x"))
-    found = found.select(*key, (F.col("from") + F.col("x.at") - 1).alias("first"), F.col("x.window").alias("window"))
-    return found.join(known, "window").select(*key, "first", "width", "window")
+    blocks = parts.select(*key, F.col("p.from").alias("from"), F.explode(F.concat(*[_blocks(F.col("p.part"), w) for w in widths])).alias("x"))
+    near = blocks.select(*key, (F.col("from") + F.col("x.low")).alias("low"), "x.width", "x.block", "x.around").join(anchors, ["block", "width"])
+    near = near.select(*key, "low", "width", F.split("around", " ").alias("w")).filter(F.size("w") >= F.col("width"))
+    starts = F.sequence(F.lit(0), F.size("w") - F.col("width"))
+    found = near.select(
+        *key, "width", F.explode(F.transform(starts, lambda i: F.struct((F.col("low") + i).alias("first"), F.array_join(F.slice("w", i + 1, F.col("width")), " ").alias("window")))).alias("x")
+    )
+    return found.select(*key, "width", "x.first", "x.window").join(known, ["window", "width"]).select(*key, "first", "width", "window")
 
 
 def _covered(spans: Column) -> Column:
