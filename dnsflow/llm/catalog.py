@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, decontaminate, embeddings, hmm, language, quality, simhash, substring, warc
+from dnsflow.llm import bpe, decontaminate, embeddings, hmm, language, pii, quality, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_embedding_pstable": embeddings.op7_embedding_pstable,
     "op8_hmm_score": hmm.op8_hmm_score,
     "op9_language_id": language.op9_language_id,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 ORACLE = {

@@ -1,0 +1,308 @@
+"""Personal data and secrets: detected entities become keyed surrogates. DataFrame functions only.
+
+A surrogate is a function of a secret key, the entity's kind and its normal form, so the same entity
+gets the same surrogate in every document and spelling. It keeps kind, format and length where
+these matter: a card number passes its check sum, a phone number keeps its country code, a name its
+gender and script. The distinct entities of a corpus are checked for collisions, with each other
+and with entities that really occur; of two that collide one is drawn again until none is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from dnsflow.llm import common
+
+# Titles by gender and script, given names, and halves that surnames are made of.
+TITLES = {
+    "m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа", "Κυρία"),
+}
+GIVEN = {
+    ("m", "latin"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Karl", "Carlos", "Pierre"),
+    ("f", "latin"): ("Mary", "Anna", "Susan", "Linda", "Elizabeth", "Barbara", "Sarah", "Karen", "Greta", "Ingrid", "Carmen", "Camille"),
+    ("m", "cyrillic"): ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"),
+    ("f", "cyrillic"): ("Анна", "Мария", "Елена", "Ольга", "Татьяна", "Наталья"),
+    ("m", "greek"): ("Γιώργος", "Νίκος", "Γιάννης", "Κώστας", "Δημήτρης", "Πέτρος"),
+    ("f", "greek"): ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη"),
+}
+SURNAMES = {
+    "latin": (("Ash", "Bell", "Carl", "Dan", "East", "Fair", "Gold", "Hart", "Lang", "Nor", "Stan", "West"), ("berg", "by", "field", "ford", "ley", "man", "mont", "son", "stein", "ton", "well", "wood")),
+    "cyrillic": (("Берез", "Волк", "Город", "Зай", "Лес", "Мороз", "Поп", "Сокол"), ("ин", "ко", "ник", "ский", "ук", "ян")),
+    "greek": (("Παπα", "Χατζη", "Καρα", "Μαυρο", "Ασπρο", "Κοντο"), ("γιώργου", "δάκης", "νικολάου", "πετρής", "στάθης", "γιάννης")),
+}
+
+_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
+_FIRST = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
+_NAME = r"\p{Lu}[\p{L}'-]{1,40}"
+_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+#: Kinds in the order in which they are tried at a place.
+PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "secret": rf"(?<![A-Za-z]){_LABEL}[^\s\"'=]{{6,256}}"
+              r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,128}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_FIRST} {_NAME})",
+}
+PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Any text with an entity matches this; it is far cheaper to look for.
+HINT = rf"[0-9@=:]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.?|{_FIRST}) \p{{Lu}}"
+_ROUNDS = 40
+
+
+def _hex(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm).cast("binary"), 256)
+
+
+def _number(stream: Column, at: Column | int, size: int = 4) -> Column:
+    """A number from `size` hexadecimal digits, from place `at` (counted from 0) on, wrapping around."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.conv(F.substr(F.concat(stream, stream), F.pmod(at, F.lit(64)) + 1, F.lit(size)), 16, 10).cast("long")
+
+
+def _digits(norm: Column, stream: Column) -> Column:
+    """Digits in place of digits."""
+    return F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.pmod(_number(stream, i * 3), F.lit(10)).cast("string")), "")
+
+
+def _shaped(norm: Column, stream: Column) -> Column:
+    """A digit for a digit and a letter for a letter of its case; anything else stays."""
+
+    def one(c: Column, i: Column) -> Column:
+        n = _number(stream, i * 3)
+        return (
+            F.when(c.between("0", "9"), F.pmod(n, F.lit(10)).cast("string"))
+            .when(c.between("a", "z"), F.chr(F.pmod(n, F.lit(26)) + 97))
+            .when(c.between("A", "Z"), F.chr(F.pmod(n, F.lit(26)) + 65))
+            .otherwise(c)
+        )
+
+    return F.array_join(F.transform(F.split(norm, ""), one), "")
+
+
+def _hexed(norm: Column, stream: Column) -> Column:
+    """A hexadecimal digit of the same case for each one; anything else stays."""
+
+    def one(c: Column, i: Column) -> Column:
+        h = F.substr(stream, F.pmod(i, F.lit(64)) + 1, F.lit(1))
+        return F.when(c.rlike("[0-9a-f]"), h).when(c.rlike("[A-F]"), F.upper(h)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(norm, ""), one), "")
+
+
+def _checked(number: Column) -> Column:
+    """The number with its last digit replaced by the Luhn check digit."""
+    body = F.reverse(F.substr(number, F.lit(1), F.length(number) - 1))
+    terms = F.transform(F.split(body, ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
+    total = F.aggregate(terms, F.lit(0), lambda acc, x: acc + F.when(x > 9, x - 9).otherwise(x))
+    return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string"))
+
+
+def _pick(values: tuple, stream: Column, at: int) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(_number(stream, at), F.lit(len(values))) + 1).cast("int"))
+
+
+def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
+    """A given name or surname of the kind's gender and script; later attempts join several with hyphens."""
+    out = F.lit(None).cast("string")
+
+    def joined(part) -> Column:
+        return F.when(attempt < 3, part(0)).when(attempt < 8, F.concat(part(0), F.lit("-"), part(8))).otherwise(
+            F.concat(part(0), F.lit("-"), part(8), F.lit("-"), part(16))
+        )
+
+    for script, (heads, tails) in SURNAMES.items():
+        out = F.when(kind == f"surname_{script}", joined(lambda at, h=heads, t=tails: F.concat(_pick(h, stream, at), _pick(t, stream, at + 4)))).otherwise(out)
+        both = GIVEN["m", script] + GIVEN["f", script]
+        for gender, names in (("m", GIVEN["m", script]), ("f", GIVEN["f", script]), ("x", both)):
+            out = F.when(kind == f"given_{gender}_{script}", joined(lambda at, n=names: _pick(n, stream, at))).otherwise(out)
+    return out
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """The surrogate, in normal form, of an entity in normal form."""
+    stream = _hex(kind, norm, attempt, key)
+    domain = F.substring_index(norm, "@", -1)
+    host = F.translate(F.substr(_hex(F.lit("domain"), domain, F.lit(0), key), F.lit(1), F.lit(8)), "0123456789", "ghijklmnop")
+    country = F.regexp_extract(norm, r"^\+\d", 0)
+    octet = lambda at, low, size: (F.pmod(_number(stream, at), F.lit(size)) + low).cast("string")
+    return (
+        F.when(kind == "email", F.concat(_shaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), host, F.lit(".example.com")))
+        .when(kind == "ipv4", F.concat_ws(".", octet(0, 1, 223), octet(4, 0, 256), octet(8, 0, 256), octet(12, 1, 254)))
+        .when(kind == "ipv6", F.concat(F.lit("fd"), F.substr(_hexed(norm, stream), F.lit(3), F.length(norm))))
+        .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream)))
+        .when(kind == "ssn", F.concat(F.lit("9"), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream)))
+        .when(kind == "card", _checked(F.concat(F.substr(norm, F.lit(1), F.lit(1)), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream))))
+        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), stream)))
+        .when(kind == "secret", F.when(norm.rlike("^[0-9a-fA-F]+$"), _hexed(norm, stream)).otherwise(
+            F.concat(F.regexp_extract(norm, "^(AKIA|ghp_|sk-|xox[bp]-)?", 0), _shaped(F.regexp_replace(norm, "^(AKIA|ghp_|sk-|xox[bp]-)", ""), stream))))
+        .otherwise(_chosen(kind, attempt, stream))
+    )
+
+
+def kind_of(match: Column) -> Column:
+    """The kind of a match: the first whose pattern fits as a whole."""
+    out = F.lit("name")
+    for kind in reversed([k for k in PATTERNS if k != "name"]):
+        out = F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
+    return out
+
+
+def _label(match: Column) -> Column:
+    """What stands before a secret and is kept, or nothing."""
+    return F.regexp_extract(match, f"^{_LABEL}", 0)
+
+
+def _name_parts(match: Column) -> Column:
+    """(title, given, surname) of a name; parts that are absent are empty."""
+    title = F.regexp_extract(match, rf"^({_TITLE}\.? )", 1)
+    rest = F.split(F.substr(match, F.length(title) + 1, F.length(match)), " ")
+    return F.struct(
+        title.alias("title"), F.when(F.size(rest) > 1, rest[0]).otherwise(F.lit("")).alias("given"),
+        F.element_at(rest, -1).alias("surname"),
+    )
+
+
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _given_kind(title: Column, given: Column) -> Column:
+    listed = lambda g: given.isin([n for (gender, _), names in GIVEN.items() if gender == g for n in names])
+    of = lambda g: F.regexp_replace(title, r"\.? $", "").isin(list(TITLES[g]))
+    gender = F.when(listed("m"), "m").when(listed("f"), "f").when(of("m"), "m").when(of("f"), "f").otherwise("x")
+    return F.concat(F.lit("given_"), gender, F.lit("_"), _script(given))
+
+
+def units(match: Column, kind: Column) -> Column:
+    """The entities of a match, in normal form: a name has one per part, so parts corefer across mentions."""
+    parts = _name_parts(match)
+    norm = (
+        F.when(kind.isin("phone"), F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", "")))
+        .when(kind.isin("ssn", "card"), F.regexp_replace(match, r"\D", ""))
+        .when(kind == "iban", F.regexp_replace(match, " ", ""))
+        .when(kind.isin("email", "ipv6"), F.lower(match))
+        .when(kind == "secret", F.substr(match, F.length(_label(match)) + 1, F.length(match)))
+        .otherwise(match)
+    )
+    unit = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    surname = unit(F.concat(F.lit("surname_"), _script(parts["surname"])), parts["surname"])
+    given = unit(_given_kind(parts["title"], parts["given"]), parts["given"])
+    names = F.when(parts["given"] != "", F.array(given, surname)).otherwise(F.array(surname))
+    return F.when(kind == "name", names).otherwise(F.array(unit(kind, norm)))
+
+
+def _laid(match: Column, characters: Column, pattern: str) -> Column:
+    """The characters laid, in order, over those of the match that fit the pattern."""
+    place = lambda i: F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), f"[^{pattern}]", ""))
+    return F.array_join(
+        F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike(f"[{pattern}]"), F.substr(characters, place(i), F.lit(1))).otherwise(c)), ""
+    )
+
+
+def replaced(match: Column, attempts: Column, key: str) -> Column:
+    """What stands in place of a match; attempts: map of kind|norm to the attempt, for entities that were drawn again."""
+    kind = kind_of(match)
+    found = units(match, kind)
+
+    def drawn(unit: Column) -> Column:
+        attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", unit["kind"], unit["norm"])), F.lit(0))
+        return surrogate(unit["kind"], unit["norm"], attempt, key)
+
+    drawn_all = F.transform(found, drawn)
+    first, last, parts = F.element_at(drawn_all, 1), F.element_at(drawn_all, -1), _name_parts(match)
+    name = F.concat(parts["title"], F.when(F.size(found) > 1, F.concat(first, F.lit(" "))).otherwise(""), last)
+    return (
+        F.when(kind == "name", name)
+        .when(kind.isin("phone", "ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
+        .when(kind == "iban", _laid(match, first, "A-Z0-9"))
+        .when(kind == "secret", F.concat(_label(match), first))
+        .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(first))
+        .otherwise(first)
+    )
+
+
+def _found(text: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(none)
+
+
+def entities(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, norm) of every distinct entity."""
+    matches = docs.select(F.explode(_found(F.col(text).cast("string"))).alias("match")).distinct()
+    return matches.select(F.explode(units(F.col("match"), kind_of(F.col("match")))).alias("u")).select("u.kind", "u.norm").distinct()
+
+
+def settled(found: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, attempt, surrogate) without collisions.
+
+    No two entities of a kind share a surrogate and no surrogate is an entity that occurs (surnames
+    and given names, which share common words with the world, are only kept apart from each other).
+    Of those that collide the one with the fewest attempts and the smallest form stays.
+    """
+    draw = lambda df: df.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("surrogate"))
+    rows = common.written(draw(found.withColumn("attempt", F.lit(0))), "surrogates")
+    real = rows.filter("kind NOT LIKE 'given%' AND kind NOT LIKE 'surname%'").select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
+    for _ in range(_ROUNDS):
+        first = rows.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm"))["norm"].alias("stays"))
+        again = first.join(real, ["kind", "surrogate"], "left").filter("n > 1 OR real")
+        again = common.written(again.select("kind", "surrogate", F.when(F.col("real").isNull(), F.col("stays")).alias("stays")), "collisions")
+        if again.isEmpty():
+            return rows
+        moved = rows.join(again.withColumn("hit", F.lit(True)), ["kind", "surrogate"], "left")
+        moves = F.col("hit").isNotNull() & ~F.col("norm").eqNullSafe(F.col("stays"))
+        rows = common.written(draw(moved.select("kind", "norm", (F.col("attempt") + moves.cast("int")).alias("attempt"))), "surrogates")
+    raise RuntimeError("too many entities of one kind for distinct surrogates")
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    """The rows of docs with surrogates in `text`; `count` names a column for the number of matches.
+
+    Null texts stay null and have no matches, empty ones stay empty. Equal texts get equal results,
+    whatever their ids; no column but the text is read, and all others are kept. An empty table
+    gives an empty result.
+    """
+    names = set(docs.columns)
+    free = lambda base: next(n for n in (base + "_" * k for k in range(1, len(names) + 2)) if n not in names)
+    digest, drawn, matches = free("digest"), free("attempts"), free("matches")
+    chosen = settled(common.written(entities(docs, text), "entities"), key)
+    redrawn = common.written(chosen.filter("attempt > 0").select("kind", "norm", "attempt"), "redrawn")
+    body = F.col(text).cast("string")
+    no_map = F.lit(None).cast("map<string,int>")
+    if redrawn.isEmpty():
+        rows = docs.withColumn(drawn, no_map)
+    else:
+        # attempts are looked up for the texts that hold such an entity, and only these are joined
+        held = docs.select(F.sha1(body.cast("binary")).alias(digest), F.explode(F.array_distinct(_found(body))).alias("match")).distinct()
+        held = held.select(digest, F.explode(units(F.col("match"), kind_of(F.col("match")))).alias("u")).select(digest, "u.kind", "u.norm").distinct()
+        maps = held.join(redrawn, ["kind", "norm"]).groupBy(digest).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(drawn)
+        )
+        rows = docs.withColumn(digest, F.sha1(body.cast("binary"))).join(common.written(maps, "maps"), digest, "left").drop(digest)
+    rows = rows.withColumn(matches, _found(body))
+    given = F.coalesce(F.col(drawn), F.create_map().cast("map<string,int>"))
+    between = F.split(body, PATTERN, -1)
+    woven = F.concat(
+        F.element_at(between, 1),
+        F.array_join(F.transform(F.col(matches), lambda m, i: F.concat(replaced(m, given, key), F.element_at(between, i + 2))), ""),
+    )
+    rows = rows.withColumn(text, F.when(F.size(matches) > 0, woven).otherwise(body))
+    if count:
+        rows = rows.withColumn(count, F.size(F.coalesce(F.col(matches), F.array().cast("array<string>"))).cast("long"))
+    return rows.drop(drawn, matches)
+
+
+#: Key of the registered queries; a deployment passes its own.
+QUERY_KEY = "corpus-2024"
+
+
+def op10_pii_surrogates(spark, sf_dir) -> DataFrame:
+    """doc_id, n_found and the text with surrogates of every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, QUERY_KEY, count="n_found").select("doc_id", "n_found", "text")
