@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnsflow.functions.binding import let
 from dnsflow.llm import common
 
 # Titles by gender and script, given names, and halves that surnames are made of.
@@ -127,7 +128,10 @@ def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate, in normal form, of an entity in normal form."""
-    stream = _hex(kind, norm, attempt, key)
+    return let(_hex(kind, norm, attempt, key), lambda stream: _drawn(kind, norm, attempt, stream, key))
+
+
+def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column, key: str) -> Column:
     domain = F.substring_index(norm, "@", -1)
     host = F.translate(F.substr(_hex(F.lit("domain"), domain, F.lit(0), key), F.lit(1), F.lit(8)), "0123456789", "ghijklmnop")
     country = F.regexp_extract(norm, r"^\+\d", 0)
@@ -182,7 +186,6 @@ def _given_kind(title: Column, given: Column) -> Column:
 
 def units(match: Column, kind: Column) -> Column:
     """The entities of a match, in normal form: a name has one per part, so parts corefer across mentions."""
-    parts = _name_parts(match)
     norm = (
         F.when(kind.isin("phone"), F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", "")))
         .when(kind.isin("ssn", "card"), F.regexp_replace(match, r"\D", ""))
@@ -192,9 +195,13 @@ def units(match: Column, kind: Column) -> Column:
         .otherwise(match)
     )
     unit = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
-    surname = unit(F.concat(F.lit("surname_"), _script(parts["surname"])), parts["surname"])
-    given = unit(_given_kind(parts["title"], parts["given"]), parts["given"])
-    names = F.when(parts["given"] != "", F.array(given, surname)).otherwise(F.array(surname))
+
+    def of_name(parts: Column) -> Column:
+        surname = unit(F.concat(F.lit("surname_"), _script(parts["surname"])), parts["surname"])
+        given = unit(_given_kind(parts["title"], parts["given"]), parts["given"])
+        return F.when(parts["given"] != "", F.array(given, surname)).otherwise(F.array(surname))
+
+    names = let(_name_parts(match), of_name)
     return F.when(kind == "name", names).otherwise(F.array(unit(kind, norm)))
 
 
@@ -208,24 +215,25 @@ def _laid(match: Column, characters: Column, pattern: str) -> Column:
 
 def replaced(match: Column, attempts: Column, key: str) -> Column:
     """What stands in place of a match; attempts: map of kind|norm to the attempt, for entities that were drawn again."""
-    kind = kind_of(match)
-    found = units(match, kind)
 
     def drawn(unit: Column) -> Column:
         attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", unit["kind"], unit["norm"])), F.lit(0))
         return surrogate(unit["kind"], unit["norm"], attempt, key)
 
-    drawn_all = F.transform(found, drawn)
-    first, last, parts = F.element_at(drawn_all, 1), F.element_at(drawn_all, -1), _name_parts(match)
-    name = F.concat(parts["title"], F.when(F.size(found) > 1, F.concat(first, F.lit(" "))).otherwise(""), last)
-    return (
-        F.when(kind == "name", name)
-        .when(kind.isin("phone", "ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
-        .when(kind == "iban", _laid(match, first, "A-Z0-9"))
-        .when(kind == "secret", F.concat(_label(match), first))
-        .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(first))
-        .otherwise(first)
-    )
+    def placed(kind: Column, parts: Column) -> Column:
+        """parts: the surrogates of all units."""
+        first = parts[0]
+        name = F.concat(_name_parts(match)["title"], F.array_join(parts, " "))
+        return (
+            F.when(kind == "name", name)
+            .when(kind.isin("phone", "ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
+            .when(kind == "iban", _laid(match, first, "A-Z0-9"))
+            .when(kind == "secret", F.concat(_label(match), first))
+            .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(first))
+            .otherwise(first)
+        )
+
+    return let(kind_of(match), lambda kind: let(F.transform(units(match, kind), drawn), lambda parts: placed(kind, parts)))
 
 
 def _found(text: Column) -> Column:
@@ -236,7 +244,8 @@ def _found(text: Column) -> Column:
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, norm) of every distinct entity."""
     matches = docs.select(F.explode(_found(F.col(text).cast("string"))).alias("match")).distinct()
-    return matches.select(F.explode(units(F.col("match"), kind_of(F.col("match")))).alias("u")).select("u.kind", "u.norm").distinct()
+    found = let(kind_of(F.col("match")), lambda kind: units(F.col("match"), kind))
+    return matches.select(F.explode(found).alias("u")).select("u.kind", "u.norm").distinct()
 
 
 def settled(found: DataFrame, key: str) -> DataFrame:
@@ -280,7 +289,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
     else:
         # attempts are looked up for the texts that hold such an entity, and only these are joined
         held = docs.select(F.sha1(body.cast("binary")).alias(digest), F.explode(F.array_distinct(_found(body))).alias("match")).distinct()
-        held = held.select(digest, F.explode(units(F.col("match"), kind_of(F.col("match")))).alias("u")).select(digest, "u.kind", "u.norm").distinct()
+        held = held.select(digest, F.explode(let(kind_of(F.col("match")), lambda kind: units(F.col("match"), kind))).alias("u")).select(digest, "u.kind", "u.norm").distinct()
         maps = held.join(redrawn, ["kind", "norm"]).groupBy(digest).agg(
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(drawn)
         )
