@@ -249,14 +249,31 @@ def decode_ids(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of every text, as encode_texts and decode_ids give them, in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        codec = _codec(held.value, pattern)
+
+        def work(i, value):
+            ids = codec.encode(value or "")
+            return i, len(ids) // 4, ids, codec.decode(ids)
+
+        return _handed_on(batches, work, ["doc_id", "n_tokens", "ids", "decoded"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids binary, decoded binary"
+    )
+
+
 def digests(docs: DataFrame, rank_file: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and decoded bytes of every document."""
     import public_tokenizers
 
     with open(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    decoded = decode_ids(encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
-    return decoded.select(
+    return round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -89,3 +89,10 @@ def test_rows_with_nulls_ties_and_other_columns(spark, extra):
         expect.append((i, len(a), hashlib.sha256(np.array(a, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=repr) == sorted(expect, key=repr)
     assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_encoding_and_decoding_apart_equal_the_round_trip(spark):
+    df = spark.createDataFrame([(1, "the other"), (2, None), (3, "ß 漢字")], "doc_id long, text string")
+    pattern = public_tokenizers.PATTERN
+    apart = bpe.decode_ids(bpe.encode_texts(df, DATA, pattern), DATA, pattern)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, bpe.round_trip(df, DATA, pattern).collect()))
