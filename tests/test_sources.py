@@ -33,11 +33,94 @@ def test_captures_in_splits(spark, tmp_path, order, magic):
         for r in got.withColumn("us", F.unix_micros("ts")).collect()
     )
     expected = sorted(
-        (path.split("/")[-1], k, us, data) for path, rows in files.items() for k, (us, data) in enumerate(rows)
+        (path.split("/")[-1], n + k, us, data)
+        for (path, rows), n in zip(files.items(), (0, 3000, 3005)) for k, (us, data) in enumerate(rows)
     )
     assert found == expected
 
 
+def ids_and_sizes(df):
+    return sorted((r.packet_no, len(r.payload)) for r in df.collect())
+
+
+def test_records_before_a_broken_one_are_kept(spark, tmp_path):
+    for n, split in ((50, 1 << 20), (2000, 20_000)):
+        rows = sample(n, n)
+        (tmp_path / "a.pcap").write_bytes(pcap(rows) + b"\xff" * 64)
+        got = captures.read_captures(spark, str(tmp_path), split_bytes=split)
+        assert ids_and_sizes(got) == [(k, len(d)) for k, (_, d) in enumerate(rows)]
+        reject = captures.capture_rejects(spark, str(tmp_path), split_bytes=split).collect()
+        assert [(r.position, r.reason) for r in reject] == [(len(pcap(rows)), "broken record header")]
+
+
+def test_broken_record_in_the_middle_ends_the_file(spark, tmp_path):
+    head, tail = sample(1, 1000), sample(2, 1000)
+    (tmp_path / "a.pcap").write_bytes(pcap(head) + b"\xff" * 40 + pcap(tail)[24:])
+    got = captures.read_captures(spark, str(tmp_path), split_bytes=10_000)
+    assert ids_and_sizes(got) == [(k, len(d)) for k, (_, d) in enumerate(head)]
+
+
+@pytest.mark.parametrize("split", [100_000, 1 << 20, 8 << 20])
+def test_a_long_record_spans_splits(spark, tmp_path, split):
+    rows = sample(3, 200)
+    rows[100] = (rows[100][0], random.Random(1).randbytes(2 << 20))
+    (tmp_path / "a.pcap").write_bytes(pcap(rows))
+    got = captures.read_captures(spark, str(tmp_path), split_bytes=split)
+    assert ids_and_sizes(got) == [(k, len(d)) for k, (_, d) in enumerate(rows)]
+
+
+def test_one_task_per_split(spark, tmp_path):
+    rows = sample(4, 3000)
+    (tmp_path / "a.pcap").write_bytes(pcap(rows))
+    got = captures.read_captures(spark, str(tmp_path), split_bytes=10_000)
+    size = len(pcap(rows))
+    tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == got.rdd.getNumPartitions() == -(-size // 10_000)
+
+
+def blocks(rows, order="<"):
+    """The block-structured format with two interfaces of different clocks."""
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        n = len(body) + 12
+        return struct.pack(order + "II", kind, n) + body + struct.pack(order + "I", n)
+
+    out = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    out += block(1, struct.pack(order + "HHI", 1, 0, 65535))
+    out += block(1, struct.pack(order + "HHI", 1, 0, 65535) + struct.pack(order + "HHB3x", 9, 1, 9) + bytes(4))
+    for k, (us, data) in enumerate(rows):
+        t = us * (1000 if k % 2 else 1)
+        out += block(6, struct.pack(order + "5I", k % 2, t >> 32, t & 0xFFFFFFFF, len(data), len(data)) + data)
+        if k % 10 == 0:
+            out += block(5, bytes(12))
+    return out
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_block_format_beside_other_files(spark, tmp_path, order):
+    rows = sample(5, 300)
+    (tmp_path / "a.pcapng").write_bytes(blocks(rows, order))
+    (tmp_path / "b.pcap").write_bytes(pcap(rows[:7]))
+    (tmp_path / "c.txt").write_bytes(b"no capture")
+    got = captures.read_captures(spark, str(tmp_path), split_bytes=5000).withColumn("us", F.unix_micros("ts"))
+    found = sorted((r.packet_no, r.us, bytes(r.payload)) for r in got.collect())
+    assert found == [(k, us, d) for k, (us, d) in enumerate(rows + rows[:7])]
+    rejects = captures.capture_rejects(spark, str(tmp_path), split_bytes=5000).collect()
+    assert [(r.source.split("/")[-1], r.reason) for r in rejects] == [("c.txt", "not a capture")]
+
+
+def test_dnstap_with_a_broken_tail_and_a_long_frame(spark, tmp_path):
+    rng = random.Random(6)
+    frames = [rng.randbytes(50 + rng.randrange(300)) for _ in range(1500)]
+    frames[700] = rng.randbytes(2 << 20)
+    body = struct.pack(">IIII", 0, 8, 2, 0) + b"".join(struct.pack(">I", len(f)) + f for f in frames)
+    (tmp_path / "a.fstrm").write_bytes(body + struct.pack(">I", 500) + b"cut off")
+    got = captures.read_dnstap(spark, str(tmp_path), split_bytes=40_000)
+    assert [bytes(r.payload) for r in sorted(got.collect(), key=lambda r: r.packet_no)] == frames
+    rejects = captures.capture_rejects(spark, str(tmp_path), "dnstap", split_bytes=40_000).collect()
+    assert [(r.position, r.reason) for r in rejects] == [(len(body), "the file ends within a frame")]
+
+
 def test_misleading_capture_is_read_from_its_start(spark, tmp_path):
     """Packet data that looks like a chain of records must not win over the real records."""
     bait = b"".join(struct.pack("<4I", 1_700_000_000, k, 40, 40) + bytes(40) for k in range(40))
