@@ -134,7 +134,9 @@ def _pairs() -> Column:
     )
 
 
-def _lonely() -> Column:
+def _lonely(handed_on=None) -> Column:
+    """Messages without a partner; `handed_on(t)` tells which of those still pending at the end
+    a later chunk has received."""
     def free(side: str, position: str, response: bool) -> Column:
         used = F.transform("walk.hits", lambda hit: hit[position])
         every = F.when(
@@ -149,7 +151,13 @@ def _lonely() -> Column:
                 F.lit(response).alias("is_response"),
             )
 
-        return F.transform(F.array_except(every, used), mark)
+        alone = F.array_except(every, used)
+        if handed_on is not None:
+            alone = F.filter(
+                alone,
+                lambda i: ~((i >= F.col(f"walk.{position}")) & handed_on(F.get(side, i)["t"])),
+            )
+        return F.transform(alone, mark)
 
     return F.concat(free("q", "i", False), free("r", "j", True))
 
@@ -245,12 +253,17 @@ def unmatched(
     walked = _walked(_grouped(cold, keys), timeout_us)
     out = walked.select(*FLOW_KEY, F.inline(_lonely()))
     if hot is not None:
-        matched = _settled(hot, keys, timeout_us).withColumn("pair", F.explode(_pairs()))
-        ids = matched.select(
-            F.explode(F.array("pair.query.query_id", "pair.response.response_id")).alias("msg_id")
+        # By position, as on ordinary keys: ids need not be unique.
+        settled = cut_lineage(_settled(hot, keys, timeout_us))
+        later = settled.select(
+            *keys, (F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("more")
+        )
+        edge = (F.col("chunk") + 1) * F.col("chunk_us") - timeout_us
+        followed = F.coalesce("more", F.lit(False))
+        rest = settled.join(later, [*keys, "chunk"], "left")
+        out = out.unionByName(
+            rest.select(*FLOW_KEY, F.inline(_lonely(lambda t: followed & (t > edge))))
         )
-        rest = hot.join(ids, "msg_id", "left_anti")
-        out = out.unionByName(rest.select(*FLOW_KEY, *columns))
     return out
 
 

@@ -24,6 +24,12 @@ SIGNATURE = (
 DICTIONARIES = ("names", "addresses", "classtypes", "signatures", "records", "record_lists")
 
 
+def spread_id(row_id: Column) -> Column:
+    """Row ids mixed by multiplication, so that ids with a regular step fill all parts alike."""
+    low = F.pmod(row_id, F.lit(1 << 31))
+    return F.shiftright(low * F.lit(2_654_435_761), 16)
+
+
 def assign_blocks(
     rows: DataFrame,
     rows_per_block: int = 10_000,
@@ -40,7 +46,7 @@ def assign_blocks(
         F.ceil(F.count("*") / rows_per_part).cast("bigint").alias("__parts")
     )
     parted = slotted.join(sizes, "__slot").withColumn(
-        "__part", F.pmod(F.col(row_id), F.col("__parts"))
+        "__part", F.pmod(spread_id(F.col(row_id)), F.col("__parts"))
     )
     number = F.row_number().over(Window.partitionBy("__slot", "__part").orderBy(row_id)) - 1
     block = F.concat_ws(

@@ -218,3 +218,34 @@ def stats_report(
         (F.col("rate.ipv4") + F.col("rate.ipv6")).alias("queries-per-second"),
         ((F.col("interval") + 1) * every_s * MICROS).alias("unix-timestamp"),
     )
+
+
+def full_report(
+    report: DataFrame, packets: DataFrame, transactions: DataFrame, exported: DataFrame,
+    kept_packets: DataFrame, waits: DataFrame, every_s: int = 300, timeout_ms: int = 1000,
+) -> DataFrame:
+    """`stats_report` with the five stage counters, so with every field of the statistics format.
+
+    The stages have a time `us`; their counters run since the start. `waits` as in
+    `pending_gauge`: the messages waiting at the end of each interval.
+    """
+    stages = {
+        "processed-packets": packets, "processed-transactions": transactions,
+        "exported-records": exported, "exported-pcap-packets": kept_packets,
+    }
+    tick = F.floor(F.col("us") / (every_s * MICROS)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    rows = report.select("tick", *[zero.alias(s) for s in stages])
+    for name, df in stages.items():
+        counted = df.groupBy(tick.alias("tick")).agg(F.count("*").alias("n"))
+        rows = rows.unionByName(
+            counted.select("tick", *[(F.col("n") if s == name else zero).alias(s) for s in stages])
+        )
+    sums = rows.groupBy("tick").agg(*[F.sum(f"`{s}`").alias(s) for s in stages])
+    short = {s: f"n{i}" for i, s in enumerate(stages)}
+    totals = running_totals(sums.withColumnsRenamed(short), "tick", list(short.values()))
+    pending = pending_gauge(waits, timeout_ms, every_s * 1000).select(
+        (F.col("tick") - 1).alias("tick"), F.col("pending").alias("pending-transactions")
+    )
+    out = report.join(totals.withColumnsRenamed({v: k for k, v in short.items()}), "tick", "left")
+    return out.join(pending, "tick", "left").fillna(0, ["pending-transactions"])

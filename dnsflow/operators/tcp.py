@@ -340,12 +340,17 @@ def repeated_segments(rows: DataFrame) -> DataFrame:
 
 
 def decode_tcp(segments: DataFrame, with_rrs: bool = False, **options) -> DataFrame:
-    """Reassembled messages decoded; needs segments with the header fields."""
+    """Reassembled messages decoded; needs segments with the header fields.
+
+    The number of a message is its segment's number and the end of the message in the stream:
+    messages that end in one segment end less than 2^16 bytes apart.
+    """
     found = reassemble(segments, **options)
     return decode_dns(
         found.withColumns({
             "error": F.lit(None).cast("string"), "ts": F.timestamp_micros("us"),
-            "packet_no": F.col("seg_no"), "udp_sum": F.lit(0),
+            "packet_no": F.col("seg_no") * 65536 + F.pmod(F.col("pos") + F.octet_length("body"), F.lit(65536)),
+            "udp_sum": F.lit(0),
         }),
         with_rrs,
     )

@@ -11,12 +11,12 @@ from dnsflow import schema
 from dnsflow.functions import addresses, codes, names
 from dnsflow.functions.binding import stage
 from dnsflow.operators import (
-    anonymize, decode, enrich, filters, match, normalize, project, stats, tcp, transfer,
+    anonymize, decode, enrich, filters, ingest, match, normalize, project, stats, tcp, transfer,
 )
 from dnsflow.plans import views, wireviews
 from dnsflow.plans.shared import shared_folder
 from dnsflow.plans.skew import cut_lineage
-from dnsflow.sources import tables
+from dnsflow.sources import captures, tables
 from dnsflow.streaming import flows, matching
 from dnsflow.streaming import tcp as tcp_stream
 
@@ -544,6 +544,20 @@ def stats_report(messages):
     return out.toDF(*[c.replace("-", "_") for c in out.columns])
 
 
+@on_messages
+def stats_report_full(messages):
+    pairs = cut_lineage(match.match_transactions(messages).select("ts", "response_ts"))
+    met = pairs.select(F.greatest(F.unix_micros("ts"), F.unix_micros("response_ts")).alias("us"))
+    seen = messages.select("is_response", us().alias("us"))
+    full = stats.full_report(
+        daily_report(messages), packets=seen, transactions=met, exported=met,
+        kept_packets=seen.filter("is_response"), waits=match.waiting_times(messages), every_s=DAY,
+    )
+    out = project.select_stats(full, schema.STATS_FIELDS)
+    out = out.withColumn("ipv4-source-entropy", F.round("`ipv4-source-entropy`", 9))
+    return out.toDF(*[c.replace("-", "_") for c in out.columns])
+
+
 @on_messages
 def stats_subset(messages):
     out = project.select_stats(daily_report(messages), ["Queries", "queries-dot", "nonsense", "unix-timestamp"])
@@ -638,6 +652,19 @@ def decode_packets(messages):
     return _decoded_view(decoded, "len", "ttl", "udp_sum")
 
 
+@on_messages
+def capture_messages(messages):
+    """Packets written as capture files, read back and turned into messages of both transports."""
+    folder = shared_folder(messages.sparkSession, "captures")
+    packets = wireviews.udp_packets(messages).unionByName(wireviews.tcp_packets(messages))
+    captures.write_captures(packets, folder)
+    found = ingest.packets_to_messages(captures.read_captures(messages.sparkSession, folder), ports={53, 443, 853})
+    return found.select(
+        "client_port", "server_port", "is_response", "id", "qname", "qtype", "rcode", "prot",
+        us().alias("time_us"), "dns_len", "tcp_rtt_us",
+    )
+
+
 @on_messages
 def dnstap_decode(messages):
     decoded = decode.decode_dnstap(wireviews.tap_frames(messages), with_rrs=True)

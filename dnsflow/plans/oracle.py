@@ -183,8 +183,8 @@ DNS_FLAGS = """(CASE WHEN aa THEN 16384 ELSE 0 END + CASE WHEN tc THEN 8192 ELSE
 BLOCKS = PAIRS + """,
 slots AS (SELECT *, query_us // 864000000000 AS slot FROM joined),
 parts AS (SELECT slot, ceil(count(*) / 1000.0)::BIGINT AS parts FROM slots GROUP BY 1),
-blocks AS (SELECT *, slot || '-' || (query_id % parts) || '-' ||
-    ((row_number() OVER (PARTITION BY slot, query_id % parts ORDER BY query_id) - 1) // 50) AS block_id
+blocks AS (SELECT *, slot || '-' || (((query_id % 2147483648) * 2654435761 // 65536) % parts) || '-' ||
+    ((row_number() OVER (PARTITION BY slot, ((query_id % 2147483648) * 2654435761 // 65536) % parts ORDER BY query_id) - 1) // 50) AS block_id
   FROM slots JOIN parts USING (slot))"""
 
 # The message as it goes over the wire, by the same formulas as the derived bytes.
@@ -400,6 +400,16 @@ ORACLE: dict[str, str] = {
     "qps_moving_average_minutes": f"WITH {MESSAGES}, {_moving(60, 3600, 300)} SELECT * FROM moving",
     "qps_moving_average_per_server": f"WITH {MESSAGES}, {_per_server(10, 86400)} SELECT * FROM servers",
     "stats_report": f"WITH {MESSAGES}, {DAILY} SELECT * FROM report",
+    "stats_report_full": f"""WITH RECURSIVE {PAIRS}, {DAILY}, met AS (
+        SELECT least(query_us, response_us) AS a, greatest(query_us, response_us) AS b FROM joined),
+      waits AS (SELECT a, b FROM met UNION ALL SELECT t, t + 1000000 FROM msg WHERE qtype <> 252
+          AND msg_id NOT IN (SELECT query_id FROM pairs) AND msg_id NOT IN (SELECT response_id FROM pairs))
+      SELECT r.*, (SELECT count(*) FROM msg WHERE t // 86400000000 <= r.tick) AS processed_packets,
+        (SELECT count(*) FROM met WHERE b // 86400000000 <= r.tick) AS processed_transactions,
+        (SELECT count(*) FROM met WHERE b // 86400000000 <= r.tick) AS exported_records,
+        (SELECT count(*) FROM msg m WHERE m.r AND t // 86400000000 <= r.tick) AS exported_pcap_packets,
+        (SELECT count(*) FROM waits WHERE a <= r.unix_timestamp AND b > r.unix_timestamp) AS pending_transactions
+      FROM report r""",
     "stats_subset": f"WITH {MESSAGES}, {DAILY} SELECT tick, queries_dot, queries, unix_timestamp FROM report",
     "geo_country": f"""WITH {MESSAGES} SELECT msg_id,
         CASE WHEN ipv = 4 THEN coalesce(chr((65 + n_nationkey)::INTEGER) || 'X', '')
@@ -477,6 +487,12 @@ ORACLE: dict[str, str] = {
         {DECODED}, {BODY} FROM checked WHERE error IS NULL
       UNION ALL SELECT 'c' || e, error, packet_bytes, (64 - e % 3)::INTEGER, tcp_rtt, us, {DECODED}, {NO_BODY}
         FROM checked WHERE error IS NOT NULL""",
+    "capture_messages": f"""WITH {TCP}
+      SELECT client_port, server_port, r AS is_response, id, qname, qtype, rcode, prot, t AS time_us, size::INTEGER AS dns_len,
+        -1::BIGINT AS tcp_rtt_us FROM wired WHERE prot = 17 AND k % 31 <> 0 AND k % 37 <> 0 AND k % 29 <> 0
+          AND server_port = 53 AND NOT (k % 41 = 0 AND (answers > 0 OR has_opt))
+      UNION ALL SELECT client_port, server_port, r, id, qname, qtype, rcode, prot, us, size::INTEGER, tcp_rtt FROM ranked
+        WHERE server_port <> 5353 AND NOT (k % 41 = 0 AND (answers > 0 OR has_opt))""",
     "stream_match": f"WITH RECURSIVE {PAIRS} {PAIR_VIEW}",
     "stream_stats": f"""WITH {MESSAGES} SELECT *, ipv4 + ipv6 AS queries FROM (
         SELECT t // 3600000000 AS tick, {COUNTERS} FROM msg WHERE NOT r GROUP BY 1)""",

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from dnsflow.plans.shared import shared_folder
 
 HISTOGRAM_BUCKETS = 1 << 18
-ROWS_PER_GROUP = 1_000_000
+ROWS_PER_GROUP = 200_000
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,6 @@ class SkewPolicy:
     """When a histogram bucket counts as crowded, and how many rows a chunk may hold."""
 
     rows_per_group: int = ROWS_PER_GROUP
-    over_mean: float = 2.0
     enabled: bool = True
 
 
@@ -46,28 +45,17 @@ def split_hot(
     if not policy.enabled:
         return df, None
     counted = (
-        df.groupBy(key_bucket(keys).alias("bucket"))
-        .agg(
-            F.count("*").alias("n"),
-            F.min(time_us).alias("first"),
-            F.max(time_us).alias("last"),
-        )
-        .filter(F.col("n") > policy.rows_per_group)
-        .collect()
+        df.groupBy(key_bucket(keys).alias("__bucket")).agg(F.count("*").alias("n"))
+        .filter(F.col("n") > policy.rows_per_group).select("__bucket").collect()
     )
     if not counted:
         return df, None
-    limit = max(
-        policy.rows_per_group,
-        policy.over_mean * sum(c["n"] for c in counted) / HISTOGRAM_BUCKETS,
-    )
-    crowded = [
-        (c["bucket"], max(min_width_us, (c["last"] - c["first"]) * policy.rows_per_group // c["n"]))
-        for c in counted
-        if c["n"] > limit
-    ]
-    if not crowded:
-        return df, None
+    # The busiest stretch of the least width decides how wide a chunk may be, so that a burst
+    # is cut as finely as it has to be however quiet the key is at other times.
+    large = F.broadcast(df.sparkSession.createDataFrame(counted, "__bucket int"))
+    bins = df.select(key_bucket(keys).alias("__bucket"), F.floor(time_us / min_width_us).alias("bin")).join(large, "__bucket")
+    busiest = bins.groupBy("__bucket", "bin").count().groupBy("__bucket").agg(F.max("count").alias("most")).collect()
+    crowded = [(c["__bucket"], min_width_us * max(1, policy.rows_per_group // c["most"])) for c in busiest]
     hot = F.broadcast(df.sparkSession.createDataFrame(crowded, "__bucket int, chunk_us bigint"))
     marked = df.withColumn("__bucket", key_bucket(keys))
     cold_rows = marked.join(hot, "__bucket", "left_anti").drop("__bucket")

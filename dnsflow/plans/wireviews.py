@@ -247,3 +247,22 @@ def segments(messages: DataFrame) -> DataFrame:
         "seg_no", "seq", "ack", "syn", "ack_flag", F.lit(False).alias("fin"),
         F.lit(False).alias("rst"), "data", (F.octet_length("data") + 54).alias("packet_len"),
     )
+
+
+def tcp_packets(messages: DataFrame) -> DataFrame:
+    """The segments as captured packets, headers included."""
+    flags = (
+        F.col("fin").cast("int") + F.col("syn").cast("int") * 2 + F.col("rst").cast("int") * 4
+        + F.col("ack_flag").cast("int") * 16
+    )
+    rows = segments(messages).withColumn("msg_id", F.lit(1))
+    header = F.concat(
+        u16(F.col("src_port")), u16(F.col("dst_port")), u32(F.col("seq")), u32(F.col("ack")),
+        F.lit("50"), u8(flags), F.lit("FFFF00000000"), F.hex("data"),
+    )
+    rows = stage(rows, {"datagram": header})
+    return rows.select(
+        F.lit("events").alias("source"), F.col("seg_no").alias("packet_no"), "ts",
+        F.lit("WIRE").alias("kind"), F.lit(False).alias("raw_ip"),
+        F.unhex(_frame(F.lit(TCP), F.col("datagram"))).alias("payload"),
+    )

@@ -13,6 +13,7 @@ Records before a broken one are kept; what follows it in the file is reported by
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -301,7 +302,7 @@ def _expected(index: DataFrame) -> DataFrame:
 
 def _chained(spark: SparkSession, path: str, kind: str, split_bytes: int) -> DataFrame:
     """The index of all splits, each beginning where the one before ended."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    files = spark.read.format("binaryFile").load(path).filter("path not like '%.tmp'").select("path", F.col("length").alias("size"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
     cut = files.filter("size > 0").select("path", "size", F.explode(starts).alias("start"))
     ranges = cut.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
@@ -397,3 +398,28 @@ def capture_rejects(
     """(source, position, reason): where a file cannot be read on, and files that are no captures."""
     stopped = _chained(spark, path, kind, split_bytes).filter("reason is not null")
     return stopped.select(F.col("path").alias("source"), F.col("after").alias("position"), "reason")
+
+
+def write_captures(packets: DataFrame, folder: str, longest: int = 1 << 18) -> DataFrame:
+    """Writes packets as capture files, one per partition; returns (path, packets).
+
+    A file appears under its name when it is whole, so a repeated task does no harm.
+    """
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}.pcap"
+        system, path = fs.FileSystem.from_uri(name if ":" in name.split("/")[0] else f"file://{name}")
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        hidden, number = f"{path}.{uuid.uuid4().hex}.tmp", 0
+        with system.open_output_stream(hidden, compression=None) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, longest, 1))
+            for pdf in batches:
+                for us, data in zip(pdf["us"], pdf["payload"]):
+                    out.write(struct.pack("<4I", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data)
+                    number += 1
+        system.move(hidden, path)
+        yield pd.DataFrame({"path": [name], "packets": [number]})
+
+    rows = packets.select(F.unix_micros("ts").alias("us"), "payload")
+    return cut_lineage(rows.mapInPandas(run, "path string, packets bigint"))
