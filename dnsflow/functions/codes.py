@@ -20,9 +20,8 @@ DNS_FLAG_BITS = {
 POLICY_LABELS = {128: "PASS", 129: "BLOCK", 130: "AUDIT"}
 POLICY_NONE, POLICY_OTHER = 0, 255
 
-FILE_NAME_PATTERN = (
-    r"^.*((\d{8}\.\d{6})\.(\d{6}))\.(p\d|stats)\.(cdns|parquet|json)(\.gz)?$"
-)
+# Formats that export files may have.
+FILE_FORMATS = ("cdns", "parquet", "json")
 
 
 def split_time(ts: Column) -> dict[str, Column]:
@@ -136,16 +135,26 @@ def flag(value: Column, mask: int) -> Column:
 
 
 def file_name_parts(name: Column) -> dict[str, Column]:
-    """Time (ms), process id, format and compression of an export file name; nulls on a mismatch."""
-    hit = name.rlike(FILE_NAME_PATTERN)
-
-    def part(group: int) -> Column:
-        return F.when(hit, F.regexp_extract(name, FILE_NAME_PATTERN, group))
-
-    seconds = F.unix_seconds(F.try_to_timestamp(part(2), F.lit("yyyyMMdd.HHmmss")))
+    """Time (ms), process, format and compression of an export file name; nulls for any other name.
+
+    A name ends in day.time.microseconds.process.format, perhaps with .gz; a process is "p" and
+    its number, or "stats". Whatever stands before the day is free.
+    """
+    zipped = name.endswith(".gz")
+    parts = F.split(F.when(zipped, F.substr(name, F.lit(1), F.length(name) - 3)).otherwise(name), "[.]")
+    at = lambda k: F.try_element_at(parts, F.lit(-k))
+    day, clock, micros, process, kind = F.right(at(5), F.lit(8)), at(4), at(3), at(2), at(1)
+    digits = lambda c, n: c.rlike(f"^[0-9]{{{n}}}$")
+    fits = (
+        digits(day, 8) & digits(clock, 6) & digits(micros, 6)
+        & process.rlike("^(p[0-9]+|stats)$") & kind.isin(*FILE_FORMATS)
+    )
+    hit = F.coalesce(fits, F.lit(False))
+    seconds = F.unix_seconds(F.try_to_timestamp(F.concat(day, clock), F.lit("yyyyMMddHHmmss")))
+    millis = (seconds * 1000 + F.floor(micros.try_cast("bigint") / 1000)).cast("bigint")
     return {
-        "time_ms": (seconds * 1000 + F.floor(part(3).cast("bigint") / 1000)).cast("bigint"),
-        "process": part(4),
-        "format": part(5),
-        "gzip": F.when(hit, F.regexp_extract(name, FILE_NAME_PATTERN, 6) == ".gz"),
+        "time_ms": F.when(hit, millis),
+        "process": F.when(hit, process),
+        "format": F.when(hit, kind),
+        "gzip": F.when(hit, zipped),
     }

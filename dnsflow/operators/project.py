@@ -9,10 +9,11 @@ from pyspark.sql.types import StructType
 from dnsflow import schema
 from dnsflow.functions import codes, edns, names
 from dnsflow.functions.addresses import ip_text
+from dnsflow.functions.binding import stage
 
 
 def _constants() -> dict[str, Column]:
-    """Columns of the format that are never filled."""
+    """Columns of the format that are never filled (fixed values: the format's names)."""
     numbers = ("frag", "resp_frag", "proc_time")
     flags = ("edns_ping", "is_google", "is_opendns")
     texts = (
@@ -32,7 +33,7 @@ def _given(pairs: DataFrame, column: str) -> Column:
 
 def with_edns(pairs: DataFrame) -> DataFrame:
     """Parsed option lists of both sides, each evaluated once."""
-    return pairs.withColumns({
+    return stage(pairs, {
         "query_options": edns.edns_options(F.col("query_opt")),
         "response_options": edns.edns_options(F.col("response_opt")),
     })
@@ -49,6 +50,19 @@ def rejected_transactions(pairs: DataFrame) -> DataFrame:
     return with_edns(pairs).filter(_broken()).drop("query_options", "response_options")
 
 
+def _name_parts(pairs: DataFrame, qname: Column) -> dict[str, Column]:
+    """Labels and domain of the text, or of the wire where a label may hold a dot."""
+    count, domain = names.label_count(qname), names.domainname(qname)
+    if "qname_wire" not in pairs.columns:
+        return {"domainname": domain, "labels": count}
+    odd = names.has_inner_dot(F.col("qname_wire"))
+    parts = names.labels_and_domain(F.col("qname_wire"))
+    return {
+        "domainname": F.when(odd, parts["domainname"]).otherwise(domain),
+        "labels": F.when(odd, parts["labels"]).otherwise(count),
+    }
+
+
 def _row(pairs: DataFrame) -> dict[str, Column]:
     qname = F.make_valid_utf8("qname")
     query, response = F.col("query_options"), F.col("response_options")
@@ -61,8 +75,7 @@ def _row(pairs: DataFrame) -> dict[str, Column]:
     derived = {
         **codes.split_time(F.col("ts")),
         "qname": qname,
-        "domainname": names.domainname(qname),
-        "labels": names.label_count(qname),
+        **_name_parts(pairs, qname),
         "edns_nsid": edns.nsid(response),
         "edns_dnssec_dau": edns.algorithm_list(query, edns.DAU),
         "edns_dnssec_dhu": edns.algorithm_list(query, edns.DHU),

@@ -88,10 +88,18 @@ def with_state(sessions: DataFrame, chunk: str | None = None) -> DataFrame:
     opened = stage(known.filter(valid), {
         "opened_us": F.coalesce(-F.col("opened"), F.col("us")), "answers": answers,
     }).drop("late", "opened")
-    reached = with_prefix(opened, ["conn", "session"], ARRIVAL, {
-        "done": ("max", F.when(F.col("answers"), -F.col("us"))),
-        "resets": ("max", (F.col("rst") & F.col("ack_flag")).cast("int")),
+    # Where the last segment of either side ended: a reset older than that is ignored.
+    length = F.octet_length("data") + (F.col("syn") | F.col("fin")).cast("int")
+    after = F.pmod(F.col("seq") + length, F.lit(WRAP))
+    ends = with_prefix(opened, ["conn", "session"], ARRIVAL, {
+        f"end{side}": ("last", F.when((F.col("side") == side) & ~F.col("rst"), after)) for side in (0, 1)
     }, chunk)
+    expected = F.when(F.col("side") == 0, F.col("end0")).otherwise(F.col("end1"))
+    resets = F.col("rst") & (expected.isNull() | (_ahead(F.col("seq"), expected) >= 0))
+    reached = with_prefix(ends.withColumn("resets_now", resets).drop("end0", "end1"), ["conn", "session"], ARRIVAL, {
+        "done": ("max", F.when(F.col("answers"), -F.col("us"))),
+        "resets": ("max", F.col("resets_now").cast("int")),
+    }, chunk).drop("resets_now")
     completes = F.col("answers") & F.col("done").isNull()
     done_us = F.when(completes, F.col("us")).otherwise(-F.col("done"))
     return stage(reached.filter(F.coalesce("resets", F.lit(0)) == 0), {

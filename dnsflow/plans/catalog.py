@@ -83,7 +83,10 @@ def match_fifo(messages):
 
 @on_messages
 def match_qname(messages):
-    return _pair_view(match.match_transactions(messages, match_qname=True))
+    """Two names per key: repeated messages ask for another one."""
+    number = F.unhex(F.lpad(F.hex(F.col("msg_id") % 5), 2, "0"))
+    named = messages.withColumn("qname_wire", F.concat(F.col("qname_wire"), number))
+    return _pair_view(match.match_transactions(named, match_qname=True))
 
 
 @on_messages
@@ -110,9 +113,8 @@ def flow_key(messages):
 # --- inputs ---------------------------------------------------------------------------
 
 
-def paired_feed(messages: DataFrame) -> DataFrame:
+def paired_feed(pairs: DataFrame) -> DataFrame:
     """Answered pairs under the names of the resolver feed."""
-    pairs = match.match_transactions(messages)
     columns = {dst: src for src, dst in tables.PAIRED_FEED.items() if dst in pairs.columns}
     feed = pairs.select(*[F.col(dst).alias(src) for dst, src in columns.items()])
     return feed.withColumns({
@@ -123,9 +125,10 @@ def paired_feed(messages: DataFrame) -> DataFrame:
 
 @on_messages
 def ingest_paired_union(messages):
-    feed = tables.ingest_paired(paired_feed(messages))
+    pairs = cut_lineage(match.match_transactions(messages))
+    feed = tables.ingest_paired(paired_feed(pairs))
     both = tables.union_inputs(
-        wire=project.to_transactions(dns_pairs(messages)), feed=project.to_transactions(feed)
+        wire=project.to_transactions(filters.dns_port_filter(pairs)), feed=project.to_transactions(feed)
     )
     return both.groupBy("source", "prot", "qtype").agg(
         F.count("*").alias("n"), F.sum("dns_res_len").alias("bytes"), F.sum("res_len").alias("wire")
@@ -153,7 +156,9 @@ def port_filter(messages):
 
 @on_messages
 def transport_filter(messages):
-    return filters.transport_filter(messages).groupBy("prot").agg(F.count("*").alias("n"))
+    """Some messages come by another transport."""
+    mixed = messages.withColumn("prot", F.when(F.col("msg_id") % 37 == 0, 1).otherwise(F.col("prot")))
+    return filters.transport_filter(mixed).groupBy("prot").agg(F.count("*").alias("n"))
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -353,13 +358,10 @@ def direction_normalise(messages):
 
 @on_messages
 def length_routing(messages):
-    response = F.col("is_response")
-    return messages.groupBy(response.alias("is_response")).agg(*[
-        F.sum(F.when(response == side, F.col(src)).otherwise(0)).alias(name)
-        for name, src, side in (
-            ("len", "len", False), ("dns_len", "dns_len", False),
-            ("res_len", "len", True), ("res_dns_len", "dns_len", True),
-        )
+    sides = ((match.FROM_QUERY, False), (match.FROM_RESPONSE, True))
+    return messages.groupBy("is_response").agg(*[
+        F.sum(F.when(F.col("is_response") == side, F.col(source)).otherwise(0)).alias(name)
+        for fields, side in sides for name, source in fields.items() if source in ("len", "dns_len")
     ])
 
 
@@ -406,9 +408,7 @@ def order_lists(spark, sf_dir):
         "l_orderkey", F.struct("l_linenumber", "l_partkey").alias("item")
     )
     lists = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return lists.select("l_orderkey", F.posexplode("items").alias("pos", "item")).select(
-        "l_orderkey", "pos", "item.*"
-    )
+    return project.explode_records(lists, "items", ["l_orderkey"])
 
 
 @on_messages
@@ -498,7 +498,7 @@ def merge_stats(messages):
 
 @on_messages
 def pipeline_counters(messages):
-    pairs = dns_pairs(messages)
+    pairs = cut_lineage(dns_pairs(messages))
     return stats.pipeline_counters(messages, messages, pairs, project.to_transactions(pairs), messages)
 
 

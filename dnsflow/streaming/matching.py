@@ -15,14 +15,17 @@ from dnsflow.operators.match import (
 from dnsflow.schema import QTYPE_AXFR
 from dnsflow.streaming.state import use_rocksdb
 
-WAITING = "t bigint, m bigint, is_response boolean, payload string"
+WAITING = "k string, t bigint, m bigint, is_response boolean, payload string"
 OUT = "query string, response string"
 # Keeps the microseconds of timestamps inside JSON.
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# Keys share the state of a bucket, so a micro-batch reads and writes one state per bucket
+# instead of one per key.
+STATE_BUCKETS = 256
 
 
 class _Pending(StatefulProcessor):
-    """Messages of one key that wait for a partner, oldest first."""
+    """Messages that wait for a partner, for all keys of a bucket."""
 
     def __init__(self, timeout_us: int):
         self.timeout_us = timeout_us
@@ -32,25 +35,36 @@ class _Pending(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues):
-        waiting = deque(tuple(w) for w in self.waiting.get())
+        held: dict[str, deque] = {}
+        for k, *message in self.waiting.get():
+            held.setdefault(k, deque()).append(tuple(message))
         arrived = pd.concat(rows).sort_values(["t", "m"])
         pairs = []
-        for row in arrived[["t", "m", "is_response", "payload"]].itertuples(index=False, name=None):
+        for k, *row in arrived[["k", "t", "m", "is_response", "payload"]].itertuples(index=False, name=None):
+            waiting = held.setdefault(k, deque())
             while waiting and waiting[0][0] + self.timeout_us <= row[0]:
                 waiting.popleft()
             if waiting and waiting[0][2] != row[2]:
                 other = waiting.popleft()
                 pairs.append((row[3], other[3]) if other[2] else (other[3], row[3]))
             else:
-                waiting.append(row)
+                waiting.append(tuple(row))
+        self._keep(held, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(pairs, columns=["query", "response"])
+
+    def _keep(self, held, watermark_ms) -> None:
+        """Stores what may still find a partner: no message older than the watermark will come."""
+        left = [
+            (k, int(t), int(m), bool(r), p) for k, waiting in held.items() for t, m, r, p in waiting
+            if (t + self.timeout_us) // 1000 + 1 > watermark_ms
+        ]
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        if waiting:
-            self.waiting.put([(int(t), int(m), bool(r), p) for t, m, r, p in waiting])
-            self.handle.registerTimer((int(waiting[-1][0]) + self.timeout_us) // 1000 + 1)
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer((max(x[1] for x in left) + self.timeout_us) // 1000 + 1)
         else:
             self.waiting.clear()
-        yield pd.DataFrame(pairs, columns=["query", "response"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.waiting.clear()
@@ -68,6 +82,7 @@ def stream_match_transactions(
     Rows of a micro-batch are taken in event-time order; `delay` is how late rows may come and
     should not be below the timeout. State of a key lives until the watermark passes the
     timeout of its youngest message. Payloads travel as JSON, so the state schema stays fixed.
+    State is kept per bucket of keys; keys are compared as a whole, not by their hash.
     """
     use_rocksdb(messages.sparkSession)
     keys = FLOW_KEY + (["qname_wire"] if match_qname else [])
@@ -75,10 +90,11 @@ def stream_match_transactions(
     fields = {**FROM_QUERY, **FROM_RESPONSE}
     kept = dict.fromkeys(["id", "prot", "ipv", "qtype", *[c for c in fields.values() if c in messages.columns]])
     keyed = with_flow_key(fresh).select(
-        *keys, "ts", F.unix_micros("ts").alias("t"), F.col("msg_id").alias("m"), "is_response",
+        F.pmod(F.xxhash64(*keys), F.lit(STATE_BUCKETS)).cast("int").alias("bucket"),
+        F.to_json(F.struct(*keys)).alias("k"), "ts", F.unix_micros("ts").alias("t"), F.col("msg_id").alias("m"), "is_response",
         F.to_json(F.struct(*kept), JSON_TIME).alias("payload"),
     )
-    found = keyed.groupBy(*keys).transformWithStateInPandas(
+    found = keyed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Pending(timeout_ms * 1000), outputStructType=OUT,
         outputMode="Append", timeMode="EventTime",
     )

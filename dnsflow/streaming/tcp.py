@@ -47,8 +47,11 @@ class _Connection:
             self.opened = us
         if self.opened is None:
             return []
-        if rst and ack_flag:
-            return None
+        if rst:
+            # Any reset that is not older than what is expected ends the connection.
+            start = self.isn[side]
+            old = start is not None and _signed(seq - (start + 1 + self.at[side])) < 0 and not syn
+            return [] if old else None
         if syn:
             self.isn[side] = seq
         other = self.isn[1 - side]
@@ -57,11 +60,37 @@ class _Connection:
             self.rtt = us - self.opened
         if not len(data) or self.isn[side] is None:
             return []
-        waiting = self.pieces[side]
         pos = self.at[side] + _signed(seq - (self.isn[side] + 1 + self.at[side]))
-        if pos >= self.at[side] and all(p[0] != pos for p in waiting):
-            bisect.insort(waiting, (pos, us, packet_len, bytes(data)))
-        return None if len(waiting) > limit else self.frame(side, us)
+        self.insert(side, pos, us, packet_len, bytes(data))
+        out = self.frame(side, us)
+        return None if self.behind_hole(side) > limit else out
+
+    def insert(self, side, pos, us, packet_len, data):
+        """Keeps what no earlier piece covers; the first new part stands for the segment."""
+        waiting = self.pieces[side]
+        if pos < self.at[side]:
+            data, pos = data[self.at[side] - pos :], self.at[side]
+        new = []
+        for start, _, _, held in waiting:
+            if not data or start >= pos + len(data):
+                break
+            if start > pos:
+                new.append((pos, data[: start - pos]))
+            skip = max(0, start + len(held) - pos)
+            data, pos = data[skip:], pos + skip
+        if data:
+            new.append((pos, data))
+        for k, (start, part) in enumerate(new):
+            bisect.insort(waiting, (start, us, 0 if k else packet_len, part))
+
+    def behind_hole(self, side):
+        """Pieces that wait for bytes which have not come yet."""
+        waiting, end = self.pieces[side], self.at[side]
+        for k, (pos, _, _, data) in enumerate(waiting):
+            if pos != end:
+                return len(waiting) - k
+            end = pos + len(data)
+        return 0
 
     def frame(self, side, us):
         waiting, stream, ends, first = self.pieces[side], b"", [], self.at[side]
