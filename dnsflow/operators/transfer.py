@@ -12,6 +12,9 @@ from dnsflow.plans.skew import SkewPolicy, cut_lineage, settle_carry, split_hot
 from dnsflow.schema import QTYPE_AXFR
 
 SUMMED = ("res_len", "res_dns_len", "ancount")
+# Of an entry: its age, both sides, the messages it is made of, and its sums.
+ENTRY = ("t", "query", "response", "members", *SUMMED)
+MEMBER = ("t", "msg_id", "is_response")
 
 
 def _events(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,6 +30,7 @@ def _events(keyed: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce("last_soa", F.lit(False)).alias("last"),
         F.when(~response, payload(FROM_QUERY)).alias("query"),
         F.when(response, payload(FROM_RESPONSE)).alias("response"),
+        F.array(F.struct(F.unix_micros("ts").alias("t"), "msg_id", "is_response")).alias("members"),
         *[
             F.when(response, F.col(size[c])).otherwise(0).cast("bigint").alias(c)
             for c in SUMMED
@@ -39,13 +43,13 @@ def _events(keyed: DataFrame, keys: list[str]) -> DataFrame:
 def _entry_type(groups: DataFrame) -> str:
     event = groups.schema["ev"].dataType.elementType
     return "struct<" + ",".join(
-        f"{f}:{event[f].dataType.simpleString()}" for f in ("t", "query", "response", *SUMMED)
+        f"{f}:{event[f].dataType.simpleString()}" for f in ENTRY
     ) + ">"
 
 
 def _entry(x: Column, **changed: Column) -> Column:
     return F.struct(*[
-        changed.get(f, x[f]).alias(f) for f in ("t", "query", "response", *SUMMED)
+        changed.get(f, x[f]).alias(f) for f in ENTRY
     ])
 
 
@@ -68,9 +72,10 @@ def _follow(entries: str, pending: Column, timeout_us: int) -> Column:
         gate = F.get(alive, F.lit(0))
         others = F.slice(alive, F.lit(2), F.greatest(F.size(alive), F.lit(1)))
         alone = F.array_append(alive, _entry(x))
-        asked = F.concat(F.array(_entry(gate, t=x["t"], query=x["query"])), others)
+        joined = F.concat(gate["members"], x["members"])
+        asked = F.concat(F.array(_entry(gate, t=x["t"], query=x["query"], members=joined)), others)
         grown = _entry(
-            gate, t=x["t"], response=F.coalesce(gate["response"], x["response"]),
+            gate, t=x["t"], response=F.coalesce(gate["response"], x["response"]), members=joined,
             **{c: gate[c] + x[c] for c in SUMMED},
         )
         is_query, has_query = x["query"].isNotNull(), gate["query"].isNotNull()
@@ -115,15 +120,24 @@ def match_transfers(
     messages: DataFrame, timeout_ms: int = 1000, skew: SkewPolicy = SkewPolicy()
 ) -> DataFrame:
     """Completed zone transfers with the sizes and answer counts of all responses added up."""
+    walked = _walked_parts(messages, timeout_ms, skew)
+    out = _finished(walked[0])
+    for more in walked[1:]:
+        out = out.unionByName(_finished(more))
+    return out
+
+
+def _walked_parts(messages: DataFrame, timeout_ms: int, skew: SkewPolicy) -> list[DataFrame]:
+    """Groups with their `walk`: those of ordinary keys, then the chunks of crowded ones."""
     timeout_us = timeout_ms * 1000
     keyed = with_flow_key(messages.filter(F.col("qtype") == QTYPE_AXFR))
     cold, hot = split_hot(keyed, FLOW_KEY, F.unix_micros("ts"), timeout_us, skew)
     groups = _events(cold, FLOW_KEY)
     entries = _entry_type(groups)
     none = F.array().cast(f"array<{entries}>")
-    out = _finished(groups.withColumn("walk", _follow(entries, none, timeout_us)))
+    parts = [groups.withColumn("walk", _follow(entries, none, timeout_us))]
     if hot is None:
-        return out
+        return parts
     chunks = cut_lineage(_events(hot, [*FLOW_KEY, "chunk", "chunk_us"]).withColumn("open", none))
 
     def step(df: DataFrame) -> DataFrame:
@@ -134,5 +148,24 @@ def match_transfers(
         return df.select(*FLOW_KEY, "chunk", left.alias("open"))
 
     settled = settle_carry(chunks, FLOW_KEY, step, ["open"])
-    done = settled.withColumn("walk", _follow(entries, F.col("open"), timeout_us))
-    return out.unionByName(_finished(done))
+    return [*parts, settled.withColumn("walk", _follow(entries, F.col("open"), timeout_us))]
+
+
+def unfinished(
+    messages: DataFrame, timeout_ms: int = 1000, skew: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """Messages of zone transfers that belong to no completed one, with their flow key."""
+    parts = _walked_parts(messages, timeout_ms, skew)
+    key = [*FLOW_KEY, "member"]
+    used = None
+    for part in parts:
+        found = part.select(*FLOW_KEY, F.explode("walk.done").alias("done")).select(
+            *FLOW_KEY, F.explode("done.members").alias("member")
+        )
+        used = found if used is None else used.unionByName(found)
+    every = with_flow_key(messages.filter(F.col("qtype") == QTYPE_AXFR)).select(
+        *FLOW_KEY, "ts", F.struct(F.unix_micros("ts").alias("t"), "msg_id", "is_response").alias("member")
+    )
+    return every.join(used.distinct(), key, "left_anti").select(
+        *FLOW_KEY, "member.msg_id", "ts", "member.is_response"
+    )

@@ -246,8 +246,12 @@ ORACLE: dict[str, str] = {
     "match_fifo": f"WITH RECURSIVE {PAIRS} {PAIR_VIEW}",
     "match_qname": f"WITH RECURSIVE {PAIRS_BY_NAME} {PAIR_VIEW}",
     "match_unmatched": f"""WITH RECURSIVE {PAIRS} SELECT msg_id, t AS time_us, r AS is_response FROM msg
-      WHERE qtype <> 252 AND msg_id NOT IN (SELECT query_id FROM pairs)
-        AND msg_id NOT IN (SELECT response_id FROM pairs)""",
+      WHERE qtype <> 252 AND msg_id % 970 <> 8 AND msg_id NOT IN (SELECT query_id FROM pairs)
+        AND msg_id NOT IN (SELECT response_id FROM pairs)
+      UNION ALL SELECT msg_id, t, r FROM (
+        SELECT *, lag(t) OVER (PARTITION BY e ORDER BY t) AS before FROM msg WHERE qtype = 252 AND msg_id % 970 <> 8)
+      QUALIFY count_if(r AND n = 3) OVER (PARTITION BY e) = 0
+        OR count_if(NOT r) OVER (PARTITION BY e) = 0 OR max(coalesce(t - before, 0)) OVER (PARTITION BY e) >= 1000000""",
     "match_axfr": f"""WITH {MESSAGES}, gaps AS (
         SELECT *, t - lag(t) OVER (PARTITION BY e ORDER BY t) AS gap FROM msg WHERE qtype = 252)
       SELECT min(msg_id) FILTER (NOT r) AS query_id, min(msg_id) FILTER (r) AS response_id,

@@ -120,3 +120,24 @@ def test_anonymize_without_broadcast(spark, messages):
         for n in (1_000_000, 1)
     ]
     assert both[0] == both[1] and len(both[0]) == 200
+
+
+def test_dots_inside_labels(spark):
+    wires = [b"\x03a.b\x03com\x00", b"\x03www\x07example\x03org\x00", b"\x00", b"\x2e" + b"q" * 46 + b"\x02cz\x00"]
+    df = spark.createDataFrame([(bytearray(w),) for w in wires], "w binary")
+    got = df.select(names.labels_and_domain(F.col("w")).alias("p"), names.has_inner_dot(F.col("w")).alias("d")).select("p.*", "d").collect()
+    assert [tuple(r) for r in got] == [(2, "a.b.com", True), (3, "example.org", False), (0, "", False), (2, "q" * 46 + ".cz", True)]
+
+
+def test_file_names(spark):
+    rows = [
+        ("dns_20240102.030405.678901.p0.parquet", "p0", "parquet", False),
+        ("x.y-20240102.030405.678901.p123.json.gz", "p123", "json", True),
+        ("20240102.030405.678901.stats.json", "stats", "json", False),
+        ("dns_20240102.030405.678901.p0.parquet.part", None, None, None),
+        ("dns_20240102.030405.678.p0.parquet", None, None, None), ("a.b", None, None, None), ("", None, None, None),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, name string")
+    got = df.select("k", *[c.alias(n) for n, c in codes.file_name_parts(F.col("name")).items()]).orderBy("k").collect()
+    assert [(r.process, r.format, r.gzip) for r in got] == [r[1:] for r in rows]
+    assert got[0].time_ms == got[1].time_ms == 1704164645678

@@ -124,6 +124,17 @@ def test_crowded_transfers(messages):
     assert plain == crowded and sum(plain.values()) > 5
 
 
+def test_unfinished_transfers(messages):
+    rows = squeezed(messages.filter("msg_id % 4 <> 1"), 3000).withColumns(
+        {**one_key(), "qtype": F.lit(252), "last_soa": F.expr("is_response and msg_id % 3 = 0")}
+    )
+    plain, crowded = (
+        Counter(r[0] for r in transfer.unfinished(rows, skew=p).select("msg_id").collect())
+        for p in (PLAIN, SkewPolicy(rows_per_group=100))
+    )
+    assert plain == crowded and 0 < sum(plain.values()) < rows.count() and max(plain.values()) == 1
+
+
 def busy_connection(spark):
     """Many messages back to back on one connection, cut into uneven segments, some twice, some late."""
     import random

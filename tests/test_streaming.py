@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from dnsflow.operators import match, stats
 from dnsflow.plans import views
 from dnsflow.streaming import flows, matching
+from dnsflow.streaming.tcp import _Connection
 
 from conftest import SF
 
@@ -68,3 +69,46 @@ def test_moving_average_against_loop(messages):
         assert (row.ipv4, row.samples) == (sum(last) // len(last), len(last))
     with pytest.raises(ValueError):
         stats.qps_moving_average(messages, 4000)
+
+
+def connection(steps, limit=100):
+    """Feeds segments (side, seq, data, flags) to the stream's connection after its handshake."""
+    state = _Connection(None, ())
+    state.take(0, 0, 99, 0, True, False, False, b"", 54, limit)
+    state.take(1, 1, 499, 100, True, True, False, b"", 54, limit)
+    state.take(0, 2, 100, 500, False, True, False, b"", 54, limit)
+    out = []
+    for k, (side, seq, data, rst) in enumerate(steps):
+        done = state.take(side, 10 + k, seq, 0, False, not rst, rst, data, 54 + len(data), limit)
+        if done is None:
+            return out, "ended"
+        out += [bytes(m[4]) for m in done]
+    return out, "open"
+
+
+def framed(*bodies):
+    return b"".join(len(b).to_bytes(2, "big") + b for b in bodies)
+
+
+def test_overlapping_pieces_of_a_stream():
+    data = framed(b"a" * 12, b"b" * 30)
+    assert connection([(0, 100, data[:20], False), (0, 110, data[10:], False)])[0] == [b"a" * 12, b"b" * 30]
+    # pieces behind a hole that overlap, the hole filled last by one that covers more than it
+    late = [(0, 120, data[20:40], False), (0, 130, data[30:], False), (0, 125, data[25:35], False), (0, 100, data[:28], False)]
+    assert connection(late)[0] == [b"a" * 12, b"b" * 30]
+    # a piece that begins before what was released and brings a new message
+    assert connection([(0, 100, data[:14], False), (0, 105, data[5:], False)])[0] == [b"a" * 12, b"b" * 30]
+
+
+def test_many_small_pieces_in_order_are_no_overflow():
+    data = framed(b"x" * 150)
+    steps = [(0, 100 + k, data[k:k + 1], False) for k in range(len(data))]
+    assert connection(steps, limit=5) == ([b"x" * 150], "open")
+    holes = [(0, 102 + 2 * k, b"y", False) for k in range(6)]
+    assert connection(holes, limit=5)[1] == "ended"
+
+
+def test_resets_of_a_stream():
+    data = framed(b"a" * 12)
+    assert connection([(0, 100, data, False), (0, 114, b"", True)]) == ([b"a" * 12], "ended")
+    assert connection([(0, 100, data, False), (0, 60, b"", True)]) == ([b"a" * 12], "open")
