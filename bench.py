@@ -21,7 +21,8 @@ HEADLINE = [
     "query_counters", "query_counters_per_server", "source_entropy", "qps_moving_average",
     "qps_moving_average_minutes", "qps_moving_average_per_server", "stats_report",
     "pending_gauge", "decode_packets", "dnstap_decode", "tcp_sessions", "tcp_framing",
-    "parquet_round_trip", "json_round_trip", "stream_stats",
+    "parquet_round_trip", "json_round_trip", "stream_stats", "stream_match", "capture_messages",
+    "stats_report_full",
 ]
 
 

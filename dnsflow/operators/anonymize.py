@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsflow.functions.binding import let
-from dnsflow.plans.skew import cut_lineage
-
-# Distinct addresses up to this number are scrambled once each and joined back by broadcast.
-MAX_BROADCAST_ADDRESSES = 1_000_000
+from dnsflow.plans.shared import shared_folder
 
 
 def _aes(block: Column, key: bytes) -> Column:
@@ -90,28 +87,21 @@ def scramble(ip: Column, key: bytes) -> Column:
     )
 
 
-def anonymize_ip(
-    df: DataFrame,
-    key: bytes,
-    column: str = "client_ip",
-    max_broadcast: int = MAX_BROADCAST_ADDRESSES,
-) -> DataFrame:
+def anonymize_ip(df: DataFrame, key: bytes, column: str = "client_ip") -> DataFrame:
     """Scrambles the client address; server addresses stay. Enrich before, not after.
 
-    When a count proves the distinct addresses few, each is scrambled once and joined back
-    by broadcast. Otherwise every row computes its own: dearer, but without a shuffle on
-    addresses of which one may own a third of the rows.
+    Each distinct address is scrambled once, in parallel, and written to the shared folder. The
+    join back reads that table, so Spark knows its size: a small one is broadcast, a large one is
+    joined by shuffle, where the rows of a busy address can be split among tasks.
     """
-    addresses = df.select(column).distinct()
-    if addresses.limit(max_broadcast + 1).count() > max_broadcast:
-        return df.withColumn(column, scramble(F.col(column), key))
-    # The cipher is heavy and the rows are few bytes: keep all cores busy although so little
-    # data would otherwise be merged into one partition.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    table = addresses.repartition(cores, column).select(
-        F.col(column).alias("__plain"), scramble(F.col(column), key).alias("__scrambled")
-    )
-    # Kept, because the result may be read more than once and the table is small.
-    table = cut_lineage(table)
-    joined = df.join(F.broadcast(table), F.col(column).eqNullSafe(F.col("__plain")), "left")
+    spark = df.sparkSession
+    # The cipher is heavy and an address is few bytes: a fixed number of parts keeps all cores busy
+    # although so little data would otherwise be merged into one.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = df.select(F.col(column).alias("__plain")).distinct().filter("__plain is not null")
+    table = table.repartition(parts, "__plain").withColumn("__scrambled", scramble(F.col("__plain"), key))
+    folder = shared_folder(spark, "addresses")
+    table.write.mode("overwrite").parquet(folder)
+    back = spark.read.schema(table.schema).parquet(folder)
+    joined = df.join(back, F.col(column) == F.col("__plain"), "left")
     return joined.withColumn(column, F.col("__scrambled")).select(*df.columns)

@@ -55,7 +55,10 @@ def range_lookup(
     out = df.withColumns({v: F.lit(None).cast(ranges.schema[v].dataType) for v in values})
     for key, table in _bucketed(ranges.select("start_ip", "end_ip", *values)):
         table = table.withColumnsRenamed({v: f"__{v}" for v in values})
-        facts = out.withColumn("__key", key(F.col(ip_column)))
+        # Addresses that the table cannot hold get keys of their own below zero: they match
+        # nothing and, unlike nulls, do not meet in one task.
+        apart = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+        facts = out.withColumn("__key", F.coalesce(key(F.col(ip_column)), apart))
         on = ["__key"]
         rows = table.limit(max_broadcast_rows + 1).count()
         if rows == 0:
