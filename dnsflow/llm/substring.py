@@ -75,12 +75,11 @@ def _probe_keys(block: _Block, words: np.ndarray, buckets: int):
     return np.unique((bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), return_inverse=True)
 
 
-def _candidates(block: _Block, words: np.ndarray, hit: np.ndarray):
-    """Windows that hold a hit: positions, both hashes, and the order that groups equal windows."""
-    total = np.concatenate(([0], np.cumsum(hit)))
+def _candidates(block: _Block, hit: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Windows that hold a hit and no anchor of their own that occurs nowhere else."""
     reach = np.minimum(np.arange(len(hit)) + block.window - block.anchor + 1, len(hit))
-    at = np.flatnonzero(block.opens & (total[reach] > total[:-1]))
-    return _grouped(block, words, at)
+    held = lambda marks: (total := np.concatenate(([0], np.cumsum(marks))))[reach] > total[:-1]
+    return np.flatnonzero(block.opens & held(hit) & ~held(single))
 
 
 def _grouped(block: _Block, words: np.ndarray, at: np.ndarray):
@@ -154,12 +153,14 @@ def _send_windows(window: int, buckets: int):
         for answer, (_, i, j) in zip(_sorted_answers(answers), _slices((keys >> np.uint64(32)).astype(np.int64))):
             bits = np.unpackbits(np.frombuffer(answer["bits"], dtype=np.uint8), count=2 * (j - i)).astype(bool)
             repeated[i:j], anchored[i:j] = bits[: j - i], bits[j - i:]
-        hit = np.zeros(len(block.starts), dtype=np.int64)
+        hit, single = np.zeros((2, len(block.starts)), dtype=bool)
         anchors = (block.place % block.anchor == 0)[block.probes]
         hit[block.probes] = np.where(anchors, repeated[place], anchored[place])
-        at, order, a, b, new = _candidates(block, words, hit)
+        single[block.probes] = anchors & ~repeated[place]
+        at = _candidates(block, hit, single)
         if not len(at):
             return _table([], _MESSAGE)
+        at, order, a, b, new = _grouped(block, words, at)
         a, b = a[new], b[new]
         ids = np.array([i or 0 for i in block.ids], dtype=np.int64)[block.doc[at[order[new]]]]  # the smallest: order is by position
         mark = np.zeros(len(block.starts), dtype=bool)
