@@ -196,13 +196,13 @@ def cidr_long_list(messages):
 
 @on_messages
 def parse_cidr(messages):
-    text = F.concat(addresses.ip_text(F.col("client_ip")), F.lit("/"), F.col("msg_id") % 40)
+    """IPv4 networks as text, IPv6 networks in hexadecimal; lengths beyond the address give nothing."""
+    k = F.col("msg_id")
+    bits = F.when(F.col("ipv") == 4, k % 40).otherwise(112 + k % 20)
+    text = F.concat(addresses.ip_text(F.col("client_ip")), F.lit("/"), bits)
     parsed = stage(messages.select("msg_id", text.alias("text")), {"p": addresses.parse_cidr(F.col("text"))})
-    parsed = parsed.filter("p.family = 4")
-    return parsed.select(
-        "msg_id", "p.bits", addresses.ip_text(F.col("p.base")).alias("base"),
-        addresses.ip_text(F.col("p.last")).alias("last"),
-    )
+    shown = lambda c: F.when(F.col("p.family") == 4, addresses.ip_text(F.col(c))).otherwise(F.lower(F.hex(c)))
+    return parsed.select("msg_id", "p.bits", shown("p.base").alias("base"), shown("p.last").alias("last"))
 
 
 def _tap_fields(messages: DataFrame) -> DataFrame:

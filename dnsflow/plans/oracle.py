@@ -286,7 +286,13 @@ ORACLE: dict[str, str] = {
       SELECT msg_id, bits,
         (lo // 16777216) || '.' || (lo // 65536 % 256) || '.' || (lo // 256 % 256) || '.' || (lo % 256) AS base,
         ((lo + span) // 16777216) || '.' || ((lo + span) // 65536 % 256) || '.' ||
-          ((lo + span) // 256 % 256) || '.' || ((lo + span) % 256) AS last FROM b""",
+          ((lo + span) // 256 % 256) || '.' || ((lo + span) % 256) AS last FROM b
+      UNION ALL SELECT msg_id, bits, '20010db800000000000000000000' || printf('%04x', x // span * span),
+        '20010db800000000000000000000' || printf('%04x', x // span * span + span - 1)
+      FROM (SELECT msg_id, (112 + msg_id % 20)::INTEGER AS bits, ('0x' || (1000 + u % 9000))::BIGINT AS x,
+          1::BIGINT << (16 - msg_id % 20)::INTEGER AS span FROM msg WHERE ipv = 6 AND msg_id % 20 <= 16)
+      UNION ALL SELECT msg_id, NULL, NULL, NULL FROM msg
+        WHERE CASE WHEN ipv = 4 THEN msg_id % 40 > 32 ELSE msg_id % 20 > 16 END""",
     "dnstap_reject": f"""WITH {MESSAGES}, k AS (SELECT msg_id AS k FROM msg)
       SELECT CASE WHEN k % 11 = 0 THEN 'error: message type missing'
           WHEN k % 13 = 0 THEN 'error: family or address missing'

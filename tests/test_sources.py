@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow import schema
+from dnsflow.plans import wireviews
 from dnsflow.sources import captures, tables
 
 
@@ -168,3 +169,14 @@ def test_options_overlay():
     options = schema.Options.overlay(config, "eu")
     assert options.timeout_ms == 700 and options.dns_ports == {53, 5353} and options.extra == {"note": 1}
     assert schema.Options().moving_avg_window == 300 and schema.Options.overlay(config).timeout_ms == 500
+
+
+def test_packet_export_and_capture_files(spark, tmp_path, messages):
+    """Kept packets as a table and as capture files hold the same packets."""
+    packets = wireviews.udp_packets(messages)
+    tables.write_packets(packets, f"{tmp_path}/table")
+    assert spark.read.parquet(f"{tmp_path}/table").count() == packets.count()
+    written = captures.write_captures(packets, f"file://{tmp_path}/files").collect()
+    assert sum(r.packets for r in written) == packets.count()
+    bodies = lambda df: sorted((r.us, bytes(r.payload)) for r in df.withColumn("us", F.unix_micros("ts")).collect())
+    assert bodies(captures.read_captures(spark, f"{tmp_path}/files")) == bodies(packets)
