@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dnsflow import schema
 from dnsflow.functions.codes import file_name_parts
+from dnsflow.operators import filters
 from dnsflow.operators.normalize import DICTIONARIES
 
 
@@ -124,10 +125,11 @@ PAIRED_FEED = {
 FEED_UDP, FEED_TCP, FEED_TLS, FEED_HTTPS = 0, 1, 2, 3
 
 
-def ingest_paired(feed: DataFrame, ports=(schema.DNS_PORT,)) -> DataFrame:
+def ingest_paired(feed: DataFrame, ports=(schema.DNS_PORT,), allow=(), deny=()) -> DataFrame:
     """A feed that already carries query and reply, in the columns of matched pairs.
 
-    Rows without a reply, of another IP version, transport or port are left out. The feed
+    Rows without a reply, of another IP version, transport or port, or ruled out by the address
+    lists (see `filters.cidr_filter`) are left out. The feed
     has no packet sizes, hop limit or checksum (0), and names options only by a bit set,
     which becomes empty options.
     """
@@ -151,6 +153,8 @@ def ingest_paired(feed: DataFrame, ports=(schema.DNS_PORT,)) -> DataFrame:
     renamed = feed.filter(valid).select(
         *[made.get(src, F.col(src)).alias(dst) for src, dst in PAIRED_FEED.items()]
     )
+    if allow or deny:
+        renamed = filters.cidr_filter(renamed, allow, deny, columns=("client_ip", "server_ip"))
     none = F.lit(None).cast(schema.RR_LIST)
     return renamed.withColumns({
         "len": F.lit(0), "res_len": F.lit(0), "ttl": F.lit(0), "udp_sum": F.lit(0),

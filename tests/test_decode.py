@@ -124,3 +124,21 @@ def test_segments_of_packets(spark):
         (0, 0, 77, True, False, False, b""), (1, 0, 1, False, True, False, b"abc"),
         (2, 0, 1, False, True, True, b""),
     ]
+
+
+@pytest.mark.parametrize("kind, data, text", [
+    (43, bytes.fromhex("ec450802") + b"\xab" * 4, "60485 8 2 ABABABAB"),
+    (48, bytes.fromhex("01010308") + b"key!", "257 3 8 a2V5IQ=="),
+    (52, bytes.fromhex("030101") + b"\x01\x02", "3 1 1 0102"),
+    (257, b"\x00\x05issueca.example", '0 issue "ca.example"'),
+    (35, bytes.fromhex("0064000a") + b"\x01u\x07E2U+sip\x00" + b"\x03sip\x00", '100 10 "u" "E2U+sip" "" sip.'),
+    (46, struct.pack(">HBBIIIH", 1, 8, 2, 300, 1700000000, 1690000000, 77) + b"\x02cz\x00sig",
+     "A 8 2 300 20231114221320 20230722042640 77 cz. c2ln"),
+    (65, b"\x00\x01\x00" + struct.pack(">HH", 1, 6) + b"\x02h2\x02h3" + struct.pack(">HHH", 3, 2, 8443)
+     + struct.pack(">HH", 4, 4) + bytes([192, 0, 2, 1]), "1 . alpn=h2,h3 port=8443 ipv4hint=192.0.2.1"),
+    (43, b"\x01", "\\# 1 01"),
+    (257, b"\x00\x09issue", "\\# 7 00096973737565"),
+])
+def test_text_of_service_and_signature_records(kind, data, text):
+    message = bytes(12) + data
+    assert wire.rdata_text(message, kind, 12, len(data), len(message)) == text

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow import schema
-from dnsflow.plans import wireviews
+from dnsflow.operators import filters, match
+from dnsflow.plans import catalog, wireviews
 from dnsflow.sources import captures, tables
 
 
@@ -180,3 +181,11 @@ def test_packet_export_and_capture_files(spark, tmp_path, messages):
     assert sum(r.packets for r in written) == packets.count()
     bodies = lambda df: sorted((r.us, bytes(r.payload)) for r in df.withColumn("us", F.unix_micros("ts")).collect())
     assert bodies(captures.read_captures(spark, f"{tmp_path}/files")) == bodies(packets)
+
+
+def test_address_lists_on_the_paired_feed(messages):
+    feed = catalog.paired_feed(match.match_transactions(messages))
+    rows = tables.ingest_paired(feed)
+    for lists in ({"deny": ["192.0.2.2/32"]}, {"allow": ["192.0.2.0/31", "2001:db8:ffff::1/128"]}):
+        expected = filters.cidr_filter(rows, **lists).count()
+        assert tables.ingest_paired(feed, **lists).count() == expected and 0 < expected < rows.count()
