@@ -72,4 +72,24 @@ ORACLE = {
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
     """,
+    "op7_embedding_pstable": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), usable AS (
+            SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL
+                AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 END
+        ), r AS (
+            SELECT vec_id, vec_id AS root FROM v
+            UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.vec_id WHERE r.root < p.b
+        ), c AS (
+            SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+        ), l AS (
+            SELECT a, count(*) AS n FROM p GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c USING (vec_id) LEFT JOIN l ON l.a = v.vec_id
+    """,
 }
