@@ -5,6 +5,7 @@ gets the same surrogate in every document and spelling. It keeps kind, format an
 these matter: a card number passes its check sum, a phone number keeps its country code, a name its
 gender and script. The distinct entities of a corpus are checked for collisions, with each other
 and with entities that really occur; of two that collide one is drawn again until none is left.
+Later attempts draw from more: names get more parts, secrets, mail names and phone numbers more characters.
 """
 
 from __future__ import annotations
@@ -87,6 +88,19 @@ def _shaped(norm: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(norm, ""), one), "")
 
 
+def _random(stream: Column, size: Column) -> Column:
+    """As many letters and digits as `size` says."""
+    alphabet = F.lit("abcdefghijklmnopqrstuvwxyz0123456789")
+    one = lambda i: F.substr(alphabet, (F.pmod(_number(F.sha2(F.concat(stream, i.cast("string")).cast("binary"), 256), 0, 8), F.lit(36)) + 1).cast("int"), F.lit(1))
+    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), one), "")).otherwise("")
+
+
+def _shaped_or_random(norm: Column, attempt: Column, stream: Column) -> Column:
+    """The shaped value; one with under six letters and digits is random as a whole. Attempts from the fourth on add characters."""
+    few = F.length(F.regexp_replace(norm, "[^A-Za-z0-9]", "")) < 6
+    return F.concat(F.when(few, _random(stream, F.length(norm))).otherwise(_shaped(norm, stream)), _random(F.reverse(stream), attempt - 3))
+
+
 def _hexed(norm: Column, stream: Column) -> Column:
     """A hexadecimal digit of the same case for each one; anything else stays."""
 
@@ -110,20 +124,22 @@ def _pick(values: tuple, stream: Column, at: int) -> Column:
 
 
 def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
-    """A given name or surname of the kind's gender and script; later attempts join several with hyphens."""
-    out = F.lit(None).cast("string")
+    """A given name or surname of the kind's gender and script; later attempts join more and more with hyphens."""
 
-    def joined(part) -> Column:
-        return F.when(attempt < 3, part(0)).when(attempt < 8, F.concat(part(0), F.lit("-"), part(8))).otherwise(
-            F.concat(part(0), F.lit("-"), part(8), F.lit("-"), part(16))
-        )
+    def part(k: Column) -> Column:
+        return let(F.when(k == 0, stream).otherwise(F.sha2(F.concat(stream, k.cast("string")).cast("binary"), 256)), word)
 
-    for script, (heads, tails) in SURNAMES.items():
-        out = F.when(kind == f"surname_{script}", joined(lambda at, h=heads, t=tails: F.concat(_pick(h, stream, at), _pick(t, stream, at + 4)))).otherwise(out)
-        both = GIVEN["m", script] + GIVEN["f", script]
-        for gender, names in (("m", GIVEN["m", script]), ("f", GIVEN["f", script]), ("x", both)):
-            out = F.when(kind == f"given_{gender}_{script}", joined(lambda at, n=names: _pick(n, stream, at))).otherwise(out)
-    return out
+    def word(own: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for script, (heads, tails) in SURNAMES.items():
+            out = F.when(kind == f"surname_{script}", F.concat(_pick(heads, own, 0), _pick(tails, own, 4))).otherwise(out)
+            both = GIVEN["m", script] + GIVEN["f", script]
+            for gender, names in (("m", GIVEN["m", script]), ("f", GIVEN["f", script]), ("x", both)):
+                out = F.when(kind == f"given_{gender}_{script}", _pick(names, own, 0)).otherwise(out)
+        return out
+
+    parts = F.when(attempt < 3, 0).when(attempt < 8, 1).otherwise(attempt - 6)
+    return F.array_join(F.transform(F.sequence(F.lit(0), parts), part), "-")
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -137,15 +153,15 @@ def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column, key: str
     country = F.regexp_extract(norm, r"^\+\d", 0)
     octet = lambda at, low, size: (F.pmod(_number(stream, at), F.lit(size)) + low).cast("string")
     return (
-        F.when(kind == "email", F.concat(_shaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), host, F.lit(".example.com")))
+        F.when(kind == "email", F.concat(_shaped(F.substring_index(norm, "@", 1), stream), _random(F.reverse(stream), attempt - 3), F.lit("@"), host, F.lit(".example.com")))
         .when(kind == "ipv4", F.concat_ws(".", octet(0, 1, 223), octet(4, 0, 256), octet(8, 0, 256), octet(12, 1, 254)))
         .when(kind == "ipv6", F.concat(F.lit("fd"), F.substr(_hexed(norm, stream), F.lit(3), F.length(norm))))
-        .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream)))
+        .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream), F.when(attempt > 15, _digits(F.repeat(F.lit("0"), attempt - 15), F.reverse(stream))).otherwise("")))
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream)))
         .when(kind == "card", _checked(F.concat(F.substr(norm, F.lit(1), F.lit(1)), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream))))
         .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), stream)))
-        .when(kind == "secret", F.when(norm.rlike("^[0-9a-fA-F]+$"), _hexed(norm, stream)).otherwise(
-            F.concat(F.regexp_extract(norm, "^(AKIA|ghp_|sk-|xox[bp]-)?", 0), _shaped(F.regexp_replace(norm, "^(AKIA|ghp_|sk-|xox[bp]-)", ""), stream))))
+        .when(kind == "secret", F.when(norm.rlike("^[0-9a-fA-F]+$"), F.concat(_hexed(norm, stream), _random(F.reverse(stream), attempt - 3))).otherwise(
+            F.concat(F.regexp_extract(norm, "^(AKIA|ghp_|sk-|xox[bp]-)?", 0), _shaped_or_random(F.regexp_replace(norm, "^(AKIA|ghp_|sk-|xox[bp]-)", ""), attempt, stream))))
         .otherwise(_chosen(kind, attempt, stream))
     )
 
@@ -226,7 +242,9 @@ def replaced(match: Column, attempts: Column, key: str) -> Column:
         name = F.concat(_name_parts(match)["title"], F.array_join(parts, " "))
         return (
             F.when(kind == "name", name)
-            .when(kind.isin("phone", "ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
+            .when(kind == "phone", let(F.regexp_replace(first, r"\D", ""), lambda digits: F.concat(
+                _laid(match, digits, "0-9"), F.substr(digits, F.length(F.regexp_replace(match, r"\D", "")) + 1, F.length(digits)))))
+            .when(kind.isin("ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
             .when(kind == "iban", _laid(match, first, "A-Z0-9"))
             .when(kind == "secret", F.concat(_label(match), first))
             .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(first))

@@ -294,6 +294,18 @@ def test_surrogates_stay_distinct_when_names_run_out(spark):
     assert all(p == q for p, q in parts) and len({p for p, _ in parts}) == len(names)
 
 
+def test_surrogates_settle_for_masked_values_and_thousands_of_names(spark):
+    masked = ["password: ********", "token=......", "secret: пароль-секрет", "api_key=密码密码密码密码", "password: a*****", "password: b*****"]
+    short = [f"mail {c}@one.example" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Mr {x.upper()}{y}{z} Smith" for x in alphabet[:16] for y in alphabet for z in alphabet[:8]]
+    names += [f"Госпожа {x}{y}{z}а Иванова" for x in "АБВГД" for y in "абвгд" for z in "абвгдежзик"]
+    texts = masked + short + names
+    out = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts[:len(masked) + len(short)])
+    assert all(re.fullmatch(r"(password: |token=|secret: |api_key=)[a-z0-9]{6,}", out[i]) for i in range(len(masked)))
+
+
 def test_warc(spark):
     rows = [(1, "u", "a" * 1000), (2, "http://x/é\r\n", "a" * 1000), (2, "u", "a" * 1000), (3, None, "b" * 999), (4, "", "b" * 999), (None, "u", "a" * 1000),
             (5, "u", None), (6, "u", ""), (None, "n", "c" * 2000), (7, "u", "d\r\n\r\nWARC/1.1\r\n" * 200), (8, "u", "é" * 800), (9, "u", LONG * 30)]
