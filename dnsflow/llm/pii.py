@@ -42,8 +42,8 @@ _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"'
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": rf"(?<![A-Za-z]){_LABEL}[^\s\"'=]{{6,256}}"
-              r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,128}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z]){_LABEL}[^\s\"'=]{{6,}}+"
+              r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",

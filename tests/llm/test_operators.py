@@ -306,6 +306,18 @@ def test_surrogates_settle_for_masked_values_and_thousands_of_names(spark):
     assert all(re.fullmatch(r"(password: |token=|secret: |api_key=)[a-z0-9]{6,}", out[i]) for i in range(len(masked)))
 
 
+@pytest.mark.parametrize("size", [257, 1000])
+def test_secrets_are_taken_to_their_end(spark, size):
+    draw = random.Random(size)
+    some = lambda letters: "".join(draw.choice(letters) for _ in range(size))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = [some(letters + "-_."), some(letters), some(letters), some(letters), some("0123456789abcdef"), some("0123456789ABCDEF")]
+    texts = [f"{before}{v} end 1" for before, v in zip(["token: ", "ghp_", "sk-", "xoxb-", "", ""], values)]
+    out = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    for i, (text, v) in enumerate(zip(texts, values)):
+        assert len(out[i]) == len(text) and out[i].endswith(" end 1") and not any(v[k:k + 12] in out[i] for k in range(size - 11))
+
+
 def test_warc(spark):
     rows = [(1, "u", "a" * 1000), (2, "http://x/é\r\n", "a" * 1000), (2, "u", "a" * 1000), (3, None, "b" * 999), (4, "", "b" * 999), (None, "u", "a" * 1000),
             (5, "u", None), (6, "u", ""), (None, "n", "c" * 2000), (7, "u", "d\r\n\r\nWARC/1.1\r\n" * 200), (8, "u", "é" * 800), (9, "u", LONG * 30)]
