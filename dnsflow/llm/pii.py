@@ -54,7 +54,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Any text with an entity matches this; it is far cheaper to look for.
-HINT = rf"[0-9@=:]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.?|{_FIRST}) \p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|ghp_|sk-|xox[bp]-|[a-f]{{32}}|[A-F]{{32}}|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.?|{_FIRST}) \p{{Lu}}"
 _ROUNDS = 40
 
 
