@@ -18,8 +18,9 @@ from dnsflow.llm import common
 
 # Titles by gender and script, given names, and halves that surnames are made of.
 TITLES = {
-    "m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος", "Mister", "Sir", "Lord", "Signor", "Senhor"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа", "Κυρία", "Madam", "Mlle", "Lady", "Dame", "Señorita", "Signora", "Senhora"),
+    "x": ("Dr", "Prof", "Doctor", "Professor", "Mx", "Доктор", "Профессор"),
 }
 GIVEN = {
     ("m", "latin"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Karl", "Carlos", "Pierre"),
@@ -29,6 +30,29 @@ GIVEN = {
     ("m", "greek"): ("Γιώργος", "Νίκος", "Γιάννης", "Κώστας", "Δημήτρης", "Πέτρος"),
     ("f", "greek"): ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη"),
 }
+#: Given names that are found without a title, besides those above; names that are also common words are left out.
+KNOWN = {
+    "m": "Aaron Adam Adrian Ahmed Alan Albert Alberto Alejandro Alessandro Alexander Alexandre Alfred Ali Andreas Andrew Anthony Antoine Anton Antonio Arthur Axel "
+         "Benjamin Bernard Bernd Brandon Brian Bruno Bryan Carl Charles Christian Christoph Christopher Claude Craig Daniel Dennis Diego Dieter Dmitri Donald Douglas "
+         "Dylan Edgar Edward Emil Enrique Eric Erik Ethan Eugene Fabian Felix Fernando Florian Francesco Francisco Francois François Franz Frederick Friedrich Gabriel Gary Georg George "
+         "Gerald Gerhard Giovanni Giuseppe Gregory Guillaume Günter Harold Hassan Heinrich Heinz Helmut Henri Henry Herbert Howard Hugo Ibrahim Igor Isaac Ivan Jacob Jacques "
+         "Jakob Jan Javier Jason Jean Jeffrey Jeremy Jerry Joachim Joel Johann Johannes Johnny Jonas Jonathan Jorge Jose José Joseph Joshua Juan Julien Justin Jürgen Keith Kenneth Kevin "
+         "Klaus Kurt Kyle Larry Lars Lawrence Leon Leonardo Liam Logan Louis Luca Lucas Luigi Luis Lukas Manuel Marc Marcel Marco Marcus Mario Markus Martin Mateo Matteo Matthew "
+         "Matthias Maximilian Mehmet Miguel Mohamed Mohammed Muhammad Nathan Nicholas Nicolas Noah Norman Oliver Olivier Omar Oscar Otto Pablo Paolo Patrick Paul Paulo Pedro Philip Philipp "
+         "Philippe Rafael Ralph Raymond Ricardo Richard Roberto Roger Roland Ronald Roy Russell Ryan Samuel Scott Sean Sebastian Sergio Simon Stefan Stephan Stephen Steven Sven Terry Theodore "
+         "Thierry Timothy Tobias Tyler Uwe Victor Viktor Vincent Vladimir Walter Wayne Werner Wolfgang Xavier Yusuf Zachary",
+    "f": "Abigail Agnes Alexandra Alice Alicia Alina Amanda Amelia Amy Ana Andrea Angela Anita Anne Annie Antonia Ashley Astrid Aurora Ava Beatrice Beatriz Bella Bianca Birgit Brenda "
+         "Brigitte Camila Carla Carol Caroline Carolyn Catherine Cecilia Charlotte Chiara Chloe Christina Christine Claire Clara Claudia Cristina Cynthia Deborah Denise Diana Diane Donna "
+         "Dorothy Elena Eleanor Elena Elisabeth Ella Ellen Emily Emma Erika Eva Evelyn Fatima Florence Frances Francesca Francoise Françoise Gabriela Gabriele Gerda Giulia Gloria Hannah Heather Heidi Helen Helena "
+         "Helga Hilda Ines Irene Irina Isabel Isabella Isabelle Jacqueline Jane Janet Janice Jennifer Jessica Joan Johanna Josefine Joyce Juana Judith Julia Juliana Julie Karin Katharina Katherine Kathleen Katrin "
+         "Kelly Kimberly Kristin Laura Lauren Laurence Lea Lena Leonie Lisa Lucia Lucie Lucy Luisa Madison Manon Margaret Margarita Maria María Marie Marion Marta Martha Martina Megan Melanie Melissa "
+         "Mia Michelle Monica Monika Monique Nadia Nancy Natalia Natalie Nathalie Nicole Nina Nora Olga Olivia Pamela Patricia Paula Pauline Petra Rachel Rebecca Renate Rosa Ruth Sabine Samantha "
+         "Sandra Sara Shirley Silvia Simone Sofia Sophia Sophie Stefanie Stephanie Susanne Svetlana Sylvia Tamara Tanja Tatiana Teresa Theresa Ursula Valentina Valeria Vanessa Veronica Victoria Virginia Vivian Wendy Yvonne Zoe",
+    "m_other": "Александр Андрей Антон Артём Борис Вадим Валерий Василий Виктор Виталий Владимир Григорий Денис Евгений Егор Игорь Илья Кирилл Константин Леонид Максим Михаил Никита Олег "
+               "Павел Роман Станислав Фёдор Юрий Αλέξανδρος Ανδρέας Αντώνης Βασίλης Θανάσης Κωνσταντίνος Μανώλης Μιχάλης Νικόλαος Παναγιώτης Σπύρος Σταύρος Χρήστος Γεώργιος Ιωάννης",
+    "f_other": "Александра Алина Анастасия Валентина Вера Виктория Галина Дарья Евгения Екатерина Ирина Ксения Лариса Людмила Марина Надежда Нина Полина Светлана София Юлия "
+               "Αικατερίνη Αναστασία Αγγελική Βασιλική Γεωργία Δήμητρα Ευαγγελία Ιωάννα Κωνσταντίνα Παναγιώτα Χριστίνα Δέσποινα Ελευθερία",
+}
 SURNAMES = {
     "latin": (("Ash", "Bell", "Carl", "Dan", "East", "Fair", "Gold", "Hart", "Lang", "Nor", "Stan", "West"), ("berg", "by", "field", "ford", "ley", "man", "mont", "son", "stein", "ton", "well", "wood")),
     "cyrillic": (("Берез", "Волк", "Город", "Зай", "Лес", "Мороз", "Поп", "Сокол"), ("ин", "ко", "ник", "ский", "ук", "ян")),
@@ -36,7 +60,19 @@ SURNAMES = {
 }
 
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
-_FIRST = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
+
+_LISTED = {g: sorted({n for (gender, _), names in GIVEN.items() if gender == g for n in names} | {*KNOWN[g].split(), *KNOWN[f"{g}_other"].split()}) for g in "mf"}
+
+
+def _any_of(words) -> str:
+    """A pattern of the words, by their first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
+
+
+_FIRST = _any_of(_LISTED["m"] + _LISTED["f"])
 _NAME = r"\p{Lu}[\p{L}'-]{1,40}"
 _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
 #: Kinds in the order in which they are tried at a place.
@@ -44,7 +80,10 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": rf"(?<![A-Za-z]){_LABEL}[^\s\"'=]{{6,}}+"
               r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    # short forms need a digit, and a group of three digits or four groups: others are slices and names in code, or loopback
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+            r"|(?<![A-Za-z0-9_:])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]{0,40}[0-9])(?=[0-9A-Fa-f:]{0,40}[0-9A-Fa-f]{3}|(?:[0-9A-Fa-f]{0,4}:){4})(?!(?:[0-9A-Fa-f]{0,4}:){9})"
+            r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![A-Za-z0-9_:]|\.\d)",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
@@ -142,6 +181,19 @@ def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), parts), part), "-")
 
 
+def _address(norm: Column, attempt: Column, stream: Column) -> Column:
+    """Groups in place of those that are not zero, of the same length; attempts from the eighth on replace all."""
+
+    def group(g: Column, i: Column) -> Column:
+        wide = attempt >= 8
+        first = F.lower(F.hex(F.pmod(_number(stream, i * 7), F.lit(15)) + 1))
+        digits = F.concat(first, F.substr(F.concat(stream, stream), i * 7 + 5, F.when(wide, 3).otherwise(F.length(g) - 1)))
+        own = F.when(i == 0, F.concat(F.lit("fd"), F.substr(stream, F.lit(1), F.lit(2)))).otherwise(digits)
+        return F.when((g == "0") & ~wide, g).otherwise(own)
+
+    return F.array_join(F.transform(F.split(norm, ":"), group), ":")
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate, in normal form, of an entity in normal form."""
     return let(_hex(kind, norm, attempt, key), lambda stream: _drawn(kind, norm, attempt, stream, key))
@@ -155,7 +207,7 @@ def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column, key: str
     return (
         F.when(kind == "email", F.concat(_shaped(F.substring_index(norm, "@", 1), stream), _random(F.reverse(stream), attempt - 3), F.lit("@"), host, F.lit(".example.com")))
         .when(kind == "ipv4", F.concat_ws(".", octet(0, 1, 223), octet(4, 0, 256), octet(8, 0, 256), octet(12, 1, 254)))
-        .when(kind == "ipv6", F.concat(F.lit("fd"), F.substr(_hexed(norm, stream), F.lit(3), F.length(norm))))
+        .when(kind == "ipv6", _address(norm, attempt, stream))
         .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream), F.when(attempt > 15, _digits(F.repeat(F.lit("0"), attempt - 15), F.reverse(stream))).otherwise("")))
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream)))
         .when(kind == "card", _checked(F.concat(F.substr(norm, F.lit(1), F.lit(1)), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream))))
@@ -194,19 +246,42 @@ def _script(word: Column) -> Column:
 
 
 def _given_kind(title: Column, given: Column) -> Column:
-    listed = lambda g: given.isin([n for (gender, _), names in GIVEN.items() if gender == g for n in names])
+    listed = lambda g: given.isin(_LISTED[g])
     of = lambda g: F.regexp_replace(title, r"\.? $", "").isin(list(TITLES[g]))
     gender = F.when(listed("m"), "m").when(listed("f"), "f").when(of("m"), "m").when(of("f"), "f").otherwise("x")
     return F.concat(F.lit("given_"), gender, F.lit("_"), _script(given))
 
 
+def _groups(match: Column) -> Column:
+    """The eight groups of an IPv6 address in any spelling, lower case and without leading zeros."""
+    sides = F.transform(F.split(F.lower(match), "::"), lambda side: F.filter(F.split(side, ":"), lambda g: g != ""))
+    filled = let(sides, lambda s: F.when(F.size(s) < 2, s[0]).otherwise(
+        F.concat(s[0], F.array_repeat(F.lit("0"), F.greatest(8 - F.size(s[0]) - F.size(s[1]), F.lit(0))), F.element_at(s, -1))))
+    return F.array_join(F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
+def _spelled(match: Column, groups: Column) -> Column:
+    """An IPv6 address (its groups) as the match is spelled: padded, or shortened at the same place."""
+
+    def shortened(g: Column) -> Column:
+        count = lambda side: F.size(F.filter(F.split(side, ":"), lambda x: x != ""))
+        left, right = count(F.substring_index(match, "::", 1)), count(F.substring_index(match, "::", -1))
+        zero = F.forall(F.slice(g, left + 1, F.greatest(F.size(g) - left - right, F.lit(0))), lambda x: x == "0")
+        short = F.concat(F.array_join(F.slice(g, F.lit(1), left), ":"), F.lit("::"), F.array_join(F.slice(g, F.size(g) - right + 1, right), ":"))
+        return F.when(match.contains("::") & zero, short).otherwise(groups)
+
+    padded = F.array_join(F.transform(F.split(groups, ":"), lambda x: F.lpad(x, 4, "0")), ":")
+    return F.when(match.rlike("^[0-9A-Fa-f]{4}(:[0-9A-Fa-f]{4}){7}$"), padded).otherwise(let(F.split(groups, ":"), shortened))
+
+
 def units(match: Column, kind: Column) -> Column:
     """The entities of a match, in normal form: a name has one per part, so parts corefer across mentions."""
     norm = (
         F.when(kind.isin("phone"), F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", "")))
         .when(kind.isin("ssn", "card"), F.regexp_replace(match, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
-        .when(kind.isin("email", "ipv6"), F.lower(match))
+        .when(kind == "email", F.lower(match))
+        .when(kind == "ipv6", _groups(match))
         .when(kind == "secret", F.substr(match, F.length(_label(match)) + 1, F.length(match)))
         .otherwise(match)
     )
@@ -247,7 +322,8 @@ def replaced(match: Column, attempts: Column, key: str) -> Column:
             .when(kind.isin("ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
             .when(kind == "iban", _laid(match, first, "A-Z0-9"))
             .when(kind == "secret", F.concat(_label(match), first))
-            .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(first))
+            .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(F.when(kind == "ipv6", _spelled(match, first)).otherwise(first)))
+            .when(kind == "ipv6", _spelled(match, first))
             .otherwise(first)
         )
 
