@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import brute
 import corpus_pipeline
 from dnsflow.llm import (
-    catalog, common, components, decontaminate, embeddings, hmm, language, pii, quality, simhash, substring, warc,
+    catalog, common, components, decontaminate, embeddings, hmm, language, nearcopies, pii, quality, simhash, substring, warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +85,42 @@ def test_crowded_fingerprints_lose_no_link(spark, monkeypatch, crowd):
     assert {i: got.get(i, i) for i in range(len(prints))} == brute.roots(range(len(prints)), pairs)
 
 
+def jaccard_groups(rows):
+    """The smallest id reachable, for every id, by comparing all pairs."""
+    words = [((t or "").encode().lower().split(), i) for i, t in rows if i is not None]
+    sets = [(i, {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}) for w, i in words]
+    pairs = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if len(a & b) >= 0.8 * len(a | b)]
+    root = {i: i for i, _ in sets}
+    while any(root[i] != root[j] for i, j in pairs):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_near_copies_equal_all_pairs(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10 ** 6)}" for _ in range(1000)]
+    chain = [(1000 + i, " ".join(words[at:at + 100])) for i, at in enumerate(draw.sample(range(0, 400, 8), 50))]
+    copies = [(2000 + i, " ".join([*words[600:700], f"end{i}"])) for i in range(40)]
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()] + chain + copies
+    for data in (rows, ODD, []):
+        got = {r.node: r.root for r in nearcopies.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        expect = jaccard_groups(data)
+        assert {i: got.get(i, i) for i in expect} == expect
+    kept = nearcopies.keep_first(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None} | {i for i, c in jaccard_groups(ODD).items() if i == c}
+
+
+def test_the_pipeline_drops_near_copies_that_differ_in_more_than_three_bits(spark):
+    docs = documents(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for a, b in ((1, 177), (6, 145)):
+        assert (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() > 3
+        assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs.filter(docs.doc_id.isin(a, b)), SF).collect()] == [a]
+
+
 def test_masks_cover_every_three_bits():
     for level in simhash.LEVELS:
         for masks in level[:3]:
