@@ -97,9 +97,10 @@ def jaccard_groups(rows):
     return root
 
 
-@pytest.mark.parametrize("block", [128, 3])
-def test_near_copies_equal_all_pairs(spark, odd, monkeypatch, block):
+@pytest.mark.parametrize("block,rounds", [(1024, 2), (7, 0)])
+def test_near_copies_equal_all_pairs(spark, odd, monkeypatch, block, rounds):
     monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
     draw = random.Random(5)
     words = [f"w{draw.randrange(10 ** 6)}" for _ in range(1000)]
     chain = [(1000 + i, " ".join(words[at:at + 100])) for i, at in enumerate(draw.sample(range(0, 400, 8), 50))]
@@ -425,8 +426,8 @@ def test_pipeline_equals_plain_code(spark):
     docs = documents(spark)
     model_rows = {r.doc_id: r.score for r in quality.op4_quality_pu(spark, SF).collect()}
     kept = [(r.doc_id, r.text) for r in docs.collect() if model_rows[r.doc_id] >= 0.7]
-    first = {i for i, _, c in brute.simhash_groups(kept) if i == c}
-    kept = [(i, t) for i, t in kept if i in first]
+    root = jaccard_groups(kept)
+    kept = [(i, t) for i, t in kept if root[i] == i]
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     windows = set()
     for r in common.table(spark, SF, "benchmark").collect():
