@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import bpe, decontaminate, embeddings, hmm, language, pii, quality, simhash, substring, warc
+from dnsflow.llm import bpe, decontaminate, embeddings, hmm, language, pii, quality, simhash, substring, urls, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_hmm_score": hmm.op8_hmm_score,
     "op9_language_id": language.op9_language_id,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
+    "op11_url_filter": urls.op11_url_filter,
 }
 
 ORACLE = {
+    "op11_url_filter": urls.twin(),
     "op1_substring_dedup": """
         WITH d AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
