@@ -96,3 +96,51 @@ def forward(start, move, emit, classes):
         total += np.log(s)
         a = (a / s) @ move * emit[c]
     return total + np.log(a.sum())
+
+
+def alignments(rows):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), text by text with the libraries themselves."""
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_coder.encode_special_tokens = True
+    b_coder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    values = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in shown)}
+
+    def b_bytes(piece):
+        return bytes([int(piece[3:5], 16)]) if piece[:3] == "<0x" and len(piece) == 6 else piece.replace("▁", " ").encode()
+
+    found, counts = [], Counter()
+    for i, text in rows:
+        groups, links = [], Counter()
+        a = [(t, bytes(values[c] for c in a_coder.id_to_token(t))) for t in a_coder.encode(" " + (text or ""), add_special_tokens=False).ids]
+        b = [(t, b_bytes(b_coder.id_to_piece(t))) for t in b_coder.encode(text or "")]
+        whole = b" " + (text or "").encode()
+        if text and b"".join(x for _, x in a) == whole and b"".join(x for _, x in b) == whole:
+            at, left = [0, 0], [list(a), list(b)]
+            while left[0]:
+                group, at = ([], []), [0, 0]
+                while not group[0] or at[0] != at[1]:
+                    side = 0 if at[0] <= at[1] else 1
+                    token, data = left[side].pop(0)
+                    group[side].append(token)
+                    at[side] += len(data)
+                groups.append(group)
+                links.update((x, y) for x in group[0] for y in group[1])
+        else:
+            a, b = [], []
+        counts.update(links.keys())
+        digest = sha(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups).encode()) if groups else ""
+        found.append((i, len(a), len(b), len(groups), links, digest))
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    return sorted(
+        ((i, a, b, g, sum(ls.values()), sum(k for p, k in ls.items() if counts[p] == best[p[0]]), sum(k * counts[p] for p, k in ls.items()), d)
+         for i, a, b, g, ls, d in found), key=repr,
+    )
