@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsflow.llm import alignment, bpe, decontaminate, embeddings, hmm, language, pii, quality, simhash, substring, urls, warc
+from dnsflow.llm import alignment, bpe, decontaminate, embeddings, hmm, language, pii, quality, simhash, spelling, substring, urls, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op11_url_filter": urls.op11_url_filter,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_alignment": alignment.op13_alignment,
 }
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dnsflow.llm import common
 
 
-def _ends(parents: DataFrame) -> DataFrame:
+def chain_ends(parents: DataFrame) -> DataFrame:
     """(node, parent) with every parent replaced by the end of its chain; ends point to themselves."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
@@ -39,7 +39,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b"))
-        parents = _ends(common.written(least.select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents"))
+        parents = chain_ends(common.written(least.select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents"))
         if roots is None:
             roots = parents.select("node", F.col("parent").alias("root"))
         else:

@@ -144,3 +144,40 @@ def alignments(rows):
         ((i, a, b, g, sum(ls.values()), sum(k for p, k in ls.items() if counts[p] == best[p[0]]), sum(k * counts[p] for p, k in ls.items()), d)
          for i, a, b, g, ls, d in found), key=repr,
     )
+
+
+def spelling(rows):
+    """(word, n, n_near, form, form_n, root) by looking up every word with one code point left out."""
+    import re
+    import zlib
+    from collections import Counter, defaultdict
+
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[:h % len(run)] + run[h % len(run) + 1:] if h % 97 == 0 else run] += 1
+    words = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    holes, near = defaultdict(set), defaultdict(set)
+    for w in words:
+        for k in range(len(w)):
+            holes[w[:k], w[k + 1:]].add(w)
+            if (less := w[:k] + w[k + 1:]) in words:
+                near[w].add(less)
+                near[less].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= 2 * words[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return sorted((w, k, len(near[w]), form.get(w), words.get(form.get(w)), root(w)) for w, k in words.items())
