@@ -8,7 +8,9 @@ the same steps in chunks of time or position, so no task ever holds a whole conn
 from __future__ import annotations
 
 import bisect
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from dnsflow.functions.binding import stage
 from dnsflow.operators.decode import decode_dns
 from dnsflow.plans.prefix import with_prefix
-from dnsflow.plans.skew import SkewPolicy, cut_lineage, settle_carry, split_hot
+from dnsflow.plans.skew import SkewPolicy, cut_lineage, split_hot
 
 WRAP = 1 << 32
 CHUNK_BYTES = 1 << 20
@@ -191,14 +193,16 @@ def overflow_times(pieces: DataFrame, limit: int = BUFFER_LIMIT, chunk: str | No
     return over.groupBy("conn", "session").agg(F.min("us").alias("overflow_us"))
 
 
-FRAMES = "array<struct<start:int,size:int,first:int,last:int>>"
-_FRAMES = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "size", "first", "last")]))
+#: A message with its length prefix is no longer than this.
+LONGEST = (1 << 16) + 1
+FOUND = "array<struct<start:bigint,body:binary,first:int,last:int>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("body", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _frames(stream: bytes, ends: list[int]) -> list[dict]:
-    """Whole messages of a stream: start, size, and the pieces (given by their ends) they span."""
-    out, at = [], 0
-    while at + 2 <= len(stream):
+def _frames(stream: bytes, ends: list[int], at: int = 0, stop: int | None = None) -> list[dict]:
+    """Whole messages of a stream that start from `at` on and before `stop`: start, size, and the pieces (given by their ends) they span."""
+    out = []
+    while at + 2 <= len(stream) and (stop is None or at < stop):
         size = int.from_bytes(stream[at : at + 2], "big")
         close = at + 2 + size
         if close > len(stream):
@@ -211,13 +215,114 @@ def _frames(stream: bytes, ends: list[int]) -> list[dict]:
     return out
 
 
-def _frames_udf():
-    @F.arrow_udf(FRAMES)
-    def frames(streams: pa.Array, ends: pa.Array) -> pa.Array:
-        made = [_frames(s.as_py(), e.as_py()) for s, e in zip(streams, ends)]
-        return pa.array(made, type=_FRAMES)
+def _joined(parts: pa.ListScalar) -> tuple[bytes, list[int]]:
+    """The bytes of all pieces and where each of them ends."""
+    held = parts.as_py()
+    return b"".join(held), np.cumsum([len(x) for x in held]).tolist()
 
-    return frames
+
+def _found_udf(width: int | None = None):
+    """Messages in the pieces of a group: all from `entry` on, or those that start in the group's chunk of this width."""
+    @F.arrow_udf(FOUND)
+    def found(parts: pa.Array, base: pa.Array, chunk: pa.Array, entry: pa.Array) -> pa.Array:
+        out = []
+        for held, low, number, first in zip(parts, base.to_pylist(), chunk.to_pylist(), entry.to_pylist()):
+            stream, ends = _joined(held)
+            start = 0 if width is None else number * width - low
+            frames = [] if first < 0 else _frames(stream, ends, start + first, None if width is None else start + width)
+            out.append([
+                {"start": low + f["start"], "body": stream[f["start"] + 2 : f["start"] + 2 + f["size"]], "first": f["first"], "last": f["last"]}
+                for f in frames
+            ])
+        return pa.array(out, type=_FOUND)
+
+    return found
+
+
+def exits(stream: bytes, width: int) -> np.ndarray:
+    """For every offset at which a message may start, counted from the start of a chunk, where the first one after the chunk starts.
+
+    Both are counted from the start of their chunk; -1 where the stream ends first. Pointers to the next start
+    are squared until all have left the chunk.
+    """
+    n = len(stream)
+    head = np.frombuffer(stream[: width + 1], dtype=np.uint8).astype(np.int64)
+    size = max(width, LONGEST) + LONGEST + 1
+    jump = np.arange(size + 1)  # the last stands for the end of the stream
+    inside = min(width, n)
+    jump[inside:width] = size
+    known = max(0, min(inside, len(head) - 1))
+    jump[known:inside] = size
+    after = np.arange(known) + 2 + head[:known] * 256 + head[1 : known + 1]
+    jump[:known] = np.where(after <= n, after, size)
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        jump = further
+    first = jump[:LONGEST]
+    return np.where(first == size, -1, first - width).astype(np.int32)
+
+
+def _packed(offsets: np.ndarray) -> bytes:
+    return zlib.compress(offsets.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int32)
+
+
+_REACHED = pa.struct([("offsets", pa.binary()), ("exit", pa.int32())])
+
+
+def _exits_udf(width: int):
+    @F.arrow_udf("struct<offsets:binary,exit:int>")
+    def reached(parts: pa.Array, base: pa.Array, chunk: pa.Array) -> pa.Array:
+        out = []
+        for held, low, number in zip(parts, base.to_pylist(), chunk.to_pylist()):
+            offsets = exits(_joined(held)[0][number * width - low :], width)
+            out.append({"offsets": None, "exit": int(offsets[0])} if number == 0 else {"offsets": _packed(offsets), "exit": None})
+        return pa.array(out, type=_REACHED)
+
+    return reached
+
+
+def _composed_udf():
+    @F.arrow_udf("struct<offsets:binary,exit:int>")
+    def composed(offsets: pa.Array, before: pa.Array, exit_before: pa.Array) -> pa.Array:
+        out = []
+        for own, other, start in zip(offsets.to_pylist(), before.to_pylist(), exit_before.to_pylist()):
+            after = _unpacked(own)
+            if start is not None:
+                out.append({"offsets": None, "exit": -1 if start < 0 else int(after[start])})
+            else:
+                first = _unpacked(other)
+                out.append({"offsets": _packed(np.where(first < 0, -1, after[first]).astype(np.int32)), "exit": None})
+        return pa.array(out, type=_REACHED)
+
+    return composed
+
+
+def _composed(reached: DataFrame, distance: int) -> DataFrame:
+    """Every chunk's offsets behind those of the chunk `distance` before it; known exits stay."""
+    on = [*STREAM, "chunk"]
+    before = reached.select(
+        *STREAM, (F.col("chunk") + distance).alias("chunk"), F.col("offsets").alias("before"), F.col("exit").alias("exit_before")
+    )
+    met = reached.filter("exit IS NULL").join(before, on)
+    made = met.select(*on, _composed_udf()("offsets", "before", "exit_before").alias("r")).select(*on, "r.*")
+    return cut_lineage(reached.filter("exit IS NOT NULL").unionByName(made))
+
+
+def _entries(reached: DataFrame) -> DataFrame:
+    """(stream, chunk, entry): where the first message of every chunk starts.
+
+    The distance doubles with every round, so n chunks are settled in log2(n) rounds.
+    """
+    last = reached.agg(F.max("chunk")).first()[0] or 0
+    for turn in range(last.bit_length()):
+        reached = _composed(reached, 1 << turn)
+    return reached.select(*STREAM, (F.col("chunk") + 1).alias("chunk"), F.col("exit").alias("entry"))
 
 
 PIECE = ["us", "seg_no", "packet_len", "released_us", "rtt_us"]
@@ -232,66 +337,46 @@ def _grouped(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
 
 
-def _framed(groups: DataFrame) -> DataFrame:
-    """Adds the joined bytes and the frames found in them."""
-    joined = stage(groups, {
-        "stream": F.unhex(F.array_join(F.transform("pieces", lambda p: F.hex(p["data"])), "")),
-        "ends": F.transform(
-            "pieces", lambda p: p["pos"] + F.octet_length(p["data"]) - F.get("pieces", F.lit(0))["pos"]
-        ),
-    })
-    return joined.withColumn("frames", _frames_udf()("stream", "ends"))
-
+def _messages(groups: DataFrame, chunk: Column, entry: Column, width: int | None = None) -> DataFrame:
+    """The messages of groups of pieces; a message takes its fields from the piece that completes it."""
+    fields = groups.schema["pieces"].dataType.elementType.names
+    found = _found_udf(width)(F.transform("pieces", lambda p: p["data"]), F.get("pieces", F.lit(0))["pos"], chunk, entry)
+    light = F.transform("pieces", lambda p: F.struct(*[p[c].alias(c) for c in fields if c != "data"]))
+    rows = groups.select(*STREAM, light.alias("pieces"), found.alias("found"))
+
+    def message(f: Column) -> Column:
+        last = F.get("pieces", f["last"])
+        used = F.slice("pieces", f["first"] + 1, f["last"] - f["first"] + 1)
+        return F.struct(
+            f["start"].alias("pos"), f["body"].alias("body"), last["released_us"].alias("us"), last["seg_no"].alias("seg_no"),
+            last["rtt_us"].alias("rtt_us"), *[last[c].alias(c) for c in HEADER if c in fields],
+            F.aggregate(used, F.lit(0), lambda a, p: a + p["packet_len"]).alias("len"),
+        )
 
-def _messages(framed: DataFrame) -> DataFrame:
-    fields = framed.schema["pieces"].dataType.elementType.names
-    base = F.get("pieces", F.lit(0))["pos"]
-    spread = framed.select(*STREAM, "pieces", "stream", base.alias("base"), F.explode("frames").alias("f"))
-    used = F.slice("pieces", F.col("f.first") + 1, F.col("f.last") - F.col("f.first") + 1)
-    last = F.get("pieces", F.col("f.last"))
-    return spread.select(
-        *STREAM, (F.col("base") + F.col("f.start")).alias("pos"),
-        F.substring("stream", F.col("f.start") + 3, F.col("f.size")).alias("body"),
-        last["released_us"].alias("us"), last["seg_no"].alias("seg_no"),
-        last["rtt_us"].alias("rtt_us"), *[last[c].alias(c) for c in HEADER if c in fields],
-        F.aggregate(used, F.lit(0), lambda a, p: a + p["packet_len"]).alias("len"),
-    )
+    return rows.select(*STREAM, F.inline(F.transform("found", message)))
 
 
 def frame_messages(pieces: DataFrame, chunked: bool = False) -> DataFrame:
     """Length-prefixed messages of every stream: (stream key, pos, body, us, seg_no, len).
 
-    `len` adds up the packets that contributed, `us` is when the last missing byte came.
+    `len` adds up the packets that contributed, `us` is when the last missing byte came. In chunks, a group holds the
+    bytes of a chunk and as many behind it as a message may take. Where a chunk's first message starts depends on
+    all chunks before, so each chunk gives the offset at which it is left for every offset at which it may
+    be entered, and these are composed.
     """
     if not chunked:
-        return _messages(_framed(_grouped(pieces, STREAM)))
-    parts = pieces.withColumn("chunk", F.floor(F.col("pos") / CHUNK_BYTES).cast("bigint"))
-    groups = _grouped(parts, [*STREAM, "chunk"]).withColumnRenamed("pieces", "own")
-    groups = cut_lineage(groups.withColumn("open", F.slice("own", 1, 0)))
-
-    def started(df: DataFrame) -> DataFrame:
-        return _framed(stage(df, {"pieces": F.concat("open", "own")}))
-
-    def step(df: DataFrame) -> DataFrame:
-        framed = started(df)
-        count = F.size("frames")
-        final = F.get("frames", count - 1)
-        done = F.when(count > 0, final["start"] + 2 + final["size"]).otherwise(0)
-        edge = F.get("pieces", F.lit(0))["pos"] + done
-        cut = stage(framed, {"edge": edge})
-        rest = F.filter("pieces", lambda p: p["pos"] + F.octet_length(p["data"]) > F.col("edge"))
-        others = df.schema["own"].dataType.elementType.names[2:]
-        trimmed = F.transform(rest, lambda p: F.struct(
-            F.greatest(p["pos"], F.col("edge")).alias("pos"),
-            F.substring(
-                p["data"], (F.greatest(F.col("edge") - p["pos"], F.lit(0)) + 1).cast("int"),
-                F.octet_length(p["data"]),
-            ).alias("data"),
-            *[p[c].alias(c) for c in others],
-        ))
-        return cut.select(*STREAM, "chunk", trimmed.alias("open"))
-
-    return _messages(started(settle_carry(groups, STREAM, step, ["open"])))
+        return _messages(_grouped(pieces, STREAM), F.lit(0), F.lit(0))
+    width = CHUNK_BYTES
+    end = F.col("pos") + F.octet_length("data")
+    low = F.greatest(F.floor((F.col("pos") - LONGEST) / width), F.lit(0))
+    high = F.floor((end - 1) / width)
+    parts = pieces.filter("whole").withColumn("chunk", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    groups = cut_lineage(_grouped(parts, [*STREAM, "chunk"]))
+    base = F.get("pieces", F.lit(0))["pos"]
+    reached = groups.select(*STREAM, "chunk", _exits_udf(width)(F.transform("pieces", lambda p: p["data"]), base, "chunk").alias("r"))
+    entries = _entries(cut_lineage(reached.select(*STREAM, "chunk", "r.*")))
+    entered = groups.join(entries, [*STREAM, "chunk"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    return _messages(entered, F.col("chunk"), F.col("entry"), width)
 
 
 def _parts(segments: DataFrame, skew: SkewPolicy):

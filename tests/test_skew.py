@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow.operators import enrich, match, tcp, transfer
-from dnsflow.plans import views, wireviews
+from dnsflow.plans import skew, views, wireviews
 from dnsflow.plans.prefix import with_prefix
 from dnsflow.plans.skew import SkewPolicy, split_hot
 
@@ -105,6 +105,35 @@ def test_a_burst_is_cut_into_small_chunks(spark):
     assert cold.count() == 0 and sum(sizes) == 1001 and max(sizes) <= 100
 
 
+def test_buckets_that_ordinary_keys_fill_mark_no_key(busy, expected, monkeypatch):
+    """Every bucket of the histogram is over the limit; only the one key that is over it too is cut."""
+    monkeypatch.setattr(skew, "HISTOGRAM_BUCKETS", 4)
+    keyed = match.with_flow_key(busy)
+    per_key = keyed.groupBy(*match.FLOW_KEY).count()
+    limit = sorted((r["count"] for r in per_key.collect()), reverse=True)[1]
+    least = min(r["count"] for r in keyed.groupBy(skew.key_bucket(match.FLOW_KEY)).count().collect())
+    assert limit < least
+    cold, hot = split_hot(keyed, match.FLOW_KEY, F.unix_micros("ts"), 1_000_000, SkewPolicy(rows_per_group=limit))
+    assert hot.select(*match.FLOW_KEY).distinct().count() == 1 and cold.count() + hot.count() == busy.count()
+    assert ids(match.match_transactions(busy, skew=SkewPolicy(rows_per_group=limit))) == expected
+    quiet = keyed.join(hot.select(*match.FLOW_KEY).distinct(), match.FLOW_KEY, "left_anti")
+    assert split_hot(quiet, match.FLOW_KEY, F.unix_micros("ts"), 1_000_000, SkewPolicy(rows_per_group=limit))[1] is None
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
+    assert ids(match.match_transactions(busy, skew=SkewPolicy(rows_per_group=limit))) == expected
+
+
+def test_a_sketch_taken_on_the_way_spares_the_count(busy, expected, monkeypatch, tmp_path):
+    taken = skew.Sketching(match.with_flow_key(busy), match.FLOW_KEY)
+    taken.rows.write.parquet(str(tmp_path / "messages"))
+    sketch = taken.sketch()
+    counts = sorted((r["count"] for r in match.with_flow_key(busy).groupBy(*match.FLOW_KEY).count().collect()), reverse=True)
+    assert counts[0] <= sketch.most < busy.count() and all(sum(row) == busy.count() for row in sketch.counters)
+    monkeypatch.setattr(skew, "crowded_keys", None)  # must not be called
+    assert ids(match.match_transactions(busy, skew=SkewPolicy(rows_per_group=sketch.most, sketch=sketch))) == expected
+    monkeypatch.undo()
+    assert ids(match.match_transactions(busy, skew=SkewPolicy(rows_per_group=150, sketch=sketch))) == expected
+
+
 def test_crowded_key_waiting_times(busy):
     rows = [
         Counter(tuple(r) for r in match.waiting_times(busy, skew=p).collect()) for p in (PLAIN, CROWDED)
@@ -182,6 +211,63 @@ def test_crowded_connection(spark, messages, monkeypatch):
     assert [r[-1] for r in mine if r[-1] >= 0] == [250]
 
 
+def frames_of(stream):
+    at, out = 0, []
+    while at + 2 <= len(stream) and at + 2 + int.from_bytes(stream[at : at + 2], "big") <= len(stream):
+        size = int.from_bytes(stream[at : at + 2], "big")
+        out.append((at, stream[at + 2 : at + 2 + size]))
+        at += 2 + size
+    return out
+
+
+def test_a_chunk_gives_an_exit_for_every_entry():
+    import random
+
+    rng = random.Random(3)
+    for width in (5, 64, 1000):
+        data = bytes(rng.choice([0, 0, 0, 1, 9]) for _ in range(width + tcp.LONGEST + 70))
+        for stream in (data, data[: width + 3], data[: width // 2], data[:1], b""):
+            got = tcp.exits(stream, width)
+            for entry in [*range(min(width + 3, 200)), 65_000]:
+                at = entry
+                while 0 <= at < width:
+                    size = int.from_bytes(stream[at : at + 2], "big") if at + 2 <= len(stream) else 1 << 20
+                    at = at + 2 + size if at + 2 + size <= len(stream) else -1
+                assert got[entry] == (at - width if at >= 0 else -1)
+
+
+@pytest.mark.parametrize("cut", [0, 40])
+def test_framing_in_chunks_takes_log2_rounds(spark, monkeypatch, cut):
+    """64 chunks, with messages longer than a chunk and length prefixes across borders, in six rounds."""
+    import random
+
+    monkeypatch.setattr(tcp, "CHUNK_BYTES", 3000)
+    rng, streams = random.Random(9), {}
+    for side in (0, 1):
+        stream = b""
+        while len(stream) < 63 * 3000 + 100:
+            size = rng.choice([0, 1, 12, 200, 2997, 2998, 9000])
+            stream += size.to_bytes(2, "big") + bytes([size % 251]) * size
+        streams[side] = stream[: 64 * 3000 - cut] if side else stream[:5000]
+    rows = []
+    for side, stream in streams.items():
+        at = 0
+        while at < len(stream):
+            data = stream[at : at + rng.randrange(1, 1500)]
+            rows.append(("x", 1, side, at, data, at, at, len(data), at, None, True))
+            at += len(data)
+    pieces = spark.createDataFrame(
+        rows, "conn string, session long, side int, pos long, data binary, us long, seg_no long, packet_len int, released_us long, rtt_us long, whole boolean"
+    )
+    turns = []
+    composed = tcp._composed
+    monkeypatch.setattr(tcp, "_composed", lambda df, distance: turns.append(distance) or composed(df, distance))
+    plain, chunked = (sorted(map(tuple, tcp.frame_messages(pieces, c).collect())) for c in (False, True))
+    assert plain == chunked and turns == [1, 2, 4, 8, 16, 32]
+    for side, stream in streams.items():
+        assert [(r[3], bytes(r[4])) for r in chunked if r[2] == side] == frames_of(stream)
+
+
 def test_prefix_in_chunks(spark):
     rows = spark.range(500).select(
         (F.col("id") % 3).alias("k"), F.col("id").alias("o"),
