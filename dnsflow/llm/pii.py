@@ -5,7 +5,8 @@ gets the same surrogate in every document and spelling. It keeps kind, format an
 these matter: a card number passes its check sum, a phone number keeps its country code, a name its
 gender and script. The distinct entities of a corpus are checked for collisions, with each other
 and with entities that really occur; of two that collide one is drawn again until none is left.
-Later attempts draw from more: names get more parts, secrets, mail names and phone numbers more characters.
+Later attempts draw from more: names get more parts, secrets, mail names and numbers more characters, and
+an IPv4 address becomes a local IPv6 address. The gender of a given name is settled once for the corpus.
 """
 
 from __future__ import annotations
@@ -73,11 +74,11 @@ def _any_of(words) -> str:
 
 
 _FIRST = _any_of(_LISTED["m"] + _LISTED["f"])
-_NAME = r"\p{Lu}[\p{L}'-]{1,40}"
+_NAME = r"\p{Lu}[\p{L}'’ʼ-]++"
 _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
     "secret": rf"(?<![A-Za-z]){_LABEL}[^\s\"'=]{{6,}}+"
               r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     # short forms need a digit, and a group of three digits or four groups: others are slices and names in code, or loopback
@@ -94,7 +95,8 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Any text with an entity matches this; it is far cheaper to look for.
 HINT = rf"[0-9@=:]|AKIA|ghp_|sk-|xox[bp]-|[a-f]{{32}}|[A-F]{{32}}|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.?|{_FIRST}) \p{{Lu}}"
-_ROUNDS = 40
+#: From this attempt on, kinds of a fixed length get longer surrogates, so any number of entities settles.
+_LONGER = 15
 
 
 def _hex(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -162,8 +164,8 @@ def _pick(values: tuple, stream: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(_number(stream, at), F.lit(len(values))) + 1).cast("int"))
 
 
-def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
-    """A given name or surname of the kind's gender and script; later attempts join more and more with hyphens."""
+def _chosen(kind: Column, sex: Column, attempt: Column, stream: Column) -> Column:
+    """A surname of the kind's script, or a given name of the gender and the kind's script; later attempts join more and more with hyphens."""
 
     def part(k: Column) -> Column:
         return let(F.when(k == 0, stream).otherwise(F.sha2(F.concat(stream, k.cast("string")).cast("binary"), 256)), word)
@@ -174,7 +176,7 @@ def _chosen(kind: Column, attempt: Column, stream: Column) -> Column:
             out = F.when(kind == f"surname_{script}", F.concat(_pick(heads, own, 0), _pick(tails, own, 4))).otherwise(out)
             both = GIVEN["m", script] + GIVEN["f", script]
             for gender, names in (("m", GIVEN["m", script]), ("f", GIVEN["f", script]), ("x", both)):
-                out = F.when(kind == f"given_{gender}_{script}", _pick(names, own, 0)).otherwise(out)
+                out = F.when((kind == f"given_{script}") & (F.coalesce(sex, F.lit("x")) == gender), _pick(names, own, 0)).otherwise(out)
         return out
 
     parts = F.when(attempt < 3, 0).when(attempt < 8, 1).otherwise(attempt - 6)
@@ -194,27 +196,29 @@ def _address(norm: Column, attempt: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(norm, ":"), group), ":")
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate, in normal form, of an entity in normal form."""
-    return let(_hex(kind, norm, attempt, key), lambda stream: _drawn(kind, norm, attempt, stream, key))
+def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The surrogate, in normal form, of an entity in normal form; gender (m, f or x) counts for given names."""
+    return let(_hex(kind, norm, attempt, key), lambda stream: _drawn(kind, norm, gender, attempt, stream, key))
 
 
-def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column, key: str) -> Column:
+def _drawn(kind: Column, norm: Column, gender: Column, attempt: Column, stream: Column, key: str) -> Column:
     domain = F.substring_index(norm, "@", -1)
     host = F.translate(F.substr(_hex(F.lit("domain"), domain, F.lit(0), key), F.lit(1), F.lit(8)), "0123456789", "ghijklmnop")
     country = F.regexp_extract(norm, r"^\+\d", 0)
+    longer = F.when(attempt > _LONGER, _digits(F.repeat(F.lit("0"), attempt - _LONGER), F.reverse(stream))).otherwise("")
+    local = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.substr(F.concat(F.lit("fd"), stream), i, F.lit(4))), ":")
     octet = lambda at, low, size: (F.pmod(_number(stream, at), F.lit(size)) + low).cast("string")
     return (
         F.when(kind == "email", F.concat(_shaped(F.substring_index(norm, "@", 1), stream), _random(F.reverse(stream), attempt - 3), F.lit("@"), host, F.lit(".example.com")))
-        .when(kind == "ipv4", F.concat_ws(".", octet(0, 1, 223), octet(4, 0, 256), octet(8, 0, 256), octet(12, 1, 254)))
+        .when(kind == "ipv4", F.when(attempt > _LONGER, local).otherwise(F.concat_ws(".", octet(0, 1, 223), octet(4, 0, 256), octet(8, 0, 256), octet(12, 1, 254))))
         .when(kind == "ipv6", _address(norm, attempt, stream))
-        .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream), F.when(attempt > 15, _digits(F.repeat(F.lit("0"), attempt - 15), F.reverse(stream))).otherwise("")))
-        .when(kind == "ssn", F.concat(F.lit("9"), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream)))
-        .when(kind == "card", _checked(F.concat(F.substr(norm, F.lit(1), F.lit(1)), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream))))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), stream)))
+        .when(kind == "phone", F.concat(country, _digits(F.substr(norm, F.length(country) + 1, F.length(norm)), stream), longer))
+        .when(kind == "ssn", F.concat(F.lit("9"), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream), longer))
+        .when(kind == "card", _checked(F.concat(F.substr(norm, F.lit(1), F.lit(1)), _digits(F.substr(norm, F.lit(2), F.length(norm)), stream), longer)))
+        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), stream), longer))
         .when(kind == "secret", F.when(norm.rlike("^[0-9a-fA-F]+$"), F.concat(_hexed(norm, stream), _random(F.reverse(stream), attempt - 3))).otherwise(
             F.concat(F.regexp_extract(norm, "^(AKIA|ghp_|sk-|xox[bp]-)?", 0), _shaped_or_random(F.regexp_replace(norm, "^(AKIA|ghp_|sk-|xox[bp]-)", ""), attempt, stream))))
-        .otherwise(_chosen(kind, attempt, stream))
+        .otherwise(_chosen(kind, gender, attempt, stream))
     )
 
 
@@ -245,11 +249,15 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _given_kind(title: Column, given: Column) -> Column:
-    listed = lambda g: given.isin(_LISTED[g])
+def _listed(given: Column) -> Column:
+    """The gender of a listed given name, else null."""
+    return F.when(given.isin(_LISTED["m"]), "m").when(given.isin(_LISTED["f"]), "f")
+
+
+def _gender(title: Column, given: Column) -> Column:
+    """What a mention says about the gender: the name if it is listed, else the title."""
     of = lambda g: F.regexp_replace(title, r"\.? $", "").isin(list(TITLES[g]))
-    gender = F.when(listed("m"), "m").when(listed("f"), "f").when(of("m"), "m").when(of("f"), "f").otherwise("x")
-    return F.concat(F.lit("given_"), gender, F.lit("_"), _script(given))
+    return F.coalesce(_listed(given), F.when(of("m"), "m").when(of("f"), "f").otherwise("x"))
 
 
 def _groups(match: Column) -> Column:
@@ -275,7 +283,10 @@ def _spelled(match: Column, groups: Column) -> Column:
 
 
 def units(match: Column, kind: Column) -> Column:
-    """The entities of a match, in normal form: a name has one per part, so parts corefer across mentions."""
+    """The entities of a match, in normal form: a name has one per part, so parts corefer across mentions.
+
+    gender is what this mention says about a given name; it is not part of the entity.
+    """
     norm = (
         F.when(kind.isin("phone"), F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", "")))
         .when(kind.isin("ssn", "card"), F.regexp_replace(match, r"\D", ""))
@@ -285,11 +296,11 @@ def units(match: Column, kind: Column) -> Column:
         .when(kind == "secret", F.substr(match, F.length(_label(match)) + 1, F.length(match)))
         .otherwise(match)
     )
-    unit = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    unit = lambda k, n, g=F.lit(None).cast("string"): F.struct(k.alias("kind"), n.alias("norm"), g.alias("gender"))
 
     def of_name(parts: Column) -> Column:
         surname = unit(F.concat(F.lit("surname_"), _script(parts["surname"])), parts["surname"])
-        given = unit(_given_kind(parts["title"], parts["given"]), parts["given"])
+        given = unit(F.concat(F.lit("given_"), _script(parts["given"])), parts["given"], _gender(parts["title"], parts["given"]))
         return F.when(parts["given"] != "", F.array(given, surname)).otherwise(F.array(surname))
 
     names = let(_name_parts(match), of_name)
@@ -304,12 +315,14 @@ def _laid(match: Column, characters: Column, pattern: str) -> Column:
     )
 
 
-def replaced(match: Column, attempts: Column, key: str) -> Column:
-    """What stands in place of a match; attempts: map of kind|norm to the attempt, for entities that were drawn again."""
+def replaced(match: Column, facts: Column, key: str) -> Column:
+    """What stands in place of a match; facts: map of kind|norm to attempt and gender, for entities whose attempt is not 0 or gender not known from the lists."""
 
     def drawn(unit: Column) -> Column:
-        attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", unit["kind"], unit["norm"])), F.lit(0))
-        return surrogate(unit["kind"], unit["norm"], attempt, key)
+        of = lambda fact: surrogate(
+            unit["kind"], unit["norm"], F.coalesce(_listed(unit["norm"]), fact["gender"], F.lit("x")), F.coalesce(fact["attempt"], F.lit(0)), key
+        )
+        return let(F.element_at(facts, F.concat_ws("|", unit["kind"], unit["norm"])), of)
 
     def placed(kind: Column, parts: Column) -> Column:
         """parts: the surrogates of all units."""
@@ -317,10 +330,9 @@ def replaced(match: Column, attempts: Column, key: str) -> Column:
         name = F.concat(_name_parts(match)["title"], F.array_join(parts, " "))
         return (
             F.when(kind == "name", name)
-            .when(kind == "phone", let(F.regexp_replace(first, r"\D", ""), lambda digits: F.concat(
+            .when(kind.isin("phone", "ssn", "card"), let(F.regexp_replace(first, r"\D", ""), lambda digits: F.concat(
                 _laid(match, digits, "0-9"), F.substr(digits, F.length(F.regexp_replace(match, r"\D", "")) + 1, F.length(digits)))))
-            .when(kind.isin("ssn", "card"), _laid(match, F.regexp_replace(first, r"\D", ""), "0-9"))
-            .when(kind == "iban", _laid(match, first, "A-Z0-9"))
+            .when(kind == "iban", F.concat(_laid(match, first, "A-Z0-9"), F.substr(first, F.length(F.regexp_replace(match, " ", "")) + 1, F.length(first))))
             .when(kind == "secret", F.concat(_label(match), first))
             .when(kind.isin("email", "ipv6") & (match == F.upper(match)) & (match != F.lower(match)), F.upper(F.when(kind == "ipv6", _spelled(match, first)).otherwise(first)))
             .when(kind == "ipv6", _spelled(match, first))
@@ -336,23 +348,27 @@ def _found(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, norm) of every distinct entity."""
+    """(kind, norm, gender) of every distinct entity; the gender of a given name is what all its mentions agree on, else x."""
     matches = docs.select(F.explode(_found(F.col(text).cast("string"))).alias("match")).distinct()
     found = let(kind_of(F.col("match")), lambda kind: units(F.col("match"), kind))
-    return matches.select(F.explode(found).alias("u")).select("u.kind", "u.norm").distinct()
+    said = lambda g: F.coalesce(F.bool_or(F.col("u.gender") == g), F.lit(False))
+    gender = F.when(said("m") & ~said("f"), "m").when(said("f") & ~said("m"), "f").otherwise("x")
+    return matches.select(F.explode(found).alias("u")).groupBy("u.kind", "u.norm").agg(gender.alias("gender"))
 
 
 def settled(found: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt, surrogate) without collisions.
+    """(kind, norm, gender, attempt, surrogate) without collisions.
 
     No two entities of a kind share a surrogate and no surrogate is an entity that occurs (surnames
-    and given names, which share common words with the world, are only kept apart from each other).
-    Of those that collide the one with the fewest attempts and the smallest form stays.
+    and given names, which share common words with the world, are only kept apart from each other, given names of
+    all genders together). Of those that collide the one with the fewest attempts and the smallest form stays. Later
+    attempts draw from ever more surrogates, so the rounds end.
     """
-    draw = lambda df: df.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("surrogate"))
+    of = [F.col(c) for c in ("kind", "norm", "gender", "attempt")]
+    draw = lambda df: df.select(*of, surrogate(*of, key).alias("surrogate"))
     rows = common.written(draw(found.withColumn("attempt", F.lit(0))), "surrogates")
     real = rows.filter("kind NOT LIKE 'given%' AND kind NOT LIKE 'surname%'").select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(_ROUNDS):
+    while True:
         first = rows.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm"))["norm"].alias("stays"))
         again = first.join(real, ["kind", "surrogate"], "left").filter("n > 1 OR real")
         again = common.written(again.select("kind", "surrogate", F.when(F.col("real").isNull(), F.col("stays")).alias("stays")), "collisions")
@@ -360,8 +376,7 @@ def settled(found: DataFrame, key: str) -> DataFrame:
             return rows
         moved = rows.join(again.withColumn("hit", F.lit(True)), ["kind", "surrogate"], "left")
         moves = F.col("hit").isNotNull() & ~F.col("norm").eqNullSafe(F.col("stays"))
-        rows = common.written(draw(moved.select("kind", "norm", (F.col("attempt") + moves.cast("int")).alias("attempt"))), "surrogates")
-    raise RuntimeError("too many entities of one kind for distinct surrogates")
+        rows = common.written(draw(moved.select("kind", "norm", "gender", (F.col("attempt") + moves.cast("int")).alias("attempt"))), "surrogates")
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
@@ -373,23 +388,26 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
     """
     names = set(docs.columns)
     free = lambda base: next(n for n in (base + "_" * k for k in range(1, len(names) + 2)) if n not in names)
-    digest, drawn, matches = free("digest"), free("attempts"), free("matches")
+    digest, drawn, matches = free("digest"), free("facts"), free("matches")
     chosen = settled(common.written(entities(docs, text), "entities"), key)
-    redrawn = common.written(chosen.filter("attempt > 0").select("kind", "norm", "attempt"), "redrawn")
+    # what the replacement of a match cannot know from the match alone
+    unlisted = F.col("kind").startswith("given_") & (F.col("gender") != "x") & _listed(F.col("norm")).isNull()
+    redrawn = common.written(chosen.filter((F.col("attempt") > 0) | unlisted).select("kind", "norm", "attempt", "gender"), "redrawn")
     body = F.col(text).cast("string")
-    no_map = F.lit(None).cast("map<string,int>")
+    kind_of_map = "map<string,struct<attempt:int,gender:string>>"
+    no_map = F.lit(None).cast(kind_of_map)
     if redrawn.isEmpty():
         rows = docs.withColumn(drawn, no_map)
     else:
-        # attempts are looked up for the texts that hold such an entity, and only these are joined
+        # facts are looked up for the texts that hold such an entity, and only these are joined
         held = docs.select(F.sha1(body.cast("binary")).alias(digest), F.explode(F.array_distinct(_found(body))).alias("match")).distinct()
         held = held.select(digest, F.explode(let(kind_of(F.col("match")), lambda kind: units(F.col("match"), kind))).alias("u")).select(digest, "u.kind", "u.norm").distinct()
         maps = held.join(redrawn, ["kind", "norm"]).groupBy(digest).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(drawn)
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), F.struct("attempt", "gender")))).alias(drawn)
         )
         rows = docs.withColumn(digest, F.sha1(body.cast("binary"))).join(common.written(maps, "maps"), digest, "left").drop(digest)
     rows = rows.withColumn(matches, _found(body))
-    given = F.coalesce(F.col(drawn), F.create_map().cast("map<string,int>"))
+    given = F.coalesce(F.col(drawn), F.create_map().cast(kind_of_map))
     between = F.split(body, PATTERN, -1)
     woven = F.concat(
         F.element_at(between, 1),

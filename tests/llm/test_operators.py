@@ -422,6 +422,43 @@ def test_normaliser(tmp_path, monkeypatch, chunk):
         list(warc.normalise(f"{tmp_path}/c.warc.gz", f"{tmp_path}/d.warc.gz"))
 
 
+def test_a_given_name_has_one_gender_in_the_corpus(spark):
+    """Coreference does not depend on the title, and given names of all genders are kept apart."""
+    texts = ["Mr Quentin Blake met Dr Quentin Blake.", "Prof Quentin Reed", "Ms Zorah Blake, Dr Zorah Reed", "Dr Kimiko Reed", *[f"Dr Name{chr(97 + k // 26)}{chr(97 + k % 26)} Reed" for k in range(60)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text.replace(".", "").replace(",", "").split() for r in pii.pseudonymised(df, "k").collect()}
+    assert out[0][1:3] == out[0][5:7] and out[0][1] == out[1][1] and out[0][1].split("-")[0] in pii.GIVEN["m", "latin"]
+    assert out[2][1] == out[2][4] and out[2][1].split("-")[0] in pii.GIVEN["f", "latin"] and out[2][2] == out[0][2] and out[2][5] == out[1][2]
+    given = [out[0][1], out[2][1], *[out[k][1] for k in range(3, 64)]]
+    assert len(set(given)) == len(given)
+
+
+def test_no_entity_is_cut_by_its_length(spark):
+    long = "Q" + "u" * 60
+    texts = [f"Mr {long} came", "mail to someone@" + ".".join(f"part{k}" for k in range(13)) + ".example.org now", "Mr O’Neill and Mr O'Neill", "x" * 70 + "@long.example.net"]
+    out = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert "u" * 10 not in out[0] and out[0].endswith(" came") and "part" not in out[1] and "Neill" not in out[2] and "long" not in out[3]
+
+
+def test_kinds_of_a_fixed_length_settle_when_their_surrogates_run_out(spark):
+    """Later attempts are longer, so more entities than short surrogates still get distinct ones, laid over the match."""
+    kinds = {"ssn": "123456789", "card": "4111111111111111", "iban": "DE89370400440532013000", "ipv4": "198.51.100.7"}
+    rows = [(k, v, a) for k, v in kinds.items() for a in (0, pii._LONGER, pii._LONGER + 1, pii._LONGER + 9)]
+    df = spark.createDataFrame(rows, "kind string, norm string, attempt int")
+    got = {(r.kind, r.attempt): r.s for r in df.withColumn("s", pii.surrogate(df.kind, df.norm, F.lit("x"), df.attempt, "k")).collect()}
+    for k, v in kinds.items():
+        assert len({got[k, a] for a in (0, 15, 16, 24)}) == 4
+        if k != "ipv4":
+            assert [len(got[k, a]) - len(v) for a in (0, 15, 16, 24)] == [0, 0, 1, 9]
+    assert re.fullmatch("fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", got["ipv4", 16])
+    fact = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(f"{k}|{v}"), F.struct(F.lit(24).alias("attempt"), F.lit("x").alias("gender")))])
+    spelled = {"ssn": "123-45-6789", "card": "4111 1111 1111 1111", "iban": "DE89 3704 0044 0532 0130 00", "ipv4": "198.51.100.7"}
+    df = spark.createDataFrame(list(spelled.items()), "kind string, match string")
+    for r in df.withColumn("out", pii.replaced(df.match, fact, "k")).collect():
+        plain = re.sub("[ -]", "", r.out)
+        assert plain == got[r.kind, 24] and (r.kind == "ipv4" or [c for c in r.out if c in " -"] == [c for c in r.match if c in " -"])
+
+
 def test_pipeline_equals_plain_code(spark):
     docs = documents(spark)
     model_rows = {r.doc_id: r.score for r in quality.op4_quality_pu(spark, SF).collect()}
