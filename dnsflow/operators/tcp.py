@@ -65,10 +65,12 @@ def with_sessions(segments: DataFrame, timeout_ms: int = 60_000, chunk: str | No
 
 
 def with_state(sessions: DataFrame, chunk: str | None = None) -> DataFrame:
-    """Segments of connections whose SYN was seen and that are not reset yet.
+    """Segments of connections whose SYN was seen and that are neither reset nor closed yet.
 
     Adds the first sequence numbers of both sides known so far, the opening time, whether this
-    segment completes the handshake (`completes`), and the handshake time once it is known.
+    segment completes the handshake (`completes`), the handshake time once it is known, the `room` that
+    is left in front of the side's own FIN (null before it) and whether the FIN of either side was sent
+    and acknowledged up to here. A connection is closed when both are acknowledged.
     """
     def syn_of(side: int) -> Column:
         return F.when(F.col("syn") & (F.col("side") == side), F.col("seq"))
@@ -93,20 +95,44 @@ def with_state(sessions: DataFrame, chunk: str | None = None) -> DataFrame:
     # Where the last segment of either side ended: a reset older than that is ignored.
     length = F.octet_length("data") + (F.col("syn") | F.col("fin")).cast("int")
     after = F.pmod(F.col("seq") + length, F.lit(WRAP))
+    # The first FIN of a side ends its data.
+    finished = F.struct((-F.col("us")).alias("us"), (-F.col("seg_no")).alias("seg_no"), after.alias("after"))
     ends = with_prefix(opened, ["conn", "session"], ARRIVAL, {
         f"end{side}": ("last", F.when((F.col("side") == side) & ~F.col("rst"), after)) for side in (0, 1)
+    } | {
+        f"fin{side}": ("max", F.when((F.col("side") == side) & F.col("fin") & ~F.col("rst"), finished)) for side in (0, 1)
     }, chunk)
-    expected = F.when(F.col("side") == 0, F.col("end0")).otherwise(F.col("end1"))
+    of = lambda side, what: F.when(F.col("side") == side, F.col(f"{what}0")).otherwise(F.col(f"{what}1"))
+    expected = of(0, "end")
     resets = F.col("rst") & (expected.isNull() | (_ahead(F.col("seq"), expected) >= 0))
-    reached = with_prefix(ends.withColumn("resets_now", resets).drop("end0", "end1"), ["conn", "session"], ARRIVAL, {
+    answered = F.col("ack_flag") & ~F.col("rst") & (F.col("ack") == of(1, "fin")["after"])
+    known_ends = stage(ends, {
+        "resets_now": resets, "answered": F.coalesce(answered, F.lit(False)),
+        "room": -_ahead(F.col("seq"), F.pmod(of(0, "fin")["after"] - 1, F.lit(WRAP))),
+    })
+    reached = with_prefix(known_ends.drop("end0", "end1", "fin0", "fin1"), ["conn", "session"], ARRIVAL, {
         "done": ("max", F.when(F.col("answers"), -F.col("us"))),
         "resets": ("max", F.col("resets_now").cast("int")),
+        "acked0": ("max", (F.col("answered") & (F.col("side") == 1)).cast("int")),
+        "acked1": ("max", (F.col("answered") & (F.col("side") == 0)).cast("int")),
     }, chunk).drop("resets_now")
     completes = F.col("answers") & F.col("done").isNull()
     done_us = F.when(completes, F.col("us")).otherwise(-F.col("done"))
-    return stage(reached.filter(F.coalesce("resets", F.lit(0)) == 0), {
+    closed = (F.coalesce("acked0", F.lit(0)) == 1) & (F.coalesce("acked1", F.lit(0)) == 1)
+    return stage(reached.filter((F.coalesce("resets", F.lit(0)) == 0) & ~closed), {
         "completes": completes, "rtt_us": done_us - F.col("opened_us"),
-    }).drop("answers", "done", "resets")
+    }).drop("answers", "done", "resets", "acked0", "acked1")
+
+
+def _last_state() -> Column:
+    """The state that all segments of a connection lead to."""
+    fins = F.count_distinct(F.when(F.col("fin") & ~F.col("rst"), F.col("side")))
+    acked = F.count_distinct(F.when(F.col("answered"), F.col("side")))
+    return (
+        F.when(F.bool_or("rst") | (acked == 2), "CLOSED").when((fins == 2) & (acked == 1), "FIN2").when(fins == 2, "FIN1_FIN2")
+        .when((fins == 1) & (acked == 1), "FIN1_ACK").when(fins == 1, "FIN1").when(F.max("rtt_us").isNotNull(), "ESTABLISHED")
+        .when(F.bool_or(F.col("syn") & (F.col("side") == 1)), "SYN_ACK").otherwise("SYN")
+    )
 
 
 def tcp_connections(segments: DataFrame, timeout_ms: int = 60_000,
@@ -123,7 +149,7 @@ def tcp_connections(segments: DataFrame, timeout_ms: int = 60_000,
             F.sum(size).alias("bytes"),
             F.max("rtt_us").alias("handshake_us"),
             F.bool_or("rst").alias("reset"),
-            (F.count_distinct(F.when(F.col("fin"), F.col("side"))) == 2).alias("closed"),
+            _last_state().alias("state"),
         )
         out = table if out is None else out.unionByName(table)
     return out
@@ -141,7 +167,10 @@ def ordered_bytes(rows: DataFrame, chunk: str | None = None) -> DataFrame:
     false from the first hole on, `released_us` is when everything up to here had arrived.
     """
     isn = F.when(F.col("side") == 0, F.col("isn0")).otherwise(F.col("isn1"))
-    data = rows.filter(F.octet_length("data") > 0).withColumn("isn", isn).filter("isn is not null")
+    # Nothing comes after the side's own FIN.
+    data = stage(rows.filter((F.octet_length("data") > 0) & (F.col("room").isNull() | (F.col("room") > 0))), {
+        "isn": isn, "data": F.when(F.col("room") < F.octet_length("data"), F.substring("data", F.lit(1), F.col("room").cast("int"))).otherwise(F.col("data")),
+    }).filter("isn is not null")
     seen = with_prefix(data, STREAM, ARRIVAL, {"before_seq": ("last", F.col("seq"))}, chunk)
     step = _ahead(F.col("seq"), F.coalesce("before_seq", F.pmod(F.col("isn") + 1, F.lit(WRAP))))
     moved = with_prefix(seen.withColumn("step", step), STREAM, ARRIVAL, {"pos": ("sum", F.col("step"))}, chunk)

@@ -225,15 +225,15 @@ framed AS (SELECT *, CASE
     14 + CASE WHEN ipv = 6 THEN 40 ELSE 20 END + 8 + size AS full_len
   FROM wired WHERE prot = 17)"""
 
-# Segments of the derived connections: three of the handshake, then the pieces of both messages.
+# Segments of the derived connections: three of the handshake, the pieces of all messages, and how they end.
 TCP = WIRE + """,
-streams AS (SELECT *, size + 2 AS total, CASE WHEN e % 9 = 0 THEN 1 WHEN e % 3 = 0 THEN 10 ELSE size + 2 END AS cut,
+streams AS (SELECT *, n * (size + 2 - CASE WHEN soa THEN 36 ELSE 0 END) AS before, size + 2 AS total, CASE WHEN e % 9 = 0 THEN 1 WHEN e % 3 = 0 THEN 10 ELSE size + 2 END AS cut,
     r::INTEGER AS side, CASE WHEN e % 6 = 0 THEN -2 ELSE 2 END AS wait
-  FROM wired WHERE prot = 6 AND qtype <> 252 AND n = 0 AND e % 11 <> 0),
+  FROM wired WHERE prot = 6 AND e % 11 <> 0),
 pieces AS (
-  SELECT e, side, 0 AS o, 0 AS pos, t AS us, cut AS bytes FROM streams
-  UNION ALL SELECT e, side, 1, cut, t + wait, total - cut FROM streams WHERE e % 3 = 0
-  UNION ALL SELECT e, side, 2, 0, t + 5, cut FROM streams WHERE e % 7 = 0),
+  SELECT e, side, n, 0 AS o, before AS pos, t AS us, cut AS bytes FROM streams
+  UNION ALL SELECT e, side, n, 1, before + cut, t + wait, total - cut FROM streams WHERE e % 3 = 0
+  UNION ALL SELECT e, side, n, 2, before, t + 5, cut FROM streams WHERE e % 7 = 0),
 found AS (SELECT *, t + CASE WHEN e % 3 = 0 THEN greatest(wait, 0) ELSE 0 END AS us,
     (total + CASE WHEN e % 3 = 0 THEN 108 ELSE 54 END)::INTEGER AS packet_bytes FROM streams),
 ranked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY e ORDER BY us) = 1
@@ -484,13 +484,16 @@ ORACLE: dict[str, str] = {
         WHEN k % 29 = 0 THEN 36 ELSE full_len - 14 END)::BIGINT AS bytes
       FROM framed WHERE error IS NULL OR error LIKE 'error%' GROUP BY 1""",
     "tcp_sessions": f"""WITH {TCP} SELECT 'c' || e AS conn, 1::BIGINT AS session, min(t0) - 400000 AS first_us,
-        greatest(max(us), min(t0) - 398000 + e % 5000) AS last_us,
-        2 + count(*) FILTER (side = 0) AS from_client, 1 + count(*) FILTER (side = 1) AS from_server,
-        sum(bytes)::BIGINT AS bytes, 2000 + e % 5000 AS handshake_us, false AS reset, false AS closed
+        CASE e % 4 WHEN 0 THEN greatest(max(us), min(t0) - 398000 + e % 5000) WHEN 1 THEN min(t0) + 3000004
+          WHEN 2 THEN min(t0) + 3000001 ELSE min(t0) + 3000000 END AS last_us,
+        2 + count(*) FILTER (side = 0) + [0, 3, 2, 1][e % 4 + 1] AS from_client,
+        1 + count(*) FILTER (side = 1) + [0, 2, 0, 0][e % 4 + 1] AS from_server,
+        (sum(bytes) + [0, 20, 20, 0][e % 4 + 1])::BIGINT AS bytes, 2000 + e % 5000 AS handshake_us, e % 4 = 3 AS reset,
+        ['ESTABLISHED', 'CLOSED', 'FIN1', 'CLOSED'][e % 4 + 1] AS state
       FROM pieces JOIN ev USING (e) GROUP BY e""",
     "tcp_reorder": f"""WITH {TCP} SELECT 'c' || p.e AS conn, p.side, pos::BIGINT AS pos, bytes::INTEGER AS size, p.us,
         CASE WHEN o = 1 THEN greatest(s.t, p.us) ELSE p.us END AS released_us, true AS whole
-      FROM pieces p JOIN streams s ON s.e = p.e AND s.side = p.side WHERE o < 2""",
+      FROM pieces p JOIN streams s ON s.e = p.e AND s.side = p.side AND s.n = p.n WHERE o < 2""",
     "tcp_handshake_rtt": f"""WITH {TCP} SELECT DISTINCT 'c' || e AS conn, 1::BIGINT AS session,
         t0 - 398000 + e % 5000 AS us, 2000 + e % 5000 AS rtt_us FROM streams JOIN ev USING (e)""",
     "tcp_duplicates": f"""WITH {TCP} SELECT 'c' || e AS conn, side, 2::BIGINT AS copies FROM streams WHERE e % 7 = 0""",
@@ -512,7 +515,7 @@ ORACLE: dict[str, str] = {
     "stream_match": f"WITH RECURSIVE {PAIRS} {PAIR_VIEW}",
     "stream_stats": f"""WITH {MESSAGES} SELECT *, ipv4 + ipv6 AS queries FROM (
         SELECT t // 3600000000 AS tick, {COUNTERS} FROM msg WHERE NOT r GROUP BY 1)""",
-    "stream_tcp": f"""WITH {TCP} SELECT 'c' || e AS conn, side, 0::BIGINT AS pos, us, packet_bytes AS len,
+    "stream_tcp": f"""WITH {TCP} SELECT 'c' || e AS conn, side, before::BIGINT AS pos, us, packet_bytes AS len,
         tcp_rtt AS tcp_rtt_us, size::INTEGER AS size FROM ranked""",
     "landing_dir": f"""WITH RECURSIVE {TXN} SELECT domainname, rcode, count(*) AS n,
       sum(res_len)::BIGINT AS bytes, count(tcp_hs_rtt) AS n_rtt FROM txn GROUP BY 1, 2""",

@@ -171,28 +171,29 @@ def tap_frames(messages: DataFrame) -> DataFrame:
 def segments(messages: DataFrame) -> DataFrame:
     """TCP segments: one connection per event with TCP messages and its handshake.
 
-    Queries travel on side 0, responses on side 1. By event number some messages are cut
-    in two (also inside their length prefix), some pieces come in reversed order, some are
-    sent twice, some connections miss their SYN and sequence numbers start just below 2^32
-    for some.
+    Queries travel on side 0, responses on side 1, the messages of a side back to back. By event
+    number some messages are cut in two (also inside their length prefix), some pieces come in
+    reversed order, some are sent twice, some connections miss their SYN and sequence numbers start
+    just below 2^32 for some. Three seconds later some connections are closed by both sides, some
+    by one, some are reset; what comes after a side's FIN, the close or the reset would be a message.
     """
-    wanted = messages.filter((F.col("prot") == TCP) & (F.col("qtype") != 252))
-    rows = stage(stage(wanted, {"opt_hex": _option()}), {
+    rows = stage(stage(messages.filter(F.col("prot") == TCP), {"opt_hex": _option()}), {
         "e": F.floor(F.col("msg_id") / 10).cast("bigint"),
         "n": F.col("msg_id") % 5,
         "dns": dns_hex(),
         "t": F.unix_micros("ts"),
     })
     e = F.col("e")
-    # A client and a server message per event at most: the first of each kind.
-    rows = stage(rows.filter(F.col("n") == 0), {
+    rows = stage(rows, {
         "framed": F.unhex(F.concat(u16(F.length("dns") / 2), F.col("dns"))),
         "side": F.col("is_response").cast("int"),
         "l4": F.struct("client_ip", "server_ip", "client_port", "server_port", "ttl", "ipv", "prot"),
     })
     size = F.octet_length("framed")
     isn = F.when(e % 5 == 0, (1 << 32) - 20).otherwise(e * 1000 % 100_000)
-    first = F.pmod(isn + F.col("side") * 500 + 1, F.lit(1 << 32))
+    # All earlier messages of a side are as long as this one; only the last of a transfer has a SOA more.
+    before = F.col("n") * (size - _bit("last_soa", 36))
+    first = F.pmod(isn + F.col("side") * 500 + 1 + before, F.lit(1 << 32))
     cut = F.when(e % 9 == 0, 1).when(e % 3 == 0, 10).otherwise(size)
     later = F.when(e % 6 == 0, -2).otherwise(2)
 
@@ -214,10 +215,10 @@ def segments(messages: DataFrame) -> DataFrame:
         "e", "l4", "side", (F.col("t") + F.col("p.w")).alias("t"),
         (F.col("msg_id") * 10 + F.col("p.o")).alias("seg_no"), F.col("p.seq").alias("seq"),
         F.col("p.data").alias("data"), F.lit(False).alias("syn"), F.lit(True).alias("ack_flag"),
-        F.lit(0).cast("bigint").alias("ack"),
+        F.lit(0).cast("bigint").alias("ack"), F.lit(False).alias("fin"), F.lit(False).alias("rst"),
     )
     # The handshake comes before both the query and an early response.
-    queries = rows.filter(~F.col("is_response")).filter(e % 11 != 0)
+    queries = rows.filter(~F.col("is_response") & (F.col("n") == 0)).filter(e % 11 != 0)
     base = F.pmod(isn, F.lit(1 << 32))
     server = F.pmod(isn + 500, F.lit(1 << 32))
     plus = lambda c: F.pmod(c + 1, F.lit(1 << 32))
@@ -227,7 +228,7 @@ def segments(messages: DataFrame) -> DataFrame:
             F.lit(side).alias("side"), (F.col("t") - 400_000 + wait).alias("t"),
             (F.col("msg_id") * 10 + 5 + order).alias("seg_no"), seq.alias("seq"),
             F.lit(b"").alias("data"), F.lit(syn).alias("syn"), F.lit(acked).alias("ack_flag"),
-            ack.alias("ack"),
+            ack.alias("ack"), F.lit(False).alias("fin"), F.lit(False).alias("rst"),
         )
 
     shake = F.array(
@@ -236,16 +237,39 @@ def segments(messages: DataFrame) -> DataFrame:
         control(2, 0, F.lit(2000) + e % 5000, plus(base), plus(server), False, True),
     )
     opening = queries.select("e", "l4", F.inline(shake))
+    transfer = e % 97 == 0
+    sent = size * F.when((e % 13 == 0) & ~transfer, 2).otherwise(1)
+    answer = 18 + F.octet_length("qname_wire") + 16 * (e % 4 + 1) + F.when(e % 9 == 0, 18).otherwise(0)
+    answered = F.when(transfer, 4 * answer + 36).when(e % 10 == 3, 0).otherwise(answer * F.when(e % 26 == 0, 2).otherwise(1))
+    ends = (F.pmod(base + 1 + sent, F.lit(1 << 32)), F.pmod(server + 1 + answered, F.lit(1 << 32)))
+    late_message = F.unhex(F.lit("0012" + "00" * 18))
+
+    def closing(order: int, side: int, flag: str, seq: Column, ack: Column, data: Column) -> Column:
+        return F.struct(
+            F.lit(side).alias("side"), (F.col("t") + 3_000_000 + order).alias("t"),
+            (F.col("msg_id") * 10 + 20 + order).alias("seg_no"), seq.alias("seq"), data.alias("data"),
+            F.lit(False).alias("syn"), F.lit(flag != "rst").alias("ack_flag"), ack.alias("ack"),
+            F.lit(flag == "fin").alias("fin"), F.lit(flag == "rst").alias("rst"),
+        )
+
+    nothing = F.lit(b"")
+    half = [closing(0, 0, "fin", ends[0], ends[1], nothing), closing(1, 0, "ack", ends[0], ends[1], late_message)]
+    whole = [
+        *half, closing(2, 1, "ack", ends[1], plus(ends[0]), nothing), closing(3, 1, "fin", ends[1], plus(ends[0]), nothing),
+        closing(4, 0, "ack", plus(ends[0]), plus(ends[1]), nothing), closing(5, 1, "ack", ends[1], plus(ends[0]), late_message),
+    ]
+    reset = [closing(0, 0, "rst", ends[0], ends[1], nothing), closing(1, 1, "ack", ends[1], ends[0], late_message)]
+    close = F.when(e % 4 == 1, F.array(*whole)).when(e % 4 == 2, F.array(*half)).when(e % 4 == 3, F.array(*reset))
+    opening = opening.unionByName(queries.select("e", "l4", F.inline(close)))
     back = F.col("side") == 1
-    ends = [
+    endpoints = [
         F.when(back == flip, F.col(f"l4.server_{what}")).otherwise(F.col(f"l4.client_{what}")).alias(f"{end}_{what}")
         for end, flip in (("src", True), ("dst", False)) for what in ("ip", "port")
     ]
     return data.unionByName(opening).select(
-        *ends, "l4.ttl", "l4.ipv", "l4.prot",
+        *endpoints, "l4.ttl", "l4.ipv", "l4.prot",
         F.concat(F.lit("c"), e).alias("conn"), "side", F.timestamp_micros("t").alias("ts"),
-        "seg_no", "seq", "ack", "syn", "ack_flag", F.lit(False).alias("fin"),
-        F.lit(False).alias("rst"), "data", (F.octet_length("data") + 54).alias("packet_len"),
+        "seg_no", "seq", "ack", "syn", "ack_flag", "fin", "rst", "data", (F.octet_length("data") + 54).alias("packet_len"),
     )
 
 

@@ -12,10 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor
 from dnsflow.operators.tcp import BUFFER_LIMIT, WRAP, _frames
 from dnsflow.streaming.state import use_rocksdb
 
-CONNECTION = "opened bigint, isn0 bigint, isn1 bigint, at0 bigint, at1 bigint, rtt bigint, told boolean"
+CONNECTION = "opened bigint, isn0 bigint, isn1 bigint, at0 bigint, at1 bigint, rtt bigint, told boolean, " \
+    "fin0 bigint, fin1 bigint, acked0 boolean, acked1 boolean"
 PIECES = "side int, pos bigint, us bigint, packet_len int, data binary"
 OUT = "conn string, side int, pos bigint, us bigint, len int, body binary, tcp_rtt_us bigint"
-FIELDS = ["side", "us", "seq", "ack", "syn", "ack_flag", "rst", "data", "packet_len"]
+FIELDS = ["side", "us", "seq", "ack", "syn", "ack_flag", "fin", "rst", "data", "packet_len"]
 
 
 def _signed(distance: int) -> int:
@@ -23,24 +24,30 @@ def _signed(distance: int) -> int:
 
 
 class _Connection:
-    """State of one connection: handshake, next position per side, pieces not framed yet."""
+    """State of one connection: handshake, next position per side, where the sides end, pieces not framed yet."""
 
     def __init__(self, saved, pieces):
         self.opened, self.isn, self.at, self.rtt, self.told = None, [None, None], [0, 0], None, False
+        self.fin, self.acked = [None, None], [False, False]
         if saved is not None:
-            self.opened, a, b, c, d, self.rtt, self.told = saved
-            self.isn, self.at = [a, b], [c, d]
+            self.opened, a, b, c, d, self.rtt, self.told, *rest = saved
+            self.isn, self.at, self.fin, self.acked = [a, b], [c, d], rest[:2], rest[2:]
         self.pieces = ([], [])
         for side, *piece in pieces:
             self.pieces[side].append(tuple(piece))
 
     def saved(self):
-        return (self.opened, *self.isn, *self.at, self.rtt, self.told)
+        return (self.opened, *self.isn, *self.at, self.rtt, self.told, *self.fin, *self.acked)
+
+    @property
+    def closed(self):
+        """Both sides have sent their FIN and the other has acknowledged it."""
+        return all(self.acked)
 
     def rows(self):
         return [(side, *piece) for side in (0, 1) for piece in self.pieces[side]]
 
-    def take(self, side, us, seq, ack, syn, ack_flag, rst, data, packet_len, limit):
+    def take(self, side, us, seq, ack, syn, ack_flag, fin, rst, data, packet_len, limit):
         """Messages completed by this segment; None when the connection ends here."""
         if syn and not ack_flag and not rst and self.isn[side] != seq:
             self.__init__(None, ())
@@ -58,10 +65,18 @@ class _Connection:
         known = None not in self.isn
         if self.rtt is None and known and ack_flag and not syn and ack == (other + 1) % WRAP:
             self.rtt = us - self.opened
-        if not len(data) or self.isn[side] is None:
+        if ack_flag and self.fin[1 - side] is not None and other is not None and ack == (other + 2 + self.fin[1 - side]) % WRAP:
+            self.acked[1 - side] = True
+        if self.isn[side] is None or not (len(data) or fin):
+            return []
+        pos, data = self.at[side] + _signed(seq - (self.isn[side] + 1 + self.at[side])), bytes(data)
+        if self.fin[side] is not None:
+            data = data[: max(0, self.fin[side] - pos)]
+        elif fin:
+            self.fin[side] = pos + len(data)
+        if not data:
             return []
-        pos = self.at[side] + _signed(seq - (self.isn[side] + 1 + self.at[side]))
-        self.insert(side, pos, us, packet_len, bytes(data))
+        self.insert(side, pos, us, packet_len, data)
         out = self.frame(side, us)
         return None if self.behind_hole(side) > limit else out
 
@@ -134,10 +149,10 @@ class _Reassembly(StatefulProcessor):
                 state = _Connection(None, ())
             last = row[1]
             done = state.take(*row, self.limit)
-            if done is None:
-                state = _Connection(None, ())
-            else:
+            if done is not None:
                 out += done
+            if done is None or state.closed:
+                state = _Connection(None, ())
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.connection.update(tuple(

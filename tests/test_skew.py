@@ -209,6 +209,36 @@ def test_crowded_connection(spark, messages, monkeypatch):
     mine = [r for r in plain if r[0] == "x"]
     assert [bytes(r[4]) for r in mine] == bodies
     assert [r[-1] for r in mine if r[-1] >= 0] == [250]
+    ends = [
+        sorted(map(tuple, tcp.tcp_connections(segments, skew=p).collect())) for p in (PLAIN, SkewPolicy(rows_per_group=4))
+    ]
+    assert ends[0] == ends[1] and {"CLOSED", "FIN1", "ESTABLISHED"} <= {r[-1] for r in ends[0]}
+
+
+def test_states_of_a_connection(spark):
+    """The close in all its orders, in windows of the connection and in chunks of a second."""
+    shake = [(0, 10, 0, "S", b""), (1, 50, 11, "SA", b""), (0, 11, 51, "A", b"")]
+    ends = {
+        "SYN": [(0, 10, 0, "S", b"")],
+        "SYN_ACK": shake[:2],
+        "ESTABLISHED": shake,
+        "FIN1": [*shake, (0, 11, 51, "FA", b"ab"), (0, 13, 51, "A", b"refused"), (1, 51, 11, "A", b"kept")],
+        "FIN1_ACK": [*shake, (0, 11, 51, "FA", b"ab"), (1, 51, 14, "A", b"")],
+        "FIN1_FIN2": [*shake, (0, 11, 51, "FA", b""), (1, 51, 11, "FA", b"")],
+        "FIN2": [*shake, (0, 11, 51, "FA", b""), (1, 51, 11, "FA", b""), (0, 12, 52, "A", b"")],
+        "CLOSED": [*shake, (0, 11, 51, "FA", b""), (1, 51, 12, "FA", b""), (0, 12, 52, "A", b""), (0, 12, 52, "A", b"refused")],
+    }
+    rows = [
+        (conn, side, 1_700_000_000_000_000 + 700_000 * k, k, seq, ack, "S" in f, "A" in f, "F" in f, "R" in f, data, 54)
+        for conn, steps in ends.items() for k, (side, seq, ack, f, data) in enumerate(steps)
+    ]
+    df = spark.createDataFrame(rows, "conn string, side int, us long, seg_no long, seq long, ack long, syn boolean, ack_flag boolean, "
+                               "fin boolean, rst boolean, data binary, packet_len int").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    for policy in (PLAIN, SkewPolicy(rows_per_group=1)):
+        found = {r.conn: (r.state, r.bytes) for r in tcp.tcp_connections(df, skew=policy).collect()}
+        assert {c: s for c, (s, _) in found.items()} == {c: c for c in ends} and found["CLOSED"][1] == 0
+        kept = tcp.ordered_bytes(tcp.with_state(tcp.with_sessions(df))).filter("conn = 'FIN1'").collect()
+        assert sorted(bytes(r.data) for r in kept) == [b"ab", b"kept"]
 
 
 def frames_of(stream):

@@ -74,12 +74,12 @@ def test_moving_average_against_loop(messages):
 def connection(steps, limit=100):
     """Feeds segments (side, seq, data, flags) to the stream's connection after its handshake."""
     state = _Connection(None, ())
-    state.take(0, 0, 99, 0, True, False, False, b"", 54, limit)
-    state.take(1, 1, 499, 100, True, True, False, b"", 54, limit)
-    state.take(0, 2, 100, 500, False, True, False, b"", 54, limit)
+    state.take(0, 0, 99, 0, True, False, False, False, b"", 54, limit)
+    state.take(1, 1, 499, 100, True, True, False, False, b"", 54, limit)
+    state.take(0, 2, 100, 500, False, True, False, False, b"", 54, limit)
     out = []
     for k, (side, seq, data, rst) in enumerate(steps):
-        done = state.take(side, 10 + k, seq, 0, False, not rst, rst, data, 54 + len(data), limit)
+        done = state.take(side, 10 + k, seq, 0, False, not rst, False, rst, data, 54 + len(data), limit)
         if done is None:
             return out, "ended"
         out += [bytes(m[4]) for m in done]
@@ -108,6 +108,23 @@ def test_many_small_pieces_in_order_are_no_overflow():
     assert connection(holes, limit=5)[1] == "ended"
 
 
+def test_a_side_sends_nothing_after_its_own_fin():
+    first, late = framed(b"a" * 12), framed(b"b" * 12)
+    state = _Connection(None, ())
+    steps = [
+        (0, 99, 0, True, False, False, b""), (1, 499, 100, True, True, False, b""), (0, 100, 500, False, True, False, b""),
+        (0, 110, 500, False, True, True, first[10:] + late[:0]),  # the FIN overtakes the first bytes
+        (0, 114, 500, False, True, False, late), (0, 100, 500, False, True, False, first[:10]),
+        (1, 500, 115, False, True, False, late), (1, 514, 115, False, True, True, b""),
+        (0, 115, 515, False, True, False, b""),
+    ]
+    out, closed = [], []
+    for k, (side, seq, ack, syn, ack_flag, fin, data) in enumerate(steps):
+        out += [(m[0], bytes(m[4])) for m in state.take(side, k, seq, ack, syn, ack_flag, fin, False, data, 54, 100)]
+        closed.append(state.closed)
+    assert out == [(0, b"a" * 12), (1, b"b" * 12)] and closed == [False] * 8 + [True]
+
+
 def test_resets_of_a_stream():
     data = framed(b"a" * 12)
     assert connection([(0, 100, data, False), (0, 114, b"", True)]) == ([b"a" * 12], "ended")
