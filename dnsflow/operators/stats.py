@@ -118,34 +118,27 @@ def qps_moving_average_per_server(
 ) -> DataFrame:
     """Mean rate per server at every `every`-th tick, for servers seen up to then.
 
-    The frame holds one sample more than `window` unless `strict_window`. Each non-empty
-    (server, tick) count is added straight to the few reports whose frame covers it, so
-    quiet ticks cost nothing and no server's rows meet in one task.
+    The frame holds one sample more than `window` unless `strict_window`. Each non-empty (server, tick) count is
+    added at the first report whose frame covers it and taken away at the first one behind: two rows, however many
+    reports there are in a window. Running totals give the sums, in chunks, so no server's rows meet in one task.
     """
     size = window if strict_window else window + 1
-    rows = queries_only(messages)
-    counted = rows.groupBy("server_ip", tick_of(unit_s).alias("tick")).agg(*_counters())
+    counted = queries_only(messages).groupBy("server_ip", tick_of(unit_s).alias("tick")).agg(*_counters())
     rates = _rates(counted, unit_s, per_s, "server_ip", "tick")
-    first = rows.agg(F.min(tick_of(unit_s))).scalar()
-    last = rows.agg(F.max(tick_of(unit_s))).scalar()
-    final = F.ceil(last / every).cast("bigint")
+    bounds = counted.agg(F.min("tick").alias("first"), F.ceil(F.max("tick") / every).cast("bigint").alias("final"))
     report = F.ceil(F.col("tick") / every).cast("bigint")
-    until = F.least(F.floor((F.col("tick") + (size - 1)) / every).cast("bigint"), F.col("final"))
-    active = (
-        rates.withColumn("final", final)
-        .filter(report <= until)
-        .select("server_ip", F.explode(F.sequence(report, until)).alias("report"), *COUNTERS)
-    )
-    seen = rates.groupBy("server_ip").agg(F.min("tick").alias("tick"))
-    quiet = seen.withColumn("final", final).select(
+    behind = F.floor((F.col("tick") + (size - 1)) / every).cast("bigint") + 1
+    change = lambda at, sign: F.struct(at.alias("report"), *[(sign * F.col(c)).alias(c) for c in COUNTERS])
+    changes = rates.filter(report < behind).select("server_ip", F.inline(F.array(change(report, 1), change(behind, -1))))
+    bounded = rates.groupBy("server_ip").agg(F.min("tick").alias("tick")).crossJoin(F.broadcast(bounds))  # bounds is one row
+    every_report = bounded.select(
         "server_ip", F.explode(F.sequence(report, F.col("final"))).alias("report"),
         *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
     )
-    sums = active.unionByName(quiet).groupBy("server_ip", "report").agg(
-        *[F.sum(c).alias(c) for c in COUNTERS]
-    )
+    steps = changes.unionByName(every_report).groupBy("server_ip", "report").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    sums = running_totals(steps, "report", list(COUNTERS), ["server_ip"]).crossJoin(F.broadcast(bounds)).filter(F.col("report") <= F.col("final"))
     samples = F.least(F.lit(size), F.col("report") * every - F.col("first") + 1)
-    return sums.withColumn("first", first).select(
+    return sums.select(
         "server_ip", (F.col("report") * every).alias("tick"),
         *[F.floor(F.col(c) / samples).cast("bigint").alias(c) for c in COUNTERS],
     )

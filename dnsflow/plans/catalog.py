@@ -424,6 +424,9 @@ def field_subset(messages):
 # --- blocks ---------------------------------------------------------------------------
 
 
+BLOCKS_PER_FILE = 8
+
+
 def blocks(messages: DataFrame) -> DataFrame:
     rows = project.block_rows(match.match_transactions(messages), export_rrs=True)
     return cut_lineage(normalize.assign_blocks(rows, rows_per_block=50, slot_s=10 * DAY, rows_per_part=1000))
@@ -438,7 +441,7 @@ def block_sizes(messages):
 
 @on_messages
 def block_dictionaries(messages):
-    dicts = normalize.build_dictionaries(blocks(messages))
+    _, dicts = normalize.encode_blocks(blocks(messages))
     parts = [
         df.groupBy("block_id").agg(
             F.count_distinct("index").alias("n"), F.max("index").cast("bigint").alias("last")
@@ -454,9 +457,8 @@ def block_dictionaries(messages):
 @on_messages
 def block_round_trip(messages):
     rows = blocks(messages)
-    dicts = normalize.build_dictionaries(rows)
     folder = shared_folder(rows.sparkSession, "blocks")
-    tables.write_blocks(normalize.encode_refs(rows, dicts), dicts, folder, mode="overwrite")
+    tables.write_blocks(*normalize.encode_blocks(rows), folder, mode="overwrite", blocks_per_file=BLOCKS_PER_FILE)
     back = normalize.decode_refs(*tables.read_blocks(rows.sparkSession, folder))
     return back.select(
         "query_id", "query_name", addresses.ip_text(F.col("client_address")).alias("src"),
@@ -754,6 +756,18 @@ def stream_match(spark, sf_dir):
     return _pair_view(drained(matching.stream_match_transactions(messages)))
 
 
+@query
+def stream_axfr(spark, sf_dir):
+    """Zone transfers whose query, first, second and later responses come in micro-batches of their own."""
+    folder = shared_folder(spark, "transfers")
+    rows = views.messages(spark, sf_dir).filter(F.col("qtype") == schema.QTYPE_AXFR)
+    for number, part in enumerate(("NOT is_response", "msg_id % 5 = 0 AND is_response", "msg_id % 5 = 1", "msg_id % 5 > 1")):
+        rows.filter(part).coalesce(1).write.parquet(f"{folder}/part={number}")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    found = drained(matching.stream_match_transfers(reader.parquet(folder), delay="60 days"))
+    return found.select(*PAIR_IDS, "res_len", "res_dns_len", "ancount", "rcode")
+
+
 @query
 def stream_stats(spark, sf_dir):
     messages = views.messages_of(event_stream(spark, sf_dir))

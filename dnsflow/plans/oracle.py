@@ -239,6 +239,13 @@ found AS (SELECT *, t + CASE WHEN e % 3 = 0 THEN greatest(wait, 0) ELSE 0 END AS
 ranked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY e ORDER BY us) = 1
     THEN 2000 + e % 5000 ELSE -1 END AS tcp_rtt FROM found)"""
 
+TRANSFERS = f"""WITH {MESSAGES}, gaps AS (
+        SELECT *, t - lag(t) OVER (PARTITION BY e ORDER BY t) AS gap FROM msg WHERE qtype = 252)
+      SELECT min(msg_id) FILTER (NOT r) AS query_id, min(msg_id) FILTER (r) AS response_id,
+        (sum(len) FILTER (r))::INTEGER AS res_len, (sum(len - 42) FILTER (r))::INTEGER AS res_dns_len,
+        (sum(e % 4 + 1) FILTER (r))::INTEGER AS ancount, max(rcode) AS rcode
+      FROM gaps GROUP BY e HAVING coalesce(max(gap), 0) < 1000000"""
+
 ORACLE: dict[str, str] = {
     "txn_flagship": f"WITH RECURSIVE {TXN} SELECT * EXCLUDE (e) FROM txn",
     "txn_by_domain": f"""WITH RECURSIVE {TXN} SELECT domainname, rcode, count(*) AS n,
@@ -252,12 +259,8 @@ ORACLE: dict[str, str] = {
         SELECT *, lag(t) OVER (PARTITION BY e ORDER BY t) AS before FROM msg WHERE qtype = 252 AND msg_id % 970 <> 8)
       QUALIFY count_if(r AND n = 3) OVER (PARTITION BY e) = 0
         OR count_if(NOT r) OVER (PARTITION BY e) = 0 OR max(coalesce(t - before, 0)) OVER (PARTITION BY e) >= 1000000""",
-    "match_axfr": f"""WITH {MESSAGES}, gaps AS (
-        SELECT *, t - lag(t) OVER (PARTITION BY e ORDER BY t) AS gap FROM msg WHERE qtype = 252)
-      SELECT min(msg_id) FILTER (NOT r) AS query_id, min(msg_id) FILTER (r) AS response_id,
-        (sum(len) FILTER (r))::INTEGER AS res_len, (sum(len - 42) FILTER (r))::INTEGER AS res_dns_len,
-        (sum(e % 4 + 1) FILTER (r))::INTEGER AS ancount, max(rcode) AS rcode
-      FROM gaps GROUP BY e HAVING coalesce(max(gap), 0) < 1000000""",
+    "match_axfr": TRANSFERS,
+    "stream_axfr": TRANSFERS,
     "flow_key": f"""WITH {MESSAGES} SELECT least(client_port, server_port) AS port_lo, prot, ipv, qtype,
         count(*) AS n, count(DISTINCT e) AS flows FROM msg GROUP BY 1, 2, 3, 4""",
     "ingest_paired_union": f"""WITH RECURSIVE {PAIRS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnsflow import schema
@@ -87,11 +87,33 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def block_files(blocks: DataFrame, per_file: int, buckets: int = 1024) -> tuple[DataFrame, int]:
+    """(block_id, file) of every block, at most `per_file` blocks in a file, and the number of files.
+
+    Blocks are dealt into buckets and numbered there; running sums over the buckets, of which there is a fixed number,
+    give the files of all buckets consecutive numbers.
+    """
+    dealt = blocks.select("block_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("block_id"), F.lit(buckets)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("block_id")) - 1
+    numbered = dealt.withColumn("part", F.floor(place / per_file).cast("int"))
+    sizes = numbered.groupBy("bucket").agg((F.max("part") + 1).alias("files"))
+    offsets = sizes.withColumn("offset", F.sum("files").over(Window.orderBy("bucket")) - F.col("files"))
+    files = sizes.agg(F.sum("files")).first()[0] or 0
+    return numbered.join(F.broadcast(offsets), "bucket").select("block_id", (F.col("offset") + F.col("part")).cast("int").alias("file")), files
+
+
 def write_blocks(
     facts: DataFrame, dicts: dict[str, DataFrame], path: str,
-    max_rows: int = 5_000_000, mode: str = "errorifexists",
+    max_rows: int = 5_000_000, mode: str = "errorifexists", blocks_per_file: int | None = None,
 ) -> None:
-    """The fact table and the dictionaries, one Parquet folder each."""
+    """The fact table and the dictionaries, one Parquet folder each.
+
+    With `blocks_per_file` a block lies in one file of each table (unless `max_rows` cuts it) and no file holds more blocks.
+    """
+    if blocks_per_file is not None:
+        placed, files = block_files(facts, blocks_per_file, min(1024, max(1, facts.sparkSession.sparkContext.defaultParallelism)))
+        place = lambda df: df.join(placed, "block_id").repartitionById(max(1, files), "file").drop("file")
+        facts, dicts = place(facts), {name: place(df) for name, df in dicts.items()}
     for name, df in {"facts": facts, **dicts}.items():
         df.write.mode(mode).option("maxRecordsPerFile", max_rows).parquet(f"{path}/{name}")
 

@@ -57,27 +57,99 @@ def rotated(df: DataFrame, path: str, checkpoint: str, every_s: int = 60, ts: st
     )
 
 
+class Unsent:
+    """Batches that no target took, kept in a shared folder until one does, also across restarts."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _folder(self, spark: SparkSession, name: str = ""):
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self, spark: SparkSession) -> list[int]:
+        """The numbers of the batches that are kept, in order; one that was not written to its end does not count."""
+        place, system = self._folder(spark)
+        if not system.exists(place):
+            return []
+        names = [x.getPath().getName() for x in system.listStatus(place)]
+        done = [n for n in names if system.exists(self._folder(spark, f"{n}/_SUCCESS")[0])]
+        return sorted(int(n.split("=")[1]) for n in done if n.startswith("batch="))
+
+    def keep(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def read(self, spark: SparkSession, number: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/batch={number}")
+
+    def drop(self, spark: SparkSession, number: int) -> None:
+        place, system = self._folder(spark, f"batch={number}")
+        system.delete(place, True)
+
+
 def deliver(
     primary: Callable[[DataFrame, int], None],
     backup: Callable[[DataFrame, int], None] | None = None,
     tries: int = TRIES,
     wait_s: float = 0.0,
+    unsent: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: the primary target a few times, then the backup.
 
-    When both fail the batch fails; the checkpoint makes Spark offer it again on restart,
-    which takes the place of a list of unsent files. Targets get the batch number to write
-    idempotently.
+    With `unsent`, a folder that all can reach, a batch that neither takes is kept there, and every later batch first offers what is
+    kept to the primary, in order; while one of these fails, the primary counts as down. Targets
+    get the batch number and must write idempotently: a batch may come again if the job ends between its delivery
+    and its removal. Without `unsent` the batch fails, and Spark offers it again on restart.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
+    kept = Unsent(unsent) if unsent is not None else None
+
+    def tried(batch: DataFrame, batch_id: int) -> Exception | None:
+        error = None
         for attempt in range(tries):
             try:
-                return primary(batch, batch_id)
-            except Exception:
-                if attempt + 1 == tries and backup is None:
-                    raise
-                time.sleep(wait_s)
-        return backup(batch, batch_id)
+                primary(batch, batch_id)
+                return None
+            except Exception as failed:  # whatever the target raises
+                error = failed
+                if attempt + 1 < tries:
+                    time.sleep(wait_s)
+        return error
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        error = None
+        if kept is not None:
+            spark = batch.sparkSession
+            for number in kept.numbers(spark):
+                if number != batch_id:
+                    error = error or tried(kept.read(spark, number), number)
+                    if error is not None:
+                        break
+                kept.drop(spark, number)
+        error = error or tried(batch, batch_id)
+        if error is None:
+            return
+        if backup is not None:
+            try:
+                return backup(batch, batch_id)
+            except Exception as failed:
+                error = failed
+        if kept is None:
+            raise error
+        kept.keep(batch, batch_id)
+
+    return run
+
+
+def split_sinks(targets: dict[str, Callable[[DataFrame, int], None]], tag: str = "kind") -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that gives every target the rows whose tag names it; the batch is computed once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            for name, target in targets.items():
+                target(held.filter(F.col(tag) == name).drop(tag), batch_id)
+        finally:
+            held.unpersist()
 
     return run
 

@@ -189,3 +189,14 @@ def test_address_lists_on_the_paired_feed(messages):
     for lists in ({"deny": ["192.0.2.2/32"]}, {"allow": ["192.0.2.0/31", "2001:db8:ffff::1/128"]}):
         expected = filters.cidr_filter(rows, **lists).count()
         assert tables.ingest_paired(feed, **lists).count() == expected and 0 < expected < rows.count()
+
+
+def test_no_file_holds_more_blocks_than_it_may(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('b', id % 101) AS block_id", "id AS query_id")
+    names = spark.range(500).selectExpr("concat('b', id % 101) AS block_id", "CAST(id AS INT) AS index", "CAST('x' AS BINARY) AS value")
+    tables.write_blocks(rows, {"names": names}, f"{tmp_path}/out", blocks_per_file=4)
+    for table, n in (("facts", 2000), ("names", 500)):
+        back = spark.read.parquet(f"{tmp_path}/out/{table}").withColumn("file", F.col("_metadata.file_name"))
+        per_file = back.groupBy("file").agg(F.count_distinct("block_id").alias("n")).collect()
+        assert back.count() == n and max(r.n for r in per_file) <= 4 and len(per_file) >= 26
+        assert back.groupBy("block_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").isEmpty()

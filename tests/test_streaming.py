@@ -54,6 +54,69 @@ def test_delivery_falls_back():
         flows.deliver(broken)(None, 3)
 
 
+def test_unsent_batches_are_kept_and_sent_later(spark, tmp_path):
+    """The primary is down for two batches, over a restart; then every batch is delivered once, in order."""
+    sent, down = [], [True]
+
+    def primary(batch, number):
+        if down[0]:
+            raise OSError("down")
+        sent.append((number, sorted(r.id for r in batch.collect())))
+
+    batch = lambda n: spark.range(10 * n, 10 * n + 3)
+    flows.deliver(primary, unsent=f"{tmp_path}/unsent")(batch(0), 0)
+    again = flows.deliver(primary, unsent=f"{tmp_path}/unsent")
+    again(batch(1), 1)
+    again(batch(1), 1)  # the same batch once more
+    assert not sent and flows.Unsent(f"{tmp_path}/unsent").numbers(spark) == [0, 1]
+    down[0] = False
+    flows.deliver(primary, unsent=f"{tmp_path}/unsent")(batch(2), 2)
+    again(batch(3), 3)
+    assert sent == [(n, [10 * n, 10 * n + 1, 10 * n + 2]) for n in range(4)]
+    assert flows.Unsent(f"{tmp_path}/unsent").numbers(spark) == []
+
+
+def test_a_kept_batch_that_comes_again_is_not_sent_twice(spark, tmp_path):
+    sent, down = [], [True]
+
+    def primary(batch, number):
+        if down[0]:
+            raise OSError("down")
+        sent.append(number)
+
+    run = flows.deliver(primary, unsent=f"{tmp_path}/unsent")
+    run(spark.range(2), 0)
+    down[0] = False
+    run(spark.range(2), 0)
+    assert sent == [0] and flows.Unsent(f"{tmp_path}/unsent").numbers(spark) == []
+
+
+def test_every_message_of_a_stream_has_an_outcome(spark, messages, tmp_path):
+    """Pairs, late and expired messages go to sinks of their own; with what still waits they are the input."""
+    ordinary = messages.filter("qtype <> 252").withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 100_000).cast("bigint") + F.col("msg_id") % 7))
+    held = F.col("msg_id") % 20 == 0  # these come after all others
+    bounds = ordinary.agg(F.percentile_approx(F.unix_micros("ts"), [0.3, 0.6])).first()[0]
+    cuts = [F.unix_micros("ts") < bounds[0], F.unix_micros("ts").between(bounds[0], bounds[1] - 1), F.unix_micros("ts") >= bounds[1]]
+    for number, part in enumerate([*[c & ~held for c in cuts], held]):
+        ordinary.filter(part).coalesce(1).write.parquet(f"{tmp_path}/in/part={number}")
+    stream = spark.readStream.schema(ordinary.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = matching.stream_outcomes(stream, timeout_ms=1, delay_ms=2)
+    targets = {k: flows.folder_target(f"{tmp_path}/{k}") for k in ("pair", "late", "expired")}
+    writer = found.writeStream.foreachBatch(flows.split_sinks(targets)).option("checkpointLocation", f"{tmp_path}/cp")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    ids = {}
+    for kind in targets:
+        rows = spark.read.parquet(f"{tmp_path}/{kind}").select("query_id", "response_id").collect()
+        ids[kind] = [x for r in rows for x in r if x is not None]
+    every = [r[0] for r in ordinary.select("msg_id").collect()]
+    out = [x for found in ids.values() for x in found]
+    assert len(out) == len(set(out)) and set(out) <= set(every)
+    assert ids["late"] and all(x % 20 == 0 for x in ids["late"]) and ids["pair"] and ids["expired"]
+    waiting = ordinary.filter(~F.col("msg_id").isin(out)).agg(F.min(F.unix_micros("ts")), F.count("*")).first()
+    last = ordinary.agg(F.max(F.unix_micros("ts"))).first()[0]
+    assert waiting[1] == len(every) - len(out) and waiting[1] < 200 and (waiting[1] == 0 or waiting[0] < last)
+
+
 def test_late_messages(messages):
     mark = messages.agg(F.min("ts")).first()[0]
     assert flows.late_messages(messages, F.lit(mark)).count() == 1
