@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dnsflow.functions import codes
 from dnsflow.functions.addresses import byte_at, uint
 from dnsflow.functions.binding import stage
-from dnsflow.operators import filters, wire
+from dnsflow.operators import columnar, filters, wire
 from dnsflow.schema import DNS_PORT, MESSAGES, RR_LIST, TCP, UDP, column_names
 
 ETHERTYPES = ("0800", "86DD")
@@ -39,16 +39,8 @@ _BODY = pa.struct([
 
 def _body_udf(with_rrs: bool):
     @F.arrow_udf(BODY_TYPE)
-    def decode_body(bodies: pa.Array) -> pa.Array:
-        def one(body):
-            if body is None:
-                return None
-            try:
-                return wire.decode_message(body, with_rrs)
-            except wire.Malformed as problem:
-                return {"body_error": f"error: {problem}"}
-
-        return pa.array([one(b.as_py()) for b in bodies], type=_BODY)
+    def decode_body(values: pa.Array) -> pa.Array:
+        return columnar.bodies(values, with_rrs, _BODY)
 
     return decode_body
 
@@ -259,13 +251,20 @@ def _tap_fields(frame: bytes) -> dict:
     try:
         top = wire.protobuf_fields(frame)
         wire.need(TAP_MESSAGE in top, "dnstap message content missing")
+        wire.need(isinstance(top[TAP_MESSAGE], bytes), "unexpected field encoding")
         inner = wire.protobuf_fields(top[TAP_MESSAGE])
         policy = inner.get(POLICY_FIELD)
+        wire.need(policy is None or isinstance(policy, bytes), "unexpected field encoding")
         rules = wire.protobuf_fields(policy) if policy is not None else {}
+        out = {n: inner.get(number) for n, number in MESSAGE_FIELDS.items()}
+        rule = rules.get(POLICY_RULE)
+        for n, value in out.items():
+            wire.need(value is None or isinstance(value, bytes) == (n in _BINARY), "unexpected field encoding")
+            wire.need(not isinstance(value, int) or value < 1 << 63, "number too large")
+        wire.need(isinstance(top.get(TAP_EXTRA, b""), bytes) and isinstance(rule or b"", bytes), "unexpected field encoding")
+        wire.need(not isinstance(rules.get(POLICY_ACTION), bytes) and (rules.get(POLICY_ACTION) or 0) < 1 << 31, "unexpected policy action")
     except wire.Malformed as problem:
         return {"frame_error": f"error: {problem}"}
-    out = {n: inner.get(number) for n, number in MESSAGE_FIELDS.items()}
-    rule = rules.get(POLICY_RULE)
     out.update(
         extra=top.get(TAP_EXTRA, b"").decode("utf-8", "replace"), policy=policy is not None,
         action=rules.get(POLICY_ACTION), rule=None if rule is None else rule.decode("utf-8", "replace"),
@@ -276,7 +275,9 @@ def _tap_fields(frame: bytes) -> dict:
 def _tap_udf():
     @F.arrow_udf(TAP_TYPE)
     def decode_tap(frames: pa.Array) -> pa.Array:
-        return pa.array([_tap_fields(f.as_py()) for f in frames], type=_TAP)
+        return columnar.taps(
+            frames, _TAP, MESSAGE_FIELDS, _BINARY, _tap_fields, TAP_EXTRA, TAP_MESSAGE, POLICY_FIELD, POLICY_RULE, POLICY_ACTION
+        )
 
     return decode_tap
 

@@ -646,8 +646,8 @@ def _decoded_view(decoded: DataFrame, *more: str) -> DataFrame:
         "client_port", addresses.ip_text(F.col("server_ip")).alias("server"), "is_response",
         "id", "rcode", "ancount", "arcount", "dns_len", "edns_udp", "edns_do", "last_soa",
         "qname", "qtype", F.hex("opt_rdata").alias("opt"),
-        F.size("answer_rrs").alias("answers"), F.col("answer_rrs")[0]["name"].alias("rr_name"),
-        F.col("answer_rrs")[0]["rdata"].alias("rr_data"),
+        F.size("answer_rrs").alias("answers"),
+        F.array_join(F.col("answer_rrs.name"), "|").alias("rr_name"), F.array_join(F.col("answer_rrs.rdata"), "|").alias("rr_data"),
     )
 
 

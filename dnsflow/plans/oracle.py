@@ -210,7 +210,9 @@ DECODED = """client_ip AS client, client_port, server_ip AS server, r AS is_resp
   CASE WHEN has_opt THEN 1 ELSE 0 END AS arcount, size::INTEGER AS dns_len"""
 BODY = """udp AS edns_udp, edns_do, soa AS last_soa, qname, qtype, opt,
   CASE WHEN r THEN (answers + CASE WHEN soa THEN 1 ELSE 0 END)::INTEGER END AS answers,
-  CASE WHEN r THEN qname END AS rr_name, CASE WHEN r THEN '192.0.2.1' END AS rr_data"""
+  CASE WHEN r THEN array_to_string(list_transform(range(answers + CASE WHEN soa THEN 1 ELSE 0 END), lambda i: qname), '|') END AS rr_name,
+  CASE WHEN r THEN array_to_string(list_transform(range(1, answers + 1), lambda i: '192.0.2.' || i)
+    || CASE WHEN soa THEN [CASE WHEN qname = '' THEN '. .' ELSE qname || '. ' || qname || '.' END || ' 10 10 10 10 10'] ELSE [] END, '|') END AS rr_data"""
 NO_BODY = """NULL AS edns_udp, NULL AS edns_do, NULL AS last_soa, NULL AS qname, NULL AS qtype, NULL AS opt,
   NULL AS answers, NULL AS rr_name, NULL AS rr_data"""
 # Frame errors of derived packets; only UDP traffic is framed.

@@ -1,10 +1,12 @@
 """Hand-made bytes with known answers."""
 
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 
-from dnsflow.operators import decode, wire
+from dnsflow.operators import columnar, decode, wire
 
 
 def name(text):
@@ -142,3 +144,74 @@ def test_segments_of_packets(spark):
 def test_text_of_service_and_signature_records(kind, data, text):
     message = bytes(12) + data
     assert wire.rdata_text(message, kind, 12, len(data), len(message)) == text
+
+
+def mutated(rng, values):
+    """The values, cut, with bytes changed, doubled or taken from each other."""
+    out = list(values)
+    while len(out) < 6000:
+        v = bytearray(rng.choice(values))
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            if v:
+                at = rng.randrange(len(v))
+                v[at] = rng.choice([0, 1, 12, 41, 63, 64, 0xC0, 0xFF, rng.randrange(256)])
+        cut = rng.choice([None, None, rng.randrange(len(v) + 1)])
+        out.append(bytes(v[:cut]) + (bytes(rng.randrange(9)) if rng.random() < 0.1 else b""))
+    return out
+
+
+@pytest.mark.parametrize("with_rrs", [True, False])
+def test_columns_equal_messages_decoded_one_by_one(with_rrs):
+    rng = random.Random(4)
+    rr = [record(b"\xc0\x0c", k, d) for k, d in (
+        (1, bytes([192, 0, 2, 1])), (28, bytes(range(16))), (15, b"\0\x0a\x04mail\xc0\x0c"), (16, b"\x02hi\x03a\"b"), (99, b"\xab"), (5, b"\xc0\x0c"), (1, b""),
+        (6, b"\x02ns\xc0\x0c\x05admin\xc0\x0c" + bytes(20)))]
+    rr += [record(name("other.example.org"), 1, b"\1\2\3\4"), record(b"\x03www\xc0\x0c", 2, b"\x02ns\xc0\x10"), record(b"\0", 1, b"\0\0\0\0")]
+    opt = b"\0" + struct.pack(">2HIH", 41, 1232, 0x01008000, 6) + b"\x00\x03\x00\x02ab"
+    bodies = [header(0x0100) + QUESTION, header(0x0100, (0, 0, 0, 0)), header(counts=(0, 1, 0, 0)) + record(name("a.b"), 1, b"\1\2\3\4"),
+              header(counts=(2, 1, 0, 0)) + QUESTION * 2 + rr[0], header() + name("") + b"\0\1\0\1", header() + b"\x04\xff\xfe\xc3\xa9\0\0\1\0\1", header() + QUESTION + b"tail"]
+    for _ in range(60):
+        parts = [[rng.choice(rr) for _ in range(rng.choice([0, 1, 2, 5]))] for _ in range(3)]
+        counts = (1, len(parts[0]), len(parts[1]), len(parts[2]) + 1)
+        bodies.append(header(rng.choice([0x8180, 0x8180, 0x0100]), counts) + QUESTION + b"".join(sum(parts, [])) + opt)
+    values = [*mutated(rng, bodies), None, b""]
+    values = [v for v in values if v is None or len(v) >= 12]
+
+    def one(v):
+        try:
+            return None if v is None else {"body_error": None, **wire.decode_message(v, with_rrs)}
+        except wire.Malformed as problem:
+            return {f.name: None for f in decode._BODY} | {"body_error": f"error: {problem}"}
+
+    column = pa.array([b"x", *values], pa.binary()).slice(1)
+    got = columnar.bodies(column, with_rrs, decode._BODY).to_pylist()
+    assert got == [one(v) for v in values]
+    assert sum(g is not None and g["body_error"] is None for g in got) > 500 and sum(g is not None and g["body_error"] is not None for g in got) > 500
+    assert columnar.bodies(pa.array([], pa.binary()), with_rrs, decode._BODY).to_pylist() == []
+
+
+def test_columns_equal_frames_decoded_one_by_one():
+    rng = random.Random(8)
+
+    def varint(n):
+        return bytes([n & 0x7F | 0x80]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    number = lambda f, n: varint(f << 3) + varint(n)
+    data = lambda f, b: varint(f << 3 | 2) + varint(len(b)) + b
+    fixed = lambda f, n: varint(f << 3 | 5) + struct.pack("<I", n)
+    frames = [b"", number(15, 1), data(14, b"")]
+    for _ in range(60):
+        policy = data(15, data(2, rng.choice([b"rule", b"\xff\xfe", "réglé".encode()])) + rng.choice([b"", number(3, rng.randrange(9))]))
+        inner = [number(1, rng.randrange(9)), number(2, 1), number(3, 300), data(4, b"\1\2\3\4"), data(5, bytes(16)), number(6, 53), number(8, 1 << 33), fixed(9, 7),
+                 data(10, header()), number(12, 5), fixed(13, 1 << 31), data(14, b""), policy, varint(20 << 3 | 1) + bytes(8), number(1, 4)]
+        rng.shuffle(inner)
+        frames.append(number(15, 1) + data(3, rng.choice([b"rtt=5", b"", b"\xff"])) + data(14, b"".join(inner[: rng.randrange(1, 16)])) + rng.choice([b"", data(3, b"last")]))
+    values = [*mutated(rng, frames), None]
+
+    def one(v):
+        return None if v is None else {f.name: None for f in decode._TAP} | decode._tap_fields(v)
+
+    got = columnar.taps(pa.array(values, pa.binary()), decode._TAP, decode.MESSAGE_FIELDS, decode._BINARY, decode._tap_fields, decode.TAP_EXTRA,
+                        decode.TAP_MESSAGE, decode.POLICY_FIELD, decode.POLICY_RULE, decode.POLICY_ACTION).to_pylist()
+    assert got == [one(v) for v in values]
+    assert sum(g is not None and g["frame_error"] is None for g in got) > 500
