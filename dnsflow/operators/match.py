@@ -40,6 +40,15 @@ def with_flow_key(df: DataFrame) -> DataFrame:
     })
 
 
+def routed(messages: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Every message with what a pair takes from it of these fields, under the pair's names; null for the other side's."""
+    taken = [
+        F.when(F.col("is_response") == response, F.col(source)).alias(name)
+        for mapping, response in ((FROM_QUERY, False), (FROM_RESPONSE, True)) for name, source in mapping.items() if source in fields
+    ]
+    return messages.select("msg_id", "is_response", *taken)
+
+
 def _side(df: DataFrame, mapping: dict[str, str]) -> Column:
     """Time, id and the wanted payload of a message as one sortable struct."""
     present = [F.col(src).alias(dst) for dst, src in mapping.items() if src in df.columns]

@@ -144,6 +144,23 @@ def qps_moving_average_per_server(
     )
 
 
+def server_report(
+    messages: DataFrame, window: int = 300, unit_s: int = 1, per_s: int = 1, every: int = 300, strict_window: bool = False
+) -> DataFrame:
+    """What the statistics format says about each server: its requests since the start and its moving-average rates.
+
+    One row per server and report, under the names of the format.
+    """
+    averages = qps_moving_average_per_server(messages, window, unit_s, per_s, every, strict_window)
+    counted = queries_only(messages).groupBy("server_ip", tick_of(unit_s).alias("at")).agg(*_counters())
+    counts = counted.withColumn("tick", (F.ceil(F.col("at") / every) * every).cast("bigint"))
+    quiet = averages.select("server_ip", "tick", *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS])
+    steps = counts.select(*quiet.columns).unionByName(quiet).groupBy("server_ip", "tick").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    totals = running_totals(steps, "tick", COUNTERS, ["server_ip"])
+    renamed = totals.select("server_ip", "tick", *[F.col(c).alias(f"queries-{c}") for c in COUNTERS])
+    return averages.select("server_ip", "tick", *[F.col(c).alias(f"queries-per-second-{c}") for c in COUNTERS]).join(renamed, ["server_ip", "tick"])
+
+
 def pipeline_counters(messages: DataFrame, packets: DataFrame, transactions: DataFrame,
                       exported: DataFrame, kept_packets: DataFrame | None = None) -> DataFrame:
     """Rows per stage, one row in all."""
@@ -168,13 +185,12 @@ def pending_gauge(
     """Messages waiting at each tick.
 
     `waits` has `arrived` and `left` (µs, null when never paired); a message waits from its
-    arrival until it is paired or times out, so it touches at most timeout/tick + 1 ticks.
+    arrival until it is paired or times out, so it touches at most timeout/tick + 1 ticks. Entries of zone
+    transfers also have `renewed`, the time from which their timeout runs.
     """
     tick = tick_ms * 1000
-    end = F.least(
-        F.coalesce(F.col("left"), F.col("arrived") + timeout_ms * 1000),
-        F.col("arrived") + timeout_ms * 1000,
-    )
+    until = (F.coalesce("renewed", "arrived") if "renewed" in waits.columns else F.col("arrived")) + timeout_ms * 1000
+    end = F.least(F.coalesce(F.col("left"), until), until)
     first = F.ceil(F.col("arrived") / tick).cast("bigint")
     last = (F.ceil(end / tick) - 1).cast("bigint")
     ticks = waits.filter(first <= last).select(F.explode(F.sequence(first, last)).alias("tick"))

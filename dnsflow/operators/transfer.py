@@ -54,7 +54,7 @@ def _entry(x: Column, **changed: Column) -> Column:
 
 
 def _follow(entries: str, pending: Column, timeout_us: int) -> Column:
-    """struct(pending, done) after all messages of `ev`.
+    """struct(pending, done, gone) after all messages of `ev`; gone are the entries that got too old.
 
     A message belongs to the oldest entry that is younger than the timeout. Responses add
     up in an entry that has its query, and each of them renews its age; a query or
@@ -62,13 +62,13 @@ def _follow(entries: str, pending: Column, timeout_us: int) -> Column:
     """
     none = F.array().cast(f"array<{entries}>")
 
-    def state(pending: Column, done: Column) -> Column:
-        return F.struct(
-            pending.cast(f"array<{entries}>").alias("pending"),
-            done.cast(f"array<{entries}>").alias("done"),
-        )
+    def state(pending: Column, done: Column, gone: Column) -> Column:
+        parts = {"pending": pending, "done": done, "gone": gone}
+        return F.struct(*[c.cast(f"array<{entries}>").alias(n) for n, c in parts.items()])
 
     def place(s: Column, x: Column, alive: Column) -> Column:
+        old = F.filter(s["pending"], lambda p: p["t"] + timeout_us <= x["t"])
+        gone = F.when(F.size(old) > 0, F.concat(s["gone"], old)).otherwise(s["gone"])
         gate = F.get(alive, F.lit(0))
         others = F.slice(alive, F.lit(2), F.greatest(F.size(alive), F.lit(1)))
         alone = F.array_append(alive, _entry(x))
@@ -80,10 +80,10 @@ def _follow(entries: str, pending: Column, timeout_us: int) -> Column:
         )
         is_query, has_query = x["query"].isNotNull(), gate["query"].isNotNull()
         return (
-            F.when(gate.isNull() | (is_query == has_query), state(alone, s["done"]))
-            .when(is_query, state(asked, s["done"]))
-            .when(x["last"], state(others, F.array_append(s["done"], grown)))
-            .otherwise(state(F.concat(F.array(grown), others), s["done"]))
+            F.when(gate.isNull() | (is_query == has_query), state(alone, s["done"], gone))
+            .when(is_query, state(asked, s["done"], gone))
+            .when(x["last"], state(others, F.array_append(s["done"], grown), gone))
+            .otherwise(state(F.concat(F.array(grown), others), s["done"], gone))
         )
 
     def step(s: Column, index: Column) -> Column:
@@ -95,15 +95,15 @@ def _follow(entries: str, pending: Column, timeout_us: int) -> Column:
     def run(s: Column, k: Column) -> Column:
         part = F.aggregate(
             F.sequence(k * RUN, F.least(k * RUN + (RUN - 1), F.size("ev") - 1)),
-            state(s["pending"], none), step,
+            state(s["pending"], none, none), step,
         )
         joined = F.transform(
-            F.array(part), lambda p: state(p["pending"], F.concat(s["done"], p["done"]))
+            F.array(part), lambda p: state(p["pending"], F.concat(s["done"], p["done"]), F.concat(s["gone"], p["gone"]))
         )
         return F.get(joined, F.lit(0))
 
     runs = F.sequence(F.lit(0), ((F.size("ev") - 1) / RUN).cast("int"))
-    return F.aggregate(runs, state(pending, none), run)
+    return F.aggregate(runs, state(pending, none, none), run)
 
 
 def _finished(walked: DataFrame) -> DataFrame:
@@ -169,3 +169,35 @@ def unfinished(
     return every.join(used.distinct(), key, "left_anti").select(
         *FLOW_KEY, "member.msg_id", "ts", "member.is_response"
     )
+
+
+def waiting_times(
+    messages: DataFrame, timeout_ms: int = 1000, skew: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """(arrived, renewed, left) in µs of every entry of a zone transfer.
+
+    An entry waits from its first message on until its transfer ends (`left`), or for the timeout after the last
+    message it accepted (`renewed`).
+    """
+    timeout_us = timeout_ms * 1000
+    out = None
+    for part in _walked_parts(messages, timeout_ms, skew):
+        pending = F.col("walk.pending")
+        if "chunk" in part.columns:
+            # What the next chunk has received is its own.
+            following = part.select(*FLOW_KEY, (F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("more"))
+            part = cut_lineage(part.join(following, [*FLOW_KEY, "chunk"], "left"))
+            edge = (F.col("chunk") + 1) * F.col("chunk_us") - timeout_us
+            pending = F.filter("walk.pending", lambda p: F.col("more").isNull() | (p["t"] <= edge))
+        never = F.lit(None).cast("bigint")
+
+        def times(entry: Column, left: Column) -> Column:
+            return F.struct(
+                F.array_min(F.transform(entry["members"], lambda m: m["t"])).alias("arrived"), entry["t"].alias("renewed"), left.alias("left")
+            )
+
+        ended = F.transform("walk.done", lambda p: times(p, p["t"]))
+        rest = F.transform(F.concat("walk.gone", pending), lambda p: times(p, never))
+        found = part.select(F.inline(F.concat(ended, rest)))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -92,7 +92,7 @@ def match_qname(messages):
 @on_messages
 def match_unmatched(messages):
     """Leftovers of ordinary messages and of zone transfers; some transfers lose their end."""
-    cut = messages.filter("msg_id % 970 <> 8")
+    cut = messages.filter("msg_id % 2910 <> 8")
     rest = match.unmatched(cut).unionByName(transfer.unfinished(cut))
     return rest.select("msg_id", us().alias("time_us"), "is_response")
 
@@ -361,11 +361,8 @@ def direction_normalise(messages):
 
 @on_messages
 def length_routing(messages):
-    sides = ((match.FROM_QUERY, False), (match.FROM_RESPONSE, True))
-    return messages.groupBy("is_response").agg(*[
-        F.sum(F.when(F.col("is_response") == side, F.col(source)).otherwise(0)).alias(name)
-        for fields, side in sides for name, source in fields.items() if source in ("len", "dns_len")
-    ])
+    lengths = match.routed(messages, ("len", "dns_len"))
+    return lengths.groupBy("is_response").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in lengths.columns[2:]])
 
 
 @on_messages
@@ -507,9 +504,14 @@ def pipeline_counters(messages):
     return stats.pipeline_counters(messages, messages, pairs, project.to_transactions(pairs), messages)
 
 
+def waits(messages: DataFrame) -> DataFrame:
+    """The times of everything that waits: ordinary messages, and entries of zone transfers."""
+    return match.waiting_times(messages).unionByName(transfer.waiting_times(messages), allowMissingColumns=True)
+
+
 @on_messages
 def pending_gauge(messages):
-    return stats.pending_gauge(match.waiting_times(messages))
+    return stats.pending_gauge(waits(messages))
 
 
 @on_messages
@@ -551,12 +553,14 @@ def stats_report(messages):
 
 @on_messages
 def stats_report_full(messages):
-    pairs = cut_lineage(match.match_transactions(messages).select("ts", "response_ts"))
-    met = pairs.select(F.greatest(F.unix_micros("ts"), F.unix_micros("response_ts")).alias("us"))
+    # One walk over the keys gives the pairs as well as what waits.
+    ordinary = cut_lineage(match.waiting_times(messages))
+    met = ordinary.filter("left is not null").select(F.col("left").alias("us"))
+    waiting = ordinary.unionByName(transfer.waiting_times(messages), allowMissingColumns=True)
     seen = messages.select("is_response", us().alias("us"))
     full = stats.full_report(
         daily_report(messages), packets=seen, transactions=met, exported=met,
-        kept_packets=seen.filter("is_response"), waits=match.waiting_times(messages), every_s=DAY,
+        kept_packets=seen.filter("is_response"), waits=waiting, every_s=DAY,
     )
     out = project.select_stats(full, schema.STATS_FIELDS)
     out = out.withColumn("ipv4-source-entropy", F.round("`ipv4-source-entropy`", 9))
@@ -622,13 +626,10 @@ def stats_json_round_trip(messages):
     spark = messages.sparkSession
     folder = f"{shared_folder(spark, 'stats')}/reports"
     report = daily_report(messages)
-    servers = stats.qps_moving_average_per_server(
-        messages, window=24, unit_s=HOUR, per_s=HOUR, every=24
-    )
+    servers = stats.server_report(messages, window=24, unit_s=HOUR, per_s=HOUR, every=24)
     per_ip = servers.select(
-        (F.col("tick") / 24).cast("bigint").alias("tick"),
-        addresses.ip_text(F.col("server_ip")).alias("ip"),
-        *[F.col(c).alias(f"queries-per-second-{c}") for c in stats.COUNTERS],
+        (F.col("tick") / 24).cast("bigint").alias("tick"), addresses.ip_text(F.col("server_ip")).alias("ip"),
+        *[F.col(f"`{c}`") for c in servers.columns[2:]],
     ).join(report.select("tick"), "tick", "left_semi")
     tables.write_stats_json(report, folder, per_ip)
     back = tables.read_stats(spark, folder)

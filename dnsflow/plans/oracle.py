@@ -168,7 +168,9 @@ servers AS (SELECT s.server_ip, p.tick, {_each(f"(coalesce(sum(x.{{c}}), 0) // l
   FROM sv_reports p JOIN sv_seen s ON s.seen <= p.tick
   LEFT JOIN sv_rates x ON x.server_ip = s.server_ip AND x.tick <= p.tick AND x.tick > p.tick - {size}
   WHERE p.tick < p.b + {every}
-  GROUP BY s.server_ip, p.tick, p.a)"""
+  GROUP BY s.server_ip, p.tick, p.a),
+sv_totals AS (SELECT x.server_ip, p.tick, {_each("sum(x.{c})::BIGINT AS total_{c}")}
+  FROM sv_reports p JOIN sv_counts x ON x.tick <= p.tick WHERE p.tick < p.b + {every} GROUP BY 1, 2)"""
 
 
 def _ids(condition: str) -> str:
@@ -248,6 +250,11 @@ TRANSFERS = f"""WITH {MESSAGES}, gaps AS (
         (sum(e % 4 + 1) FILTER (r))::INTEGER AS ancount, max(rcode) AS rcode
       FROM gaps GROUP BY e HAVING coalesce(max(gap), 0) < 1000000"""
 
+# Entries of zone transfers: answered to the end, given up before the last response, or that response alone.
+TRANSFER_WAITS = """SELECT t0, t0 + 400000 FROM ev WHERE e % 97 = 0 AND e % 5 <> 0
+        UNION ALL SELECT t0, t0 + 1300000 FROM ev WHERE e % 97 = 0 AND e % 5 = 0
+        UNION ALL SELECT t0 + 1900000, t0 + 2900000 FROM ev WHERE e % 97 = 0 AND e % 5 = 0"""
+
 ORACLE: dict[str, str] = {
     "txn_flagship": f"WITH RECURSIVE {TXN} SELECT * EXCLUDE (e) FROM txn",
     "txn_by_domain": f"""WITH RECURSIVE {TXN} SELECT domainname, rcode, count(*) AS n,
@@ -255,10 +262,10 @@ ORACLE: dict[str, str] = {
     "match_fifo": f"WITH RECURSIVE {PAIRS} {PAIR_VIEW}",
     "match_qname": f"WITH RECURSIVE {PAIRS_BY_NAME} {PAIR_VIEW}",
     "match_unmatched": f"""WITH RECURSIVE {PAIRS} SELECT msg_id, t AS time_us, r AS is_response FROM msg
-      WHERE qtype <> 252 AND msg_id % 970 <> 8 AND msg_id NOT IN (SELECT query_id FROM pairs)
+      WHERE qtype <> 252 AND msg_id % 2910 <> 8 AND msg_id NOT IN (SELECT query_id FROM pairs)
         AND msg_id NOT IN (SELECT response_id FROM pairs)
       UNION ALL SELECT msg_id, t, r FROM (
-        SELECT *, lag(t) OVER (PARTITION BY e ORDER BY t) AS before FROM msg WHERE qtype = 252 AND msg_id % 970 <> 8)
+        SELECT *, lag(t) OVER (PARTITION BY e ORDER BY t) AS before FROM msg WHERE qtype = 252 AND msg_id % 2910 <> 8)
       QUALIFY count_if(r AND n = 3) OVER (PARTITION BY e) = 0
         OR count_if(NOT r) OVER (PARTITION BY e) = 0 OR max(coalesce(t - before, 0)) OVER (PARTITION BY e) >= 1000000""",
     "match_axfr": TRANSFERS,
@@ -413,7 +420,8 @@ ORACLE: dict[str, str] = {
     "pending_gauge": f"""WITH RECURSIVE {PAIRS}, waits AS (
         SELECT least(query_us, response_us) AS a, greatest(query_us, response_us) AS b FROM joined
         UNION ALL SELECT t, t + 1000000 FROM msg WHERE qtype <> 252
-          AND msg_id NOT IN (SELECT query_id FROM pairs) AND msg_id NOT IN (SELECT response_id FROM pairs)),
+          AND msg_id NOT IN (SELECT query_id FROM pairs) AND msg_id NOT IN (SELECT response_id FROM pairs)
+        UNION ALL {TRANSFER_WAITS}),
       ticks AS (SELECT a, b, unnest([(a + 999999) // 1000000, (a + 999999) // 1000000 + 1]) AS tick FROM waits)
       SELECT tick, count(*) AS pending FROM ticks WHERE tick * 1000000 >= a AND tick * 1000000 < b GROUP BY 1""",
     "qps": f"WITH {MESSAGES}, {_ticks(3600, 3600)} SELECT * FROM rates",
@@ -424,7 +432,8 @@ ORACLE: dict[str, str] = {
     "stats_report_full": f"""WITH RECURSIVE {PAIRS}, {DAILY}, met AS (
         SELECT least(query_us, response_us) AS a, greatest(query_us, response_us) AS b FROM joined),
       waits AS (SELECT a, b FROM met UNION ALL SELECT t, t + 1000000 FROM msg WHERE qtype <> 252
-          AND msg_id NOT IN (SELECT query_id FROM pairs) AND msg_id NOT IN (SELECT response_id FROM pairs))
+          AND msg_id NOT IN (SELECT query_id FROM pairs) AND msg_id NOT IN (SELECT response_id FROM pairs)
+        UNION ALL {TRANSFER_WAITS})
       SELECT r.*, (SELECT count(*) FROM msg WHERE t // 86400000000 <= r.tick) AS processed_packets,
         (SELECT count(*) FROM met WHERE b // 86400000000 <= r.tick) AS processed_transactions,
         (SELECT count(*) FROM met WHERE b // 86400000000 <= r.tick) AS exported_records,
@@ -459,8 +468,8 @@ ORACLE: dict[str, str] = {
             {_each("'queries-{c}', 'queries-per-second-{c}'")}]) AS metric,
           unnest([ipv4_source_entropy, queries, queries_per_second, unix_timestamp,
             {_each("queries_{c}, queries_per_second_{c}")}]::DOUBLE[]) AS value FROM report
-        UNION ALL SELECT server_ip, unnest([{_each("'queries-per-second-{c}'")}]), unnest([{_each("{c}")}]::DOUBLE[])
-          FROM servers WHERE tick // 24 IN (SELECT tick FROM report))
+        UNION ALL SELECT server_ip, unnest([{_each("'queries-{c}', 'queries-per-second-{c}'")}]), unnest([{_each("total_{c}, {c}")}]::DOUBLE[])
+          FROM servers JOIN sv_totals USING (server_ip, tick) WHERE tick // 24 IN (SELECT tick FROM report))
       SELECT ip, metric, count(*) AS n, round(sum(value), 6) AS total FROM long GROUP BY 1, 2""",
     "decode_packets": f"""WITH {PACKETS}
       SELECT k AS packet_no, error, full_len::INTEGER AS len, (64 - e % 3)::INTEGER AS ttl,

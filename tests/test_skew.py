@@ -164,6 +164,19 @@ def test_unfinished_transfers(messages):
     assert plain == crowded and 0 < sum(plain.values()) < rows.count() and max(plain.values()) == 1
 
 
+def test_waiting_times_of_transfers(messages):
+    """Windows of a key and chunks of time give the same entries; every message is in one."""
+    rows = squeezed(messages.filter("msg_id % 4 <> 1"), 3000).withColumns(
+        {**one_key(), "qtype": F.lit(252), "last_soa": F.expr("is_response and msg_id % 3 = 0")}
+    )
+    plain, crowded = (
+        Counter(tuple(r) for r in transfer.waiting_times(rows, skew=p).select("arrived", "renewed", "left").collect())
+        for p in (PLAIN, SkewPolicy(rows_per_group=100))
+    )
+    assert plain == crowded
+    assert sum(n for (_, _, left), n in plain.items() if left is not None) == transfer.match_transfers(rows, skew=PLAIN).count()
+
+
 def busy_connection(spark):
     """Many messages back to back on one connection, cut into uneven segments, some twice, some late."""
     import random
