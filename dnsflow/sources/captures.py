@@ -12,6 +12,8 @@ Records before a broken one are kept; what follows it in the file is reported by
 
 from __future__ import annotations
 
+import itertools
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -42,6 +44,11 @@ SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 BYTE_ORDER, RESOLUTION = 0x1A2B3C4D, 9
 
 
+def micros(time) -> int:
+    """Microseconds since 1970 of a time; without a zone it counts as UTC."""
+    return int(pd.Timestamp(time).tz_localize("UTC").value if pd.Timestamp(time).tzinfo is None else pd.Timestamp(time).value) // 1000
+
+
 class Broken(ValueError):
     """The file cannot be read on from here."""
 
@@ -159,12 +166,40 @@ class FrameStream:
 
 @dataclass
 class Blocks:
-    """The block-structured capture format; interfaces must be known, so a file is one split."""
+    """The block-structured capture format.
+
+    Byte order and interfaces must be known, so one walk over the block headers notes them for every split.
+    """
 
     first: int = 0
     order: str = "<"
     ticks: list = field(default_factory=list)
 
+    @property
+    def state(self) -> str:
+        return json.dumps([self.order, self.ticks])
+
+    def resumed(self, state: str) -> Blocks:
+        self.order, self.ticks = json.loads(state)
+        return self
+
+    def splits(self, source: Source, width: int) -> list[tuple]:
+        """(start, end, first, after, records, state, reason) of every split of `width` bytes in which a record begins."""
+        out, reason = [], None
+        try:
+            for at, _, _, _, end in self.records(source, 0, None):
+                start = at // width * width
+                if not out or out[-1][0] != start:
+                    out.append([start, min(start + width, source.size), at, at, 0, self.state, None])
+                out[-1][3:5] = [end, out[-1][4] + 1]
+        except Broken as problem:
+            reason = str(problem)
+        out = out or [[0, min(width, source.size), 0, 0, 0, self.state, None]]
+        out[-1][6] = reason
+        for one, following in zip(out, out[1:]):
+            one[3] = following[2]  # blocks without packets between them belong to none
+        return [tuple(x) for x in out]
+
     def _interface(self, body: bytes) -> None:
         ticks, at = 1_000_000, 8
         while at + 4 <= len(body):
@@ -178,7 +213,7 @@ class Blocks:
         self.ticks.append(ticks)
 
     def records(self, source: Source, at: int, limit: int | None) -> Iterator[tuple]:
-        while at < source.size:
+        while at < (source.size if limit is None else limit):
             if at + 12 > source.size:
                 raise Broken("the file ends within a block")
             head = source.read(at, 12)
@@ -246,7 +281,7 @@ def _begin(source: Source, form, start: int, end: int) -> int | None:
 
 
 INDEX = (
-    "path string, size bigint, start bigint, end bigint, first bigint, after bigint, records bigint, reason string"
+    "path string, size bigint, start bigint, end bigint, first bigint, after bigint, records bigint, reason string, state string"
 )
 _FIELDS = [x.split()[0] for x in INDEX.split(", ")]
 
@@ -261,11 +296,14 @@ def _index(kind: str):
                 source = Source(path, size)
                 form = _format(kind, source)
                 if form is None:
-                    rows.append((path, size, start, end, 0, 0, 0, "not a capture" if start == 0 else None))
+                    rows.append((path, size, start, end, 0, 0, 0, "not a capture" if start == 0 else None, None))
+                    continue
+                if isinstance(form, Blocks):  # the first split walks the headers for all
+                    if start == 0:
+                        for low, high, first, after, count, state, reason in form.splits(source, int(end)):
+                            rows.append((path, size, low, high, first, after, count, reason, state))
                     continue
-                if isinstance(form, Blocks):  # read as a whole by the first split
-                    at, end = 0 if start == 0 else size, size if start == 0 else end
-                elif not pd.isna(known):
+                if not pd.isna(known):
                     at = int(known)
                 else:
                     at = form.first if start == 0 else _begin(source, form, start, end)
@@ -277,7 +315,7 @@ def _index(kind: str):
                         after = max(after, _past_control(source, after, end))
                 except Broken as problem:
                     reason = str(problem)
-                rows.append((path, size, start, end, at, after, count, reason))
+                rows.append((path, size, start, end, at, after, count, reason, None))
             out = pd.DataFrame(rows, columns=_FIELDS)
             yield out.astype({"first": "Int64", "after": "Int64"})
 
@@ -302,7 +340,7 @@ def _expected(index: DataFrame) -> DataFrame:
 
 def _chained(spark: SparkSession, path: str, kind: str, split_bytes: int) -> DataFrame:
     """The index of all splits, each beginning where the one before ended."""
-    files = spark.read.format("binaryFile").load(path).filter("path not like '%.tmp'").select("path", F.col("length").alias("size"))
+    files = spark.read.format("binaryFile").load(path).filter("path not like '%.tmp' and path not like '%.part'").select("path", F.col("length").alias("size"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
     cut = files.filter("size > 0").select("path", "size", F.explode(starts).alias("start"))
     ranges = cut.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
@@ -331,7 +369,7 @@ def _chained(spark: SparkSession, path: str, kind: str, split_bytes: int) -> Dat
 
 
 def _splits(spark: SparkSession, path: str, kind: str, split_bytes: int) -> DataFrame:
-    """(path, size, first, limit, number): byte ranges whose records start in them; numbers run over all files."""
+    """(path, size, first, limit, number, state): byte ranges whose records start in them; numbers run over all files."""
     index = _chained(spark, path, kind, split_bytes).filter("records > 0")
     sums = index.groupBy("path").agg(F.sum("records").alias("n"))
     # One row per file.
@@ -340,36 +378,50 @@ def _splits(spark: SparkSession, path: str, kind: str, split_bytes: int) -> Data
     within = F.coalesce(F.sum("records").over(before), F.lit(0))
     return cut_lineage(
         index.withColumn("within", within).join(bases, "path")
-        .select("path", "size", "first", F.col("after").alias("limit"), (F.col("base") + F.col("within")).alias("number"))
+        .select("path", "size", "first", F.col("after").alias("limit"), (F.col("base") + F.col("within")).alias("number"), "state")
     )
 
 
+def split_rows(kind: str, raw_ip: bool, path: str, size: int, first: int, limit: int, number: int, state: str | None) -> Iterator[list[tuple]]:
+    """The packets of a split, in lists of bounded size; those before a broken record."""
+    label = "WIRE" if kind == "pcap" else "DNSTAP"
+    source = Source(path, size)
+    form = _format(kind, source)
+    if state is not None:
+        form = form.resumed(state)
+    rows, held, records = [], 0, form.records(source, first, limit)
+    for k in itertools.count():
+        try:
+            _, us, at, length, end = next(records, (None,) * 5)
+        except Broken:
+            break
+        if end is None:
+            break
+        rows.append((path, number + k, us, label, raw_ip, source.read(at, length)))
+        held += length
+        if len(rows) == BATCH or held >= BATCH_BYTES:
+            yield rows
+            rows, held = [], 0
+        if end >= limit:
+            break
+    yield rows
+
+
 def _packets(kind: str, raw_ip: bool):
     columns = ["source", "packet_no", "ts", "kind", "raw_ip", "payload"]
-    label = "WIRE" if kind == "pcap" else "DNSTAP"
 
     def run(batches):
         for pdf in batches:
-            for path, size, first, limit, number in pdf[["path", "size", "first", "limit", "number"]].itertuples(index=False):
-                source = Source(path, size)
-                rows, held = [], 0
-                for k, (_, us, at, length, end) in enumerate(_format(kind, source).records(source, first, limit)):
-                    ts = None if us is None else pd.Timestamp(us, unit="us", tz="UTC")
-                    rows.append((path, number + k, ts, label, raw_ip, source.read(at, length)))
-                    held += length
-                    if len(rows) == BATCH or held >= BATCH_BYTES:
-                        yield _batch(rows, columns)
-                        rows, held = [], 0
-                    if end >= limit:
-                        break
-                yield _batch(rows, columns)
+            for *split, state in pdf[["path", "size", "first", "limit", "number", "state"]].itertuples(index=False):
+                for rows in split_rows(kind, raw_ip, *split, None if pd.isna(state) else state):
+                    yield _batch(rows, columns)
 
     return run
 
 
 def _batch(rows, columns) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=columns)
-    frame["ts"] = pd.to_datetime(frame["ts"], utc=True)
+    frame["ts"] = pd.to_datetime(frame["ts"], unit="us", utc=True)
     return frame
 
 
@@ -392,6 +444,12 @@ def read_dnstap(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     return _read(spark, path, "dnstap", False, split_bytes)
 
 
+def index_captures(spark: SparkSession, path: str, index: str, kind: str = "pcap", split_bytes: int = SPLIT_BYTES) -> None:
+    """Writes the splits of all files as a table that the `capture` data source takes as its index."""
+    splits = _splits(spark, path, kind, split_bytes).withColumn("kind", F.lit(kind))
+    splits.coalesce(1).write.mode("overwrite").parquet(index)  # one row per split
+
+
 def capture_rejects(
     spark: SparkSession, path: str, kind: str = "pcap", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:

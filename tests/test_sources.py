@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dnsflow import schema
 from dnsflow.operators import filters, match
 from dnsflow.plans import catalog, wireviews
-from dnsflow.sources import captures, tables
+from dnsflow.sources import capture_format, captures, tables
 
 
 def pcap(rows, order="<", magic=0xA1B2C3D4):
@@ -111,6 +111,65 @@ def test_block_format_beside_other_files(spark, tmp_path, order):
     assert [(r.source.split("/")[-1], r.reason) for r in rejects] == [("c.txt", "not a capture")]
 
 
+@pytest.mark.parametrize("order", "<>")
+def test_a_block_format_file_is_read_by_several_tasks(spark, tmp_path, order):
+    rows = sample(9, 400)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pcapng").write_bytes(blocks(rows, order) + blocks(rows[:50], "<" if order == ">" else ">"))
+    got = captures.read_captures(spark, str(tmp_path / "in"), split_bytes=4000)
+    assert got.rdd.getNumPartitions() > 5
+    found = sorted((r.packet_no, r.us, bytes(r.payload)) for r in got.withColumn("us", F.unix_micros("ts")).collect())
+    assert found == [(k, us, d) for k, (us, d) in enumerate(rows + rows[:50])]
+
+
+def test_captures_as_a_data_source(spark, tmp_path):
+    spark.dataSource.register(capture_format.CaptureSource)
+    rows, folder = sample(3, 300), tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pcapng").write_bytes(blocks(rows))
+    (folder / "b.pcap").write_bytes(pcap(rows[:90]))
+    (folder / "c.txt").write_bytes(b"no capture")
+    (folder / "d.pcap.part").write_bytes(pcap(rows[:3]))
+    (folder / "e.pcap").write_bytes(pcap(rows[:5])[:-1])
+    expected = sorted((us, d) for us, d in rows + rows[:90] + rows[:4])
+    content = lambda df: sorted((r.us, bytes(r.payload)) for r in df.select(F.unix_micros("ts").alias("us"), "payload").collect())
+    plain = spark.read.format("capture").load(str(folder))
+    assert content(plain) == expected and plain.select("packet_no").distinct().count() == len(expected)
+    captures.index_captures(spark, str(folder), str(tmp_path / "index"), split_bytes=4000)
+    indexed = spark.read.format("capture").option("index", str(tmp_path / "index")).load(str(folder))
+    assert content(indexed) == [x for x in expected] and indexed.rdd.getNumPartitions() > 5
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        indexed = spark.read.format("capture").options(index=str(tmp_path / "index"), pushdown="true").load(str(folder))
+        middle = rows[150][0]
+        late = indexed.filter(F.col("ts") >= F.timestamp_micros(F.lit(middle)))
+        assert content(late) == [x for x in expected if x[0] >= middle]
+        name = [r[0] for r in indexed.select("source").distinct().collect() if r[0].endswith("b.pcap")][0]
+        assert content(indexed.filter(F.col("source") == name)) == sorted(rows[:90])
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_landing_folder_of_captures_as_a_stream(spark, tmp_path):
+    spark.dataSource.register(capture_format.CaptureSource)
+    rows, folder = sample(2, 60), tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.pcap").write_bytes(pcap(rows[:20]))
+
+    def run():
+        stream = spark.readStream.format("capture").load(str(folder))
+        writer = stream.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{tmp_path}/out").start().awaitTermination()
+        return sorted(bytes(r.payload) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect())
+
+    assert run() == sorted(d for _, d in rows[:20])
+    (folder / "a.pcap").write_bytes(pcap(rows[20:50]))
+    (folder / "c.pcap.tmp").write_bytes(pcap(rows[50:]))
+    assert run() == sorted(d for _, d in rows[:50])
+    (folder / "c.pcap.tmp").rename(folder / "c.pcap")
+    assert run() == sorted(d for _, d in rows)
+
+
 def test_dnstap_with_a_broken_tail_and_a_long_frame(spark, tmp_path):
     rng = random.Random(6)
     frames = [rng.randbytes(50 + rng.randrange(300)) for _ in range(1500)]
