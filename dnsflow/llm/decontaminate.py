@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dnsflow.llm import common
 
 WINDOW = 10
-#: Most distinct windows of a benchmark that are broadcast (about 100 bytes each).
+#: Most distinct windows of a benchmark, and most parts of windows, that are broadcast (about 100 bytes each). The rows are the same beyond it.
 BROADCAST_WINDOWS = 500_000
 #: Windows that begin in one run of words.
 RUN = 1024
@@ -78,7 +78,9 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str = "text"
         return docs.select(*key, F.lit(0).alias("first"), F.lit(0).alias("width"), F.lit("").alias("window")).filter("false")
     anchors = _anchors(known)
     if known.count() <= BROADCAST_WINDOWS:
-        known, anchors = F.broadcast(known), F.broadcast(anchors)
+        known = F.broadcast(known)
+    if anchors.count() <= BROADCAST_WINDOWS:
+        anchors = F.broadcast(anchors)
     reach = RUN + max(widths) - 1
     parts = docs.select(*key, words(F.col(text)).alias("w")).filter(F.size("w") >= min(widths))
     parts = parts.select(

@@ -104,30 +104,41 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     ranked = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = rows.select("doc_id", "lang", common.place("doc_id").alias("place")).filter(F.col("place") <= F.element_at(cut, F.col("lang")))
     chosen = chosen.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    # one text of every chosen id, however often it occurs
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    docs_of = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
 
-    def gather(group: pa.Table) -> pa.Table:
-        distinct = [np.unique(grams(t.as_py().encode())) for t in group["text"]]
-        h, n = np.unique(np.concatenate(distinct), return_counts=True)
-        share, repeated = n / len(distinct), n >= (2 if len(distinct) >= 20 else 1)
-        return pa.table({"gram": h[repeated].view(np.int64), "lang": pa.array([group["lang"][0].as_py()] * int(repeated.sum()), pa.string()), "share": share[repeated]})
-
-    number = F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair])
-    found = (
-        texts.groupBy("lang").applyInArrow(gather, "gram long, lang string, share double")
-        .groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("held"))
+    def gather(batches):
+        for batch in batches:
+            names = batch[1].to_pylist()
+            for name in dict.fromkeys(names):
+                distinct = [np.unique(grams(t.as_py().encode())) for t, other in zip(batch[2], names) if other == name]
+                h, n = np.unique(np.concatenate(distinct), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    number = table(dict(zip(languages, range(len(languages)))))
+    size = F.element_at(table(docs_of), F.col("lang"))
+    counted = texts.mapInArrow(gather, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = counted.filter(F.col("n") >= F.when(size >= 20, 2).otherwise(1)).select("lang", "gram", (F.col("n") / size).alias("share"))
+    held = (
+        counted.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("held"))
         .select("gram", "top", F.explode("held").alias("h"))
         .filter(F.col("h.share") >= LEAST_SHARE * F.col("top"))
         .select("gram", F.element_at(number, F.col("h.lang")).alias("bit"))
-        .groupBy("gram", F.floor(F.col("bit") / 64).cast("int").alias("slice"))
+    )
+    both = F.array(F.col("gram").bitwiseAND(SLOTS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(SLOTS - 1))
+    # what comes to the driver is the filter itself, of a fixed size, without its empty slots
+    found = (
+        held.select(F.explode(both).cast("int").alias("slot"), "bit")
+        .groupBy("slot", F.floor(F.col("bit") / 64).cast("int").alias("slice"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask"))
     ).toArrow()
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     slices = [np.zeros(SLOTS, dtype=kind) for _ in range(-(-len(languages) // 64))]
-    h, mask, part = np.array(found["gram"]).view(np.uint64), np.array(found["mask"]).view(np.uint64).astype(kind), np.array(found["slice"])
+    slot, mask, part = np.array(found["slot"]), np.array(found["mask"]).view(np.uint64).astype(kind), np.array(found["slice"])
     for k, s in enumerate(slices):
-        for at in slots(h[part == k]):
-            np.bitwise_or.at(s, at, mask[part == k])
+        s[slot[part == k]] = mask[part == k]
     return Filters(languages, slices)
 
 

@@ -146,10 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = common.smallest(ids.join(trusted, "doc_id", "left_semi"), sample).withColumn("kind", F.lit(1)).unionByName(
         common.smallest(ids, sample).withColumn("kind", F.lit(0))
     )
-    # at most twice the sample, so it may be broadcast
+    # at most twice the sample, so it may be broadcast; one text of every id, however often it occurs
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"
-    )
+    ).groupBy("doc_id").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
     got = _features_of(rows, "doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("kind", "x").toArrow()
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES)
     kind = np.array(got["kind"])
