@@ -6,7 +6,8 @@
 
 With an index every split is a partition, also of block-format files; without one every file is. A stream offers
 the files of a landing folder once each, in the order in which they were finished. Options: `kind` (pcap or
-dnstap), `rawIp`, `index`, and `pushdown`, which needs spark.sql.python.filterPushdown.enabled as well. Files whose names end in `.tmp` or `.part` are still being written.
+dnstap), `rawIp`, `index`, and `since` and `until` (microseconds), which leave out packets of other times while reading. Filters are not
+pushed down: Spark keeps a reader with its filters for all later queries on the same DataFrame. Files whose names end in `.tmp` or `.part` are still being written.
 """
 
 from __future__ import annotations
@@ -18,9 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from dnsflow.schema import PACKETS
 from dnsflow.sources import captures
@@ -64,7 +63,7 @@ class _Reading:
     def __init__(self, options: dict):
         self.kind, self.raw_ip = options.get("kind", "pcap"), options.get("rawip", options.get("rawIp", "false")).lower() == "true"
         self.path, self.index = options["path"], options.get("index")
-        self.low, self.high = None, None
+        self.low, self.high = (int(options[n]) if n in options else None for n in ("since", "until"))
 
     def batches(self, split: Split) -> Iterator[pa.RecordBatch]:
         first, limit = split.first, split.limit
@@ -80,38 +79,17 @@ class _Reading:
 
 
 class CaptureReader(_Reading, DataSourceReader):
-    sources: set[str] | None = None
-
     def partitions(self) -> list[Split]:
         if self.index is not None:
             system, place = _located(self.index)
             rows = ds.dataset(place, filesystem=system, format="parquet").to_table().to_pylist()
-            splits = [Split(r["path"], r["size"], r["first"], r["limit"], r["number"], r["state"]) for r in rows if r["kind"] == self.kind]
-        else:
-            splits = [Split(p, size, None, size, k * FILE_PACKETS, None) for k, (p, size, _) in enumerate(_files(self.path))]
-        return [s for s in splits if self.sources is None or s.path in self.sources]
+            return [Split(r["path"], r["size"], r["first"], r["limit"], r["number"], r["state"]) for r in rows if r["kind"] == self.kind]
+        return [Split(p, size, None, size, k * FILE_PACKETS, None) for k, (p, size, _) in enumerate(_files(self.path))]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         return self.batches(partition)
 
 
-class FilteringReader(CaptureReader):
-    """Equal sources leave out files. Bounds of the time leave out packets early; Spark applies them once more."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("source",):
-                self.sources = {f.value} & (self.sources if self.sources is not None else {f.value})
-                continue
-            if getattr(f, "attribute", None) == ("ts",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                us = captures.micros(f.value)
-                if not isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.low = us if self.low is None else max(self.low, us)
-                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.high = us if self.high is None else min(self.high, us)
-            yield f
-
-
 class LandingReader(_Reading, DataSourceStreamReader):
     """Offsets are the time and name of the last file offered; a file must not get an older time when it lands."""
 
@@ -146,7 +124,7 @@ class CaptureSource(DataSource):
         return PACKETS
 
     def reader(self, schema) -> CaptureReader:
-        return (FilteringReader if self.options.get("pushdown", "false").lower() == "true" else CaptureReader)(self.options)
+        return CaptureReader(self.options)
 
     def streamReader(self, schema) -> LandingReader:
         return LandingReader(self.options)

@@ -44,11 +44,6 @@ SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 BYTE_ORDER, RESOLUTION = 0x1A2B3C4D, 9
 
 
-def micros(time) -> int:
-    """Microseconds since 1970 of a time; without a zone it counts as UTC."""
-    return int(pd.Timestamp(time).tz_localize("UTC").value if pd.Timestamp(time).tzinfo is None else pd.Timestamp(time).value) // 1000
-
-
 class Broken(ValueError):
     """The file cannot be read on from here."""
 

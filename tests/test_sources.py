@@ -138,16 +138,9 @@ def test_captures_as_a_data_source(spark, tmp_path):
     captures.index_captures(spark, str(folder), str(tmp_path / "index"), split_bytes=4000)
     indexed = spark.read.format("capture").option("index", str(tmp_path / "index")).load(str(folder))
     assert content(indexed) == [x for x in expected] and indexed.rdd.getNumPartitions() > 5
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        indexed = spark.read.format("capture").options(index=str(tmp_path / "index"), pushdown="true").load(str(folder))
-        middle = rows[150][0]
-        late = indexed.filter(F.col("ts") >= F.timestamp_micros(F.lit(middle)))
-        assert content(late) == [x for x in expected if x[0] >= middle]
-        name = [r[0] for r in indexed.select("source").distinct().collect() if r[0].endswith("b.pcap")][0]
-        assert content(indexed.filter(F.col("source") == name)) == sorted(rows[:90])
-    finally:
-        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    middle = rows[150][0]
+    late = spark.read.format("capture").options(index=str(tmp_path / "index"), since=str(middle)).load(str(folder))
+    assert content(late) == [x for x in expected if x[0] >= middle] and content(indexed) == expected
 
 
 def test_a_landing_folder_of_captures_as_a_stream(spark, tmp_path):
