@@ -130,7 +130,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     both = F.array(F.col("gram").bitwiseAND(SLOTS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(SLOTS - 1))
     # what comes to the driver is the filter itself, of a fixed size, without its empty slots
     found = (
-        held.select(F.explode(both).cast("int").alias("slot"), "bit")
+        held.select(F.explode(both).alias("slot"), "bit")
         .groupBy("slot", F.floor(F.col("bit") / 64).cast("int").alias("slice"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask"))
     ).toArrow()
