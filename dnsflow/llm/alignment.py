@@ -25,6 +25,8 @@ from dnsflow.llm import common
 LOW = 15
 #: Bytes of text, and links, that are handled in one step.
 STEP_BYTES, STEP_LINKS = 1 << 20, 1 << 21
+#: Behind a token: one of its own, of the other tokenizer, of another group, or none of its text.
+_MARKS = np.frombuffer(b",|;\0", dtype=np.uint8)
 _ALIGNED = "key binary, block int, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 _MEASURES = "key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -46,6 +48,8 @@ class Pair:
         file = json.loads(vocabulary)
         of, special = byte_values(), {t["id"] for t in file["added_tokens"]}
         ranks = {bytes(of[c] for c in token): i for token, i in file["model"]["vocab"].items() if i not in special}
+        if not all(bytes([x]) in ranks for x in range(256)):
+            raise ValueError("the byte-level vocabulary lacks a byte")
         self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.a_bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -56,7 +60,8 @@ class Pair:
             raise ValueError("the vocabularies are too large for a pair of ids in 31 bits")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.most = max(len(self.a_bytes), len(self.b_bytes))
-        self.shown = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.most)]
+        width = len(str(self.most))
+        self.digits = np.array([list(str(i).rjust(width, "\0").encode()) for i in range(self.most)], dtype=np.uint8)
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -65,12 +70,11 @@ class Pair:
         return piece.replace("▁", " ").encode()
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Both tokenizers' ids of every text; None where the bytes of either are not a space and the text."""
+        """Both tokenizers' ids of every text; None where the second's bytes are not a space and the text. The first's are, as it knows every byte."""
         out = []
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a, whole = self.a.encode_ordinary(" " + text), b" " + text.encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append((a, b) if same else None)
+            same = text and b"".join(map(self.b_bytes.__getitem__, b)) == b" " + text.encode()
+            out.append((self.a.encode_ordinary(" " + text), b) if same else None)
         return out
 
     def aligned(self, texts: list[str]):
@@ -86,8 +90,9 @@ class Pair:
         ids = [np.fromiter(itertools.chain.from_iterable(x[side] for x in held), dtype=np.int64) for side in (0, 1)]
         last = [np.cumsum([len(x[side]) for x in held]) for side in (0, 1)]
         ends = [np.cumsum(sizes[i]) for sizes, i in zip((self.a_sizes, self.b_sizes), ids)]
-        common_ends = ends[0][np.isin(ends[0], ends[1], assume_unique=True)]
-        group = [np.searchsorted(common_ends, e) for e in ends]
+        shared = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
+        common_ends = ends[0][shared[0]]
+        group = [np.cumsum(x) - x for x in shared]
         n = [np.bincount(g, minlength=len(common_ends)) for g in group]
         links = n[0] * n[1]
         text_end = ends[0][last[0] - 1]
@@ -95,24 +100,26 @@ class Pair:
         n_groups = np.bincount(doc, minlength=len(held))
         edges = np.concatenate(([0], np.cumsum(n_groups)))
         total = np.concatenate(([0], np.cumsum(links)))
-        shown = self._shown(ids, group, doc)
-        marks = np.concatenate(([0], np.cumsum([len(a) + len(b) for a, b in held]))).tolist()
+        shown, ends_of = self._shown(ids, group, doc)
+        marks = np.concatenate(([0], ends_of[np.cumsum([len(a) + len(b) for a, b in held]) - 1])).tolist()
         first = [np.concatenate(([0], np.cumsum(x))) for x in n]
         out = []
         for k, (a, b) in enumerate(held):
             pairs, times = self._linked(ids, first, links, int(edges[k]), int(edges[k + 1]))
-            digest = hashlib.sha256("".join(shown[marks[k]:marks[k + 1]]).encode()).hexdigest()
+            digest = hashlib.sha256(shown[marks[k]:marks[k + 1]]).hexdigest()
             out.append((len(a), len(b), int(n_groups[k]), int(total[edges[k + 1]] - total[edges[k]]), digest, pairs, times))
         return out
 
-    def _shown(self, ids, group, doc) -> list[str]:
-        """Every token as its id and the mark behind it, in order of groups, the first tokenizer's before the second's."""
+    def _shown(self, ids, group, doc) -> tuple[np.ndarray, np.ndarray]:
+        """The text of all tokens, each as its id and the mark behind it, in order of groups, the first tokenizer's before the second's; where each ends."""
         groups, sides = np.concatenate(group), np.repeat([0, 1], [len(i) for i in ids])
         order = np.argsort(groups * 2 + sides, kind="stable")
         groups, sides, of = groups[order], sides[order], doc[groups[order]]
         mark = np.full(len(order), 3)
         mark[:-1] = np.where(of[1:] != of[:-1], 3, np.where(groups[1:] != groups[:-1], 2, np.where(sides[1:] != sides[:-1], 1, 0)))
-        return list(map(self.shown.__getitem__, (mark * self.most + np.concatenate(ids)[order]).tolist()))
+        text = np.concatenate([self.digits[np.concatenate(ids)[order]], _MARKS[mark][:, None]], axis=1)
+        kept = text != 0
+        return text[kept], np.cumsum(kept.sum(axis=1))
 
     @staticmethod
     def _linked(ids, first, links, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
