@@ -17,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,7 +146,7 @@ def _in_lists(words: DataFrame) -> DataFrame:
 
 
 def _near(rows: pa.Table) -> pa.Table:
-    """The pairs of near words of every list in a bucket or block: same length with one code point replaced, or one left out."""
+    """The pairs (a < b) of near words of every list in a bucket or block: same length with one code point replaced, or one left out."""
     rows = rows.select(["list", "shorter", "word", "n", "size"])
     lists = rows["list"].combine_chunks().dictionary_encode()
     key, shorter = lists.indices.to_numpy(), rows["shorter"].combine_chunks().to_numpy(zero_copy_only=False)
@@ -180,6 +181,9 @@ def _near(rows: pa.Table) -> pa.Table:
                 out.append(low + _one_apart(letters, shorter[low:high], a[x:x + step], b[x:x + step]))
             at = stop
     pairs = np.unique(np.concatenate([np.empty((0, 2), dtype=np.int64), *out]), axis=0)
+    # the lesser word first, as two words may meet in several lists in either order
+    swap = pc.greater(words.take(pa.array(pairs[:, 0])), words.take(pa.array(pairs[:, 1]))).to_numpy(zero_copy_only=False)
+    pairs[swap] = pairs[swap][:, ::-1]
     a, b = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
     return pa.table({"a": words.take(a), "b": words.take(b), "n_a": pa.array(n[pairs[:, 0]]), "n_b": pa.array(n[pairs[:, 1]])})
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from dnsflow.llm import common, spelling
 
@@ -30,6 +31,14 @@ def test_few_letters_lose_no_pair(spark, monkeypatch, frequent, block):
     assert rows_of(spelling.variants(df)) == brute.spelling(rows)
 
 
+def test_words_that_meet_in_two_lists_in_either_order_are_one_pair():
+    table = pa.table({
+        "list": ["p", "p", "q", "q", "q"], "shorter": [False, False, False, False, True], "word": ["tests", "testy", "testy", "tests", "test"],
+        "n": pa.array([5, 9, 9, 5, 7], pa.int64()), "size": pa.array([5, 5, 5, 5, 4], pa.int32()),
+    })
+    assert {tuple(r.values()) for r in spelling._near(table).to_pylist()} == {("tests", "testy", 5, 9), ("test", "tests", 7, 5), ("test", "testy", 7, 9)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "Words words WORDS wordz wordz wordz"), (3, "words words wörds wörds wörds wörds"), (3, "words words wörds wörds wörds wörds"),
             (4, "×÷×÷×÷ ×÷×÷×÷ ×÷×÷×÷ ÀÉÎÕÜ àéîõü 漢字words漢字 words_words"), (5, "a b c d e " * 5), (6, "tests testes " * 7)]
