@@ -48,11 +48,12 @@ def assign_blocks(
     """Adds `block_id`; blocks have at most `rows_per_block` rows in row id order."""
     slot = F.floor(F.col(time_us) / (slot_s * MICROS)).cast("bigint")
     slotted = rows.withColumn("__slot", slot)
-    # One row per time slot, so the table grows with the time span only.
+    # One row per time slot, so the table grows with the time span only. It is broadcast: a join by slot would
+    # leave the rows dealt by slot, and the window below would take a slot in one task.
     sizes = slotted.groupBy("__slot").agg(
         F.ceil(F.count("*") / rows_per_part).cast("bigint").alias("__parts")
     )
-    parted = slotted.join(sizes, "__slot").withColumn(
+    parted = slotted.join(F.broadcast(sizes), "__slot").withColumn(
         "__part", F.pmod(spread_id(F.col(row_id)), F.col("__parts"))
     )
     number = F.row_number().over(Window.partitionBy("__slot", "__part").orderBy(row_id)) - 1

@@ -5,7 +5,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from dnsflow.operators import enrich, match, tcp, transfer
+from dnsflow.operators import enrich, match, normalize, tcp, transfer
 from dnsflow.plans import skew, views, wireviews
 from dnsflow.plans.prefix import with_prefix
 from dnsflow.plans.skew import SkewPolicy, split_hot
@@ -334,3 +334,18 @@ def test_range_lookup_without_broadcast(spark, messages):
         for n in (1_000_000, 1)
     )
     assert small == large
+
+
+def test_blocks_of_one_slot_are_numbered_by_several_tasks(spark):
+    """The rows of a time slot are not dealt by slot when they are numbered."""
+    rows = spark.range(2000).selectExpr("id AS query_id", "id AS time_offset")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = normalize.assign_blocks(rows, rows_per_block=50, rows_per_part=100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(Counter(r.block_id for r in found).values()) == 50 and len({r.task for r in found}) > 2
