@@ -23,6 +23,8 @@ from dnsflow.plans.skew import SkewPolicy, cut_lineage, split_hot
 WRAP = 1 << 32
 CHUNK_BYTES = 1 << 20
 BUFFER_LIMIT = 100
+#: Segments that one task of the windows by connection takes: each of a chain of sorts holds them.
+ROWS_PER_TASK = 100_000
 ARRIVAL = ["us", "seg_no"]
 STREAM = ["conn", "session", "side"]
 # Header fields a message takes over from its segments, where the input has them.
@@ -42,12 +44,20 @@ def _ahead(seq: Column, start: Column) -> Column:
     return F.pmod(seq - start + (WRAP >> 1), F.lit(WRAP)) - (WRAP >> 1)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as their number asks for, so that a task's share does not grow with the input."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(tasks, *keys)
+
+
 def with_sessions(segments: DataFrame, timeout_ms: int = 60_000, chunk: str | None = None) -> DataFrame:
     """Numbers the connections of an address pair.
 
     A new one starts after `timeout_ms` of silence or with a SYN that is not the repetition
     of the last one from that side.
     """
+    if chunk is None:
+        segments = _dealt(segments, "conn")
     opening = F.col("syn") & ~F.col("ack_flag") & ~F.col("rst")
     seen = with_prefix(_timed(segments), ["conn"], ARRIVAL, {
         "before_us": ("last", F.col("us")),

@@ -349,3 +349,10 @@ def test_blocks_of_one_slot_are_numbered_by_several_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(Counter(r.block_id for r in found).values()) == 50 and len({r.task for r in found}) > 2
+
+
+def test_a_task_of_the_connection_windows_takes_few_segments(spark, messages, monkeypatch):
+    segments = wireviews.segments(messages)
+    monkeypatch.setattr(tcp, "ROWS_PER_TASK", 100, raising=False)
+    rows = tcp.with_sessions(segments).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == segments.count() > 1000 and max(r["count"] for r in rows) < 250
