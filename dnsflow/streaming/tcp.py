@@ -16,6 +16,8 @@ CONNECTION = "opened bigint, isn0 bigint, isn1 bigint, at0 bigint, at1 bigint, r
     "fin0 bigint, fin1 bigint, acked0 boolean, acked1 boolean"
 PIECES = "side int, pos bigint, us bigint, packet_len int, data binary"
 OUT = "conn string, side int, pos bigint, us bigint, len int, body binary, tcp_rtt_us bigint"
+#: Connections share the state of a bucket.
+STATE_BUCKETS = 1024
 FIELDS = ["side", "us", "seq", "ack", "syn", "ack_flag", "fin", "rst", "data", "packet_len"]
 
 
@@ -131,43 +133,53 @@ class _Connection:
 
 
 class _Reassembly(StatefulProcessor):
+    """All connections of a bucket, each with the time of its last segment."""
+
     def __init__(self, timeout_ms: int, limit: int):
         self.timeout_ms, self.limit = timeout_ms, limit
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.connection = handle.getValueState("connection", CONNECTION)
-        self.waiting = handle.getListState("pieces", PIECES)
+        self.connections = handle.getListState("connections", f"conn string, last bigint, {CONNECTION}")
+        self.waiting = handle.getListState("pieces", f"conn string, {PIECES}")
 
     def handleInputRows(self, key, rows, timerValues):
-        saved = self.connection.get() if self.connection.exists() else None
-        state = _Connection(saved, self.waiting.get())
-        arrived = pd.concat(rows).sort_values(["us", "seg_no"])
-        out, last = [], None
-        for row in arrived[FIELDS].itertuples(index=False, name=None):
-            if last is not None and row[1] - last >= self.timeout_ms * 1000:
-                state = _Connection(None, ())
-            last = row[1]
+        pieces: dict[str, list] = {}
+        for conn, *piece in self.waiting.get():
+            pieces.setdefault(conn, []).append(piece)
+        held, last = {}, {}
+        for conn, us, *saved in self.connections.get():
+            held[conn], last[conn] = _Connection(saved, pieces.get(conn, ())), us
+        arrived, out = pd.concat(rows).sort_values(["us", "seg_no"]), []
+        for conn, *row in arrived[["conn", *FIELDS]].itertuples(index=False, name=None):
+            state = held.get(conn)
+            if state is None or row[1] - last[conn] >= self.timeout_ms * 1000:
+                state = held[conn] = _Connection(None, ())
+            last[conn] = row[1]
             done = state.take(*row, self.limit)
-            if done is not None:
-                out += done
+            out += [(conn, *m) for m in done or ()]
             if done is None or state.closed:
-                state = _Connection(None, ())
+                del held[conn]
+        self._keep(held, last, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=["conn", "side", "pos", "us", "len", "body", "tcp_rtt_us"])
+
+    def _keep(self, held, last, watermark_ms) -> None:
+        """Stores the open connections that are not idle; the bucket goes when the last of them would."""
+        ends = {c: int(last[c]) // 1000 + self.timeout_ms for c, state in held.items() if state.opened is not None}
+        kept = {c: held[c] for c, end in ends.items() if end > watermark_ms}
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.connection.update(tuple(
-            v if v is None or isinstance(v, bool) else int(v) for v in state.saved()
-        ))
-        pieces = [(s, int(p), int(t), int(n), d) for s, p, t, n, d in state.rows()]
+        connections = [
+            (c, int(last[c]), *(v if v is None or isinstance(v, bool) else int(v) for v in state.saved())) for c, state in kept.items()
+        ]
+        pieces = [(c, s, int(p), int(t), int(n), d) for c, state in kept.items() for s, p, t, n, d in state.rows()]
+        self.connections.put(connections) if connections else self.connections.clear()
         self.waiting.put(pieces) if pieces else self.waiting.clear()
-        self.handle.registerTimer(int(last) // 1000 + self.timeout_ms)
-        yield pd.DataFrame(
-            [(key[0], *m) for m in out],
-            columns=["conn", "side", "pos", "us", "len", "body", "tcp_rtt_us"],
-        )
+        if kept:
+            self.handle.registerTimer(max(ends[c] for c in kept))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.connection.clear()
+        self.connections.clear()
         self.waiting.clear()
         yield pd.DataFrame([], columns=["conn", "side", "pos", "us", "len", "body", "tcp_rtt_us"])
 
@@ -181,13 +193,15 @@ def stream_tcp_reassembly(
 ) -> DataFrame:
     """Messages like `reassemble`, for streaming segments; a connection idle for the timeout is dropped.
 
-    State per connection is bounded: at most `buffer_limit` waiting pieces per side.
+    State per connection is bounded: at most `buffer_limit` waiting pieces per side. It is kept per bucket of connections,
+    so a micro-batch reads and writes one state per bucket.
     """
     use_rocksdb(segments.sparkSession)
     rows = segments.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("conn"), F.lit(STATE_BUCKETS)).cast("int").alias("bucket"),
         "conn", "ts", "seg_no", F.unix_micros("ts").alias("us"), *[c for c in FIELDS if c != "us"]
     )
-    return rows.groupBy("conn").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Reassembly(timeout_ms, buffer_limit), outputStructType=OUT,
         outputMode="Append", timeMode="EventTime",
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from dnsflow.operators import match, stats
 from dnsflow.plans import views
 from dnsflow.streaming import flows, matching
+from dnsflow.streaming import tcp as tcp_stream
 from dnsflow.streaming.tcp import _Connection
 
 from conftest import SF
@@ -192,3 +193,19 @@ def test_resets_of_a_stream():
     data = framed(b"a" * 12)
     assert connection([(0, 100, data, False), (0, 114, b"", True)]) == ([b"a" * 12], "ended")
     assert connection([(0, 100, data, False), (0, 60, b"", True)]) == ([b"a" * 12], "open")
+
+
+def test_connections_of_a_bucket_open_across_batches_and_end_by_silence(spark, tmp_path):
+    """The data of `a` comes 10 s after its handshake, that of `b` 100 s after, both in a later micro-batch."""
+    def segment(conn, second, no, side, seq, ack, syn, data=b""):
+        return conn, side, second, no, seq, ack, syn, not (syn and side == 0), False, False, bytearray(data), 54 + len(data)
+
+    shakes = [segment(c, 0, 10 + k, *x) for c in "ab" for k, x in enumerate(((0, 100, 0, True), (1, 500, 101, True), (0, 101, 501, False)))]
+    later = [segment(c, second, 20, 0, 101, 501, False, b"\x00\x03abc") for c, second in (("a", 10), ("b", 100))]
+    kind = "conn string, side int, s long, seg_no long, seq long, ack long, syn boolean, ack_flag boolean, fin boolean, rst boolean, data binary, packet_len int"
+    for number, rows in enumerate((shakes, later)):
+        df = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds(F.col("s") + 2_000_000))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/part={number}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = run(tcp_stream.stream_tcp_reassembly(stream, delay="10 days"), tmp_path).collect()
+    assert [(r.conn, bytes(r.body)) for r in found] == [("a", b"abc")]
