@@ -135,14 +135,76 @@ def _codes(array: pa.Array) -> np.ndarray:
     return pc.fill_null(_at(_distinct(array), array), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _rows(codes: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of codes the first of every distinct one, and which of the distinct ones each row is."""
-    if not codes or not n:
-        return np.zeros(min(n, 1), dtype=np.int64), np.zeros(n, dtype=np.int64)
-    _, first, index = np.unique(np.stack(codes, axis=1), axis=0, return_index=True, return_inverse=True)
+def _rows(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of codes the first of every distinct one, in the order of the codes, and which of the distinct ones each row is."""
+    key = codes[0]
+    for code in codes[1:]:
+        key = np.unique(key * (code.max(initial=-1) + 2) + code + 1, return_inverse=True)[1].reshape(-1)
+    _, first, index = np.unique(key, return_index=True, return_inverse=True)
     return first, index.reshape(-1)
 
 
+def _places(block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of their blocks: the place of each within its block, and the first row of each block."""
+    first = np.searchsorted(block, np.arange(blocks))
+    return np.arange(len(block)) - first[block], first
+
+
+def _numbered(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each row's block, counted in the order they come, and the ids of the blocks."""
+    coded = ids.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _by_whole_blocks(work):
+    """`work` on tables of whole blocks, many at once, of rows that come sorted by block; the last block waits for its other rows."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            block = _numbered(_whole(held, "block_id"))[0]
+            cut = int(np.searchsorted(block, block[-1]))
+            if cut:
+                yield from work(held.slice(0, cut).combine_chunks()).to_batches()
+                held = held.slice(cut)
+        if held is not None:
+            yield from work(held.combine_chunks()).to_batches()
+
+    return run
+
+
+def _mapped(rows: DataFrame, work, schema: str) -> DataFrame:
+    """`work` on all blocks: one shuffle by block, then many blocks to a call."""
+    return rows.repartition("block_id").sortWithinPartitions("block_id").mapInArrow(_by_whole_blocks(work), schema)
+
+
+class _Dictionary:
+    """The sorted distinct values of each block, from arrays of values and the blocks of their rows."""
+
+    def __init__(self, blocks: int, *parts: tuple[np.ndarray, pa.Array]):
+        self.all = _distinct(*[values for _, values in parts])
+        self.held = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *[key[code >= 0] for key, code in (self._keys(*p) for p in parts)]]))
+        size = max(1, len(self.all))
+        self.block, self.values = self.held // size, self.all.take(pa.array(self.held % size))
+        self.index = _places(self.block, blocks)[0]
+
+    def _keys(self, block: np.ndarray, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        code = pc.fill_null(_at(self.all, values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return block * max(1, len(self.all)) + code, code
+
+    def at(self, block: np.ndarray, values: pa.Array) -> pa.Array:
+        """Where the values stand in the dictionaries of their blocks; null for null."""
+        key, code = self._keys(block, values)
+        if not len(self.held):
+            return pa.nulls(len(key), pa.int32())
+        place = self.index[np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)]
+        return pa.array(place.astype(np.int32), mask=code < 0)
+
+
 def _pairs_of(structs: pa.Array) -> pa.Array:
     """Type and class as one number that sorts like both."""
     kind, of = (pc.struct_field(structs, n).cast(pa.int64()) for n in ("type", "class"))
@@ -150,60 +212,74 @@ def _pairs_of(structs: pa.Array) -> pa.Array:
 
 
 def _encoded(layout: _Layout):
-    def encode(block: pa.Table) -> pa.Table:
-        n = block.num_rows
-        column = lambda c: _whole(block, c)
+    def encode(rows: pa.Table) -> pa.Table:
+        """All tables of the blocks whose rows these are."""
+        column = lambda c: _whole(rows, c)
+        of_row, block_ids = _numbered(column("block_id"))
+        blocks = len(block_ids)
         lists = [column(c) for c in layout.sections]
         held = [x.flatten() for x in lists]
+        sizes = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in lists]
+        of_record = np.concatenate([np.empty(0, dtype=np.int64), *[np.repeat(of_row, np.maximum(n, 0)) for n in sizes]])
         part = {k: pa.concat_arrays([pa.array([], kind), *[pc.struct_field(x, k).cast(kind) for x in held]]) for k, kind in RECORD_KEYS.items()}
         record_class = pc.add(pc.multiply(part["type"].cast(pa.int64()), 1 << 32), part["class"].cast(pa.int64()))
-        binary = lambda c: column(c).cast(pa.binary()) if c in layout.types else pa.array([], pa.binary())
-        query_class = _pairs_of(column("query_classtype")) if "query_classtype" in layout.types else pa.array([], pa.int64())
-        names = _distinct(binary("query_name"), binary("query_opt_data"), part["name"], part["rdata"])
-        addresses = _distinct(binary("client_address"), binary("server_address"))
-        classes = _distinct(query_class, record_class)
+        binary = lambda c: column(c).cast(pa.binary()) if c in layout.types else pa.nulls(len(of_row), pa.binary())
+        query_class = _pairs_of(column("query_classtype")) if "query_classtype" in layout.types else pa.nulls(len(of_row), pa.int64())
+        names = _Dictionary(
+            blocks, (of_row, binary("query_name")), (of_row, binary("query_opt_data")), (of_record, part["name"]), (of_record, part["rdata"]))
+        addresses = _Dictionary(blocks, (of_row, binary("client_address")), (of_row, binary("server_address")))
+        classes = _Dictionary(blocks, (of_row, query_class), (of_record, record_class))
 
         refers = {"server_address": (addresses, binary), "query_opt_data": (names, binary), "query_classtype": (classes, lambda c: query_class)}
-        signed = {c: _at(refers[c][0], refers[c][1](c)) if c in refers else column(c) for c in layout.signature}
-        first_signature, signature = _rows([_codes(a) for a in signed.values()], n)
-
-        first_record, record = _rows([_codes(x) for x in part.values()], len(part["name"]))
-        members: dict[bytes, int] = {}  # distinct lists, by their records
-        list_index, at = {}, 0
-        for name, x in zip(layout.sections, lists):
-            sizes = pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False)
-            index = []
-            for size in sizes:
-                if size < 0:
-                    index.append(None)
-                    continue
-                index.append(members.setdefault(record[at : at + size].tobytes(), len(members)))
+        signed = {c: refers[c][0].at(of_row, refers[c][1](c)) if c in refers else column(c) for c in layout.signature}
+        first_signature, signature = _rows([of_row, *[_codes(a) for a in signed.values()]])
+        signature_place = _places(of_row[first_signature], blocks)[0]
+
+        first_record, record = _rows([of_record, *[_codes(x) for x in part.values()]])
+        of_first = of_record[first_record]
+        record_place = _places(of_first, blocks)[0]
+        members: dict[tuple[int, bytes], int] = {}  # distinct lists of every block, by their records
+        found = [0] * blocks
+        list_index, at, numbers = {}, 0, of_row.tolist()
+        for name, of_list in zip(layout.sections, sizes):
+            index = [None] * len(numbers)
+            for row in np.flatnonzero(of_list >= 0).tolist():
+                size, block = int(of_list[row]), numbers[row]
+                key = (block, record[at : at + size].tobytes())
+                place = members.get(key)
+                if place is None:
+                    place = members[key] = found[block]
+                    found[block] += 1
+                index[row] = place
                 at += size
             list_index[name] = pa.array(index, pa.int32())
-        spread = [np.frombuffer(x, dtype=np.int64) for x in members]
-        sizes = np.array([len(x) for x in spread], dtype=np.int64)
-        positions = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        spread = [np.frombuffer(x, dtype=np.int64) for _, x in members]
+        lengths = np.array([len(x) for x in spread], dtype=np.int64)
+        positions = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        listed = np.concatenate([np.empty(0, dtype=np.int64), *spread])
+        of_listed = np.repeat(np.array([block for block, _ in members], dtype=np.int64), lengths)
 
         number = lambda values: pa.array(np.asarray(values, dtype=np.int32))
-        indexes = [_at(names, binary("query_name")), _at(addresses, binary("client_address")), *list_index.values(), number(signature)]
-        classtype = [pc.shift_right(classes, 32).cast(pa.int32()), pc.bit_wise_and(classes, 0xFFFFFFFF).cast(pa.int32())]
-        spread_class = _at(classes, record_class)
+        indexes = [names.at(of_row, binary("query_name")), addresses.at(of_row, binary("client_address")), *list_index.values(), number(signature_place[signature])]
+        classtype = [pc.shift_right(classes.values, 32).cast(pa.int32()), pc.bit_wise_and(classes.values, 0xFFFFFFFF).cast(pa.int32())]
+        at_first = lambda dictionary, values: dictionary.at(of_first, values.take(pa.array(first_record)))
         made = {
-            FACTS: (None, [*[column(c) for c in layout.plain], *indexes]),
-            "names": (len(names), [names]), "addresses": (len(addresses), [addresses]),
-            "classtypes": (len(classes), [pa.StructArray.from_arrays(classtype, ["type", "class"])]),
-            "signatures": (len(first_signature), [a.take(pa.array(first_signature)) for a in signed.values()]),
-            "records": (len(first_record), [x.take(pa.array(first_record)) for x in (
-                part["ttl"].cast(pa.int64()), _at(names, part["name"]), _at(names, part["rdata"]), spread_class)]),
-            "record_lists": (number(np.repeat(np.arange(len(spread)), sizes)), [number(positions), number(np.concatenate([np.empty(0), *spread]))]),
+            FACTS: (of_row, None, [*[column(c) for c in layout.plain], *indexes]),
+            "names": (names.block, names.index, [names.values]), "addresses": (addresses.block, addresses.index, [addresses.values]),
+            "classtypes": (classes.block, classes.index, [pa.StructArray.from_arrays(classtype, ["type", "class"])]),
+            "signatures": (of_row[first_signature], signature_place, [a.take(pa.array(first_signature)) for a in signed.values()]),
+            "records": (of_first, record_place, [
+                part["ttl"].take(pa.array(first_record)).cast(pa.int64()),
+                at_first(names, part["name"]), at_first(names, part["rdata"]), at_first(classes, record_class)]),
+            "record_lists": (of_listed, np.repeat(np.array(list(members.values()), dtype=np.int64), lengths), [number(positions), number(record_place[listed])]),
         }
-        kinds = {t: pa.struct([(c, v.type) for c, v in zip(layout.tables[t], values)]) for t, (_, values) in made.items()}
-        block_id, tables = column("block_id")[0].as_py(), []
-        for name, (index, values) in made.items():
-            rows = pa.StructArray.from_arrays(values, fields=list(kinds[name]))
-            index = pa.nulls(len(rows), pa.int32()) if index is None else number(np.arange(index)) if isinstance(index, int) else index
-            fixed = [pa.array([name] * len(rows), pa.string()), pa.array([block_id] * len(rows), pa.string()), index]
-            others = [rows if t == name else pa.nulls(len(rows), kinds[t]) for t in kinds]
+        kinds = {t: pa.struct([(c, v.type) for c, v in zip(layout.tables[t], values)]) for t, (*_, values) in made.items()}
+        tables = []
+        for name, (block, index, values) in made.items():
+            structs = pa.StructArray.from_arrays(values, fields=list(kinds[name]))
+            index = pa.nulls(len(structs), pa.int32()) if index is None else number(index)
+            fixed = [pa.array([name] * len(structs), pa.string()), block_ids.take(pa.array(block)), index]
+            others = [structs if t == name else pa.nulls(len(structs), kinds[t]) for t in kinds]
             tables.append(pa.table([*fixed, *others], names=["table", "block_id", "index", *kinds]))
         return pa.concat_tables(tables)
 
@@ -213,11 +289,11 @@ def _encoded(layout: _Layout):
 def encode_blocks(rows: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The facts and the six dictionaries (block_id, index, value...) of rows with a `block_id`.
 
-    Rows are shuffled once, by block. Each block, whose size is bounded, becomes the rows of all seven tables,
-    which are written to the shared folder by table.
+    Rows are shuffled once, by block. Blocks, whose size is bounded, become the rows of all seven tables, many blocks
+    in one call; these are written to the shared folder by table.
     """
     layout = _Layout.of(rows)
-    encoded = rows.groupBy("block_id").applyInArrow(_encoded(layout), layout.tagged)
+    encoded = _mapped(rows, _encoded(layout), layout.tagged)
     folder = shared_folder(rows.sparkSession, "encoded")
     encoded.write.partitionBy("table").parquet(folder)
     back = rows.sparkSession.read.schema(encoded.schema).parquet(folder)
@@ -229,41 +305,59 @@ def encode_blocks(rows: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 
 def _decoded(layout: _Layout, names: list[str]):
-    def decode(block: pa.Table) -> pa.Table:
-        table = _whole(block, "table")
-
-        def rows_of(name: str) -> tuple[pa.Array, dict[str, pa.Array]]:
-            rows = block.filter(pc.equal(table, name))
-            index, values = _whole(rows, "index"), _whole(rows, name)
-            order = pc.sort_indices(index)
-            return index.take(order), {c: pc.struct_field(values, c).take(order) for c in layout.tables[name]}
-
-        facts = rows_of(FACTS)[1]
-        value = {name: rows_of(name)[1]["value"] for name in ("names", "addresses", "classtypes")}
-        texts = value["names"]
-        records, signatures = rows_of("records")[1], rows_of("signatures")[1]
-        index, members = rows_of("record_lists")
-        kind = records["classtype_index"]
+    def decode(rows: pa.Table) -> pa.Table:
+        """The rows of the blocks whose tables these are."""
+        table = _whole(rows, "table")
+        numbers, block_ids = _numbered(_whole(rows, "block_id"))
+        blocks = len(block_ids)
+
+        def rows_of(name: str, *more: str) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+            """Block, first row of each block and columns of a table, in the order of blocks, of indexes and of further columns."""
+            mine = pc.equal(table, name)
+            kept, block = rows.filter(mine), numbers[mine.to_numpy(zero_copy_only=False)]
+            values = {c: pc.struct_field(_whole(kept, name), c) for c in layout.tables[name]}
+            values["index"] = _whole(kept, "index")
+            if name != FACTS:
+                order = np.lexsort((*[values[c].to_numpy() for c in more], values["index"].to_numpy(), block))
+                block, values = block[order], {c: v.take(pa.array(order)) for c, v in values.items()}
+            return block, np.searchsorted(block, np.arange(blocks)), values
+
+        def among(first: np.ndarray, block: np.ndarray, index: pa.Array) -> pa.Array:
+            """Rows of a table that indexes within blocks stand for; null for null."""
+            return pc.add(index.cast(pa.int64()), pa.array(first[block]))
+
+        of_fact, _, facts = rows_of(FACTS)
+        first, value = {}, {}
+        for name in ("names", "addresses", "classtypes"):
+            _, first[name], found = rows_of(name)
+            value[name] = found["value"]
+        at = lambda name, block, index: value[name].take(among(first[name], block, index))
+        of_record, first_record, records = rows_of("records")
+        of_signature, first_signature, signatures = rows_of("signatures")
+        of_member, _, members = rows_of("record_lists", "pos")
+        kind = at("classtypes", of_record, records["classtype_index"])
         rr = pa.StructArray.from_arrays(
-            [texts.take(records["name_index"]).cast(pa.string()), *[pc.struct_field(value["classtypes"], k).take(kind) for k in ("type", "class")],
-             records["ttl"], texts.take(records["rdata_index"]).cast(pa.string())], list(RECORD_KEYS))
-        wanted = [facts[f"{c}_index"] for c in layout.sections]
-        n_lists = 1 + max([-1, *[pc.max(w).as_py() for w in wanted if pc.max(w).as_py() is not None]])
-        order = np.lexsort((members["pos"].to_numpy(), index.to_numpy()))
-        sizes = np.bincount(index.to_numpy(), minlength=n_lists) if len(index) else np.zeros(n_lists, dtype=np.int64)
+            [at("names", of_record, records["name_index"]).cast(pa.string()), *[pc.struct_field(kind, k) for k in ("type", "class")],
+             records["ttl"], at("names", of_record, records["rdata_index"]).cast(pa.string())], list(RECORD_KEYS))
+        wanted = {c: facts[f"{c}_index"] for c in layout.sections}
+        number = members["index"].to_numpy()
+        n_lists = np.zeros(blocks, dtype=np.int64)  # empty lists have no rows
+        for block, index in [(of_member, number), *[(of_fact, pc.fill_null(w, -1).to_numpy(zero_copy_only=False)) for w in wanted.values()]]:
+            np.maximum.at(n_lists, block, index.astype(np.int64) + 1)
+        first_list = np.cumsum(n_lists) - n_lists
+        sizes = np.bincount(first_list[of_member] + number, minlength=n_lists.sum()).astype(np.int64)
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, rr.take(members["record"].take(pa.array(order))), mask=pa.array(sizes == 0))
-        signature = facts["qr_signature_index"]
-        refers = {"server_address": value["addresses"], "query_classtype": value["classtypes"], "query_opt_data": texts}
+        lists = pa.ListArray.from_arrays(offsets, rr.take(among(first_record, of_member, members["record"])), mask=pa.array(sizes == 0))
+        signature = among(first_signature, of_fact, facts["qr_signature_index"])
+        refers = {"server_address": "addresses", "query_classtype": "classtypes", "query_opt_data": "names"}
+        signed = {c: at(refers[c], of_signature, signatures[f"{c}_index"]) if c in refers else signatures[c] for c in layout.signature}
         out = {
-            "query_name": lambda: texts.take(facts["query_name_index"]).cast(pa.string()),
-            "client_address": lambda: value["addresses"].take(facts["client_address_index"]),
-            **{c: lambda c=c: lists.take(facts[f"{c}_index"]) for c in layout.sections},
-            **{c: lambda c=c: refers[c].take(signatures[f"{c}_index"].take(signature)) if c in refers else signatures[c].take(signature)
-               for c in layout.signature},
+            "query_name": lambda: at("names", of_fact, facts["query_name_index"]).cast(pa.string()),
+            "client_address": lambda: at("addresses", of_fact, facts["client_address_index"]),
+            **{c: lambda c=c: lists.take(among(first_list, of_fact, wanted[c])) for c in layout.sections},
+            **{c: lambda c=c: signed[c].take(signature) for c in layout.signature},
         }
-        block_id = pa.array([_whole(block, "block_id")[0].as_py()] * len(signature), pa.string())
-        return pa.table([block_id, *[out[c]() if c in out else facts[c] for c in names]], names=["block_id", *names])
+        return pa.table([block_ids.take(pa.array(of_fact)), *[out[c]() if c in out else facts[c] for c in names]], names=["block_id", *names])
 
     return decode
 
@@ -287,4 +381,4 @@ def decode_refs(facts: DataFrame, dicts: dict[str, DataFrame]) -> DataFrame:
         rows = df.select(F.lit(name).alias("table"), "block_id", index.alias("index"), *others)
         tagged = rows if tagged is None else tagged.unionByName(rows)
     schema = "block_id string, " + ", ".join(f"`{c}` {k}" for c, k in types.items())
-    return tagged.groupBy("block_id").applyInArrow(_decoded(layout, list(types)), schema)
+    return _mapped(tagged, _decoded(layout, list(types)), schema)

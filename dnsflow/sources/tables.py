@@ -9,6 +9,7 @@ from dnsflow import schema
 from dnsflow.functions.codes import file_name_parts
 from dnsflow.operators import filters
 from dnsflow.operators.normalize import DICTIONARIES
+from dnsflow.plans.skew import cut_lineage
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +88,10 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Tasks that write files of blocks, and the column of the folders that hold a file of each task.
+WRITERS, FOLDER = 256, "folder"
+
+
 def block_files(blocks: DataFrame, per_file: int, buckets: int = 1024) -> tuple[DataFrame, int]:
     """(block_id, file) of every block, at most `per_file` blocks in a file, and the number of files.
 
@@ -112,15 +117,19 @@ def write_blocks(
     """
     if blocks_per_file is not None:
         placed, files = block_files(facts, blocks_per_file, min(1024, max(1, facts.sparkSession.sparkContext.defaultParallelism)))
-        place = lambda df: df.join(placed, "block_id").repartitionById(max(1, files), "file").drop("file")
+        # Beyond so many files a task writes several, one in each folder.
+        placed = cut_lineage(placed.withColumn(FOLDER, F.floor(F.col("file") / WRITERS).cast("int")))
+        of_file = F.pmod("file", F.lit(WRITERS))
+        place = lambda df: df.join(placed, "block_id").repartitionById(min(WRITERS, max(1, files)), of_file).drop("file")
         facts, dicts = place(facts), {name: place(df) for name, df in dicts.items()}
     for name, df in {"facts": facts, **dicts}.items():
-        df.write.mode(mode).option("maxRecordsPerFile", max_rows).parquet(f"{path}/{name}")
+        writer = df.write.mode(mode).option("maxRecordsPerFile", max_rows)
+        (writer if blocks_per_file is None else writer.partitionBy(FOLDER)).parquet(f"{path}/{name}")
 
 
 def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    facts = spark.read.parquet(f"{path}/facts")
-    return facts, {name: spark.read.parquet(f"{path}/{name}") for name in DICTIONARIES}
+    facts = spark.read.parquet(f"{path}/facts").drop(FOLDER)
+    return facts, {name: spark.read.parquet(f"{path}/{name}").drop(FOLDER) for name in DICTIONARIES}
 
 
 def union_inputs(**inputs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow import schema
-from dnsflow.operators import filters, match
+from dnsflow.operators import filters, match, normalize
 from dnsflow.plans import catalog, wireviews
 from dnsflow.sources import capture_format, captures, tables
 
@@ -252,3 +252,35 @@ def test_no_file_holds_more_blocks_than_it_may(spark, tmp_path):
         per_file = back.groupBy("file").agg(F.count_distinct("block_id").alias("n")).collect()
         assert back.count() == n and max(r.n for r in per_file) <= 4 and len(per_file) >= 26
         assert back.groupBy("block_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_blocks_are_encoded_many_to_a_call(spark, messages):
+    """A call gets whole blocks, many at once, however the batches are cut; the rows come back as they were."""
+    rows = catalog.blocks(messages)
+    layout = normalize._Layout.of(rows)
+    encode, calls = normalize._encoded(layout), []
+
+    def counted(table):
+        calls.append(len(table["block_id"].unique()))
+        return encode(table)
+
+    held = rows.sort("block_id").toArrow().combine_chunks()
+    out = [list(normalize._by_whole_blocks(counted)(held.to_batches(max_chunksize=n))) for n in (7, 100_000)]
+    n = len(held["block_id"].unique())
+    assert n > 10 and calls[-2:] == [n - 1, 1] and sum(calls[:-2]) == n and len(calls) > 10
+    key = ("table", "block_id", "index")
+    first, second = (sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (*map(str, (r[k] for k in key)), repr(r))) for batches in out)
+    assert first == second
+    back = normalize.decode_refs(*normalize.encode_blocks(rows))
+    shown = lambda df: sorted(map(repr, df.select("block_id", "query_id", "query_name", "query_classtype", "response_answer_sections").collect()))
+    assert shown(back) == shown(rows)
+
+
+def test_a_task_writes_several_files_of_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "WRITERS", 3)
+    rows = spark.range(2000).selectExpr("concat('b', id % 101) AS block_id", "id AS query_id")
+    tables.write_blocks(rows, {}, f"{tmp_path}/out", blocks_per_file=4)
+    back = spark.read.parquet(f"{tmp_path}/out/facts").withColumn("file", F.col("_metadata.file_path"))
+    per_file = back.groupBy("file").agg(F.count_distinct("block_id").alias("n")).collect()
+    assert back.count() == 2000 and max(r.n for r in per_file) <= 4 and len(per_file) >= 26
+    assert len({r.file.rsplit("/", 1)[1] for r in per_file}) <= 3
