@@ -751,6 +751,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+#: Messages of zone transfers for every file of a micro-batch.
+TRANSFERS_PER_FILE = 100_000
+
+
 @query
 def stream_match(spark, sf_dir):
     messages = views.messages_of(event_stream(spark, sf_dir))
@@ -761,10 +765,11 @@ def stream_match(spark, sf_dir):
 def stream_axfr(spark, sf_dir):
     """Zone transfers whose query, first, second and later responses come in micro-batches of their own."""
     folder = shared_folder(spark, "transfers")
-    rows = views.messages(spark, sf_dir).filter(F.col("qtype") == schema.QTYPE_AXFR)
+    rows = cut_lineage(views.messages(spark, sf_dir).filter(F.col("qtype") == schema.QTYPE_AXFR))
+    files = 1 + rows.count() // TRANSFERS_PER_FILE
     for number, part in enumerate(("NOT is_response", "msg_id % 5 = 0 AND is_response", "msg_id % 5 = 1", "msg_id % 5 > 1")):
-        rows.filter(part).coalesce(1).write.parquet(f"{folder}/part={number}")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        rows.filter(part).repartition(files).write.parquet(f"{folder}/part={number}")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
     found = drained(matching.stream_match_transfers(reader.parquet(folder), delay="60 days"))
     return found.select(*PAIR_IDS, "res_len", "res_dns_len", "ancount", "rcode")
 

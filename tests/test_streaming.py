@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow.operators import match, stats
-from dnsflow.plans import views
+from dnsflow.plans import catalog, views
 from dnsflow.streaming import flows, matching
 from dnsflow.streaming import tcp as tcp_stream
 from dnsflow.streaming.tcp import _Connection
 
+from compare import check
 from conftest import SF
 
 
@@ -209,3 +210,13 @@ def test_connections_of_a_bucket_open_across_batches_and_end_by_silence(spark, t
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     found = run(tcp_stream.stream_tcp_reassembly(stream, delay="10 days"), tmp_path).collect()
     assert [(r.conn, bytes(r.body)) for r in found] == [("a", b"abc")]
+
+
+def test_zone_transfers_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Each micro-batch takes the files of one part, however many there are."""
+    monkeypatch.setattr(catalog, "TRANSFERS_PER_FILE", 20)
+    monkeypatch.setattr(catalog, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    ok, text = check(spark, SF, "stream_axfr")
+    assert ok, text
+    files = [len(list((tmp_path / "transfers" / f"part={k}").glob("*.parquet"))) for k in range(4)]
+    assert files[0] > 1 and len(set(files)) == 1
