@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,20 @@ JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATE_BUCKETS = 256
 
 
+# Rows that are taken or given back at once.
+PIECE = 4096
+
+
+def _in_turn(arrived: pd.DataFrame) -> Iterator[tuple]:
+    """(k, t, m, is_response, payload) of the rows; a payload is let go with its piece, so that only what waits is kept."""
+    columns = [arrived.pop(c).to_numpy() for c in ("k", "t", "m", "is_response", "payload")]
+    for low in range(0, len(columns[0]), PIECE):
+        piece = [c[low : low + PIECE].tolist() for c in columns]
+        for c in (columns[0], columns[-1]):
+            c[low : low + PIECE] = None
+        yield from zip(*piece)
+
+
 class _Pending(StatefulProcessor):
     """Messages that wait for a partner, for all keys of a bucket."""
 
@@ -40,17 +55,22 @@ class _Pending(StatefulProcessor):
         held: dict[str, deque] = {}
         for k, *message in self.waiting.get():
             held.setdefault(k, deque()).append(tuple(message))
-        arrived = pd.concat(rows).sort_values(["t", "m"])
+        arrived = pd.concat(rows).sort_values(["t", "m"], ignore_index=True)
         pairs = []
-        for k, *row in arrived[["k", "t", "m", "is_response", "payload"]].itertuples(index=False, name=None):
+        for k, *row in _in_turn(arrived):
             waiting = held.setdefault(k, deque())
             while waiting and waiting[0][0] + self.timeout_us <= row[0]:
                 waiting.popleft()
             if waiting and waiting[0][2] != row[2]:
                 other = waiting.popleft()
                 pairs.append((row[3], other[3]) if other[2] else (other[3], row[3]))
+                if not waiting:
+                    del held[k]
             else:
                 waiting.append(tuple(row))
+            if len(pairs) == PIECE:
+                yield pd.DataFrame(pairs, columns=["query", "response"])
+                pairs = []
         self._keep(held, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(pairs, columns=["query", "response"])
 
@@ -181,14 +201,14 @@ class _Transfers(StatefulProcessor):
 
 
 def _bucketed(messages: DataFrame, keys: list[str], *more: Column) -> tuple[DataFrame, list[str]]:
-    """Messages with their bucket, key and payload as text, and the columns that the payload holds."""
-    fields = {**FROM_QUERY, **FROM_RESPONSE}
-    kept = list(dict.fromkeys(["id", "prot", "ipv", "qtype", *[c for c in fields.values() if c in messages.columns]]))
+    """Messages with their bucket, key and payload as text, and the columns that payloads hold: those that a pair takes from that side."""
+    sides = [dict.fromkeys(["id", "prot", "ipv", "qtype", *[c for c in side.values() if c in messages.columns]]) for side in (FROM_QUERY, FROM_RESPONSE)]
+    query, response = (F.to_json(F.struct(*side), JSON_TIME) for side in sides)
     return with_flow_key(messages).select(
         F.pmod(F.xxhash64(*keys), F.lit(STATE_BUCKETS)).cast("int").alias("bucket"),
         F.to_json(F.struct(*keys)).alias("k"), "ts", F.unix_micros("ts").alias("t"), F.col("msg_id").alias("m"), "is_response",
-        F.to_json(F.struct(*kept), JSON_TIME).alias("payload"), *more,
-    ), kept
+        F.when(F.col("is_response"), response).otherwise(query).alias("payload"), *more,
+    ), list(sides[0] | sides[1])
 
 
 def _picked(found: DataFrame, messages: DataFrame, kept: list[str], *more: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import json
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +224,45 @@ def test_zone_transfers_are_written_by_several_tasks(spark, tmp_path, monkeypatc
     assert ok, text
     files = [len(list((tmp_path / "transfers" / f"part={k}").glob("*.parquet"))) for k in range(4)]
     assert files[0] > 1 and len(set(files)) == 1
+
+
+def test_a_payload_holds_what_a_pair_takes_from_its_side(messages):
+    keyed, kept = matching._bucketed(messages, matching.FLOW_KEY)
+    rows = keyed.select("is_response", "payload").limit(200).collect()
+    assert {r.is_response for r in rows} == {True, False} and {"qname", "answer_rrs"} <= set(kept)
+    assert all(("answer_rrs" in r.payload, "qname" in json.loads(r.payload)) == (r.is_response, not r.is_response) for r in rows)
+
+
+def test_pairs_of_a_bucket_leave_in_pieces():
+    """A bucket's pairs are never one table, and the state keeps the messages that wait."""
+    class Handle:
+        def __init__(self):
+            self.kept = [("w", 1, -1, False, "old")]
+
+        def getListState(self, *_):
+            return self
+
+        def get(self):
+            return iter(self.kept)
+
+        def put(self, rows):
+            self.kept = rows
+
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, at):
+            pass
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, pending, n = Handle(), matching._Pending(1_000_000), 10_000
+    pending.init(handle)
+    rows = [(f"k{i}", 10 * i + r, 2 * i + r, bool(r), f"{'qr'[r]}{i}") for i in range(n) for r in (0, 1)] + [("w", 5, -2, True, "new"), ("x", 7, -3, False, "alone")]
+    random.Random(1).shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["k", "t", "m", "is_response", "payload"])
+    out = list(pending.handleInputRows((0,), iter([frame.iloc[:9000], frame.iloc[9000:]]), handle))
+    assert max(map(len, out)) < n
+    assert sorted(map(tuple, pd.concat(out).to_numpy())) == sorted([("old", "new"), *[(f"q{i}", f"r{i}") for i in range(n)]])
+    assert handle.kept == [("x", 7, -3, False, "alone")]
