@@ -13,6 +13,7 @@ from dnsflow.functions.names import name_to_wire
 from dnsflow.schema import RR_LIST, column_names, MESSAGES
 
 TIMEOUT_US = 1_000_000
+PARTS_PER_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,9 +115,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer splits than cores, such as one small file, on all cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of an input with few splits on all cores: in as many parts as cores if it is one small file, else in several for
+    each core, as splits of a compact file hold unlike shares of its rows."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits >= PARTS_PER_CORE * cores:
+        return df
+    return df.repartition(cores if splits == 1 else PARTS_PER_CORE * cores)
 
 
 def messages_of(events: DataFrame) -> DataFrame:

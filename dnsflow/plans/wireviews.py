@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsflow.functions.addresses import hex_fixed
-from dnsflow.functions.binding import let, stage
+from dnsflow.functions.binding import stage
 from dnsflow.schema import RR_LIST, TCP, UDP
 
 
@@ -105,17 +105,21 @@ def udp_packets(messages: DataFrame) -> DataFrame:
     )
 
 
-def _varint(value: Column) -> Column:
-    def coded(v: Column) -> Column:
-        parts = []
-        for i in range(5):
-            low = F.call_function("shiftright", v, F.lit(7 * i)).bitwiseAND(127)
-            more = v >= (1 << 7 * (i + 1))
-            byte = u8(low + F.when(more, 128).otherwise(0))
-            parts.append(byte if i == 0 else F.when(v >= (1 << 7 * i), byte).otherwise(""))
-        return F.concat(*parts)
+def _varint(value: Column, most: int = 5) -> Column:
+    """Seven bits to a byte, the lowest first, in at most so many bytes; only the branch that fits is made."""
+    v = value.cast("bigint")
 
-    return let(value.cast("bigint"), coded)
+    def coded(size: int) -> Column:
+        parts = [F.shiftright(v, 7 * i).bitwiseAND(127).bitwiseOR(128 if i < size - 1 else 0) for i in range(size)]
+        number = parts[0]
+        for part in parts[1:]:
+            number = number * 256 + part
+        return F.hex(number)  # all bytes but the last have their highest bit set: no digit is missing
+
+    out = F.when(v < 1 << 7, hex_fixed(v, 2))
+    for size in range(2, most):
+        out = out.when(v < 1 << 7 * size, coded(size))
+    return out.otherwise(coded(most))
 
 
 def _number(field: int, value: Column) -> Column:
@@ -123,13 +127,14 @@ def _number(field: int, value: Column) -> Column:
 
 
 def _bytes(field: int, digits: Column) -> Column:
-    return let(digits, lambda d: F.concat(_varint(F.lit(field << 3 | 2)), _varint(F.length(d) / 2), d))
+    """`digits` is used twice: give it a column, not a long expression."""
+    return F.concat(_varint(F.lit(field << 3 | 2)), _varint(F.octet_length(digits) / 2, 4), digits)
 
 
-def _fixed32(field: int, value: Column) -> Column:
+def _little32(value: Column) -> Column:
+    """A number of up to 32 bits, lowest byte first."""
     big = u32(value)
-    little = F.concat(*[F.substring(big, p, 2) for p in (7, 5, 3, 1)])
-    return F.concat(_varint(F.lit(field << 3 | 5)), little)
+    return F.concat(*[F.substring(big, p, 2) for p in (7, 5, 3, 1)])
 
 
 def _text(value: Column) -> Column:
@@ -143,28 +148,38 @@ def tap_frames(messages: DataFrame) -> DataFrame:
     second, nano = F.floor(us / 1_000_000), us % 1_000_000 * 1000
     action = F.col("policy_action")
     chosen = F.when(action == 128, 3).when(action == 129, 1).when(action == 255, 6)
-    policy = F.when(action == 0, "").otherwise(_bytes(15, F.concat(
-        _bytes(2, _text(F.coalesce("policy_rule", F.lit("")))),
-        F.when(chosen.isNull(), "").otherwise(_number(3, F.coalesce(chosen, F.lit(0)))),
-    )))
-    body = F.concat(
-        F.when(k % 43 == 0, "").otherwise(_number(1, F.when(response, 6).otherwise(5))),
-        _number(2, F.when(F.col("ipv") == 4, 1).otherwise(2)),
-        _number(3, F.when(F.col("prot") == UDP, 1).otherwise(2)),
-        _bytes(4, F.hex("client_ip")), _bytes(5, F.hex("server_ip")),
-        F.when(k % 47 == 0, "").otherwise(_number(6, F.col("client_port"))),
-        _number(7, F.col("server_port")),
-        F.when(response, F.concat(_number(12, second), _fixed32(13, nano)))
-        .otherwise(F.concat(_number(8, second), _fixed32(9, nano))),
-        F.when(response, _bytes(14, F.col("dns"))).otherwise(_bytes(10, F.col("dns"))),
-        policy,
-    )
     extra = F.concat(
         F.lit("user_key="), F.col("user_id"), F.lit("\n"),
         F.when(F.col("tcp_rtt_us") >= 0, F.concat(F.lit("rtt="), F.col("tcp_rtt_us"), F.lit("\n"))).otherwise(""),
     )
-    frame = F.concat(_number(15, F.lit(1)), _bytes(3, _text(extra)), _bytes(14, body))
+    # Every field is named before it is measured, so that nothing is made twice.
     rows = stage(stage(messages, {"opt_hex": _option()}), {"dns": dns_hex()})
+    rows = stage(rows, {
+        "rule": _text(F.coalesce("policy_rule", F.lit(""))), "extra": _text(extra),
+        "client": F.hex("client_ip"), "server": F.hex("server_ip"),
+    })
+    rows = stage(rows, {"policy": F.concat(
+        _bytes(2, F.col("rule")), F.when(chosen.isNull(), "").otherwise(_number(3, F.coalesce(chosen, F.lit(0)))),
+    )})
+    # Short expressions in several steps: a generated method that is too long is never compiled.
+    rows = stage(rows, {"head": F.concat(
+        F.when(k % 43 == 0, "").otherwise(_number(1, F.when(response, 6).otherwise(5))),
+        _number(2, F.when(F.col("ipv") == 4, 1).otherwise(2)),
+        _number(3, F.when(F.col("prot") == UDP, 1).otherwise(2)),
+        _bytes(4, F.col("client")), _bytes(5, F.col("server")),
+    )})
+    rows = stage(rows, {"head": F.concat(
+        F.col("head"), F.when(k % 47 == 0, "").otherwise(_number(6, F.col("client_port"))), _number(7, F.col("server_port")),
+    )})
+    rows = stage(rows, {"time": F.concat(
+        F.when(response, _varint(F.lit(12 << 3))).otherwise(_varint(F.lit(8 << 3))), _varint(second),
+        F.when(response, _varint(F.lit(13 << 3 | 5))).otherwise(_varint(F.lit(9 << 3 | 5))), _little32(nano),
+    )})
+    rows = stage(rows, {"sent": F.concat(
+        F.when(response, _varint(F.lit(14 << 3 | 2))).otherwise(_varint(F.lit(10 << 3 | 2))), _varint(F.octet_length("dns") / 2, 4), F.col("dns"),
+    )})
+    rows = stage(rows, {"body": F.concat("head", "time", "sent", F.when(action == 0, "").otherwise(_bytes(15, F.col("policy"))))})
+    frame = F.concat(_number(15, F.lit(1)), _bytes(3, F.col("extra")), _bytes(14, F.col("body")))
     return rows.select(k.alias("packet_no"), "ts", F.unhex(frame).alias("payload"))
 
 

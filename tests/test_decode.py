@@ -5,8 +5,10 @@ import struct
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dnsflow.operators import columnar, decode, wire
+from dnsflow.plans import views, wireviews
 
 
 def name(text):
@@ -215,3 +217,24 @@ def test_columns_equal_frames_decoded_one_by_one():
                         decode.TAP_MESSAGE, decode.POLICY_FIELD, decode.POLICY_RULE, decode.POLICY_ACTION).to_pylist()
     assert got == [one(v) for v in values]
     assert sum(g is not None and g["frame_error"] is None for g in got) > 500
+
+
+def test_splits_are_dealt_to_several_tasks_of_each_core(spark):
+    """Few splits hold unlike shares of the rows of a compact file, so no task may have to take one whole."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, 1, cores).selectExpr("IF(id < 900, 0, id) AS id")
+    assert views.spread(rows).rdd.getNumPartitions() == 4 * cores and views.spread(rows).count() == 1000
+    assert views.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 10, 1, 4 * cores)
+    assert views.spread(many) is many
+
+
+@pytest.mark.parametrize("value", [0, 1, 127, 128, 300, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**32 - 1, 1_700_000_000])
+def test_varints(spark, value):
+    data, v = bytearray(), value
+    while v > 127:
+        data.append(v & 127 | 128)
+        v >>= 7
+    data.append(v)
+    got = spark.range(1).select(F.unhex(wireviews._varint(F.col("id") + value))).first()[0]
+    assert bytes(got) == bytes(data)
