@@ -1,8 +1,13 @@
 """Near copies by the Jaccard similarity of five-word shingles, 0.8 or more.
 
-Minimum hashes in 32 bands of five give the candidates: a pair at the threshold shares two band keys
-but for five in a hundred thousand, and no key is capped. Rows are first compared with one other row
-of the keys that they share with it most often, which joins most of what belongs together. Keys whose rows then
+The covering masks of `simhash` give the first candidates: every two rows whose fingerprints, made of
+their five-word shingles, differ in at most RADIUS bits meet in the key of some mask, and rows that are
+connected in this way share one key here. Similar sets differ in about ten of 64 bits at the threshold, which
+would ask for two thousand masks and more; for what lies beyond the radius, minimum hashes in 32 bands of five give further
+keys: a pair at the threshold shares two of them but for five in a hundred thousand. No key is capped.
+
+All candidates are compared exactly. Rows are first compared with one row of the key that the masks gave them,
+then with one other row of the keys that they share with it most often, which joins most of what belongs together. Keys whose rows then
 still are in several components go the exact way: the shingles of their rows are put in one order, the
 rarest first, and two similar sets share one of the first fifth of either. Rows that share such a
 shingle, and whose sizes and places allow the similarity, meet in blocks of bounded size, which return
@@ -19,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsflow.llm import common, components
+from dnsflow.llm import common, components, simhash
 
 SHINGLE, LEAST = 5, 0.8
+#: Differing bits of fingerprints that the covering masks allow for: 63 masks.
+RADIUS = 5
 BANDS, ROWS = 32, 5
-#: Rounds of comparing each row with one other.
-ROUNDS = 2
+#: Rounds of comparing each row with one other; the first takes the candidates of the masks alone.
+ROUNDS = 3
 #: Rows, and shingles of all its rows, in a side of a block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _draw = np.random.default_rng(42)
@@ -51,6 +58,10 @@ def _band_keys(values: np.ndarray) -> np.ndarray:
     return common.mixed(common.mixed(least.reshape(BANDS, ROWS)) @ _FACTORS[:ROWS] + _TERMS[:BANDS])
 
 
+def _fingerprint(values: np.ndarray) -> int:
+    return simhash.majority(values[low:low + _STEP] for low in range(0, len(values), _STEP))
+
+
 def _class(values: np.ndarray) -> tuple[bytes, int]:
     """A digest of a set of shingles, and a part of it that tells the sets of one id apart."""
     digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
@@ -59,18 +70,19 @@ def _class(values: np.ndarray) -> tuple[bytes, int]:
 
 def _prints(batches):
     for batch in batches:
-        classes, sizes, keys = [], [], []
+        classes, sizes, prints, keys = [], [], [], []
         for text in batch[1]:
             values = shingles(text.as_py() or b"")
             classes.append(_class(values))
             sizes.append(len(values))
+            prints.append(_fingerprint(values))
             keys.append(_band_keys(values).view(np.int64))
         offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
         flat = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *keys]))
         yield pa.RecordBatch.from_arrays(
             [batch[0], pa.array([c[0] for c in classes], pa.binary()), pa.array([c[1] for c in classes], pa.int64()),
-             pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-            ["doc_id", "digest", "tag", "size", "keys"],
+             pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
+            ["doc_id", "digest", "tag", "size", "fp", "keys"],
         )
 
 
@@ -141,7 +153,7 @@ def _stars(apart: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     first = apart.groupBy("key").agg(F.min_by(F.struct("node", "tag", "size", "component"), drawn).alias("first"))
     met = apart.join(first, "key").filter(F.col("component") != F.col("first.component"))
     met = met.filter(F.least("size", "first.size") >= LEAST * F.greatest("size", "first.size") - F.lit(1e-6))
-    often = met.groupBy("node", "tag", F.col("first.node").alias("with_node"), F.col("first.tag").alias("with_tag")).agg(F.count("*").alias("times")).filter("times > 1")
+    often = met.groupBy("node", "tag", F.col("first.node").alias("with_node"), F.col("first.tag").alias("with_tag")).agg(F.sum("times").alias("times")).filter("times > 1")
     most = F.max_by(F.struct("with_node", "with_tag"), F.struct("times", "with_tag", "with_node"))
     one = common.written(often.groupBy("node", "tag").agg(most.alias("w")).select("node", "tag", "w.*"), "tried")
     others = sets.select(F.col("node").alias("with_node"), F.col("tag").alias("with_tag"), F.col("shingles").alias("other"))
@@ -153,7 +165,7 @@ def _stars(apart: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
 
 def _exact(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) that join the rows of different components as their similar pairs do."""
-    rows = apart.groupBy("node", "tag", "size", "component").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    rows = apart.groupBy("node", "tag", "size", "component").agg(F.sum("times").alias("times")).filter("times > 1").drop("times")
     each = common.written(rows.join(sets, ["node", "tag"]).withColumn("shingle", F.explode("shingles")).drop("shingles"), "shingles")
     # shingles of one component come before all others, then the rarest
     shared = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
@@ -167,29 +179,43 @@ def _exact(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return _in_squares(meeting).join(sets, ["node", "tag"]).groupBy("shingle", "low", "high").applyInArrow(_spanning, "a long, b long")
 
 
+def _covered(distinct: DataFrame) -> DataFrame:
+    """(node, tag, size, key, times): a key for every row, the same for all that fingerprints within RADIUS connect.
+
+    It counts as two keys: nothing else is asked of a pair that shares it before it is compared.
+    """
+    prints = common.written(distinct.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = components.connected(simhash.candidates(prints, RADIUS))
+    roots = prints.join(near, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return distinct.join(roots, "fp").select("node", "tag", "size", F.xxhash64(F.lit("masks"), "root").alias("key"), F.lit(2).alias("times"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root) of all ids that have near copies: the smallest id reachable over similar texts.
 
     Blank and null texts are copies of each other. Rows that repeat an id are one node. Null ids are left out.
     """
     texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    prints = common.written(texts.mapInArrow(_prints, "doc_id long, digest binary, tag long, size long, keys array<long>"), "prints")
+    prints = common.written(texts.mapInArrow(_prints, "doc_id long, digest binary, tag long, size long, fp long, keys array<long>"), "prints")
     # equal sets of shingles are one class
     classes = common.written(prints.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     copies = prints.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     copies = common.written(copies.distinct(), "copies")
     own = prints.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"])
-    distinct = own.groupBy(F.col("doc_id").alias("node"), "tag").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = distinct.select("node", "tag", "size", F.explode("keys").alias("key"))
+    distinct = own.groupBy(F.col("doc_id").alias("node"), "tag").agg(*[F.first(c).alias(c) for c in ("size", "fp", "keys")])
+    distinct = common.written(distinct, "distinct")
+    banded = distinct.select("node", "tag", "size", F.explode("keys").alias("key"), F.lit(1).alias("times"))
+    keyed = banded.unionByName(_covered(distinct))
     crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.written(keyed.join(crowds, "key"), "members")
-    wanted = members.groupBy("node", "tag").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    wanted = members.groupBy("node", "tag").agg(F.sum("times").alias("times")).filter("times > 1").drop("times")
     held = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "node long, tag long, shingles array<long>")
     sets = common.written(held.join(wanted, ["node", "tag"], "left_semi").groupBy("node", "tag").agg(F.first("shingles").alias("shingles")), "sets")
     links = copies
     for turn in range(ROUNDS + 1):
         roots = components.connected(links)
-        apart = members.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+        met = members.filter("times = 2") if turn == 0 < ROUNDS else members
+        apart = met.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
         mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         apart = common.written(apart.join(mixed.select("key"), "key"), "apart")
         if turn < ROUNDS:

@@ -8,11 +8,15 @@ agrees on the key of some table, without exception.
 A crowded key is not compared as a whole: the same construction on the bits that its key leaves out
 divides it, twice if need be. After that at most eight bits are open, so a group stays small
 whatever the data are, and no pair within the radius is lost.
+
+For a radius r in general, vectors of r + 1 bits give 2^(r+1) - 1 tables. `candidates` takes any radius for
+callers that compare the texts themselves; fingerprints can be made of any shingles by `majority`.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,16 @@ CROWD = 512
 _STEP = 1 << 14
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half the hashes of all parts; no hashes give 0."""
+    set_bits, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in parts:
+        bits = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits += bits.sum(axis=0, dtype=np.int32)
+        n += len(h)
+    return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes) -> int:
     """A bit is 1 if it is set in over half the XXH64 values of the three-word shingles; no words give 0."""
     words = text.lower().split()
@@ -39,23 +53,22 @@ def fingerprint(text: bytes) -> int:
     ends = [e + i for i, e in enumerate(ends)]  # with one space between words
     joined = b" ".join(words)
     starts = [0] + [e + 1 for e in ends[:-1]]
-    set_bits, n, digest = np.zeros(BITS, dtype=np.int64), len(words) - SHINGLE + 1, xxhash.xxh64_intdigest
-    for low in range(0, n, _STEP):
-        h = [digest(joined[s:e], SEED) for s, e in zip(starts[low:min(n, low + _STEP)], ends[low + SHINGLE - 1:])]
-        bits = np.unpackbits(np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
+    n, digest = len(words) - SHINGLE + 1, xxhash.xxh64_intdigest
+    return majority(
+        np.array([digest(joined[s:e], SEED) for s, e in zip(starts[low:min(n, low + _STEP)], ends[low + SHINGLE - 1:])], dtype="<u8")
+        for low in range(0, n, _STEP)
+    )
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def covering_masks(open_bits: int) -> list[int]:
-    """Fifteen masks over the given bits: any three of these bits are all left out by one of the masks."""
-    places = [i for i in range(BITS) if open_bits >> i & 1]
-    vectors = {place: 1 + j % 15 for j, place in enumerate(places)}
-    return [sum(1 << i for i, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, 1 << RADIUS + 1)]
+def covering_masks(open_bits: int, radius: int = RADIUS) -> list[int]:
+    """2^(radius+1) - 1 masks over the given bits, 15 for three: any `radius` of these bits are all left out by one of the masks."""
+    places, number = [i for i in range(BITS) if open_bits >> i & 1], (1 << radius + 1) - 1
+    vectors = {place: 1 + j % number for j, place in enumerate(places)}
+    return [sum(1 << i for i, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, number + 1)]
 
 
 def _levels() -> list[list[list[int]]]:
@@ -83,39 +96,58 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def _keyed(rows: DataFrame, level: int) -> DataFrame:
+def _keyed(rows: DataFrame, level: list[list[int]]) -> DataFrame:
     """(node, fp, path, key): a row per mask; path numbers the masks chosen so far."""
-    masks = F.array(*[F.array(*[F.lit(_signed(m)) for m in below]) for below in LEVELS[level]])
+    masks = F.array(*[F.array(*[F.lit(_signed(m)) for m in below]) for below in level])
     keys = F.transform(
         F.element_at(masks, F.col("path") + 1),
-        lambda m, i: F.struct((F.col("path") * 15 + i).alias("path"), F.col("fp").bitwiseAND(m).alias("key")),
+        lambda m, i: F.struct((F.col("path") * len(level[0]) + i).alias("path"), F.col("fp").bitwiseAND(m).alias("key")),
     )
     return rows.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.path", "k.key")
 
 
-def _near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+def _near(a: Column, b: Column, radius: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= radius
 
 
-def _stars(batches):
+def _stars(radius: int):
     """Joins the fingerprints of every group that are linked to the smallest node of their part."""
-    for batch in batches:
-        left, right = [], []
-        for group in batch[0]:
-            rows = sorted((r["node"], r["fp"]) for r in group.as_py())
-            node, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]).view(np.uint64)
-            linked = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS
-            part = np.arange(len(rows))
-            while True:  # each takes the least part among its neighbours
-                least = np.where(linked, part[None, :], len(rows)).min(axis=1)
-                if (least == part).all():
-                    break
-                part = least
-            other = part != np.arange(len(rows))
-            left.append(node[part[other]])
-            right.append(node[other])
-        empty = np.empty(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (left, right)], ["a", "b"])
+
+    def run(batches):
+        for batch in batches:
+            left, right = [], []
+            for group in batch[0]:
+                rows = sorted((r["node"], r["fp"]) for r in group.as_py())
+                node, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]).view(np.uint64)
+                linked = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+                part = np.arange(len(rows))
+                while True:  # each takes the least part among its neighbours
+                    least = np.where(linked, part[None, :], len(rows)).min(axis=1)
+                    if (least == part).all():
+                        break
+                    part = least
+                other = part != np.arange(len(rows))
+                left.append(node[part[other]])
+                right.append(node[other])
+            empty = np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (left, right)], ["a", "b"])
+
+    return run
+
+
+def _sizes(keyed: DataFrame) -> DataFrame:
+    """(path, key, n, x, y): the keys of several fingerprints, with the first and the last of them."""
+    pair = F.struct("node", "fp")
+    counted = keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min(pair).alias("x"), F.max(pair).alias("y"))
+    return common.written(counted.filter("n > 1"), "keys")
+
+
+def _met(keyed: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect what fingerprints of one of these keys within the radius connect."""
+    two = sizes.filter("n = 2").filter(_near(F.col("x.fp"), F.col("y.fp"), radius))
+    some = keyed.join(sizes.filter("n > 2").select("path", "key"), ["path", "key"])
+    stars = some.groupBy("path", "key").agg(F.collect_list(F.struct("node", "fp")).alias("rows")).select("rows").mapInArrow(_stars(radius), "a long, b long")
+    return two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(stars)
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -124,16 +156,10 @@ def links(classes: DataFrame) -> DataFrame:
     classes: (node, fp), one row per distinct fingerprint.
     """
     rows, out = classes.withColumn("path", F.lit(0)), []
-    for level in range(len(LEVELS)):
+    for level in LEVELS:
         keyed = _keyed(rows, level)
-        pair = F.struct("node", "fp")
-        sizes = common.written(
-            keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min(pair).alias("x"), F.max(pair).alias("y")).filter("n > 1"), "keys"
-        )
-        out.append(sizes.filter("n = 2").filter(_near(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        last = level == len(LEVELS) - 1
-        some = keyed.join(sizes.filter("n > 2" if last else f"n > 2 AND n <= {CROWD}").select("path", "key"), ["path", "key"])
-        out.append(some.groupBy("path", "key").agg(F.collect_list(pair).alias("rows")).select("rows").mapInArrow(_stars, "a long, b long"))
+        sizes, last = _sizes(keyed), level is LEVELS[-1]
+        out.append(_met(keyed, sizes if last else sizes.filter(f"n <= {CROWD}"), RADIUS))
         if last or sizes.filter(f"n > {CROWD}").isEmpty():
             break
         rows = common.written(keyed.join(sizes.filter(f"n > {CROWD}").select("path", "key"), ["path", "key"]).select("node", "fp", "path"), "crowds")
@@ -143,6 +169,17 @@ def links(classes: DataFrame) -> DataFrame:
     return edges
 
 
+def candidates(classes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect at least what fingerprints within any radius connect, for callers that compare what is connected.
+
+    More bits than RADIUS ask for too many masks to divide a crowded key again: its fingerprints are connected unseen.
+    """
+    keyed = _keyed(classes.withColumn("path", F.lit(0)), [covering_masks((1 << BITS) - 1, radius)])
+    sizes = _sizes(keyed)
+    crowds = keyed.join(sizes.filter(f"n > {CROWD}").select("path", "key", "x"), ["path", "key"])
+    return _met(keyed, sizes.filter(f"n <= {CROWD}"), radius).unionByName(crowds.select(F.col("x.node").alias("a"), F.col("node").alias("b")))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 

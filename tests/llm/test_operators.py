@@ -85,6 +85,35 @@ def test_crowded_fingerprints_lose_no_link(spark, monkeypatch, crowd):
     assert {i: got.get(i, i) for i in range(len(prints))} == brute.roots(range(len(prints)), pairs)
 
 
+@pytest.mark.parametrize("crowd", [512, 4])
+def test_candidates_of_a_wider_radius_lose_no_pair(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    draw, prints = random.Random(6), set()
+    for _ in range(60):
+        x = draw.getrandbits(64)
+        prints |= {x ^ sum(1 << b for b in draw.sample(range(64), n)) for n in (0, 2, 5)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(i, simhash._signed(x)) for i, x in enumerate(prints)], "node long, fp long")
+    got = {r.node: r.root for r in components.connected(simhash.candidates(df, 5)).collect()}
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 5]
+    assert len(pairs) >= 120 and all(got[i] == got[j] for i, j in pairs)
+    if crowd == 512:
+        assert {i: got.get(i, i) for i in range(len(prints))} == brute.roots(range(len(prints)), pairs)
+
+
+def test_near_copies_are_candidates_by_the_masks(spark):
+    """Rows whose fingerprints differ in four or five bits share a key that counts as much as a pair has to share; others share none."""
+    draw = random.Random(8)
+    base, far = draw.getrandbits(64), draw.getrandbits(64)
+    prints = [base, base ^ 0b1111, base ^ 0b11111 << 40, base ^ 0b111111 << 20, far, far]
+    rows = [(i, 10 + i, 5, simhash._signed(x)) for i, x in enumerate(prints)]
+    keys = {r.node: (r.key, r.times) for r in nearcopies._covered(spark.createDataFrame(rows, "node long, tag long, size long, fp long")).collect()}
+    assert keys[0] == keys[1] == keys[2] and keys[4] == keys[5] and len({keys[i] for i in (0, 3, 4)}) == 3 and keys[0][1] == 2
+    values = nearcopies.shingles(b"a b c d e f g h")
+    assert len(values) == 4 and nearcopies._fingerprint(values) == sum(1 << i for i in range(64) if sum(int(v) >> i & 1 for v in values) > 2)
+    assert nearcopies._fingerprint(nearcopies.shingles(b" ")) == 0
+
+
 def jaccard_groups(rows):
     """The smallest id reachable, for every id, by comparing all pairs."""
     words = [((t or "").encode().lower().split(), i) for i, t in rows if i is not None]
