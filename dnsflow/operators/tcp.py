@@ -442,9 +442,8 @@ def reassemble(
         rows = with_state(with_sessions(part, timeout_ms, chunk), chunk)
         if chunk:
             rows = cut_lineage(rows)
-        pieces = ordered_bytes(rows, chunk)
-        if chunk:
-            pieces = cut_lineage(pieces)
+        # Framing and the buffer limit both read the pieces.
+        pieces = cut_lineage(ordered_bytes(rows, chunk))
         found = frame_messages(pieces, chunked=chunk is not None)
         over = overflow_times(pieces, buffer_limit, chunk)
         kept = found.join(over, ["conn", "session"], "left").filter(

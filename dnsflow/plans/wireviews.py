@@ -202,7 +202,6 @@ def segments(messages: DataFrame) -> DataFrame:
     rows = stage(rows, {
         "framed": F.unhex(F.concat(u16(F.length("dns") / 2), F.col("dns"))),
         "side": F.col("is_response").cast("int"),
-        "l4": F.struct("client_ip", "server_ip", "client_port", "server_port", "ttl", "ipv", "prot"),
     })
     size = F.octet_length("framed")
     isn = F.when(e % 5 == 0, (1 << 32) - 20).otherwise(e * 1000 % 100_000)
@@ -212,28 +211,22 @@ def segments(messages: DataFrame) -> DataFrame:
     cut = F.when(e % 9 == 0, 1).when(e % 3 == 0, 10).otherwise(size)
     later = F.when(e % 6 == 0, -2).otherwise(2)
 
-    def piece(order: Column, start: Column, length: Column, wait: Column) -> Column:
+    def piece(order: int, start: Column, length: Column, wait: Column) -> Column:
         return F.struct(
-            order.cast("bigint").alias("o"), wait.cast("bigint").alias("w"),
+            F.col("side"), (F.col("t") + wait).alias("t"), (F.col("msg_id") * 10 + order).alias("seg_no"),
             F.pmod(first + start, F.lit(1 << 32)).alias("seq"),
             F.substring("framed", (start + 1).cast("int"), length.cast("int")).alias("data"),
+            F.lit(False).alias("syn"), F.lit(True).alias("ack_flag"), F.lit(0).cast("bigint").alias("ack"),
+            F.lit(False).alias("fin"), F.lit(False).alias("rst"),
         )
 
     pieces = F.array_compact(F.array(
-        piece(F.lit(0), F.lit(0), cut, F.lit(0)),
-        F.when(cut < size, piece(F.lit(1), cut, size - cut, later)),
-        F.when(e % 7 == 0, piece(F.lit(2), F.lit(0), cut, F.lit(5))),
+        piece(0, F.lit(0), cut, F.lit(0)),
+        F.when(cut < size, piece(1, cut, size - cut, later)),
+        F.when(e % 7 == 0, piece(2, F.lit(0), cut, F.lit(5))),
     ))
-    data = rows.select(
-        "msg_id", "e", "t", "side", "l4", F.explode(pieces).alias("p")
-    ).select(
-        "e", "l4", "side", (F.col("t") + F.col("p.w")).alias("t"),
-        (F.col("msg_id") * 10 + F.col("p.o")).alias("seg_no"), F.col("p.seq").alias("seq"),
-        F.col("p.data").alias("data"), F.lit(False).alias("syn"), F.lit(True).alias("ack_flag"),
-        F.lit(0).cast("bigint").alias("ack"), F.lit(False).alias("fin"), F.lit(False).alias("rst"),
-    )
     # The handshake comes before both the query and an early response.
-    queries = rows.filter(~F.col("is_response") & (F.col("n") == 0)).filter(e % 11 != 0)
+    opens = ~F.col("is_response") & (F.col("n") == 0) & (e % 11 != 0)
     base = F.pmod(isn, F.lit(1 << 32))
     server = F.pmod(isn + 500, F.lit(1 << 32))
     plus = lambda c: F.pmod(c + 1, F.lit(1 << 32))
@@ -251,7 +244,6 @@ def segments(messages: DataFrame) -> DataFrame:
         control(1, 1, F.lit(1000), server, plus(base), True, True),
         control(2, 0, F.lit(2000) + e % 5000, plus(base), plus(server), False, True),
     )
-    opening = queries.select("e", "l4", F.inline(shake))
     transfer = e % 97 == 0
     sent = size * F.when((e % 13 == 0) & ~transfer, 2).otherwise(1)
     answer = 18 + F.octet_length("qname_wire") + 16 * (e % 4 + 1) + F.when(e % 9 == 0, 18).otherwise(0)
@@ -275,14 +267,18 @@ def segments(messages: DataFrame) -> DataFrame:
     ]
     reset = [closing(0, 0, "rst", ends[0], ends[1], nothing), closing(1, 1, "ack", ends[1], ends[0], late_message)]
     close = F.when(e % 4 == 1, F.array(*whole)).when(e % 4 == 2, F.array(*half)).when(e % 4 == 3, F.array(*reset))
-    opening = opening.unionByName(queries.select("e", "l4", F.inline(close)))
+    # The events are derived once: a message's own segments and those that open and close its connection come from one row.
+    made = stage(rows, {"pieces": pieces, "shake": F.when(opens, shake), "close": F.when(opens, close)})
+    flow = ["client_ip", "server_ip", "client_port", "server_port", "ttl", "ipv", "prot"]
+    none = F.filter("pieces", lambda p: F.lit(False))
+    every = made.select("e", *flow, F.inline(F.concat("pieces", F.coalesce("shake", none), F.coalesce("close", none))))
     back = F.col("side") == 1
     endpoints = [
-        F.when(back == flip, F.col(f"l4.server_{what}")).otherwise(F.col(f"l4.client_{what}")).alias(f"{end}_{what}")
+        F.when(back == flip, F.col(f"server_{what}")).otherwise(F.col(f"client_{what}")).alias(f"{end}_{what}")
         for end, flip in (("src", True), ("dst", False)) for what in ("ip", "port")
     ]
-    return data.unionByName(opening).select(
-        *endpoints, "l4.ttl", "l4.ipv", "l4.prot",
+    return every.select(
+        *endpoints, "ttl", "ipv", "prot",
         F.concat(F.lit("c"), e).alias("conn"), "side", F.timestamp_micros("t").alias("ts"),
         "seg_no", "seq", "ack", "syn", "ack_flag", "fin", "rst", "data", (F.octet_length("data") + 54).alias("packet_len"),
     )

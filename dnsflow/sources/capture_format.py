@@ -24,10 +24,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from dnsflow.schema import PACKETS
 from dnsflow.sources import captures
 
-_COLUMNS = pa.schema([
-    ("source", pa.string()), ("packet_no", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("kind", pa.string()),
-    ("raw_ip", pa.bool_()), ("payload", pa.binary()),
-])
 #: Without an index, files are numbered and their packets after them.
 FILE_PACKETS = 1 << 40
 
@@ -74,8 +70,7 @@ class _Reading:
             first, limit = form.first, split.size
         for held in captures.split_rows(self.kind, self.raw_ip, split.path, split.size, first, limit, split.number, split.state):
             kept = [r for r in held if r[2] is None or (self.low is None or r[2] >= self.low) and (self.high is None or r[2] <= self.high)]
-            columns = list(zip(*kept)) or [()] * len(_COLUMNS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COLUMNS.types)], schema=_COLUMNS)
+            yield captures.packet_batch(kept)
 
 
 class CaptureReader(_Reading, DataSourceReader):

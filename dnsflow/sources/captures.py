@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ CHAIN = 16
 BLOCK = 4 << 20
 BATCH = 4096
 BATCH_BYTES = 8 << 20
+COLUMNS = pa.schema([
+    ("source", pa.string()), ("packet_no", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("kind", pa.string()),
+    ("raw_ip", pa.bool_()), ("payload", pa.binary()),
+])
 # First bytes of a capture file: byte order and ticks per second.
 MAGIC = {
     b"\xa1\xb2\xc3\xd4": (">", 1_000_000), b"\xd4\xc3\xb2\xa1": ("<", 1_000_000),
@@ -102,18 +107,23 @@ class Pcap:
 
     def records(self, source: Source, at: int, limit: int | None) -> Iterator[tuple]:
         """(position, time, data start, size, end) of the records that begin in [at, limit)."""
-        while at < (source.size if limit is None else limit):
+        unpack, stop = struct.Struct(self.order + "4I").unpack_from, source.size if limit is None else limit
+        while at < stop:
             if at + self.head > source.size:
                 raise Broken("the file ends within a record header")
-            head = source.read(at, self.head)
-            size = self.length(head)
-            if size is None:
-                raise Broken("broken record header")
-            end = at + self.head + size
-            if end > source.size:
-                raise Broken("the file ends within a record")
-            yield at, self.time_us(head), at + self.head, size, end
-            at = end
+            source.read(at, self.head)
+            # All headers of the block are read from it without further calls.
+            start, block = source.start, source.block
+            last = min(stop - 1, start + len(block) - self.head)
+            while at <= last:
+                seconds, fraction, size, original = unpack(block, at - start)
+                if fraction >= self.ticks or size > original:
+                    raise Broken("broken record header")
+                end = at + self.head + size
+                if end > source.size:
+                    raise Broken("the file ends within a record")
+                yield at, seconds * 1_000_000 + fraction * 1_000_000 // self.ticks, at + self.head, size, end
+                at = end
 
 
 @dataclass(frozen=True)
@@ -403,27 +413,24 @@ def split_rows(kind: str, raw_ip: bool, path: str, size: int, first: int, limit:
 
 
 def _packets(kind: str, raw_ip: bool):
-    columns = ["source", "packet_no", "ts", "kind", "raw_ip", "payload"]
-
     def run(batches):
-        for pdf in batches:
-            for *split, state in pdf[["path", "size", "first", "limit", "number", "state"]].itertuples(index=False):
-                for rows in split_rows(kind, raw_ip, *split, None if pd.isna(state) else state):
-                    yield _batch(rows, columns)
+        for batch in batches:
+            for split in batch.select(["path", "size", "first", "limit", "number", "state"]).to_pylist():
+                for rows in split_rows(kind, raw_ip, *split.values()):
+                    yield packet_batch(rows)
 
     return run
 
 
-def _batch(rows, columns) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    frame["ts"] = pd.to_datetime(frame["ts"], unit="us", utc=True)
-    return frame
+def packet_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COLUMNS.types)], schema=COLUMNS)
 
 
 def _read(spark, path, kind, raw_ip, split_bytes) -> DataFrame:
     splits = _splits(spark, path, kind, split_bytes)
     # One task per split; a number given to repartition is kept as it is.
-    return splits.repartition(max(1, splits.count())).mapInPandas(_packets(kind, raw_ip), PACKETS)
+    return splits.repartition(max(1, splits.count())).mapInArrow(_packets(kind, raw_ip), PACKETS)
 
 
 def read_captures(spark: SparkSession, path: str, raw_ip: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -465,14 +472,18 @@ def write_captures(packets: DataFrame, folder: str, longest: int = 1 << 18) -> D
         system, path = fs.FileSystem.from_uri(name if ":" in name.split("/")[0] else f"file://{name}")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         hidden, number = f"{path}.{uuid.uuid4().hex}.tmp", 0
+        head = struct.Struct("<4I").pack
         with system.open_output_stream(hidden, compression=None) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, longest, 1))
-            for pdf in batches:
-                for us, data in zip(pdf["us"], pdf["payload"]):
-                    out.write(struct.pack("<4I", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data)
-                    number += 1
+            for batch in batches:
+                for low in range(0, batch.num_rows, BATCH):
+                    parts = []
+                    for us, data in zip(*(c.to_pylist() for c in batch.slice(low, BATCH).columns)):
+                        parts += head(us // 1_000_000, us % 1_000_000, len(data), len(data)), data
+                    out.write(b"".join(parts))
+                number += batch.num_rows
         system.move(hidden, path)
-        yield pd.DataFrame({"path": [name], "packets": [number]})
+        yield pa.RecordBatch.from_pydict({"path": [name], "packets": [number]})
 
     rows = packets.select(F.unix_micros("ts").alias("us"), "payload")
-    return cut_lineage(rows.mapInPandas(run, "path string, packets bigint"))
+    return cut_lineage(rows.mapInArrow(run, "path string, packets bigint"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow import schema
-from dnsflow.operators import filters, match, normalize
+from dnsflow.operators import filters, ingest, match, normalize
 from dnsflow.plans import catalog, wireviews
 from dnsflow.sources import capture_format, captures, tables
 
@@ -235,6 +235,37 @@ def test_packet_export_and_capture_files(spark, tmp_path, messages):
     assert bodies(captures.read_captures(spark, f"{tmp_path}/files")) == bodies(packets)
 
 
+def test_packets_are_read_twice_for_messages(spark, messages):
+    """Once for datagrams and once for segments, which are counted and dealt without reading packets again."""
+    packets = wireviews.udp_packets(messages).unionByName(wireviews.tcp_packets(messages))
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = ingest.packets_to_messages(packets.mapInArrow(passed, packets.schema), ports={53, 443, 853})
+    assert found.count() > 0 and seen.value == 2 * packets.count()
+
+
+def test_events_are_derived_once_for_segments(messages):
+    plan = wireviews.segments(messages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_capture_times_in_any_session_zone(spark, tmp_path, zone):
+    rows = sample(7, 40)
+    (tmp_path / "a.pcap").write_bytes(pcap(rows))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = captures.read_captures(spark, str(tmp_path)).withColumn("us", F.unix_micros("ts")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(r.us for r in got) == [us for us, _ in rows]
+
+
 def test_address_lists_on_the_paired_feed(messages):
     feed = catalog.paired_feed(match.match_transactions(messages))
     rows = tables.ingest_paired(feed)
