@@ -9,12 +9,14 @@ A crowded key is not compared as a whole: the same construction on the bits that
 divides it, twice if need be. After that at most eight bits are open, so a group stays small
 whatever the data are, and no pair within the radius is lost.
 
-For a radius r in general, vectors of r + 1 bits give 2^(r+1) - 1 tables. `candidates` takes any radius for
-callers that compare the texts themselves; fingerprints can be made of any shingles by `majority`.
+For a radius r in general, vectors of r + 1 bits give 2^(r+1) - 1 tables. `candidates` takes any radius up to eight for
+callers that compare the texts themselves, and divides a crowded key until at most nine bits are open;
+fingerprints can be made of any shingles by `majority`.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable
 
@@ -29,6 +31,8 @@ from dnsflow.llm import common, components
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints that are compared with each other in one step; more are divided further.
 CROWD = 512
+#: Open bits of a key that `candidates` does not divide further: no more than 2^9 fingerprints share it.
+OPEN = 9
 _STEP = 1 << 14
 
 
@@ -64,11 +68,14 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def covering_masks(open_bits: int, radius: int = RADIUS) -> list[int]:
-    """2^(radius+1) - 1 masks over the given bits, 15 for three: any `radius` of these bits are all left out by one of the masks."""
+def covering_masks(open_bits: int, radius: int = RADIUS, vectors: list[int] | None = None) -> list[int]:
+    """2^(radius+1) - 1 masks over the given bits, 15 for three: any `radius` of these bits are all left out by one of the masks.
+
+    vectors: all non-zero vectors of radius + 1 bits, in the order in which the bits take them.
+    """
     places, number = [i for i in range(BITS) if open_bits >> i & 1], (1 << radius + 1) - 1
-    vectors = {place: 1 + j % number for j, place in enumerate(places)}
-    return [sum(1 << i for i, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, number + 1)]
+    vector = {place: vectors[j % number] if vectors else 1 + j % number for j, place in enumerate(places)}
+    return [sum(1 << i for i, m in vector.items() if (m & v).bit_count() & 1) for v in range(1, number + 1)]
 
 
 def _levels() -> list[list[list[int]]]:
@@ -106,6 +113,46 @@ def _keyed(rows: DataFrame, level: list[list[int]]) -> DataFrame:
     return rows.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.path", "k.key")
 
 
+@functools.cache
+def _powers(radius: int) -> list[int]:
+    """All non-zero vectors of radius + 1 bits as the powers of a generator of their field.
+
+    As many in a row as they have bits are independent, so every mask over more places than that keeps some of them, about half.
+    """
+    n = radius + 1
+    for polynomial in range((1 << n) + 1, 1 << n + 1, 2):
+        out, x = [1], 2
+        while x != 1:
+            out.append(x)
+            x <<= 1
+            x ^= polynomial * (x >> n)
+        if len(out) == (1 << n) - 1:
+            break
+    return out
+
+
+@functools.lru_cache(1 << 12)
+def _below(path: int, radius: int) -> np.ndarray:
+    """The masks over the bits that a mask leaves out, as longs; what that mask keeps is in them."""
+    kept = path % (1 << BITS)
+    masks = covering_masks(((1 << BITS) - 1) ^ kept, radius, _powers(radius))
+    return np.array([kept | m for m in masks], dtype=np.uint64).view(np.int64)
+
+
+def _divided(radius: int):
+    """Rows (node, fp, path) as rows (node, fp, path, key) for every mask below path, which is all that the masks chosen so far keep."""
+
+    def run(batches):
+        for batch in batches:
+            paths, at = np.unique(batch[2].to_numpy(), return_inverse=True)
+            masks = np.array([_below(int(p), radius) for p in paths], dtype=np.int64).reshape(-1, (1 << radius + 1) - 1)[at]
+            node, fp = (np.repeat(batch[i].to_numpy(), masks.shape[1]) for i in (0, 1))
+            path = masks.reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node, fp, path, fp & path)], ["node", "fp", "path", "key"])
+
+    return run
+
+
 def _near(a: Column, b: Column, radius: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
@@ -170,14 +217,28 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) that connect at least what fingerprints within any radius connect, for callers that compare what is connected.
+    """Edges (a, b) that connect just what fingerprints within any radius up to eight connect.
 
-    More bits than RADIUS ask for too many masks to divide a crowded key again: its fingerprints are connected unseen.
+    A crowded key is divided by masks that tasks make, as more bits than RADIUS ask for too many of them to list; it is left
+    alone once all its fingerprints are connected, be it by others or by the first of them.
     """
-    keyed = _keyed(classes.withColumn("path", F.lit(0)), [covering_masks((1 << BITS) - 1, radius)])
-    sizes = _sizes(keyed)
-    crowds = keyed.join(sizes.filter(f"n > {CROWD}").select("path", "key", "x"), ["path", "key"])
-    return _met(keyed, sizes.filter(f"n <= {CROWD}"), radius).unionByName(crowds.select(F.col("x.node").alias("a"), F.col("node").alias("b")))
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks((1 << BITS) - 1, radius)]))
+    keyed = classes.select("node", "fp", masks.alias("path")).withColumn("key", F.col("fp").bitwiseAND(F.col("path")))
+    edges = None
+    while True:
+        sizes = _sizes(keyed)
+        crowded = (F.col("n") > CROWD) & (F.bit_count("path") < BITS - OPEN)
+        met = _met(keyed, sizes.filter(~crowded), radius)
+        edges = met if edges is None else edges.unionByName(met)
+        if sizes.filter(crowded).isEmpty():
+            return edges
+        rows = keyed.join(sizes.filter(crowded).select("path", "key", "x"), ["path", "key"])
+        first = rows.filter(_near(F.col("fp"), F.col("x.fp"), radius)).select(F.col("x.node").alias("a"), F.col("node").alias("b"))
+        edges = common.written(edges.unionByName(first), "met")
+        rows = rows.join(components.connected(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = rows.groupBy("path", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+        rows = rows.join(apart.select("path", "key"), ["path", "key"]).select("node", "fp", "path")
+        keyed = common.written(rows, "crowds").mapInArrow(_divided(radius), "node long, fp long, path long, key long")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

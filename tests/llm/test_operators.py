@@ -101,6 +101,36 @@ def test_candidates_of_a_wider_radius_lose_no_pair(spark, monkeypatch, crowd):
         assert {i: got.get(i, i) for i in range(len(prints))} == brute.roots(range(len(prints)), pairs)
 
 
+@pytest.mark.parametrize("crowd", [512, 4])
+def test_candidates_divide_crowded_keys(spark, monkeypatch, crowd):
+    """Of a key that 600 fingerprints share, only those within the radius are connected."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    draw = random.Random(9)
+    shared = simhash.covering_masks((1 << 64) - 1, 5)[7]
+    first = draw.getrandbits(64) & shared
+    prints = [first | draw.getrandbits(64) & ~shared % (1 << 64) for _ in range(600)]
+    prints += [x ^ sum(1 << b for b in draw.sample(range(64), 5)) for x in prints[:30]]
+    df = spark.createDataFrame([(i, simhash._signed(x)) for i, x in enumerate(prints)], "node long, fp long")
+    got = {r.node: r.root for r in components.connected(simhash.candidates(df, 5)).collect()}
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 5]
+    assert len(pairs) >= 30 and {i: got.get(i, i) for i in range(len(prints))} == brute.roots(range(len(prints)), pairs)
+
+
+def test_further_masks_cover_every_five_bits_and_leave_half_open():
+    draw, path = random.Random(3), 0
+    assert sorted(simhash._powers(5)) == list(range(1, 64))
+    for most in (32, 19, 14, 11):
+        masks = [m % (1 << 64) for m in simhash._below(path, 5).tolist()]
+        free = [i for i in range(64) if not path >> i & 1]
+        for _ in range(300):
+            d = sum(1 << b for b in draw.sample(free, 5))
+            assert any(m & d == 0 for m in masks)
+        assert all(m & path == path and 64 - m.bit_count() <= most for m in masks)
+        path = min(masks, key=int.bit_count)
+        if 64 - path.bit_count() <= simhash.OPEN:
+            break
+
+
 def test_near_copies_are_candidates_by_the_masks(spark):
     """Rows whose fingerprints differ in four or five bits share a key that counts as much as a pair has to share; others share none."""
     draw = random.Random(8)
